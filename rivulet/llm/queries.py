@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import conversations, sharding
+from . import conversations, sharding, topk
 
 
 def queries() -> dict:
     return {
+        "op3_exact_top_k": topk.op3_exact_top_k,
         "op4_chat_formatting": conversations.op4_chat_formatting,
         "op9_extendible_sharding": sharding.op9_extendible_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": conversations.SQL, "op9_extendible_sharding": sharding.SQL}
+    return {"op3_exact_top_k": topk.SQL, "op4_chat_formatting": conversations.SQL, "op9_extendible_sharding": sharding.SQL}
