@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +120,17 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         lo = hi
 
 
+def in_one_task(bounded: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``fn`` over all rows of a frame of stated bound, as one pandas frame in one task; no rows, no call."""
+
+    def run(batches):
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield fn(pd.concat(parts, ignore_index=True))
+
+    return bounded.coalesce(1).mapInPandas(run, schema)
+
+
 # --------------------------------------------------------------------------
 # bytes of a column
 # --------------------------------------------------------------------------

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import conversations, sharding, topk
+from . import conversations, langid, quality, sharding, topk
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": langid.op2_language_id,
+        "op7_compression_quality": quality.op7_compression_quality,
         "op3_exact_top_k": topk.op3_exact_top_k,
         "op4_chat_formatting": conversations.op4_chat_formatting,
         "op9_extendible_sharding": sharding.op9_extendible_sharding,
