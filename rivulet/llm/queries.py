@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import conversations, langid, quality, sharding, topk
+from . import conversations, jaccard, langid, quality, sharding, topk
 
 
 def queries() -> dict:
     return {
+        "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
         "op2_language_id": langid.op2_language_id,
         "op7_compression_quality": quality.op7_compression_quality,
         "op3_exact_top_k": topk.op3_exact_top_k,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": topk.SQL, "op4_chat_formatting": conversations.SQL, "op9_extendible_sharding": sharding.SQL}
+    return {"op10_ngram_jaccard": jaccard.SQL, "op3_exact_top_k": topk.SQL, "op4_chat_formatting": conversations.SQL, "op9_extendible_sharding": sharding.SQL}
