@@ -59,14 +59,14 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
     # head: the node where an unbranched run starts; steps: how far above it is
     run = n.select("node", F.when(F.col("siblings") == 1, F.col("parent")).alias("up"))
     at = run.select("node", F.coalesce("up", "node").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    at = common.stage(at, "runs")
-    moved, most = True, n.count() * 2
-    span = 1
-    while moved and span <= most:
+    # only nodes whose head has moved are joined again; the others are settled
+    at = common.stage(at.withColumn("moved", F.col("steps") > 0), "runs")
+    most, span = n.count() * 2, 1
+    while span <= most and not at.where("moved").isEmpty():
         up = at.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("steps").alias("steps2"))
-        new = common.stage(at.join(up, "head").select("node", F.col("head2").alias("head"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("steps2") > 0).alias("moved")), "runs")
-        moved = not new.where("moved").isEmpty()
-        at, span = new.drop("moved"), span * 2
+        new = at.where("moved").join(up, "head").select("node", F.col("head2").alias("head"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("steps2") > 0).alias("moved"))
+        at, span = common.stage(at.where("not moved").select("node", "head", "steps", "moved").unionByName(new), "runs"), span * 2
+    at = at.drop("moved")
     full = n.join(at, "node")
     runs = full.groupBy("head").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("steps", "node"))), lambda x: x["node"]).alias("path"),
