@@ -186,13 +186,18 @@ def span_hash(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((p[b] - p[a]) * down[a] + b.astype(np.uint64) - a.astype(np.uint64))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Separators when only letters, digits and bytes of longer characters make words.
+PLAIN = np.ones(256, bool)
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = PLAIN[95] = PLAIN[128:] = False
+
+
+def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each maximal run of non-separators within a row."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~_SPACE[data]
+    solid = ~separators[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -203,9 +208,9 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, word offsets by row)."""
-    start, end, row = words(data, offs)
+    start, end, row = words(data, offs, separators)
     h = span_hash(prefix_hash(_LOWER[data]), start, end) if len(start) else np.zeros(0, np.uint64)
     return h, np.searchsorted(row, np.arange(len(offs)))
 
