@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, jaccard, langid, quality, sharding, topk
+from . import conversations, decontaminate, jaccard, langid, pieces, quality, sharding, topk
 
 
 def queries() -> dict:
     return {
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op1_greedy_string_tiling": decontaminate.op1_greedy_string_tiling,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
         "op2_language_id": langid.op2_language_id,
