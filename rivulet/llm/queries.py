@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, jaccard, langid, pieces, quality, sharding, topk
+from . import conversations, decontaminate, jaccard, langid, pieces, quality, sharding, suffixes, topk
 
 
 def queries() -> dict:
     return {
+        "op5_suffix_dedup": suffixes.op5_suffix_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op1_greedy_string_tiling": decontaminate.op1_greedy_string_tiling,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
