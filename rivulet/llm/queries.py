@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, jaccard, langid, pieces, quality, sharding, suffixes, topk
+from . import conversations, decontaminate, jaccard, langid, pieces, quality, sharding, suffixes, topk, training_order
 
 
 def queries() -> dict:
     return {
+        "op6_training_order": training_order.op6_training_order,
         "op5_suffix_dedup": suffixes.op5_suffix_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op1_greedy_string_tiling": decontaminate.op1_greedy_string_tiling,
