@@ -10,13 +10,13 @@ texts.
 How groups stay small:
 
 * equal sets are one class before anything is joined;
-* each class is first linked with one leader in the buckets of its three least
-  tokens (a star, never all pairs) and verified; the components of these links
+* each class is first linked with a few leaders of its min-hash buckets (stars,
+  never all pairs) and verified; the components of these links
   count as one when token frequencies are taken, so the tokens of a large group
   of near copies are rare;
-* the order puts tokens of a single component first.  A class with enough of
-  them has no link outside its component and is done; only the others read
-  their whole token sets again and meet candidates of other components.
+* a class with enough tokens of its own component among its least ones shares
+  none of these with other classes of the kind, so it needs no index entry; only
+  the weak rest reads its whole token sets again, and is indexed.
 
 All of it is exact: a token's class depends on the token alone, and links are
 only ever accepted by comparing whole sets.
@@ -35,8 +35,8 @@ from . import common
 
 #: Tokens found in this many components are indexed in pairs.
 FREQUENT = 8
-STAR_TOKENS = 3
-SKETCH = 16
+#: Min-hash bands that name the buckets of the first links, values in each, and leaders of a bucket.
+BANDS, BAND_VALUES, LEADERS = 5, 4, 8
 ID_LIMIT = 1_000_000
 
 
@@ -47,6 +47,21 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+_TURN = np.random.default_rng(11).integers(1, 1 << 63, BANDS * BAND_VALUES, np.uint64) | np.uint64(1)
+
+
+def _bands(s: np.ndarray) -> np.ndarray:
+    """One number per band: a hash of the least values of the set under ``BAND_VALUES`` multipliers."""
+    if not len(s):
+        return np.zeros(BANDS, np.int64)
+    u = s.view(np.uint64)
+    low = np.array([(u * t).min() for t in _TURN]).reshape(BANDS, BAND_VALUES)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND_VALUES):
+        h = common.mix(h + low[:, k])
+    return h.view(np.int64)
+
+
 def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -68,9 +83,10 @@ def token_sets(docs: DataFrame, n: int, num: int, den: int, whole: bool = False)
         size = np.array([len(s) for s in sets], np.int64)
         most = size if whole else np.minimum(size, (spare(size, num, den) + 1) * 3 // 2 + 8)
         toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(np.concatenate([s[:m] for s, m in zip(sets, most, strict=True)])))
-        return pa.record_batch({"doc_id": part.column(0), "node": pa.array([_node(s) for s in sets], pa.int64()), "n_sh": size, "toks": toks})
+        bands = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([_bands(s) for s in sets])), BANDS).cast(pa.list_(pa.int64()))
+        return pa.record_batch({"doc_id": part.column(0), "node": pa.array([_node(s) for s in sets], pa.int64()), "n_sh": size, "bands": bands, "toks": toks})
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node long, n_sh long, toks array<long>")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node long, n_sh long, bands array<long>, toks array<long>")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -107,12 +123,12 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     rows = t1.where("n_sh > 0 and doc_id is not null").select("doc_id", "node", "n_sh")
     classes = common.stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_sh").alias("n_sh")), "classes")
 
-    # stars: the leader of a bucket is its least node
-    head = t1.where("n_sh > 1 and doc_id is not null").select("node", F.slice("toks", 1, SKETCH).alias("sketch"))
-    rank = head.select("node", "sketch", F.explode(F.slice("sketch", 1, STAR_TOKENS)).alias("token"))
-    led = rank.withColumn("lead", F.min(F.struct("node", "sketch")).over(Window.partitionBy("token")))
-    near = F.size(F.array_intersect("sketch", "lead.sketch")) * 2 >= F.least(F.size("sketch"), F.size("lead.sketch"))
-    stars = led.where((F.col("node") != F.col("lead.node")) & near).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    # stars: every member of a bucket meets its few leaders, other ones in each band
+    band = t1.where("n_sh > 1 and doc_id is not null").select("node", "n_sh", F.posexplode("bands").alias("b", "key")).distinct()
+    band = band.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "b"), "node")))
+    lead = band.where(F.col("at") <= LEADERS).select("key", F.col("node").alias("node2"), F.col("n_sh").alias("n_sh2"), F.col("at").alias("at2"))
+    fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
+    stars = band.join(lead, "key").where((F.col("at") > F.col("at2")) & (F.col("node") != F.col("node2")) & fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     links = verified(stars, classes, docs, n, num, den)
     comps = common.connected_components(links)
     comps = common.stage(classes.join(comps, "node", "left").select("node", "rep", "n_sh", F.coalesce("component", "node").alias("comp")), "comps")
@@ -127,9 +143,8 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     size = firsts.select("node", "comp", "n_sh", F.size("toks").alias("m")).join(lacks, "node")
     # a set of one token has no similar set but itself
     weak = common.stage(size.where((F.col("m") - F.col("s") < _spare(F.col("n_sh"), num, den) + 1) & (F.col("n_sh") > 1)).select("node", "comp", "n_sh").distinct(), "weak")
-    more = None if weak.isEmpty() else _candidates(docs, comps, weak, shared, firsts, n, num, den)
-    if more is not None:
-        found = verified(more, classes, docs, n, num, den)
+    if not weak.isEmpty():
+        found = verified(_candidates(docs, comps, weak, shared, firsts, n, num, den), classes, docs, n, num, den)
         if not found.isEmpty():
             all_links = links.unionByName(found)
             again = common.connected_components(all_links)
@@ -142,37 +157,50 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
 
 def _candidates(docs: DataFrame, comps: DataFrame, weak: DataFrame, shared: DataFrame, firsts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share a signature, for the sets whose known tokens don't settle it."""
+    """Pairs of different components that may be similar, for the sets whose known tokens don't settle it.
+
+    Weak sets meet each other by their own token frequencies, which are exact, and the
+    others by those sets' tokens of one component: a similar set lacks at most
+    ``spare`` of them, so all but that many must match.
+    """
     ids = weak.join(comps.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"))
     again = common.semi_by_id(docs.select("doc_id", "text"), ids, "doc_id", ID_LIMIT)
-    full = token_sets(again, n, num, den, whole=True).join(weak.select("node", "comp"), "node").dropDuplicates(["node"])
-    counts = shared.groupBy("token").agg(F.first("c").alias("c"))
-    toks = full.select("node", "comp", "n_sh", F.explode("toks").alias("token")).join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    order = Window.partitionBy("node").orderBy("c", "token")
-    rare = F.count_if(F.col("c") < FREQUENT).over(Window.partitionBy("node"))
-    toks = toks.withColumns({"pos": F.row_number().over(order), "rare": rare})
-    need = _spare(F.col("n_sh"), num, den) + 1
-    prefix = common.stage(toks.where(F.col("pos") <= F.when(F.col("rare") >= need, need).otherwise(need + 1)).select("node", "comp", "n_sh", "token", "c"), "prefix")
+    full = token_sets(again, n, num, den, whole=True).join(weak.select("node", "comp"), "node")
+    full = full.dropDuplicates(["node"])
+    by_token = Window.partitionBy("token")
+    toks = full.select("node", "comp", "n_sh", F.explode("toks").alias("token")).withColumn("d", F.dense_rank().over(by_token.orderBy("comp")))
+    toks = common.stage(toks.withColumn("c", F.max("d").over(by_token)).drop("d"), "weak-tokens")
 
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
     cross = (F.col("comp") != F.col("comp2")) & fits
     ends = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
-    twin = lambda d: d.select(F.col("token"), F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"))
-
-    single = prefix.where(F.col("c") < FREQUENT).select("token", "node", "comp", "n_sh")
-    wanted = single.select("token").distinct()
-    known = firsts.select("node", "comp", "n_sh", F.explode("toks").alias("token"))
-    known = common.semi_by_id(known, wanted, "token", ID_LIMIT)
-    by_one = single.join(twin(known.unionByName(single)), "token").where(cross).select(*ends)
+    twin = lambda d: d.select(F.col("token"), F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), F.col("can").alias("can2"))
+    # tokens of one component are in no intersection with another, so ``can`` bounds it
+    most = F.least("can", "can2")
+    able = F.lit(den) * most >= F.lit(num) * (F.col("n_sh") + F.col("n_sh2") - most)
 
-    frequent = prefix.where(F.col("c") >= FREQUENT).select("node", "comp", "n_sh", "token")
+    order = Window.partitionBy("node").orderBy("c", "token")
+    rare = F.count_if(F.col("c") < FREQUENT).over(Window.partitionBy("node"))
+    need = _spare(F.col("n_sh"), num, den) + 1
+    prefix = toks.withColumns({"pos": F.row_number().over(order), "rare": rare, "can": F.count_if(F.col("c") > 1).over(Window.partitionBy("node"))})
+    prefix = common.stage(prefix.where((F.col("pos") <= F.when(F.col("rare") >= need, need).otherwise(need + 1)) & (F.col("c") > 1)).select("node", "comp", "n_sh", "can", "token", "c"), "prefix")
+    single = prefix.where(F.col("c") < FREQUENT).select("token", "node", "comp", "n_sh", "can")
+    by_one = single.join(twin(single), "token").where(cross & able & F.expr("node < node2")).select(*ends)
+    frequent = prefix.where(F.col("c") >= FREQUENT).select("node", "comp", "n_sh", "can", "token")
     other = frequent.select("node", F.col("token").alias("token2"))
-    two = frequent.join(other, "node").where("token < token2").select("node", "comp", "n_sh", F.xxhash64("token", "token2").alias("token"))
+    two = frequent.join(other, "node").where("token < token2").select("node", "comp", "n_sh", "can", F.xxhash64("token", "token2").alias("token"))
     # a combination of one component links nothing new
     mixed = two.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     two = two.join(mixed, "token", "left_semi")
-    by_two = two.join(twin(two), "token").where(cross & F.expr("node < node2")).select(*ends)
-    return by_one.unionByName(by_two).distinct()
+    by_two = two.join(twin(two), "token").where(cross & able & F.expr("node < node2")).select(*ends)
+
+    own = firsts.join(weak.select("node"), "node", "left_anti").select("node", "comp", "n_sh", F.explode("toks").alias("token")).join(shared.select("node", "token"), ["node", "token"], "left_anti")
+    own = own.withColumn("u", F.count("*").over(Window.partitionBy("node")))
+    others = own.select("token", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), "u")
+    met = toks.select("token", "node", "comp", "n_sh").join(others, "token").where(cross)
+    met = met.groupBy("node", "node2").agg(F.count("*").alias("k"), F.first(F.col("u") - _spare(F.col("n_sh2"), num, den)).alias("least"))
+    by_own = met.where("k >= least").select(*ends)
+    return by_one.unionByName(by_two).unionByName(by_own).distinct()
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
