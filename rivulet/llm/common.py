@@ -91,6 +91,13 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str, row_limit: int = 1_000_0
     return df.join(right, key, "left_semi")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Text rows are large: Arrow batches of the default 10,000 rows would hold tens of MB per worker and task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` over row slices that hold about 1 MB of the widest column."""
 
@@ -101,6 +108,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if out is not None and out.num_rows:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -89,6 +89,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.record_batch({"bucket": np.append(at, -1), "n": np.append(df[at], n)})
 
+    common.small_batches(docs.sparkSession)
     rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS)
     inner = rows[rows.bucket >= 0]

@@ -31,7 +31,7 @@ from . import common
 
 MARKER = "▁"
 SHORT = 48
-CACHE_UNITS = 200_000
+CACHE_UNITS = 100_000
 FALLBACK_PENALTY = 10.0
 
 
@@ -323,9 +323,10 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            for part in common.slices(batch, 2 * common.SLICE_BYTES):
+            for part in common.slices(batch):
                 yield pa.record_batch([*[part.column(c) for c in keep], shared.value.encode(part.column(text), cache)], names=[*keep, ids])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(*keep).mapInArrow(run, schema)
 
 
@@ -342,10 +343,24 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decod
 
 
 def encoded_and_checked(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, ids, n_pieces, round_trip): every text encoded, decoded and compared with itself."""
+    """(doc_id, ids, n_pieces, round_trip): every text encoded, decoded and compared with itself in one pass."""
     pieces = Pieces.load(model or default_model())
-    done = decode(encode(docs.select("doc_id", "text"), pieces), pieces)
-    return done.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    src = docs.select("doc_id", "text")
+    schema = src.select("doc_id", F.lit(None).cast("array<int>").alias("ids"), F.lit(0).cast("long").alias("n_pieces"), F.lit(True).alias("round_trip")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in batches:
+            for part in common.slices(batch):
+                text = part.column(1)
+                ids = shared.value.encode(text, cache)
+                back = shared.value.decode(ids)
+                same = pc.or_kleene(pc.fill_null(pc.equal(back, text.cast(pa.string())), False), pc.and_(pc.is_null(back), pc.is_null(text)))
+                yield pa.record_batch([part.column(0), ids, pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64()), same], names=["doc_id", "ids", "n_pieces", "round_trip"])
+
+    common.small_batches(docs.sparkSession)
+    return src.mapInArrow(run, schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

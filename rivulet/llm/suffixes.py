@@ -244,6 +244,7 @@ def _runs(edges: DataFrame, docs: DataFrame, length: int, parts: int) -> DataFra
         if held:
             yield from _flush(held, parts)
 
+    common.small_batches(docs.sparkSession)
     return rows.mapInArrow(run, "bucket long, run binary")
 
 

@@ -103,6 +103,7 @@ def sequences(docs: DataFrame, vocabulary: str | None = None, length: int = SEQU
         if len(rest):
             yield cut(rest, ids, True)[0]
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, k long, doc_ids array<long>, tokens binary")
 
 
