@@ -1,13 +1,19 @@
-"""All registered queries of the event pipeline."""
+"""All registered queries of the event pipeline and their SQL."""
+
+from __future__ import annotations
+
+from . import ingest
+
+PLANS = [ingest]
 
 
 def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return ingest.validate_verdicts(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: f for p in PLANS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: f for p in PLANS for k, f in p.SQL.items()}
