@@ -177,7 +177,7 @@ _USERS = """u AS (SELECT c_custkey, 'tenant_' || lpad((c_custkey % 20)::VARCHAR,
   ['name', 'email', 'salary'][c_custkey % 3 + 1] AS field FROM customer)"""
 _OPEN = f"""{_USERS}, o AS (SELECT *, CASE WHEN field = 'salary' THEN 'UNKNOWN_FIELD' WHEN c_custkey % 10 = 0 THEN 'DECRYPT_FAILED' ELSE 'ok' END AS outcome FROM u)"""
 _BUCKET = """,
-ch AS (SELECT tenant, batch_id, epoch(min(ts))::BIGINT::DOUBLE AS tm, count(*) AS n FROM ing GROUP BY 1, 2),
+ch AS (SELECT tenant, batch_id, floor(epoch(min(ts)))::DOUBLE AS tm, count(*) AS n FROM ing GROUP BY 1, 2),
 li AS (SELECT * FROM (VALUES ('tenant_0001', 0.0001::DOUBLE, 30.0::DOUBLE), ('tenant_0002', 0.0002, 25.0)) t(tenant, rate, burst)),
 q AS (SELECT ch.*, coalesce(rate, 0.0001::DOUBLE) AS rate, coalesce(burst, 25.0::DOUBLE) AS burst, row_number() OVER (PARTITION BY ch.tenant ORDER BY tm, batch_id) AS k FROM ch LEFT JOIN li USING (tenant)),
 f AS (
@@ -206,7 +206,7 @@ SQL = {
     "protect_roundtrip": f"WITH {_USERS} SELECT c_custkey, name, email, 1 AS version FROM u",
     "before_after": f"WITH {_USERS}, s AS (SELECT c_custkey, 'name' AS field, name AS b FROM u UNION ALL SELECT c_custkey, 'email', email FROM u) SELECT c_custkey, field, CASE WHEN length(b) > 20 THEN substr(b, 1, 20) || '..' || length(b) ELSE b END AS cell, true AS same FROM s",
     "rate_limit_batches": _sql(_BUCKET + "SELECT tenant, batch_id, allowed, round(tok, 4) AS tokens, CASE WHEN NOT allowed THEN greatest(1, ceil((1 - tok) / rate))::BIGINT END AS retry_after FROM f", True),
-    "rate_limit_events": """WITH RECURSIVE ch AS (SELECT 'tenant_' || lpad((user_id % 20)::VARCHAR, 4, '0') AS tenant, epoch(ts)::BIGINT::DOUBLE AS tm, event_id FROM events),
+    "rate_limit_events": """WITH RECURSIVE ch AS (SELECT 'tenant_' || lpad((user_id % 20)::VARCHAR, 4, '0') AS tenant, floor(epoch(ts))::DOUBLE AS tm, event_id FROM events),
 li AS (SELECT * FROM (VALUES ('tenant_0001', 0.0001::DOUBLE, 30.0::DOUBLE), ('tenant_0002', 0.0002, 25.0)) t(tenant, rate, burst)),
 q AS (SELECT ch.*, coalesce(rate, 0.00015::DOUBLE) AS rate, coalesce(burst, 10.0::DOUBLE) AS burst, row_number() OVER (PARTITION BY ch.tenant ORDER BY tm, event_id) AS k FROM ch LEFT JOIN li USING (tenant)),
 f AS (SELECT tenant, tm, k, true AS allowed, burst - 1 AS tok FROM q WHERE k = 1

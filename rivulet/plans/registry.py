@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ingest
+from . import ingest, reconciling
 
-PLANS = [ingest]
+PLANS = [ingest, reconciling]
 
 
 def entry(spark, sf_dir):
