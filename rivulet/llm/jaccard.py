@@ -166,10 +166,10 @@ def _candidates(docs: DataFrame, comps: DataFrame, weak: DataFrame, shared: Data
     ids = weak.join(comps.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"))
     again = common.semi_by_id(docs.select("doc_id", "text"), ids, "doc_id", ID_LIMIT)
     full = token_sets(again, n, num, den, whole=True).join(weak.select("node", "comp"), "node")
-    full = full.dropDuplicates(["node"])
+    full = common.stage(full.groupBy("node", "comp", "n_sh").agg(F.first("toks").alias("toks")), "weak-sets")
     by_token = Window.partitionBy("token")
     toks = full.select("node", "comp", "n_sh", F.explode("toks").alias("token")).withColumn("d", F.dense_rank().over(by_token.orderBy("comp")))
-    toks = common.stage(toks.withColumn("c", F.max("d").over(by_token)).drop("d"), "weak-tokens")
+    toks = toks.withColumn("c", F.max("d").over(by_token)).drop("d")
 
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
     cross = (F.col("comp") != F.col("comp2")) & fits
@@ -194,12 +194,14 @@ def _candidates(docs: DataFrame, comps: DataFrame, weak: DataFrame, shared: Data
     two = two.join(mixed, "token", "left_semi")
     by_two = two.join(twin(two), "token").where(cross & able & F.expr("node < node2")).select(*ends)
 
-    own = firsts.join(weak.select("node"), "node", "left_anti").select("node", "comp", "n_sh", F.explode("toks").alias("token")).join(shared.select("node", "token"), ["node", "token"], "left_anti")
-    own = own.withColumn("u", F.count("*").over(Window.partitionBy("node")))
-    others = own.select("token", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), "u")
-    met = toks.select("token", "node", "comp", "n_sh").join(others, "token").where(cross)
-    met = met.groupBy("node", "node2").agg(F.count("*").alias("k"), F.first(F.col("u") - _spare(F.col("n_sh2"), num, den)).alias("least"))
-    by_own = met.where("k >= least").select(*ends)
+    # the others' tokens of one component, as arrays until the one exchange by token; sizes are looked up for matches only
+    gone = shared.groupBy("node").agg(F.collect_set("token").alias("gone"))
+    own = firsts.join(weak.select("node"), "node", "left_anti").join(gone, "node", "left").select("node", "comp", "n_sh", F.when(F.col("gone").isNull(), F.col("toks")).otherwise(F.array_except("toks", "gone")).alias("own"))
+    probe = full.select("node", F.explode("toks").alias("token"))
+    met = own.select(F.col("node").alias("node2"), F.explode("own").alias("token")).join(probe, "token").groupBy("node", "node2").agg(F.count("*").alias("k"))
+    sizes = own.select(F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), (F.size("own") - _spare(F.col("n_sh"), num, den)).alias("least"))
+    met = common.stage(met, "met")
+    by_own = met.join(sizes, "node2").where("k >= least").join(full.select("node", "comp", "n_sh"), "node").where(cross).select(*ends)
     return by_one.unionByName(by_two).unionByName(by_own).distinct()
 
 
