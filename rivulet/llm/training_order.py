@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,6 +31,7 @@ END_TOKEN = 50256
 ROUNDS = 4
 #: A record: slot, sequence number (8 bytes each), then the tokens as unsigned 16-bit numbers, all little-endian, and a line end.
 HEADER = 16
+PACK_BYTES = 16 << 20
 
 
 def default_vocabulary() -> str:
@@ -150,24 +152,61 @@ def write_shards(staged: DataFrame, path: str, key: int, length: int = SEQUENCE,
     ``(slot % shard_records) * stride(length)`` bytes of that shard's one file.
     """
     rows, total = numbered(staged)
-    rows = feistel_slots(rows, "seq", total, key)
-    shards = max(1, -(-total // shard_records))
-    placed = rows.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("long"))
-    raw = F.concat(_little(F.col("slot")), _little(F.col("seq")), F.col("tokens"))
-    # one shard is one partition: ranges of equal width, given by a partition number
-    out = placed.select("shard", "slot", raw.alias("raw")).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records of a task that go to one shard, compressed together."""
+        held, size = [], 0
+        for batch in batches:
+            seq = np.asarray(batch.column(0))
+            held.append((feistel(seq, total, key), seq, batch.column(1).to_pylist()))
+            size += len(seq) * 2 * length
+            if size > PACK_BYTES:
+                yield _packed(held, shard_records)
+                held, size = [], 0
+        if size:
+            yield _packed(held, shard_records)
+
+    def unpack(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(b.as_py(), length) for b in table.column("blob").combine_chunks()]
+        rec = np.concatenate(parts)
+        rec = rec[np.argsort(rec[:, :8].copy().view("<i8").ravel(), kind="stable")]
+        return pa.table({"shard": pa.array(np.full(len(rec), table.column("shard")[0].as_py(), np.int64)), "slot": rec[:, :8].copy().view("<i8").ravel(), "raw": pa.array([r.tobytes() for r in rec], pa.binary())})
+
+    common.small_batches(staged.sparkSession)
+    blobs = rows.select("seq", "tokens").mapInArrow(pack, "shard long, blob binary")
+    # a group is one shard, which a fixed number of records bounds
+    out = blobs.groupBy("shard").applyInArrow(unpack, "shard long, slot long, raw binary").sortWithinPartitions("shard", "slot")
     with common._cleaned_shuffles(staged.sparkSession):
         out.select("shard", F.col("raw").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
+    placed = feistel_slots(rows.drop("tokens"), "seq", total, key).withColumn("shard", F.floor(F.col("slot") / shard_records).cast("long"))
     return placed.select("seq", "slot", "shard", (F.col("slot") % shard_records * stride(length)).alias("place"), "doc_ids")
 
 
-def stride(length: int = SEQUENCE) -> int:
-    return HEADER + 2 * length + 1
+def _packed(held: list, shard_records: int) -> pa.RecordBatch:
+    slot, seq = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    tokens = [t for h in held for t in h[2]]
+    shard = slot // shard_records
+    order = np.argsort(shard, kind="stable")
+    names, first = np.unique(shard[order], return_index=True)
+    cuts = np.append(first, len(order))
+    blobs = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[a:b]
+        raw = slot[at].astype("<i8").tobytes() + seq[at].astype("<i8").tobytes() + b"".join([tokens[i] for i in at])
+        blobs.append(zstandard.compress(len(at).to_bytes(8, "little") + raw, 3))
+    return pa.record_batch({"shard": names.astype(np.int64), "blob": pa.array(blobs, pa.binary())})
 
 
-def _little(x: Column) -> Column:
-    h = F.lpad(F.hex(x.cast("long")), 16, "0")
-    return F.unhex(F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)]))
+def _unpacked(blob: bytes, length: int) -> np.ndarray:
+    """Records as rows of bytes, without the line end."""
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    n = int.from_bytes(raw[:8].tobytes(), "little")
+    heads = raw[8 : 8 + 16 * n].reshape(2, n, 8)
+    return np.concatenate([heads[0], heads[1], raw[8 + 16 * n :].reshape(n, 2 * length)], axis=1)
+
+
+def stride(length: int = SEQUENCE) -> int:
+    return HEADER + 2 * length + 1
 
 
 def read_records(spark: SparkSession, path: str, length: int = SEQUENCE, start: int = 0, shard_records: int = SHARD_RECORDS) -> DataFrame:
@@ -193,8 +232,8 @@ def read_records(spark: SparkSession, path: str, length: int = SEQUENCE, start:
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenise, permute and write all of ``documents``; each record is read back from its shard."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    staged = common.stage(sequences(docs), "sequences")
+    staged = common.stage(sequences(docs), "sequences", codec="zstd")
     path = f"{common.shared_dir(spark)}/training-{uuid.uuid4().hex}"
     placed = write_shards(staged, path, key=20240229)
     back = read_records(spark, path).select("slot", F.sha2("tokens", 256).alias("tokens_sha256"))
-    return placed.join(back, "slot").select("slot", "seq", "shard", "place", "doc_ids", "tokens_sha256")
+    return common.stage(placed.join(back, "slot").select("slot", "seq", "shard", "place", "doc_ids", "tokens_sha256"), "records")
