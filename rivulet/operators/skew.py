@@ -10,20 +10,22 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()
+
 
 
 def zipf_shares(tenants: DataFrame, exponent: float) -> DataFrame:
     """``tenants`` (tenant, rank from 1) with ``share`` proportional to 1/rank**exponent."""
     p = F.pow(F.col("rank").cast("double"), F.lit(-exponent))
-    return tenants.withColumn("share", p / F.sum(p).over(_ALL))
+    return tenants.withColumn("share", p / F.sum(p).over(_all()))
 
 
 def apportion(rows: DataFrame, weight: str, total: int, order: str) -> DataFrame:
     """``rows`` with ``units``: largest remainders of ``total`` over the weights, ties to the earlier row."""
-    exact = F.col(weight) / F.sum(weight).over(_ALL) * total
+    exact = F.col(weight) / F.sum(weight).over(_all()) * total
     x = rows.withColumn("_exact", exact).withColumn("units", F.floor("_exact").cast("long"))
-    left = F.lit(total) - F.sum("units").over(_ALL)
+    left = F.lit(total) - F.sum("units").over(_all())
     nth = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_exact") - F.col("units"), 9)), order))
     return x.withColumns({"_left": left, "_n": nth}).withColumn("units", F.col("units") + (F.col("_n") <= F.col("_left")).cast("long")).drop("_exact", "_left", "_n")
 
@@ -34,7 +36,7 @@ def users_needed(sessions: str = "units", least: int = 50, per_user: int = 625):
 
 def report(counts: DataFrame, n: str = "n") -> DataFrame:
     """One row: units, tenants, shares of the top 1 % and 5 %, busiest, median (upper) and thinnest tenant."""
-    x = counts.select(F.col(n).alias("n")).withColumns({"r": F.row_number().over(Window.orderBy(F.desc("n"))), "a": F.row_number().over(Window.orderBy("n")), "k": F.count("*").over(_ALL), "t": F.sum("n").over(_ALL)})
+    x = counts.select(F.col(n).alias("n")).withColumns({"r": F.row_number().over(Window.orderBy(F.desc("n"))), "a": F.row_number().over(Window.orderBy("n")), "k": F.count("*").over(_all()), "t": F.sum("n").over(_all())})
     top = lambda p: F.bround(F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("k") * p)), F.col("n"))) / F.max("t"), 4)
     return x.agg(F.max("t").alias("units"), F.max("k").alias("tenants"), top(0.01).alias("top1_share"), top(0.05).alias("top5_share"), F.max("n").alias("busiest"), F.max(F.when(F.col("a") == F.floor(F.col("k") / 2) + 1, F.col("n"))).alias("median"), F.min("n").alias("thinnest"))
 

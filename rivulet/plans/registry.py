@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ingest, reconciling
+from . import ingest, planning, reconciling
 
-PLANS = [ingest, reconciling]
+PLANS = [ingest, reconciling, planning]
 
 
 def entry(spark, sf_dir):
