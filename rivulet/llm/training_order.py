@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from . import common
 
 SEQUENCE = 1024
-SHARD_RECORDS = 8192
+SHARD_RECORDS = 4096
 END_TOKEN = 50256
 ROUNDS = 4
 #: A record: slot, sequence number (8 bytes each), then the tokens as unsigned 16-bit numbers, all little-endian, and a line end.
 HEADER = 16
-PACK_BYTES = 16 << 20
+PACK_BYTES = 6 << 20
 
 
 def default_vocabulary() -> str:
@@ -167,10 +167,11 @@ def write_shards(staged: DataFrame, path: str, key: int, length: int = SEQUENCE,
             yield _packed(held, shard_records)
 
     def unpack(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(b.as_py(), length) for b in table.column("blob").combine_chunks()]
-        rec = np.concatenate(parts)
-        rec = rec[np.argsort(rec[:, :8].copy().view("<i8").ravel(), kind="stable")]
-        return pa.table({"shard": pa.array(np.full(len(rec), table.column("shard")[0].as_py(), np.int64)), "slot": rec[:, :8].copy().view("<i8").ravel(), "raw": pa.array([r.tobytes() for r in rec], pa.binary())})
+        rec = np.concatenate([_unpacked(b.as_py(), length) for b in table.column("blob").combine_chunks()])
+        slot = rec[:, :8].copy().view("<i8").ravel()
+        ends = pa.array(np.arange(0, rec.size + 1, rec.shape[1], dtype=np.int32)).buffers()[1]
+        raw = pa.Array.from_buffers(pa.binary(), len(rec), [None, ends, pa.py_buffer(rec)])
+        return pa.table({"shard": pa.array(np.full(len(rec), table.column("shard")[0].as_py(), np.int64)), "slot": slot, "raw": raw})
 
     common.small_batches(staged.sparkSession)
     blobs = rows.select("seq", "tokens").mapInArrow(pack, "shard long, blob binary")
@@ -223,8 +224,9 @@ def read_records(spark: SparkSession, path: str, length: int = SEQUENCE, start:
                 rec = data.reshape(-1, size)
                 slot, seq = (rec[:, a : a + 8].copy().view("<i8").ravel() for a in (0, 8))
                 keep = slot >= start
-                toks = [r.tobytes() for r in rec[keep, HEADER:-1]]
-                yield pa.record_batch({"slot": slot[keep], "seq": seq[keep], "tokens": pa.array(toks, pa.binary())})
+                toks = np.ascontiguousarray(rec[keep, HEADER:-1])
+                ends = pa.array(np.arange(0, toks.size + 1, 2 * length, dtype=np.int32)).buffers()[1]
+                yield pa.record_batch({"slot": slot[keep], "seq": seq[keep], "tokens": pa.Array.from_buffers(pa.binary(), len(toks), [None, ends, pa.py_buffer(toks)])})
 
     return files.mapInArrow(run, "slot long, seq long, tokens binary")
 
