@@ -121,7 +121,8 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     """
     t1 = common.stage(token_sets(docs, n, num, den), "tokens")
     rows = t1.where("n_sh > 0 and doc_id is not null").select("doc_id", "node", "n_sh")
-    classes = common.stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_sh").alias("n_sh")), "classes")
+    # small numbers stand for sets wherever tokens are dealt out: they pack better than hashes; staged, they stay the same
+    classes = common.stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_sh").alias("n_sh")).withColumn("nid", F.monotonically_increasing_id()), "classes")
 
     # stars: every member of a bucket meets its few leaders, other ones in each band
     band = t1.where("n_sh > 1 and doc_id is not null").select("node", "n_sh", F.posexplode("bands").alias("b", "key")).distinct()
@@ -131,10 +132,12 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     stars = band.join(lead, "key").where((F.col("at") > F.col("at2")) & (F.col("node") != F.col("node2")) & fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     links = verified(stars, classes, docs, n, num, den)
     comps = common.connected_components(links)
-    comps = common.stage(classes.join(comps, "node", "left").select("node", "rep", "n_sh", F.coalesce("component", "node").alias("comp")), "comps")
+    comps = classes.join(comps, "node", "left").select("node", "rep", "n_sh", "nid", F.coalesce("component", "node").alias("comp"))
+    comps = common.stage(comps.withColumn("cid", F.min("nid").over(Window.partitionBy("comp"))), "comps")
 
     # tokens found in several components, with the number of components
-    firsts = t1.join(comps.select("node", F.col("rep").alias("doc_id"), "comp"), ["doc_id", "node"])
+    firsts = t1.join(comps.select("node", F.col("rep").alias("doc_id"), "nid", "cid"), ["doc_id", "node"])
+    firsts = firsts.select(F.col("nid").alias("node"), F.col("cid").alias("comp"), "n_sh", "toks")
     by_token = Window.partitionBy("token")
     tok = firsts.select("node", "comp", F.explode("toks").alias("token"))
     tok = tok.withColumn("d", F.dense_rank().over(by_token.orderBy("comp")))
@@ -163,9 +166,11 @@ def _candidates(docs: DataFrame, comps: DataFrame, weak: DataFrame, shared: Data
     others by those sets' tokens of one component: a similar set lacks at most
     ``spare`` of them, so all but that many must match.
     """
-    ids = weak.join(comps.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"))
+    names = comps.select(F.col("nid").alias("id"), F.col("node").alias("hash"), "rep")
+    named = weak.join(names, weak["node"] == names["id"]).drop("id")
+    ids = named.select(F.col("rep").alias("doc_id"))
     again = common.semi_by_id(docs.select("doc_id", "text"), ids, "doc_id", ID_LIMIT)
-    full = token_sets(again, n, num, den, whole=True).join(weak.select("node", "comp"), "node")
+    full = token_sets(again, n, num, den, whole=True).select(F.col("node").alias("hash"), "toks").join(named.select("hash", "node", "comp", "n_sh"), "hash")
     full = common.stage(full.groupBy("node", "comp", "n_sh").agg(F.first("toks").alias("toks")), "weak-sets")
     by_token = Window.partitionBy("token")
     toks = full.select("node", "comp", "n_sh", F.explode("toks").alias("token")).withColumn("d", F.dense_rank().over(by_token.orderBy("comp")))
@@ -202,7 +207,10 @@ def _candidates(docs: DataFrame, comps: DataFrame, weak: DataFrame, shared: Data
     sizes = own.select(F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), (F.size("own") - _spare(F.col("n_sh"), num, den)).alias("least"))
     met = common.stage(met, "met")
     by_own = met.join(sizes, "node2").where("k >= least").join(full.select("node", "comp", "n_sh"), "node").where(cross).select(*ends)
-    return by_one.unionByName(by_two).unionByName(by_own).distinct()
+    found = by_one.unionByName(by_two).unionByName(by_own).distinct()
+    for c in ("a", "b"):
+        found = found.join(names.select(F.col("id").alias(c), F.col("hash").alias(f"_{c}")), c)
+    return found.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
