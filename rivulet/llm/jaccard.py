@@ -179,21 +179,22 @@ def _candidates(docs: DataFrame, comps: DataFrame, weak: DataFrame, shared: Data
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
     cross = (F.col("comp") != F.col("comp2")) & fits
     ends = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
-    twin = lambda d: d.select(F.col("token"), F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), F.col("can").alias("can2"))
-    # tokens of one component are in no intersection with another, so ``can`` bounds it
-    most = F.least("can", "can2")
-    able = F.lit(den) * most >= F.lit(num) * (F.col("n_sh") + F.col("n_sh2") - most)
+    twin = lambda d: d.select(F.col("token"), F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), F.col("pos").alias("pos2"))
+    # what two sets share from their first common token on bounds the intersection; a similar
+    # pair passes at that token, and other matches of it need not
+    reach = F.least(F.col("n_sh") - F.col("pos"), F.col("n_sh2") - F.col("pos2")) + 1
+    able = F.lit(den + num) * reach >= F.lit(num) * (F.col("n_sh") + F.col("n_sh2"))
 
     order = Window.partitionBy("node").orderBy("c", "token")
     rare = F.count_if(F.col("c") < FREQUENT).over(Window.partitionBy("node"))
     need = _spare(F.col("n_sh"), num, den) + 1
-    prefix = toks.withColumns({"pos": F.row_number().over(order), "rare": rare, "can": F.count_if(F.col("c") > 1).over(Window.partitionBy("node"))})
-    prefix = common.stage(prefix.where((F.col("pos") <= F.when(F.col("rare") >= need, need).otherwise(need + 1)) & (F.col("c") > 1)).select("node", "comp", "n_sh", "can", "token", "c"), "prefix")
-    single = prefix.where(F.col("c") < FREQUENT).select("token", "node", "comp", "n_sh", "can")
+    prefix = toks.withColumns({"pos": F.row_number().over(order), "rare": rare})
+    prefix = common.stage(prefix.where((F.col("pos") <= F.when(F.col("rare") >= need, need).otherwise(need + 1)) & (F.col("c") > 1)).select("node", "comp", "n_sh", "pos", "token", "c"), "prefix")
+    single = prefix.where(F.col("c") < FREQUENT).select("token", "node", "comp", "n_sh", "pos")
     by_one = single.join(twin(single), "token").where(cross & able & F.expr("node < node2")).select(*ends)
-    frequent = prefix.where(F.col("c") >= FREQUENT).select("node", "comp", "n_sh", "can", "token")
-    other = frequent.select("node", F.col("token").alias("token2"))
-    two = frequent.join(other, "node").where("token < token2").select("node", "comp", "n_sh", "can", F.xxhash64("token", "token2").alias("token"))
+    frequent = prefix.where(F.col("c") >= FREQUENT).select("node", "comp", "n_sh", "pos", "token")
+    other = frequent.select("node", F.col("token").alias("token2"), F.col("pos").alias("q"))
+    two = frequent.join(other, "node").where("token < token2").select("node", "comp", "n_sh", F.least("pos", "q").alias("pos"), F.xxhash64("token", "token2").alias("token"))
     # a combination of one component links nothing new
     mixed = two.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     two = two.join(mixed, "token", "left_semi")
