@@ -127,3 +127,12 @@ def test_streaming_dedup_and_order(spark, tmp_path):
     from rivulet.operators.reconcile import ordering_violations
 
     assert spark.table("late").agg(F.sum("violations")).first()[0] == ordering_violations(top).where("late").count()
+
+
+def test_every_order_becomes_a_webhook(spark):
+    from rivulet.plans import planning
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.o_orderkey: r.n for r in planning.webhook_fanout(spark, sf).groupBy("o_orderkey").agg(F.count("*").alias("n")).collect()}
+    # a call without a job_id is rejected; every other order gives its four events
+    assert got == {r.o_orderkey: 4 for r in adapt.table(spark, sf, "orders").collect() if r.o_orderkey % 12}
