@@ -22,6 +22,21 @@ def injection_plan(spark: SparkSession, total: int, count: int, seed: int) -> Da
     return spark.range(count).select(F.col("id").alias("k"), (lo + h % room).alias("slot"), pick.alias("variant"))
 
 
+def placed(rows: DataFrame, key: str, *ties: str) -> DataFrame:
+    """``rows`` with ``place``: dense numbers from 0 in the order of ``key`` and ``ties``, whatever gaps and repeats ``key`` has.
+
+    Bounds from approximate quantiles cut the rows by range; places count within a range, from the running
+    sum of the counts of the ranges before (one row per range).
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10000)).first()[0] if n > 1 else None
+    x = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(key))) if bounds else F.lit(0))
+    counts = x.groupBy("_range").agg(F.count("*").alias("_n"))
+    first = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties))
+    return x.withColumn("_at", at).join(F.broadcast(first), "_range").withColumn("place", F.col("_first") + F.col("_at") - 1).drop("_range", "_at", "_first")
+
+
 def partners(rows: DataFrame, bad: str = "variant") -> DataFrame:
     """``rows`` (batch_id, idx, id, variant) with the id of a clean partner in the same batch.
 

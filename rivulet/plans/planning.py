@@ -113,8 +113,9 @@ def _injected(spark, d):
     r = _rows(spark, d)
     n = r.count()
     plan = faults.injection_plan(spark, n, skew.injected_total(n, 0.02), 42)
-    # the slot is a place in the table's own order; ids are dense here, so no global sort is needed
-    x = r.select("batch_id", "idx", "event_id", F.concat(F.lit("ev-"), "event_id").alias("id"), "type", "time").join(plan.select(F.col("slot").alias("event_id"), "variant"), "event_id", "left")
+    # the slot is a place in the order of event_id, which may have gaps and repeats
+    r = faults.placed(r, "event_id", "ts", "user_id", "event_type", "value")
+    x = r.select("batch_id", "idx", "event_id", F.concat(F.lit("ev-"), "event_id").alias("id"), "type", "time", "place").join(plan.select(F.col("slot").alias("place"), "variant"), "place", "left")
     return faults.corrupt(faults.partners(x))
 
 

@@ -136,3 +136,15 @@ def test_every_order_becomes_a_webhook(spark):
     got = {r.o_orderkey: r.n for r in planning.webhook_fanout(spark, sf).groupBy("o_orderkey").agg(F.count("*").alias("n")).collect()}
     # a call without a job_id is rejected; every other order gives its four events
     assert got == {r.o_orderkey: 4 for r in adapt.table(spark, sf, "orders").collect() if r.o_orderkey % 12}
+
+
+def test_injection_is_exact_on_ids_with_gaps_and_repeats(spark, tmp_path):
+    from rivulet.plans import planning
+
+    e = adapt.table(spark, "/root/testdata/sf0.001", "events").withColumn("event_id", F.floor(F.col("event_id") / 2) * 5 + 1000)
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    n = e.count()
+    assert sum(r.injected for r in planning.inject_faults(spark, str(tmp_path)).collect()) == skew.injected_total(n, 0.02)
+    places = faults.placed(e, "event_id", "ts", "user_id").select("place", "event_id").orderBy("place").collect()
+    assert [r.place for r in places] == list(range(n)) and [r.event_id for r in places] == sorted(r.event_id for r in places)
+    assert faults.placed(e.where("event_id < 0"), "event_id").count() == 0
