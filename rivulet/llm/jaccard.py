@@ -119,6 +119,14 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     one shingle.  Rows without a doc_id get a null component and link with
     nothing.  Rows that repeat a doc_id count as linked.  An empty table gives no rows.
     """
+    return row_components(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = True) -> DataFrame:
+    """doc_id, n_shingles, node, comp and component_id of each row; comp is null where the row stands alone.
+
+    Rows that repeat a doc_id count as linked only if ``by_id``.
+    """
     t1 = common.stage(token_sets(docs, n, num, den), "tokens")
     rows = t1.where("n_sh > 0 and doc_id is not null").select("doc_id", "node", "n_sh")
     # small numbers stand for sets wherever tokens are dealt out: they pack better than hashes; staged, they stay the same
@@ -146,17 +154,30 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     size = firsts.select("node", "comp", "n_sh", F.size("toks").alias("m")).join(lacks, "node")
     # a set of one token has no similar set but itself
     weak = common.stage(size.where((F.col("m") - F.col("s") < _spare(F.col("n_sh"), num, den) + 1) & (F.col("n_sh") > 1)).select("node", "comp", "n_sh").distinct(), "weak")
+    more = []
     if not weak.isEmpty():
-        found = verified(_candidates(docs, comps, weak, shared, firsts, n, num, den), classes, docs, n, num, den)
-        if not found.isEmpty():
-            all_links = links.unionByName(found)
-            again = common.connected_components(all_links)
-            comps = classes.join(again, "node", "left").select("node", "rep", "n_sh", F.coalesce("component", "node").alias("comp"))
+        more.append(verified(_candidates(docs, comps, weak, shared, firsts, n, num, den), classes, docs, n, num, den))
+    if by_id:
+        several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+        more.append(common.stage(rows.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "id-links"))
+    more = [x for x in more if not x.isEmpty()]
+    if more:
+        all_links = links
+        for x in more:
+            all_links = all_links.unionByName(x)
+        again = common.connected_components(all_links)
+        comps = classes.join(again, "node", "left").select("node", "rep", "n_sh", F.coalesce("component", "node").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = comps.select("node", "comp").join(least, "comp").select("node", "component_id")
+    of_node = comps.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")
     out = t1.select("doc_id", "n_sh", F.when(F.col("doc_id").isNotNull() & (F.col("n_sh") > 0), F.col("node")).alias("node"))
+    if by_id:
+        # a row without shingles goes with the others of its doc_id
+        bare = t1.where("n_sh = 0 and doc_id is not null").select("doc_id").distinct()
+        other = common.stage(rows.join(bare, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("node").alias("other")), "bare")
+        if not other.isEmpty():
+            out = out.join(other, "doc_id", "left").select("doc_id", "n_sh", F.coalesce("node", "other").alias("node"))
     out = out.join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n_sh").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n_sh").alias("n_shingles"), "node", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _candidates(docs: DataFrame, comps: DataFrame, weak: DataFrame, shared: DataFrame, firsts: DataFrame, n: int, num: int, den: int) -> DataFrame:

@@ -38,3 +38,20 @@ def test_odd_documents(spark):
             if name != "token_ids":
                 assert d.columns == docs.columns
                 assert d.where("score <> 's' or kept <> 'k' or lang_pred <> 'p'").count() == 0
+
+
+def test_different_texts_under_one_id(spark):
+    import random
+
+    from rivulet.llm import jaccard
+
+    r = random.Random(4)
+    one, two, three = (" ".join(r.choice("abcdefghij") * r.randint(1, 9) for _ in range(60)) for _ in range(3))
+    rows = [(2, one), (5, two), (5, one), (7, two + " z"), (8, three), (8, three.upper()), (5, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = jaccard.similarity_components(docs, 5, 80, 100).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(2, 2), (5, 2), (5, 2), (5, 2), (7, 2), (8, 8), (8, 8), (9, 9)]
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    texts = [(r.doc_id, r.text.lower()) for r in kept.collect()]
+    assert sorted(texts) == sorted([(2, one), (5, two), (8, three), (5, ""), (9, "")])
