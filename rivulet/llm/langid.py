@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,8 +27,9 @@ from . import common
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3)
-#: Bound of the training sample, in rows.
+#: Bound of the training sample, in rows; with more than 24 languages, each still has places for this many.
 TRAIN_ROWS = 2400
+LEAST_ROWS = 100
 UNKNOWN = "und"
 _SCALE = 50.0
 
@@ -145,21 +146,53 @@ class Model:
         return [self.langs[b] if g else UNKNOWN for b, g in zip(best, ok, strict=True)], np.where(ok, p.max(axis=1), 0.0)
 
 
+def share_out(counts: list[int], rows: int) -> int:
+    """Most rows of each language so that all together take ``rows``; what small ones leave goes to the others."""
+    left, counts = rows, sorted(counts)
+    for i, c in enumerate(counts):
+        each = left // (len(counts) - i)
+        if c > each:
+            return max(each, min(rows, LEAST_ROWS))
+        left -= c
+    return max(counts, default=0)
+
+
+def training_sample(labelled: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
+    """(lang, text) of the rows with the smallest id hashes of each language, as many as ``share_out`` gives."""
+    spark, most = labelled.sparkSession, share_out(list(counts.values()), rows)
+    # ranks are cut before the exchange only up to this many
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key)) < most:
+        spark.conf.set(key, most)
+    first = Window.partitionBy("lang").orderBy("_h")
+    x = labelled.where("lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    # the bounds come from hashes alone, so few texts are sorted
+    ends = x.select("lang", "_h").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).groupBy("lang").agg(F.max("_h").alias("_end"))
+    x = x.join(F.broadcast(ends), "lang").where(F.col("_h") <= F.col("_end"))
+    return x.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("lang", "text")
+
+
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 3) -> Model:
     """Train on (doc_id, text, lang).
 
-    The sample is the ``rows`` labelled rows with the smallest id hash, so it is
-    the same on every run; it is trained on in one task, and weights come back.
+    The sample is bounded by ``rows`` and dealt out evenly to the languages, so that a
+    rare one is learned too; in each it is the labelled rows with the smallest id hash, so it is
+    the same on every run.  It is trained on in one task, and weights come back; the bias and the
+    temperature are corrected to the true shares of the languages.
     Every fifth row of it is kept for the temperature.  Without any labelled row
     with letters the model knows no language.
     """
     df, total = document_frequencies(labelled)
     idf = np.log((1 + total) / (1 + df)) + 1
-    sample = labelled.where("lang is not null").orderBy(F.xxhash64("doc_id", "text")).limit(rows).select("lang", "text")
+    counts = {r.lang: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
+    sample = training_sample(labelled, counts, rows)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lang", "text"], na_position="first", ignore_index=True)
         langs = sorted(pdf.lang.unique())
+        true = np.array([counts[k] for k in langs], float)
+        weight = true / pdf.lang.value_counts().reindex(langs).to_numpy()
+        weight /= weight.sum()
         data = []
         for lang, text in zip(pdf.lang, pdf.text, strict=True):
             for idx, _ in _by_text([text]):
@@ -177,10 +210,10 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 3) -> Model:
         logits = np.array([x @ w[at] for at, x, _ in held]).reshape(len(held), -1)
         y = np.array([k for *_, k in held], int)
         ts = np.geomspace(0.05, 20, 121)
-        loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() if len(y) else 0 for t in ts]
+        loss = [-(np.log(np.maximum(_softmax(logits / t + np.log(weight))[np.arange(len(y)), y], 1e-12)) * weight[y]).mean() if len(y) else 0 for t in ts]
         t = float(ts[int(np.argmin(loss))])
         table = (w[:BUCKETS] * idf[:, None] * _SCALE / t).T.astype(np.float32)
-        return pd.DataFrame({"lang": langs, "bias": w[BUCKETS, : len(langs)] / t, "w": [table[k].tobytes() for k in range(len(langs))]})
+        return pd.DataFrame({"lang": langs, "bias": w[BUCKETS, : len(langs)] / t + np.log(weight), "w": [table[k].tobytes() for k in range(len(langs))]})
 
     got = common.in_one_task(sample, train, "lang string, bias double, w binary").toPandas().sort_values("lang")
     return Model(list(got.lang), np.array([np.frombuffer(x, np.float32) for x in got.w]).reshape(len(got), BUCKETS), got.bias.to_numpy())

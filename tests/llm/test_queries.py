@@ -167,3 +167,17 @@ def test_feistel_permutes(n):
 
     a, b = (training_order.feistel(np.arange(n), n, k) for k in (1, 2))
     assert sorted(a.tolist()) == list(range(n)) and (n < 64 or a.tolist() != b.tolist())
+
+
+def test_a_rare_language_is_learned(spark):
+    import random
+
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    rows = [(k, " ".join(word("abcdefgh") for _ in range(8)), "a") for k in range(3000)] + [(5000 + k, " ".join(word("qrstuvwx") for _ in range(8)), "b") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, rows=300)
+    got = langid.identify(df, model, ["doc_id"]).collect()
+    assert {x.doc_id for x in got if x.lang_pred == "b"} == set(range(5000, 5012))
+    sample = langid.training_sample(df, {"a": 3000, "b": 12}, 300).groupBy("lang").count().collect()
+    assert sorted(map(tuple, sample)) == [("a", 288), ("b", 12)]
