@@ -35,7 +35,7 @@ def _leaves(cells: DataFrame, bits: int, low: int, limit: int) -> DataFrame:
     steps = cells.select("cell", F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("depth"), F.col("n_bytes").alias("b"), F.col("n_rows").alias("r"))
     steps = steps.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
     sizes = steps.groupBy("depth", "prefix").agg(F.sum("b").alias("n_bytes"), F.sum("r").alias("n_rows"))
-    fit = steps.select("cell", "depth", "prefix").join(sizes, ["depth", "prefix"]).where((F.col("n_bytes") <= limit) | (F.col("depth") == bits))
+    fit = steps.select("cell", "depth", "prefix").join(sizes, ["depth", "prefix"]).where((F.col("n_bytes") <= limit) | (F.col("n_rows") == 1) | (F.col("depth") == bits))
     return fit.groupBy("cell").agg(F.min(F.struct("depth", "n_bytes", "n_rows")).alias("x")).select("cell", "x.*")
 
 
@@ -62,7 +62,7 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = LIMIT)
     bits, low, parts, rest = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + 5), 0, [], light
     while True:
         leaves = common.stage(_leaves(_cells(rest, bits), bits, low, limit), "shards")
-        over = F.col("n_bytes") > limit
+        over = (F.col("n_bytes") > limit) & (F.col("n_rows") > 1)
         parts.append((bits, leaves.where(~over if bits < BITS else F.lit(True))))
         heavy = leaves.where(over).select("cell")
         if bits == BITS or heavy.isEmpty():

@@ -169,6 +169,19 @@ def test_feistel_permutes(n):
     assert sorted(a.tolist()) == list(range(n)) and (n < 64 or a.tolist() != b.tolist())
 
 
+def test_a_text_over_the_limit_is_sharded_as_in_the_sql(spark, tmp_path):
+    from rivulet.llm import sharding
+
+    rows = docs(spark, [(k, "x" * (3 << 20 if k in (7, 8) else 40_000)) for k in range(200)])
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op9_extendible_sharding(spark, str(tmp_path)).toPandas()
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(sharding.SQL).df()
+    assert oracle.rows(got) == oracle.rows(want)
+    assert got[got.doc_id == 7].depth.iloc[0] < 60
+
+
 def test_a_rare_language_is_learned(spark):
     import random
 
