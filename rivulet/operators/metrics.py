@@ -16,11 +16,12 @@ def counters(rows: DataFrame, *labels: str) -> DataFrame:
 def capped_labels(rows: DataFrame, label: str, arrival: str, cap: int = S.LABEL_CAP) -> DataFrame:
     """Counts by label where only the ``cap`` values that arrived first keep their name.
 
-    Values are reduced to one row each before they are ranked.
+    Values are reduced to one row each; the first ``cap`` of them are broadcast.
     """
     per = rows.groupBy(label).agg(F.count("*").alias("n"), F.min(arrival).alias("first"))
-    at = F.row_number().over(Window.orderBy("first", label))
-    return per.withColumn("at", at).groupBy(F.when(F.col("at") <= cap, F.col(label)).otherwise(S.OTHER).alias(label)).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("at") > cap, F.col("n")).otherwise(0)).alias("folded"))
+    named = per.orderBy("first", label).limit(cap).select(F.col(label).alias("_label"), F.lit(True).alias("_named"))
+    x = per.join(F.broadcast(named), F.col(label).eqNullSafe(F.col("_label")), "left")
+    return x.groupBy(F.when(F.col("_named"), F.col(label)).otherwise(S.OTHER).alias(label)).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_named"), 0).otherwise(F.col("n"))).alias("folded"))
 
 
 def histogram(rows: DataFrame, value: Column, edges: list[float]) -> DataFrame:

@@ -36,9 +36,14 @@ def users_needed(sessions: str = "units", least: int = 50, per_user: int = 625):
 
 def report(counts: DataFrame, n: str = "n") -> DataFrame:
     """One row: units, tenants, shares of the top 1 % and 5 %, busiest, median (upper) and thinnest tenant."""
-    x = counts.select(F.col(n).alias("n")).withColumns({"r": F.row_number().over(Window.orderBy(F.desc("n"))), "a": F.row_number().over(Window.orderBy("n")), "k": F.count("*").over(_all()), "t": F.sum("n").over(_all())})
-    top = lambda p: F.bround(F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("k") * p)), F.col("n"))) / F.max("t"), 4)
-    return x.agg(F.max("t").alias("units"), F.max("k").alias("tenants"), top(0.01).alias("top1_share"), top(0.05).alias("top5_share"), F.max("n").alias("busiest"), F.max(F.when(F.col("a") == F.floor(F.col("k") / 2) + 1, F.col("n"))).alias("median"), F.min("n").alias("thinnest"))
+    # tenants with the same count are one row, so ranks come from running sums over distinct counts
+    x = counts.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("m"))
+    before = lambda o: F.coalesce(F.sum("m").over(Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumns({"above": before(F.desc("n")), "below": before("n"), "k": F.sum("m").over(_all()), "t": F.sum(F.col("n") * F.col("m")).over(_all())})
+    taken = lambda p: F.greatest(F.lit(0), F.least("m", F.greatest(F.lit(1), F.floor(F.col("k") * p)) - F.col("above")))
+    top = lambda p: F.bround(F.sum(F.col("n") * taken(p)) / F.max("t"), 4)
+    middle = F.floor(F.col("k") / 2) + 1
+    return x.agg(F.max("t").alias("units"), F.max("k").alias("tenants"), top(0.01).alias("top1_share"), top(0.05).alias("top5_share"), F.max("n").alias("busiest"), F.max(F.when((F.col("below") < middle) & (middle <= F.col("below") + F.col("m")), F.col("n"))).alias("median"), F.min("n").alias("thinnest"))
 
 
 def fingerprint(rows: DataFrame, group: str, *parts: str) -> DataFrame:

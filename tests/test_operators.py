@@ -148,3 +148,16 @@ def test_injection_is_exact_on_ids_with_gaps_and_repeats(spark, tmp_path):
     places = faults.placed(e, "event_id", "ts", "user_id").select("place", "event_id").orderBy("place").collect()
     assert [r.place for r in places] == list(range(n)) and [r.event_id for r in places] == sorted(r.event_id for r in places)
     assert faults.placed(e.where("event_id < 0"), "event_id").count() == 0
+
+
+def test_no_window_ranks_one_row_per_key(spark):
+    n = [7, 7, 7, 1, 1, 2, 9, 9, 3, 5] * 12
+    counts = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "k int, n long")
+    report, down, up = skew.report(counts), sorted(n, reverse=True), sorted(n)
+    share = lambda p: round(sum(down[: max(1, int(len(n) * p))]) / sum(n), 4)
+    assert tuple(report.first()) == (sum(n), len(n), share(0.01), share(0.05), 9, up[len(n) // 2], 1)
+    assert "Aggregate [n#" in report._jdf.queryExecution().optimizedPlan().toString().rpartition("Window")[2]
+    labels = spark.createDataFrame([("b", 2), (None, 1), ("a", 3), ("a", 4), ("c", 5)], "label string, at long")
+    capped = metrics.capped_labels(labels, "label", "at", 2)
+    assert sorted(map(tuple, capped.collect()), key=repr) == sorted([(None, 1, 0), ("b", 1, 0), (S.OTHER, 3, 3)], key=repr)
+    assert "Window" not in capped._jdf.queryExecution().optimizedPlan().toString()
