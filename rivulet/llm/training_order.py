@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SEQUENCE = 1024
-SHARD_RECORDS = 4096
+SHARD_RECORDS = 8192
 END_TOKEN = 50256
 ROUNDS = 4
 #: A record: slot, sequence number (8 bytes each), then the tokens as unsigned 16-bit numbers, all little-endian, and a line end.
@@ -166,12 +166,15 @@ def write_shards(staged: DataFrame, path: str, key: int, length: int = SEQUENCE,
         if size:
             yield _packed(held, shard_records)
 
-    def unpack(table: pa.Table) -> pa.Table:
-        rec = np.concatenate([_unpacked(b.as_py(), length) for b in table.column("blob").combine_chunks()])
-        slot = rec[:, :8].copy().view("<i8").ravel()
-        ends = pa.array(np.arange(0, rec.size + 1, rec.shape[1], dtype=np.int32)).buffers()[1]
-        raw = pa.Array.from_buffers(pa.binary(), len(rec), [None, ends, pa.py_buffer(rec)])
-        return pa.table({"shard": pa.array(np.full(len(rec), table.column("shard")[0].as_py(), np.int64)), "slot": slot, "raw": raw})
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The records of one pack at a time."""
+        for batch in batches:
+            for shard, blob in zip(batch.column("shard"), batch.column("blob"), strict=True):
+                rec = _unpacked(blob.as_py(), length)
+                slot = rec[:, :8].copy().view("<i8").ravel()
+                ends = pa.array(np.arange(0, rec.size + 1, rec.shape[1], dtype=np.int32)).buffers()[1]
+                raw = pa.Array.from_buffers(pa.binary(), len(rec), [None, ends, pa.py_buffer(rec)])
+                yield pa.record_batch({"shard": pa.array(np.full(len(rec), shard.as_py(), np.int64)), "slot": slot, "raw": raw})
 
     common.small_batches(staged.sparkSession)
     blobs = rows.select("seq", "tokens").mapInArrow(pack, "shard long, blob binary")

@@ -194,3 +194,14 @@ def test_a_rare_language_is_learned(spark):
     assert {x.doc_id for x in got if x.lang_pred == "b"} == set(range(5000, 5012))
     sample = langid.training_sample(df, {"a": 3000, "b": 12}, 300).groupBy("lang").count().collect()
     assert sorted(map(tuple, sample)) == [("a", 288), ("b", 12)]
+
+
+def test_packs_are_unpacked_one_at_a_time(spark, monkeypatch):
+    assert training_order.SHARD_RECORDS == 8192
+    monkeypatch.setattr(training_order, "PACK_BYTES", 1000)
+    rows = docs(spark, [(k, f"a b c {k} " * 50) for k in range(60)])
+    staged = common.stage(training_order.sequences(rows, length=64), "t")
+    path = f"{common.shared_dir(spark)}/t-{common.uuid.uuid4().hex}"
+    training_order.write_shards(staged, path, 9, 64)
+    slots = [r.slot for r in training_order.read_records(spark, path, 64).collect()]
+    assert sorted(slots) == list(range(training_order.numbered(staged)[1])) and slots == sorted(slots)
