@@ -11,7 +11,6 @@ table stays empty; further columns are carried along.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,16 +59,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without byte strings of 100 that start earlier; parts of characters that a cut leaves go too."""
     keep = [c for c in docs.columns if c != "text"]
-    names = {c: f"_{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept") if c in keep}
-    done = suffixes.kept_bytes(docs.withColumnsRenamed(names), [names.get(c, c) for c in keep])
-
-    def text(part: pa.RecordBatch) -> pa.RecordBatch:
-        made = pa.array([b.decode("utf-8", "ignore") for b in part.column("kept").to_pylist()], pa.string())
-        return pa.record_batch([*[part.column(c) for c in mine], made], names=[*mine, "text"])
-
-    mine = [names.get(c, c) for c in keep]
-    schema = done.select(*mine, F.lit("").alias("text")).schema
-    out = common.map_arrow(done.select(*mine, "kept"), text, schema).withColumnsRenamed({v: k for k, v in names.items()})
+    names = {c: f"_{c}" for c in ("n_bytes", "n_removed", "n_spans") if c in keep}
+    done = suffixes.kept_bytes(docs.withColumnsRenamed(names), [names.get(c, c) for c in keep], text="text")
+    out = done.drop("n_bytes", "n_removed", "n_spans").withColumnsRenamed({v: k for k, v in names.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -6,8 +6,9 @@ Staging
     That cuts lineage, survives lost executors and needs no local folder.
 
 Hashing
-    Work inside tasks is vectorised over slices of about 1 MB of UTF-8, so
-    memory stays flat whatever the batch size.  Prefix hashes are polynomials
+    Work inside tasks is vectorised over slices of about 256 kB of UTF-8, so
+    memory stays flat whatever the batch size.  Words are known by keyed digests of
+    their bytes.  Prefix hashes, for strings of under 512 bytes only, are polynomials
     modulo 2**64 over a table of random odd weights per byte; the difference of two prefix
     values, shifted back by the inverse power, is the hash of the bytes between.
 """
@@ -15,17 +16,20 @@ Hashing
 from __future__ import annotations
 
 import contextlib
+import hashlib
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+BLOCK_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -42,11 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in tests on one machine, a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the
+    master is local, as in tests, a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -72,7 +78,8 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     with _cleaned_shuffles(spark):
-        df.write.option("compression", codec).parquet(path)
+        # row groups are held in memory until they are full
+        df.write.option("compression", codec).option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,14 +99,18 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str, row_limit: int = 1_000_0
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Text rows are large: Arrow batches of the default 10,000 rows would hold tens of MB per worker and task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+    """Text rows are large: Arrow batches of the default 10,000 rows would hold tens of MB per worker and task.
+
+    The settings stay in the session, as results are computed later; they change no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        old = spark.conf.get(key)
+        if not old.isdigit() or int(old) == 0 or int(old) > most:
+            spark.conf.set(key, most)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` over row slices that hold about 1 MB of the widest column."""
+    """``mapInArrow`` over row slices of about 256 kB of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,14 +140,19 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
 
 
 def in_one_task(bounded: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn`` over all rows of a frame of stated bound, as one pandas frame in one task; no rows, no call."""
+    """``fn`` over all rows of a frame of stated bound, as one pandas frame in one task; no rows, no call.
+
+    An exchange brings the rows there, so that what they come from keeps its own tasks.
+    """
 
     def run(batches):
+        import pandas as pd
+
         parts = [b for b in batches if len(b)]
         if parts:
             yield fn(pd.concat(parts, ignore_index=True))
 
-    return bounded.coalesce(1).mapInPandas(run, schema)
+    return bounded.repartition(1).mapInPandas(run, schema)
 
 
 # --------------------------------------------------------------------------
@@ -153,11 +169,14 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-#: Separators of words: space and the controls from tab to carriage return.
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+def _table(blank: Callable[[int], bool]) -> bytes:
+    return bytes(32 if blank(b) else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+#: For ``bytes.translate``: lower case, and blanks for space and the controls from tab to carriage return,
+#: or for all but letters, digits, underscores and bytes of longer characters.
+SPACED = _table(lambda b: b == 32 or 9 <= b <= 13)
+PLAIN = _table(lambda b: not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b == 95 or b >= 128))
 _WEIGHT = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) | _U(1)
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -194,33 +213,33 @@ def span_hash(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((p[b] - p[a]) * down[a] + b.astype(np.uint64) - a.astype(np.uint64))
 
 
-#: Separators when only letters, digits and bytes of longer characters make words.
-PLAIN = np.ones(256, bool)
-PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = PLAIN[95] = PLAIN[128:] = False
+class Digests(dict):
+    """64-bit keyed digests of words by their bytes; short words are kept between calls, up to a bound."""
 
+    MOST, LONGEST = 1 << 16, 32
 
-def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each maximal run of non-separators within a row."""
-    n = len(data)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    solid = ~separators[data]
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
-    inner = offs[(offs > 0) & (offs < n)]
-    first[inner] = solid[inner]
-    last[inner - 1] = solid[inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, end, np.searchsorted(offs, start, "right") - 1
-
-
-def word_hashes(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each lower-cased word, word offsets by row)."""
-    start, end, row = words(data, offs, separators)
-    h = span_hash(prefix_hash(_LOWER[data]), start, end) if len(start) else np.zeros(0, np.uint64)
-    return h, np.searchsorted(row, np.arange(len(offs)))
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_digests = Digests()
+
+
+def words(col: pa.Array, table: bytes = SPACED) -> tuple[list[bytes], np.ndarray]:
+    """(lower-cased words of all rows, word offsets by row); ``table`` turns separators into blanks."""
+    found = [(raw or b"").translate(table).split() for raw in col.cast(pa.large_binary()).to_pylist()]
+    return list(itertools.chain.from_iterable(found)), np.concatenate([[0], np.cumsum([len(w) for w in found], dtype=np.int64)]).astype(np.int64)
+
+
+def word_hashes(col: pa.Array, table: bytes = SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """(digest of each lower-cased word, word offsets by row)."""
+    flat_words, offs = words(col, table)
+    return np.fromiter(map(_digests.__getitem__, flat_words), np.uint64, len(flat_words)), offs
 
 
 def shingle_hashes(wh: np.ndarray, woffs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return common.word_hashes(*common.flat(pc.utf8_lower(col)), common.PLAIN)
+    return common.word_hashes(pc.utf8_lower(col), common.PLAIN)
 
 
 def _seeds(col: pa.Array, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:

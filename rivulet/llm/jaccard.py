@@ -2,10 +2,16 @@
 
 Prefix filtering: two sets that are similar enough must share a token among the
 first few of both under one global order.  Prefixes are extended, and the index
-holds single tokens for rare classes and token pairs for frequent ones: to break
-every pair a set must lose all but one of its frequent prefix tokens, so a prefix
-one token longer keeps the guarantee.  Candidates are then verified on whole
-texts.
+holds single tokens for rare classes and combinations of k tokens for frequent
+ones, k growing with the frequency; candidates are then verified on whole texts.
+
+Tokens are ordered by frequency, rare ones first.  Let a set of n tokens share
+``a`` of them at least with a similar one of m.  The first shared token has a place of
+at most ``n - a + 1`` in both.  If it is rare, the single index finds the pair.  If
+not, all shared tokens are frequent, and at most ``n + m - 2a`` others lie between
+them, so that among the first ``(n + m - 2a + 1)(k - 1) + 1`` shared ones some k stand
+side by side in both orders: the index of k neighbours finds the pair, with
+prefixes that are longer by as much and as many entries as the prefix has tokens.
 
 How groups stay small:
 
@@ -16,10 +22,13 @@ How groups stay small:
   of near copies are rare;
 * a class with enough tokens of its own component among its least ones shares
   none of these with other classes of the kind, so it needs no index entry; only
-  the weak rest reads its whole token sets again, and is indexed.
+  the weak rest reads its whole token sets again, and is indexed;
+* a set with more rare tokens than similar ones may lack has no frequent entry,
+  and entries carry how many tokens can still be shared, which joins check.
 
-All of it is exact: a token's class depends on the token alone, and links are
-only ever accepted by comparing whole sets.
+All of it is exact but for digests: words are known by keyed digests, sets by
+digests of 128 bits.  A token's class depends on the token alone, and links are only ever accepted by
+comparing whole sets.
 """
 
 from __future__ import annotations
@@ -33,8 +42,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Tokens found in this many components are indexed in pairs.
-FREQUENT = 8
+#: Tokens found in this many components are indexed with their neighbours: k grows by one each time their number grows eightfold.
+FREQUENT, GROWTH, MOST_K = 8, 8, 4
 #: Min-hash bands that name the buckets of the first links, values in each, and leaders of a bucket.
 BANDS, BAND_VALUES, LEADERS = 5, 4, 8
 ID_LIMIT = 1_000_000
@@ -42,7 +51,7 @@ ID_LIMIT = 1_000_000
 
 def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    h, at = common.shingle_hashes(*common.word_hashes(*common.flat(texts)), n)
+    h, at = common.shingle_hashes(*common.word_hashes(texts), n)
     h = h.view(np.int64)
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -50,20 +59,24 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 _TURN = np.random.default_rng(11).integers(1, 1 << 63, BANDS * BAND_VALUES, np.uint64) | np.uint64(1)
 
 
-def _bands(s: np.ndarray) -> np.ndarray:
-    """One number per band: a hash of the least values of the set under ``BAND_VALUES`` multipliers."""
-    if not len(s):
-        return np.zeros(BANDS, np.int64)
-    u = s.view(np.uint64)
-    low = np.array([(u * t).min() for t in _TURN]).reshape(BANDS, BAND_VALUES)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+def _bands(sets: list[np.ndarray]) -> np.ndarray:
+    """One number per set and band: a hash of the least values of the set under ``BAND_VALUES`` multipliers."""
+    size = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(size)
+    low = np.zeros((len(_TURN), len(sets)), np.uint64)
+    if len(some):
+        flat = np.concatenate(sets).view(np.uint64)
+        first = (np.cumsum(size) - size)[some]
+        for k, t in enumerate(_TURN):
+            low[k, some] = np.minimum.reduceat(flat * t, first)
+    h = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(sets), axis=1)
     for k in range(BAND_VALUES):
-        h = common.mix(h + low[:, k])
-    return h.view(np.int64)
+        h = common.mix(h + low[k::BAND_VALUES])
+    return h.T.view(np.int64)
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _node(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def spare(n: np.ndarray | int, num: int, den: int):
@@ -76,38 +89,51 @@ def _spare(n: Column, num: int, den: int) -> Column:
 
 
 def token_sets(docs: DataFrame, n: int, num: int, den: int, whole: bool = False) -> DataFrame:
-    """(doc_id, node, n_sh, toks): node identifies the set; toks are its least hashes, all of them if ``whole``."""
+    """(doc_id, node, n_sh, bands, toks): node identifies the set; toks are its least hashes, all of them if ``whole``."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = _sets(part.column(1), n)
         size = np.array([len(s) for s in sets], np.int64)
         most = size if whole else np.minimum(size, (spare(size, num, den) + 1) * 3 // 2 + 8)
         toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(np.concatenate([s[:m] for s, m in zip(sets, most, strict=True)])))
-        bands = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([_bands(s) for s in sets])), BANDS).cast(pa.list_(pa.int64()))
-        return pa.record_batch({"doc_id": part.column(0), "node": pa.array([_node(s) for s in sets], pa.int64()), "n_sh": size, "bands": bands, "toks": toks})
+        bands = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(_bands(sets)).ravel()), BANDS).cast(pa.list_(pa.int64()))
+        return pa.record_batch({"doc_id": part.column(0), "node": pa.array([_node(s) for s in sets], pa.binary()), "n_sh": size, "bands": bands, "toks": toks})
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node long, n_sh long, bands array<long>, toks array<long>")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node binary, n_sh long, bands array<long>, toks array<long>")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold; texts are read for their nodes only."""
+    """The pairs (a, b) of classes whose whole sets reach the threshold; texts are read for their classes only.
+
+    A class with many pairs has one row for each in the join by ``a``, which Spark's adaptive execution splits.
+    """
     pairs = common.stage(pairs.select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = common.stage(classes.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id")), "nodes")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    ids = common.stage(classes.join(nodes, "nid", "left_semi").select("nid", "node", F.col("rep").alias("doc_id")), "nodes")
     right = F.broadcast(ids) if common.fits_broadcast(ids, ID_LIMIT) else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(right, "doc_id").select("node", "text")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(right, "doc_id")
+    end = lambda k: texts.select(F.col("nid").alias(k), F.col("node").alias(f"n{k}"), F.col("text").alias(f"t{k}"))
+    both = pairs.join(end("b"), "b").join(end("a"), "a")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        keep, a, b = [], part.column(0).to_pylist(), part.column(1).to_pylist()
-        for i, (x, y) in enumerate(zip(_sets(part.column(2), n), _sets(part.column(3), n), strict=True)):
+        # rows of one class stand together, and its set is made once
+        ids, first, at = np.unique(np.asarray(part.column(0)), return_index=True, return_inverse=True)
+        left, right = _sets(part.column(3).take(pa.array(first)), n), _sets(part.column(5), n)
+        name, keep = [_node(x) for x in left], []
+        # an id that repeats with other texts brings sets of other classes
+        na, nb = part.column(2).to_pylist(), part.column(4).to_pylist()
+        if any(x != na[i] for x, i in zip(name, first.tolist(), strict=True)):
+            left = _sets(part.column(3), n)
+            name, at = [_node(x) for x in left], np.arange(part.num_rows)
+        for i, (k, y) in enumerate(zip(at.tolist(), right, strict=True)):
+            x = left[k]
             same = len(np.intersect1d(x, y, assume_unique=True))
-            # an id that repeats with other texts brings sets of other nodes
-            if den * same >= num * (len(x) + len(y) - same) and _node(x) == a[i] and _node(y) == b[i]:
+            if den * same >= num * (len(x) + len(y) - same) and name[k] == na[i] and _node(y) == nb[i]:
                 keep.append(i)
-        return pa.record_batch({"a": part.column(0).take(pa.array(keep, pa.int64())), "b": part.column(1).take(pa.array(keep, pa.int64()))})
+        kept = pa.array(keep, pa.int64())
+        return pa.record_batch({"a": part.column(0).take(kept), "b": part.column(1).take(kept)})
 
-    return common.stage(common.map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct(), "links")
+    return common.stage(common.map_arrow(both.select("a", "b", "na", "ta", "nb", "tb"), run, "a long, b long").distinct(), "links")
 
 
 def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -117,7 +143,8 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     smallest doc_id that links reach.  Null and empty texts have no shingles and
     stand alone; a text of fewer than ``n`` words has its whole sequence as its
     one shingle.  Rows without a doc_id get a null component and link with
-    nothing.  Rows that repeat a doc_id count as linked.  An empty table gives no rows.
+    nothing.  Rows that repeat a doc_id count as linked.  Further columns are not
+    looked at.  An empty table gives no rows.
     """
     return row_components(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
 
@@ -129,44 +156,44 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
     """
     t1 = common.stage(token_sets(docs, n, num, den), "tokens")
     rows = t1.where("n_sh > 0 and doc_id is not null").select("doc_id", "node", "n_sh")
-    # small numbers stand for sets wherever tokens are dealt out: they pack better than hashes; staged, they stay the same
+    # small numbers stand for sets from here on; staged, they stay the same
     classes = common.stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_sh").alias("n_sh")).withColumn("nid", F.monotonically_increasing_id()), "classes")
+    chosen = t1.where("n_sh > 0 and doc_id is not null").join(classes.select("node", F.col("rep").alias("doc_id"), "nid"), ["doc_id", "node"])
+    chosen = common.stage(chosen.dropDuplicates(["doc_id", "node"]).select("nid", "n_sh", "bands", "toks"), "sets")
 
-    # stars: every member of a bucket meets its few leaders, other ones in each band
-    band = t1.where("n_sh > 1 and doc_id is not null").select("node", "n_sh", F.posexplode("bands").alias("b", "key")).distinct()
-    band = band.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "b"), "node")))
-    lead = band.where(F.col("at") <= LEADERS).select("key", F.col("node").alias("node2"), F.col("n_sh").alias("n_sh2"), F.col("at").alias("at2"))
+    # stars: every member of a bucket meets its few leaders; other ones lead in each band
+    band = chosen.where("n_sh > 1").select("nid", "n_sh", F.posexplode("bands").alias("b", "key"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("nid", "b"), "nid"))
+    lead = band.withColumn("at", place).where(F.col("at") <= LEADERS).select("key", F.col("nid").alias("nid2"), F.col("n_sh").alias("n_sh2"))
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
-    stars = band.join(lead, "key").where((F.col("at") > F.col("at2")) & (F.col("node") != F.col("node2")) & fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    stars = band.join(lead, "key").where((F.col("nid") != F.col("nid2")) & fits).select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"))
     links = verified(stars, classes, docs, n, num, den)
-    comps = common.connected_components(links)
-    comps = classes.join(comps, "node", "left").select("node", "rep", "n_sh", "nid", F.coalesce("component", "node").alias("comp"))
-    comps = common.stage(comps.withColumn("cid", F.min("nid").over(Window.partitionBy("comp"))), "comps")
-
-    # tokens found in several components, with the number of components
-    firsts = t1.join(comps.select("node", F.col("rep").alias("doc_id"), "nid", "cid"), ["doc_id", "node"])
-    firsts = firsts.select(F.col("nid").alias("node"), F.col("cid").alias("comp"), "n_sh", "toks")
-    by_token = Window.partitionBy("token")
-    tok = firsts.select("node", "comp", F.explode("toks").alias("token"))
-    tok = tok.withColumn("d", F.dense_rank().over(by_token.orderBy("comp")))
-    shared = common.stage(tok.withColumn("c", F.max("d").over(by_token)).where("c > 1").select("token", "node", "comp", "c"), "shared")
-    lacks = shared.groupBy("node").agg(F.countDistinct("token").alias("s"))
-    size = firsts.select("node", "comp", "n_sh", F.size("toks").alias("m")).join(lacks, "node")
+    linked = common.connected_components(links)
+    firsts = chosen.select("nid", F.col("n_sh").cast("int").alias("n_sh"), "toks").join(linked.select(F.col("node").alias("nid"), "component"), "nid", "left")
+    firsts = common.stage(firsts.select("nid", F.coalesce("component", "nid").alias("cid"), "n_sh", "toks"), "firsts")
+
+    # tokens of several components among the least ones of each set
+    tok = firsts.select("nid", "cid", F.explode("toks").alias("token"))
+    mixed = tok.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    mixed = common.stage(mixed.select("token", "rows"), "mixed")
+    shared = common.stage(_matched(tok.select("nid", "token"), mixed, "token").select("nid", "token"), "shared")
+    lacks = shared.groupBy("nid").agg(F.count("*").alias("s"))
+    size = firsts.select("nid", "cid", "n_sh", F.size("toks").alias("m")).join(lacks, "nid")
     # a set of one token has no similar set but itself
-    weak = common.stage(size.where((F.col("m") - F.col("s") < _spare(F.col("n_sh"), num, den) + 1) & (F.col("n_sh") > 1)).select("node", "comp", "n_sh").distinct(), "weak")
+    weak = common.stage(size.where((F.col("m") - F.col("s") < _spare(F.col("n_sh"), num, den) + 1) & (F.col("n_sh") > 1)).select("nid", "cid", "n_sh"), "weak")
     more = []
     if not weak.isEmpty():
-        more.append(verified(_candidates(docs, comps, weak, shared, firsts, n, num, den), classes, docs, n, num, den))
+        more.append(verified(_candidates(docs, classes, weak, shared, firsts, n, num, den), classes, docs, n, num, den))
+    named = rows.join(classes.select("node", "nid"), "node")
     if by_id:
-        several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
-        more.append(common.stage(rows.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "id-links"))
+        several = named.groupBy("doc_id").agg(F.min("nid").alias("a"), F.max("nid").alias("z")).where("a <> z").select("doc_id", "a")
+        more.append(common.stage(named.join(several, "doc_id").where("a <> nid").select("a", F.col("nid").alias("b")).distinct(), "id-links"))
     more = [x for x in more if not x.isEmpty()]
     if more:
-        all_links = links
         for x in more:
-            all_links = all_links.unionByName(x)
-        again = common.connected_components(all_links)
-        comps = classes.join(again, "node", "left").select("node", "rep", "n_sh", F.coalesce("component", "node").alias("comp"))
+            links = links.unionByName(x)
+        linked = common.connected_components(links)
+    comps = classes.join(linked.select(F.col("node").alias("nid"), "component"), "nid", "left").select("node", "rep", F.coalesce("component", "nid").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_node = comps.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")
     out = t1.select("doc_id", "n_sh", F.when(F.col("doc_id").isNotNull() & (F.col("n_sh") > 0), F.col("node")).alias("node"))
@@ -180,59 +207,101 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
     return out.select("doc_id", F.col("n_sh").alias("n_shingles"), "node", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _candidates(docs: DataFrame, comps: DataFrame, weak: DataFrame, shared: DataFrame, firsts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _matched(left: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``left`` joined with ``found``, which has one line for each value of ``key`` and the number of its ``rows`` in ``left``.
+
+    ``found`` is broadcast if a count shows that it is small.  Otherwise only its most frequent keys are, of
+    which there are at most 20,000, so that none of them meets in one task.
+    """
+    if common.fits_broadcast(found, ID_LIMIT):
+        return left.join(F.broadcast(found.drop("rows")), key)
+    most = (found.agg(F.sum("rows")).first()[0] or 0) // 20_000
+    often, rest = found.where(F.col("rows") > most).drop("rows"), found.where(F.col("rows") <= most).drop("rows")
+    common_ones = left.join(F.broadcast(often), key)
+    return common_ones.unionByName(left.join(F.broadcast(often.select(key)), key, "left_anti").join(rest.hint("shuffle_hash"), key))
+
+
+def longest_k(num: int, den: int) -> int:
+    """Most neighbours that two similar sets surely share: k with (d + 1)(k - 1) + 1 <= d * num / (den - num) for every d >= 1."""
+    return max(1, min(MOST_K, den // (2 * (den - num)))) if num < den else 1
+
+
+def index_entries(n: int, tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """(key, most tokens that may still be shared) of a set of ``n``.
+
+    ``tokens`` are those of several components, in order, and ``counts`` their numbers of components.
+    """
+    alone, lacked, most_k = n - len(tokens), spare(n, num, den), longest_k(num, den)
+    rare = int(np.searchsorted(counts, FREQUENT))
+    singles = max(0, min(rare, lacked + 1 - alone))
+    keys = common.mix(tokens[:singles].view(np.uint64) ^ np.uint64(1)).view(np.int64).tolist()
+    out = [(k, n - alone - i) for i, k in enumerate(keys)]
+    if alone + rare > lacked or rare == len(tokens):
+        return out
+    # others of the largest similar set lie between the shared tokens
+    between = den * n // num - n
+    last = min(len(tokens), lacked + (between + 1) * (most_k - 1) + 1 - alone)
+    k = np.ones(last - rare, np.int64)
+    for j in range(1, most_k):
+        k += counts[rare:last] >= FREQUENT * GROWTH ** (j - 1)
+    k = np.minimum(k, most_k)
+    u = tokens.view(np.uint64)
+    for size in np.unique(k).tolist():
+        at = rare + np.flatnonzero(k == size)
+        at = at[at + size <= len(tokens)]
+        h = np.full(len(at), size + 1, np.uint64)
+        for j in range(size):
+            h = common.mix(h + u[at + j])
+        free = n - alone - at if size == 1 else np.full(len(at), n - alone - rare)
+        out += zip(h.view(np.int64).tolist(), free.tolist(), strict=True)
+    return out
+
+
+def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: DataFrame, firsts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs of different components that may be similar, for the sets whose known tokens don't settle it.
 
     Weak sets meet each other by their own token frequencies, which are exact, and the
     others by those sets' tokens of one component: a similar set lacks at most
     ``spare`` of them, so all but that many must match.
     """
-    names = comps.select(F.col("nid").alias("id"), F.col("node").alias("hash"), "rep")
-    named = weak.join(names, weak["node"] == names["id"]).drop("id")
-    ids = named.select(F.col("rep").alias("doc_id"))
-    again = common.semi_by_id(docs.select("doc_id", "text"), ids, "doc_id", ID_LIMIT)
-    full = token_sets(again, n, num, den, whole=True).select(F.col("node").alias("hash"), "toks").join(named.select("hash", "node", "comp", "n_sh"), "hash")
-    full = common.stage(full.groupBy("node", "comp", "n_sh").agg(F.first("toks").alias("toks")), "weak-sets")
-    by_token = Window.partitionBy("token")
-    toks = full.select("node", "comp", "n_sh", F.explode("toks").alias("token")).withColumn("d", F.dense_rank().over(by_token.orderBy("comp")))
-    toks = toks.withColumn("c", F.max("d").over(by_token)).drop("d")
+    named = weak.join(classes.select("nid", "node", F.col("rep").alias("doc_id")), "nid")
+    again = common.semi_by_id(docs.select("doc_id", "text"), named.select("doc_id"), "doc_id", ID_LIMIT)
+    full = token_sets(again, n, num, den, whole=True).select("node", "toks").join(named.select("node", "nid", "cid", "n_sh"), "node")
+    full = common.stage(full.dropDuplicates(["node"]).select("nid", "cid", "n_sh", "toks"), "weak-sets")
+    toks = full.select("nid", "cid", F.explode("toks").alias("token"))
+    counts = toks.groupBy("token", "cid").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("c"), F.sum("rows").alias("rows"))
+    counts = common.stage(counts.where("c > 1"), "counts")
+    met = _matched(toks, counts, "token").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x"))
+    # a set with more tokens of its own than a similar one may lack meets no other
+    met = full.select("nid", "cid", "n_sh").join(met, "nid").where(F.col("n_sh") - F.size("x") <= _spare(F.col("n_sh"), num, den))
+
+    def entries(part: pa.RecordBatch) -> pa.RecordBatch:
+        x = part.column(3)
+        at, c, t = np.asarray(x.offsets), np.asarray(x.values.field(0)), np.asarray(x.values.field(1))
+        got = [index_entries(size, t[a:b], c[a:b], num, den) for size, a, b in zip(part.column(2).to_pylist(), at[:-1], at[1:], strict=True)]
+        row = pa.array(np.repeat(np.arange(part.num_rows), [len(g) for g in got]))
+        flat = np.array([e for g in got for e in g], np.int64).reshape(-1, 2)
+        return pa.record_batch([part.column(0).take(row), part.column(1).take(row), part.column(2).take(row), pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32))], names=["nid", "cid", "n_sh", "key", "free"])
+
+    index = common.stage(common.map_arrow(met.select("nid", "cid", "n_sh", "x"), entries, "nid long, cid long, n_sh int, key long, free int").distinct(), "index")
+    # a key of one component links nothing new; nor does an entry whose set is too small or too large for all others of the key
+    keys = index.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("n_sh").alias("least"), F.max("free").alias("freest"), F.count("*").alias("rows")).where("lo <> hi").drop("lo", "hi")
+    reach = lambda free, size: F.lit(den + num) * free >= F.lit(num) * size
+    index = _matched(index, common.stage(keys, "keys"), "key").where(reach(F.least("free", "freest"), F.col("n_sh") + F.col("least"))).drop("least", "freest")
 
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
-    cross = (F.col("comp") != F.col("comp2")) & fits
-    ends = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
-    twin = lambda d: d.select(F.col("token"), F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), F.col("pos").alias("pos2"))
-    # what two sets share from their first common token on bounds the intersection; a similar
-    # pair passes at that token, and other matches of it need not
-    reach = F.least(F.col("n_sh") - F.col("pos"), F.col("n_sh2") - F.col("pos2")) + 1
-    able = F.lit(den + num) * reach >= F.lit(num) * (F.col("n_sh") + F.col("n_sh2"))
-
-    order = Window.partitionBy("node").orderBy("c", "token")
-    rare = F.count_if(F.col("c") < FREQUENT).over(Window.partitionBy("node"))
-    need = _spare(F.col("n_sh"), num, den) + 1
-    prefix = toks.withColumns({"pos": F.row_number().over(order), "rare": rare})
-    prefix = common.stage(prefix.where((F.col("pos") <= F.when(F.col("rare") >= need, need).otherwise(need + 1)) & (F.col("c") > 1)).select("node", "comp", "n_sh", "pos", "token", "c"), "prefix")
-    single = prefix.where(F.col("c") < FREQUENT).select("token", "node", "comp", "n_sh", "pos")
-    by_one = single.join(twin(single), "token").where(cross & able & F.expr("node < node2")).select(*ends)
-    frequent = prefix.where(F.col("c") >= FREQUENT).select("node", "comp", "n_sh", "pos", "token")
-    other = frequent.select("node", F.col("token").alias("token2"), F.col("pos").alias("q"))
-    two = frequent.join(other, "node").where("token < token2").select("node", "comp", "n_sh", F.least("pos", "q").alias("pos"), F.xxhash64("token", "token2").alias("token"))
-    # a combination of one component links nothing new
-    mixed = two.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    two = two.join(mixed, "token", "left_semi")
-    by_two = two.join(twin(two), "token").where(cross & able & F.expr("node < node2")).select(*ends)
-
-    # the others' tokens of one component, as arrays until the one exchange by token; sizes are looked up for matches only
-    gone = shared.groupBy("node").agg(F.collect_set("token").alias("gone"))
-    own = firsts.join(weak.select("node"), "node", "left_anti").join(gone, "node", "left").select("node", "comp", "n_sh", F.when(F.col("gone").isNull(), F.col("toks")).otherwise(F.array_except("toks", "gone")).alias("own"))
-    probe = full.select("node", F.explode("toks").alias("token"))
-    met = own.select(F.col("node").alias("node2"), F.explode("own").alias("token")).join(probe, "token").groupBy("node", "node2").agg(F.count("*").alias("k"))
-    sizes = own.select(F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n_sh").alias("n_sh2"), (F.size("own") - _spare(F.col("n_sh"), num, den)).alias("least"))
-    met = common.stage(met, "met")
-    by_own = met.join(sizes, "node2").where("k >= least").join(full.select("node", "comp", "n_sh"), "node").where(cross).select(*ends)
-    found = by_one.unionByName(by_two).unionByName(by_own).distinct()
-    for c in ("a", "b"):
-        found = found.join(names.select(F.col("id").alias(c), F.col("hash").alias(f"_{c}")), c)
-    return found.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    cross = (F.col("cid") != F.col("cid2")) & fits
+    ends = [F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")]
+    twin = index.select("key", F.col("nid").alias("nid2"), F.col("cid").alias("cid2"), F.col("n_sh").alias("n_sh2"), F.col("free").alias("free2"))
+    by_key = index.join(twin, "key").where(cross & reach(F.least("free", "free2"), F.col("n_sh") + F.col("n_sh2")) & F.expr("nid < nid2")).select(*ends)
+
+    # the others' tokens of one component, as arrays until the one exchange by token
+    gone = shared.groupBy("nid").agg(F.collect_set("token").alias("gone"))
+    own = firsts.where("n_sh > 1").join(weak.select("nid"), "nid", "left_anti").join(gone, "nid", "left").select("nid", "cid", "n_sh", F.when(F.col("gone").isNull(), F.col("toks")).otherwise(F.array_except("toks", "gone")).alias("own"))
+    other = own.select(F.col("nid").alias("nid2"), F.col("cid").alias("cid2"), F.col("n_sh").alias("n_sh2"), (F.size("own") - _spare(F.col("n_sh"), num, den)).cast("int").alias("least"), F.explode("own").alias("token"))
+    probe = full.select("nid", "cid", "n_sh", F.explode("toks").alias("token"))
+    by_own = other.join(probe, "token").where(cross).groupBy("nid", "nid2").agg(F.count("*").alias("k"), F.first("least").alias("least")).where("k >= least").select(*ends)
+    return by_key.unionByName(by_own).distinct()
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

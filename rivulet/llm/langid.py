@@ -17,7 +17,6 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -187,7 +186,9 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 3) -> Model:
     counts = {r.lang: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
     sample = training_sample(labelled, counts, rows)
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+    def train(pdf):
+        import pandas as pd
+
         pdf = pdf.sort_values(["lang", "text"], na_position="first", ignore_index=True)
         langs = sorted(pdf.lang.unique())
         true = np.array([counts[k] for k in langs], float)

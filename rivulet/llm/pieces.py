@@ -263,9 +263,10 @@ class Pieces:
         first[offs[:-1][np.diff(offs) > 0]] = True
         start = np.flatnonzero(first)
         end = np.append(start[1:], n)
-        _, one, which = np.unique(common.span_hash(common.prefix_hash(data), start, end), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        raw, number = data.tobytes(), {}
+        which = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(start))
+        keys, one = list(number), np.empty(len(number), np.int64)
+        one[which] = np.arange(len(which))
         new = [k for k, key in enumerate(keys) if key not in cache]
         if new:
             if len(cache) > CACHE_UNITS:

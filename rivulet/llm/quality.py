@@ -14,7 +14,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -104,7 +103,9 @@ def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         picked = x if picked is None else picked.unionByName(x)
     sample = texts.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * rows ids
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+    def train(pdf):
+        import pandas as pd
+
         pdf = pdf.sort_values(["doc_id", "text"], ignore_index=True)
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in pdf.text]
         y = pdf.label.to_numpy()

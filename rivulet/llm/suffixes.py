@@ -331,22 +331,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return copied.unionByName(merged)
 
 
-def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, text: str = "") -> DataFrame:
     """Columns ``keep`` with n_bytes, n_removed, n_spans and kept (binary): ``docs`` without repeats.
 
     Matches never cross rows.  Null texts count as empty and texts under ``length``
-    bytes stay whole.  Rows without a doc_id stay whole and repeat nothing.
+    bytes stay whole.  Rows without a doc_id stay whole and repeat nothing.  With ``text``, kept is
+    a string column of that name instead, without the parts of characters that a cut leaves.
     Rows that share a doc_id must hold different documents' order otherwise: they are
     told apart by no column, so the union of their removals applies to each, cut to its length.  An
     empty table gives no rows; a kept column named like an added one gives way to it.
     """
     spans = repeated_spans(docs, length, gram)
     per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_x")).withColumnRenamed("doc_id", "_id")
-    added = ["n_bytes", "n_removed", "n_spans", "kept"]
+    added = ["n_bytes", "n_removed", "n_spans", text or "kept"]
     keep = [c for c in keep if c not in added]
     src = docs.select(*keep, F.col("doc_id").cast("long").alias("_d"), F.col("text").alias("_t"))
     rows = src.join(per_doc, src["_d"] == per_doc["_id"], "left").select(*keep, "_t", "_x")
-    schema = rows.select(*keep, *(F.lit(0).cast("long").alias(c) for c in added[:3]), F.lit(b"").alias("kept")).schema
+    schema = rows.select(*keep, *(F.lit(0).cast("long").alias(c) for c in added[:3]), F.lit("" if text else b"").alias(added[3])).schema
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = common.flat(part.column("_t"))
@@ -364,8 +365,9 @@ def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int
             nb.append(len(own))
             nr.append(int(gone.sum()))
             ns.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(own) else 0)
-            kept.append(own[~gone].tobytes())
-        return pa.record_batch([*[part.column(c) for c in keep], pa.array(nb, pa.int64()), pa.array(nr, pa.int64()), pa.array(ns, pa.int64()), pa.array(kept, pa.binary())], names=[*keep, *added])
+            left = own[~gone].tobytes()
+            kept.append(left.decode("utf-8", "ignore") if text else left)
+        return pa.record_batch([*[part.column(c) for c in keep], pa.array(nb, pa.int64()), pa.array(nr, pa.int64()), pa.array(ns, pa.int64()), pa.array(kept, pa.string() if text else pa.binary())], names=[*keep, *added])
 
     return common.map_arrow(rows, run, schema)
 

@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -133,7 +132,7 @@ def feistel(x: np.ndarray, total: int, key: int) -> np.ndarray:
 
 def feistel_slots(df: DataFrame, number: str, total: int, key: int, slot: str = "slot") -> DataFrame:
     """``df`` with the slot of each ``number``; only that column goes to Python, in Arrow batches."""
-    permute = F.pandas_udf(lambda x: pd.Series(feistel(x.to_numpy(), total, key)), "long")
+    permute = F.pandas_udf(lambda x: type(x)(feistel(x.to_numpy(), total, key)), "long")
     return df.withColumn(slot, permute(F.col(number)))
 
 
