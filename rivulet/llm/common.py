@@ -98,6 +98,20 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str, row_limit: int = 1_000_0
     return df.join(right, key, "left_semi")
 
 
+def matched(left: DataFrame, found: DataFrame, key: str, row_limit: int = 1_000_000) -> DataFrame:
+    """``left`` joined with ``found``, which has one line for each value of ``key`` and the number of its ``rows`` in ``left``.
+
+    ``found`` is broadcast if a count shows that it is small.  Otherwise only its most frequent keys are, of
+    which there are at most 20,000, so that none of them meets in one task.
+    """
+    if fits_broadcast(found, row_limit):
+        return left.join(F.broadcast(found.drop("rows")), key)
+    most = (found.agg(F.sum("rows")).first()[0] or 0) // 20_000
+    often, rest = found.where(F.col("rows") > most).drop("rows"), found.where(F.col("rows") <= most).drop("rows")
+    frequent = left.join(F.broadcast(often), key)
+    return frequent.unionByName(left.join(F.broadcast(often.select(key)), key, "left_anti").join(rest.hint("shuffle_hash"), key))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Text rows are large: Arrow batches of the default 10,000 rows would hold tens of MB per worker and task.
 

@@ -176,7 +176,7 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
     tok = firsts.select("nid", "cid", F.explode("toks").alias("token"))
     mixed = tok.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
     mixed = common.stage(mixed.select("token", "rows"), "mixed")
-    shared = common.stage(_matched(tok.select("nid", "token"), mixed, "token").select("nid", "token"), "shared")
+    shared = common.stage(common.matched(tok.select("nid", "token"), mixed, "token").select("nid", "token"), "shared")
     lacks = shared.groupBy("nid").agg(F.count("*").alias("s"))
     size = firsts.select("nid", "cid", "n_sh", F.size("toks").alias("m")).join(lacks, "nid")
     # a set of one token has no similar set but itself
@@ -207,20 +207,6 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
     return out.select("doc_id", F.col("n_sh").alias("n_shingles"), "node", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _matched(left: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``left`` joined with ``found``, which has one line for each value of ``key`` and the number of its ``rows`` in ``left``.
-
-    ``found`` is broadcast if a count shows that it is small.  Otherwise only its most frequent keys are, of
-    which there are at most 20,000, so that none of them meets in one task.
-    """
-    if common.fits_broadcast(found, ID_LIMIT):
-        return left.join(F.broadcast(found.drop("rows")), key)
-    most = (found.agg(F.sum("rows")).first()[0] or 0) // 20_000
-    often, rest = found.where(F.col("rows") > most).drop("rows"), found.where(F.col("rows") <= most).drop("rows")
-    common_ones = left.join(F.broadcast(often), key)
-    return common_ones.unionByName(left.join(F.broadcast(often.select(key)), key, "left_anti").join(rest.hint("shuffle_hash"), key))
-
-
 def longest_k(num: int, den: int) -> int:
     """Most neighbours that two similar sets surely share: k with (d + 1)(k - 1) + 1 <= d * num / (den - num) for every d >= 1."""
     return max(1, min(MOST_K, den // (2 * (den - num)))) if num < den else 1
@@ -271,7 +257,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: Da
     toks = full.select("nid", "cid", F.explode("toks").alias("token"))
     counts = toks.groupBy("token", "cid").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("c"), F.sum("rows").alias("rows"))
     counts = common.stage(counts.where("c > 1"), "counts")
-    met = _matched(toks, counts, "token").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x"))
+    met = common.matched(toks, counts, "token").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x"))
     # a set with more tokens of its own than a similar one may lack meets no other
     met = full.select("nid", "cid", "n_sh").join(met, "nid").where(F.col("n_sh") - F.size("x") <= _spare(F.col("n_sh"), num, den))
 
@@ -287,7 +273,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: Da
     # a key of one component links nothing new; nor does an entry whose set is too small or too large for all others of the key
     keys = index.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("n_sh").alias("least"), F.max("free").alias("freest"), F.count("*").alias("rows")).where("lo <> hi").drop("lo", "hi")
     reach = lambda free, size: F.lit(den + num) * free >= F.lit(num) * size
-    index = _matched(index, common.stage(keys, "keys"), "key").where(reach(F.least("free", "freest"), F.col("n_sh") + F.col("least"))).drop("least", "freest")
+    index = common.matched(index, common.stage(keys, "keys"), "key").where(reach(F.least("free", "freest"), F.col("n_sh") + F.col("least"))).drop("least", "freest")
 
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
     cross = (F.col("cid") != F.col("cid2")) & fits

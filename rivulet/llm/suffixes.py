@@ -8,12 +8,12 @@ suffixes are sorted only where they can matter:
    place of its least k-gram hash (winnowing).  Equal windows name the same place, so a
    window is compared only with windows whose anchors have the same k-gram.
    Consecutive windows with one anchor form a block.
-2. *Blocks.*  Blocks are dealt by k-gram hash.  One whose k-gram is found nowhere
-   else holds no repeat; one whose whole span was seen earlier is a repeat as
-   a whole.  What remains are the edges of repeats.
-3. *Suffix runs.*  The edge blocks' suffixes (from the anchor on) are sorted in every
-   map task, front-coded (shared prefix length and the rest) and exchanged by
-   equal ranges of the k-gram hash.  A tree of losers merges the runs; it holds each candidate's common
+2. *Counts.*  A block whose k-gram is found nowhere else holds no repeat.  Counts
+   are combined before their exchange, so a common k-gram is one row from each task.
+3. *Suffix runs.*  The other blocks' suffixes (from the anchor on) are sorted in every
+   map task.  Blocks with the same bytes stand side by side there: all but the first are repeats as a
+   whole, and only the first goes on.  Runs are front-coded (shared prefix length and the rest) and
+   exchanged by equal ranges of the k-gram hash.  A tree of losers merges them; it holds each candidate's common
    prefix with the last winner and never compares those bytes again.  The
    merged order comes with its common prefix lengths.
 4. *Windows.*  For a window that starts ``o`` bytes before its anchor, suffixes
@@ -21,7 +21,7 @@ suffixes are sorted only where they can matter:
    with the same ``o`` bytes before the anchor all but the first in
    (document, start) are repeats.
 
-Spans and k-grams are compared by 64-bit hashes, suffixes by their bytes.
+k-grams meet by 64-bit hashes; suffixes, and thereby every repeat, are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -31,37 +31,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH = 100
 GRAM = 28
-_BLOCK = "g long, h long, doc_id long, lo int, off int, n int"
+#: Bytes of blocks that a task sorts at once.
+RUN_BYTES = 8 << 20
+_BLOCK = "g long, doc_id long, lo int, off int, n int"
 
 
 # --------------------------------------------------------------------------
 # 1. anchors and blocks
 # --------------------------------------------------------------------------
 def _anchor_blocks(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
-    """Blocks of all rows: (row, first window, anchor, last window, k-gram hash, span hash), positions in ``data``."""
+    """Blocks of all rows: (row, first window, anchor, last window, k-gram hash), positions in ``data``."""
     n, width = len(data), length - gram + 1
     if n < length:
-        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
+        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
     p = common.prefix_hash(data)
-    start = np.arange(n - gram + 1)
+    start = np.arange(n - gram + 1, dtype=np.int32)
     g = common.span_hash(p, start, start + gram)
-    # the same number of hash bits decides in every slice, so that equal windows choose alike
-    bits = max(24, int(n).bit_length())
-    key = (g >> np.uint64(bits) << np.uint64(bits)) | start.astype(np.uint64)
-    low, size = key, 1
-    while size * 2 <= width:
-        low = np.minimum(low[: len(low) - size], low[size:])
-        size *= 2
-    if size < width:
-        low = np.minimum(low[: len(key) - width + 1], low[width - size : width - size + len(key) - width + 1])
-    anchor = (low & np.uint64((1 << bits) - 1)).astype(np.int64)
+    # the first place of the least hash in each window, from windows of half the width
+    low, at, size = g, start, 1
+    while size < width:
+        step = min(size, width - size)
+        right = low[step:] < low[:-step]
+        low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+        size += step
+    anchor = at.astype(np.int64)
     # windows lie inside one row
     row = np.searchsorted(offs, np.arange(len(anchor)), "right") - 1
     inside = np.arange(len(anchor)) + length <= offs[row + 1]
@@ -71,19 +71,16 @@ def _anchor_blocks(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     hi = np.flatnonzero(last)
-    a = anchor[lo]
-    # the offset of the anchor belongs to the span, else equal text around unequal anchors would pair
-    h = common.mix(common.span_hash(p, lo, hi + length) + (a - lo).astype(np.uint64))
-    return row[lo], lo, a, hi, g[a], h
+    return row[lo], lo, anchor[lo], hi, g[anchor[lo]]
 
 
 def blocks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(g, h, doc_id, lo, off, n): k-gram hash, span hash, first window, anchor behind it, windows."""
+    """(g, doc_id, lo, off, n): k-gram hash, first window, anchor behind it, windows."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = common.flat(part.column(1))
-        row, lo, a, hi, g, h = _anchor_blocks(data, offs, length, gram)
-        return pa.record_batch({"g": g.view(np.int64), "h": h.view(np.int64), "doc_id": part.column(0).take(pa.array(row)), "lo": (lo - offs[row]).astype(np.int32), "off": (a - lo).astype(np.int32), "n": (hi - lo + 1).astype(np.int32)})
+        row, lo, a, hi, g = _anchor_blocks(data, offs, length, gram)
+        return pa.record_batch({"g": g.view(np.int64), "doc_id": part.column(0).take(pa.array(row)), "lo": (lo - offs[row]).astype(np.int32), "off": (a - lo).astype(np.int32), "n": (hi - lo + 1).astype(np.int32)})
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _BLOCK)
 
@@ -194,7 +191,8 @@ def repeated_windows(g: np.ndarray, lcp: np.ndarray, before: np.ndarray, off: np
     """bool (block x offset): is the window that starts ``o`` before the anchor a repeat?
 
     Rows are in suffix order.  ``before`` (block x width) has the bytes before the
-    anchor, nearest first; ``rank`` orders the blocks by document and start.
+    anchor, nearest first; ``rank`` orders the blocks by document and start, and blocks of one place, which
+    rows that repeat a doc_id bring, have the same rank.
     """
     most = int(off.max(initial=0)) + 1
     out = np.zeros((len(g), most), bool)
@@ -212,17 +210,20 @@ def repeated_windows(g: np.ndarray, lcp: np.ndarray, before: np.ndarray, off: np
         group = np.cumsum(fresh | (lcp < length - o)).astype(np.uint64)[at]
         key = common.mix(common.mix(back[at]) + group)
         order = np.lexsort((rank[at], key))
-        same = key[order][1:] == key[order][:-1]
-        out[at[order[1:][same]], o] = True
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        r = rank[at][order]
+        out[at[order[r > r[lead]]], o] = True
     return out
 
 
 # --------------------------------------------------------------------------
 # the operator
 # --------------------------------------------------------------------------
-def _runs(edges: DataFrame, docs: DataFrame, length: int, parts: int) -> DataFrame:
-    """Sorted, front-coded runs (bucket, run) of the edge blocks' suffixes."""
-    per_doc = edges.groupBy("doc_id").agg(F.collect_list(F.struct("g", "lo", "off", "n")).alias("x"))
+def _runs(found: DataFrame, docs: DataFrame, length: int, parts: int) -> DataFrame:
+    """Sorted, front-coded runs (bucket, run) of the blocks' suffixes, and repeats (doc_id, start, end) within a run."""
+    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("g", "lo", "off", "n")).alias("x"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, "doc_id").select("doc_id", "text", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,27 +237,39 @@ def _runs(edges: DataFrame, docs: DataFrame, length: int, parts: int) -> DataFra
                 g, lo, off, n = (np.asarray(lists.values.field(k))[at[0] : at[-1]] for k in range(4))
                 doc = np.repeat(np.asarray(part.column(0)), np.diff(at))
                 begin = np.repeat(offs[:-1], np.diff(at)) + lo
+                # a row that repeats another's doc_id may be shorter than its blocks
+                fits = np.flatnonzero(begin + n + length - 1 <= np.repeat(offs[1:], np.diff(at)))
+                g, doc, lo, off, n, begin = (v[fits] for v in (g, doc, lo, off, n, begin))
                 held.append((g, doc, lo, off, n, [data[a : a + k + length - 1].tobytes() for a, k in zip(begin.tolist(), n.tolist(), strict=True)]))
                 size += sum(map(len, held[-1][5]))
-                if size > 16 << 20:
-                    yield from _flush(held, parts)
+                if size > RUN_BYTES:
+                    yield from _flush(held, parts, length)
                     held, size = [], 0
         if held:
-            yield from _flush(held, parts)
+            yield from _flush(held, parts, length)
 
     common.small_batches(docs.sparkSession)
-    return rows.mapInArrow(run, "bucket long, run binary")
+    return rows.mapInArrow(run, "bucket long, run binary, doc_id long, start long, end long")
 
 
-def _flush(held: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
+def _flush(held: list[tuple], parts: int, length: int) -> Iterator[pa.RecordBatch]:
     g, doc, lo, off, n = (np.concatenate([h[k] for h in held]) for k in range(5))
     spans = [s for h in held for s in h[5]]
     if not len(g):
         return
     # the k-gram's hash stands for its bytes: its range splits evenly, and equal k-grams stay together
-    lead = (g.view(np.uint64)).byteswap().tobytes()
+    lead = g.view(np.uint64).byteswap().tobytes()
     suffix = [lead[8 * i : 8 * i + 8] + s[o:] for i, (s, o) in enumerate(zip(spans, off.tolist(), strict=True))]
-    order = sorted(range(len(g)), key=suffix.__getitem__)
+    docs_of, starts = doc.tolist(), lo.tolist()
+    head = [s[:o] for s, o in zip(spans, off.tolist(), strict=True)]
+    order = sorted(range(len(g)), key=lambda i: (suffix[i], head[i], docs_of[i], starts[i]))
+    first, again = [], []
+    for i in order:
+        if not first or suffix[i] != suffix[first[-1]] or head[i] != head[first[-1]]:
+            first.append(i)
+        elif (docs_of[i], starts[i]) != (docs_of[first[-1]], starts[first[-1]]):
+            again.append(i)
+    order = first
     bucket = ((g.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)[order]
     edge = np.searchsorted(bucket, np.arange(parts + 1))
     names, runs = [], []
@@ -265,11 +278,16 @@ def _flush(held: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
         strings = [suffix[i] for i in o]
         lcp, rest = front_code(strings)
         size = np.array([len(s) for s in strings], np.int32)
-        heads = [spans[i][: off[i]][::-1] for i in o]
+        heads = [head[i][::-1] for i in o]
         blob = b"".join([np.int64(len(o)).tobytes(), lcp.astype(np.int16).tobytes(), size.astype(np.int16).tobytes(), doc[o].astype(np.int64).tobytes(), lo[o].astype(np.int32).tobytes(), off[o].astype(np.int16).tobytes(), n[o].astype(np.int16).tobytes(), rest, b"".join(heads)])
         names.append(int(b))
         runs.append(zlib.compress(blob, 1))
-    yield pa.record_batch({"bucket": pa.array(names, pa.int64()), "run": pa.array(runs, pa.binary())})
+    none = lambda k, kind: pa.nulls(k, kind)
+    cols = ["bucket", "run", "doc_id", "start", "end"]
+    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(runs, pa.binary()), *[none(len(names), pa.int64())] * 3], names=cols)
+    if again:
+        s = lo[again].astype(np.int64)
+        yield pa.record_batch([none(len(again), pa.int64()), none(len(again), pa.binary()), pa.array(doc[again].astype(np.int64)), pa.array(s), pa.array(s + n[again] + length - 1)], names=cols)
 
 
 def _unpack(blob: bytes):
@@ -300,8 +318,10 @@ def _merge(length: int):
         heads = np.concatenate([r[6] for r in runs])
         before = np.zeros((len(all_off), width), np.uint8)
         before[np.arange(width) < all_off[:, None]] = heads
+        place = lo.astype(np.int64) + off
+        order = np.lexsort((place, doc))
         rank = np.empty(len(pick), np.int64)
-        rank[np.lexsort((lo.astype(np.int64) + off, doc))] = np.arange(len(pick))
+        rank[order] = np.cumsum(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)))
         hit = repeated_windows(g, lcp, before[pick], off, n, rank, length)
         i, o = np.nonzero(hit)
         start = lo[i].astype(np.int64) + off[i] - o
@@ -320,15 +340,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc_id, start, end): byte stretches, which may overlap, of repeats in ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    of_gram, of_span = Window.partitionBy("g"), Window.partitionBy("g", "h").orderBy("doc_id", "lo")
-    b = blocks(docs, length, gram).withColumn("k", F.count("*").over(of_gram)).where("k > 1")
-    b = b.withColumns({"copy": F.row_number().over(of_span), "same": F.min("h").over(of_gram) == F.max("h").over(of_gram)}).drop("k")
-    found = common.stage(b.where("copy > 1 or not same").select("g", "doc_id", "lo", "off", "n", (F.col("copy") > 1).alias("copied")), "blocks")
-    copied = found.where("copied").select("doc_id", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("end"))
-    edges = found.where("not copied").select("g", "doc_id", "lo", "off", "n")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // 100_000))
-    merged = _runs(edges, docs, length, parts).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_merge(length), "doc_id long, start long, end long")
-    return copied.unionByName(merged)
+    counts = blocks(docs, length, gram).groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1")
+    found = common.stage(common.matched(blocks(docs, length, gram), common.stage(counts, "grams"), "g"), "blocks")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // 100_000))
+    sorted_ = common.stage(_runs(found, docs, length, parts), "runs", codec="uncompressed")
+    merged = sorted_.where("bucket is not null").select("bucket", "run").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_merge(length), "doc_id long, start long, end long")
+    return sorted_.where("bucket is null").select("doc_id", "start", "end").unionByName(merged)
 
 
 def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, text: str = "") -> DataFrame:
@@ -337,8 +354,8 @@ def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int
     Matches never cross rows.  Null texts count as empty and texts under ``length``
     bytes stay whole.  Rows without a doc_id stay whole and repeat nothing.  With ``text``, kept is
     a string column of that name instead, without the parts of characters that a cut leaves.
-    Rows that share a doc_id must hold different documents' order otherwise: they are
-    told apart by no column, so the union of their removals applies to each, cut to its length.  An
+    Rows that share a doc_id are one document: what starts at the same place of both is no repeat, so a repeated
+    row stays whole, and the union of their removals applies to each, cut to its length.  An
     empty table gives no rows; a kept column named like an added one gives way to it.
     """
     spans = repeated_spans(docs, length, gram)
