@@ -1,131 +1,172 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-Each block of candidate rows is a node that keeps one score list per group of
-dimensions.  A vector's score is the sum of its entries in those lists.
-
-1. gather: every node ranks each list, resolves the leaders' sums and sends its
-   ``k`` best per query; the k-th best of all is a lower bound, the safe cutoff;
-2. broadcast the cutoff to every node (one number per query, joined by query
-   block): an entry counts as sufficient if it reaches its list's even share of
-   the cutoff, and a vector with no sufficient entry cannot reach the cutoff;
-   partial sums plus list maxima bound the others and prune them;
-3. resolve: what is left gets its exact score, and scores at or over the cutoff
-   are merged.
-
-Queries are a stated set and meet all rows in a grid of bounded blocks, so a
-task holds one block of queries, one of rows and their scores, never a table.
+The dimensions are cut into groups.  For each group a query has one score list, whose
+entry for a row is the inner product over the group's dimensions; a score is the sum
+of a row's entries.  A task holds one list for a block of queries and a
+block of rows, and nothing of the other lists.
+
+1. gather: every task sends its best entries per query.  The leaders of each list are
+   looked up in the other lists too, so that their sums are exact, and the ``k``-th best
+   sum is a lower bound of the result: the safe cutoff;
+2. the cutoff goes to every task (one number per query), which collects the sufficient
+   entries: those of at least an even share of the cutoff.  A row without one in any list
+   stays under the cutoff;
+3. resolve: each list is asked for the entries that the others collected and it did not, so
+   that sums are exact; those at or over the cutoff are ranked.
+
+Queries are a stated set and meet all rows in a grid of bounded blocks.  Between phases,
+entries travel as arrays, one row for each query, list and block.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
 ROW_BLOCK = 4096
-GROUPS = 4
-_CELL = "query_id long, score long, vec_id long"
+GROUPS = 2
+#: Queries that a task multiplies at a time, and leaders of a list for each place of the result.
+AT_ONCE, LEADERS = 256, 4
+_LONG = (1 << 63) - 1
 
 
 def integer_vectors(emb: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, v array<double>) of floor(scale * x); null ids, null vectors and null or non-finite components drop out."""
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # doubles from 2**52 on are whole numbers, which a floor as long would clip
+    whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
     return emb.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        # double, so that scores stay exact integers up to 2**53
-        F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"),
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: whole(F.lit(scale) * x.cast("double"))).alias("v")
     )
 
 
-def _matrix(col: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(col), dims))
-    for i, v in enumerate(col):
-        out[i, : len(v)] = v
-    return out
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.asarray(col.flatten()).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def _lists(q: pd.DataFrame, r: pd.DataFrame, groups: int) -> list[np.ndarray]:
-    dims = max([1, *map(len, q.v), *map(len, r.v)])
-    a, b = _matrix(q.v, dims), _matrix(r.v, dims)
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * dims >= 2**53:
-        # sums could round as doubles: exact integers of any size, clipped to the long range at the end
-        a, b = (np.array([[int(x) for x in y] for y in m], object).reshape(m.shape) for m in (a, b))
-    cuts = np.linspace(0, dims, groups + 1).astype(int)
-    return [a[:, i:j] @ b[:, i:j].T for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+def _entries(q: np.ndarray, r: np.ndarray, exact: bool) -> np.ndarray:
+    """One list for some queries and all rows of a block, as longs; ``exact`` if doubles hold all sums."""
+    if exact:
+        return (q @ r.T).astype(np.int64)
+    # whole numbers of any size, clipped to the long range
+    whole = [np.array([int(x) for x in m.ravel()], object).reshape(m.shape) for m in (q, r)]
+    return np.clip(whole[0] @ whole[1].T, -_LONG - 1, _LONG).astype(np.int64).reshape(len(q), len(r))
 
 
-def _long(x: np.ndarray) -> np.ndarray:
-    return np.array([min(max(int(y), -(1 << 63)), (1 << 63) - 1) for y in x], np.int64) if x.dtype == object else x.astype(np.int64)
-
-
-def _send(q: np.ndarray, s: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": q, "score": _long(s), "vec_id": v})
+def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of a block of rows in one order for all lists."""
+    ids, name = (np.asarray(table.column(c).combine_chunks()) for c in ("vec_id", "name"))
+    order = np.lexsort((name, ids))
+    return ids[order], _matrix(table.column("v").combine_chunks())[order]
 
 
 def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, groups: int = GROUPS, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest scores of each query over ``rows``.
 
-    Both inputs are (vec_id, v).  A query's own id is no candidate.  Ties go to the
+    Both inputs are (vec_id, v); further columns are not looked at.  A query's own id is no candidate.  Ties go to the
     smaller vec_id; with fewer candidates than ``k`` all come back.  Shorter vectors count as
     padded with zeros.  Rows that repeat an id with the same vector count once; of
     different vectors under one id the best score counts.  Empty inputs give no rows.
     Scores beyond the long range are returned as its ends.
     """
-    n_q, n_r = queries.count(), rows.count()
-    qb, rb = max(1, -(-n_q // query_block)), max(1, -(-n_r // row_block))
-    part = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     own = lambda x: x.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v")).distinct()  # noqa: E731  two inputs may stem from one table
-    q = own(queries).withColumn("qb", part(qb)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
-    r = own(rows).withColumn("rb", part(rb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-
-    def gather(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return _send(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        lists = _lists(a, b, groups)
-        ids, own = b.vec_id.to_numpy(), b.vec_id.to_numpy()[None, :] == a.vec_id.to_numpy()[:, None]
-        total, want, out = sum(lists), min(2 * k, len(b)), []
-        lead = np.concatenate([np.argpartition(-p, want - 1, axis=1)[:, :want] if p.dtype != object else np.argsort(-p, axis=1)[:, :want] for p in lists], axis=1)
-        for i, js in enumerate(lead):
-            js = np.unique(js)
-            js = js[~own[i, js]]
-            best = js[np.argsort(-total[i, js], kind="stable")[:k]]
-            out.append((np.full(len(best), a.vec_id.iat[i]), total[i, best], ids[best]))
-        return _send(*map(np.concatenate, zip(*out, strict=True)))
-
-    cells = lambda x: x.groupBy("qb", "rb")
-    first = cells(q).cogroup(cells(r)).applyInPandas(gather, _CELL)
-    # a vector may repeat under one id: distinct ids only, or the cutoff could be too high
-    first = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    nth = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    cut = common.stage(first.withColumn("n", F.row_number().over(nth)).where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")), "cutoffs")
-
-    def resolve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return _send(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        lists = _lists(a, b, groups)
-        cutoff = a.cutoff.fillna(-np.inf).to_numpy(float)[:, None]
-        # with list maxima as origin, an even share of what the cutoff lies below their sum is what an entry may lack
-        top = [p.max(axis=1, keepdims=True) for p in lists]
-        slack = sum(top) - cutoff
-        able = np.zeros(lists[0].shape, bool)
-        for p, t in zip(lists, top, strict=True):
-            able |= True if p.dtype == object else p >= t - slack / len(lists)
-        bound, seen = np.zeros(lists[0].shape), able
-        for i, p in enumerate(lists):
-            bound = bound + p
-            seen = seen & (bound + sum(top[i + 1 :]) >= cutoff)
-        seen = seen & (b.vec_id.to_numpy()[None, :] != a.vec_id.to_numpy()[:, None])
-        i, j = np.nonzero(seen)
-        return _send(a.vec_id.to_numpy()[i], sum(p[i, j] for p in lists), b.vec_id.to_numpy()[j])
-
-    found = cells(q.join(cut, "vec_id", "left")).cogroup(cells(r)).applyInPandas(resolve, _CELL)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    size = lambda x: x.select(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0.0))).first()
+    (n_q, dq, mq), (n_r, dr, mr) = size(queries), size(rows)
+    dims, qb, rb = max(1, dq, dr), max(1, -(-n_q // query_block)), max(1, -(-n_r // row_block))
+    exact = mq * mr * dims < 2**53
+    m = min(groups, dims) if exact else 1
+    cuts = [dims * i // m for i in range(m + 1)]
+
+    def cells(x: DataFrame, blocks: int, mine: str, copies: int, other: str) -> DataFrame:
+        """Every row once for each list and each block of the other side; ``name`` tells vectors of one id apart."""
+        x = own(x).withColumn("name", F.xxhash64("vec_id", "v")).withColumn(mine, F.pmod("name", F.lit(blocks)).cast("int"))
+        v = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v")))
+        lists = F.array(*[F.struct(F.lit(i).alias("list"), F.slice(v, a + 1, b - a).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        x = x.select("vec_id", "name", mine, F.explode(lists).alias("x")).select("vec_id", "name", mine, "x.list", "x.v")
+        return x.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    q, r = cells(queries, qb, "qb", rb, "rb"), cells(rows, rb, "rb", qb, "qb")
+    cell, one = ["list", "qb", "rb"], ["query_id", "name", "qb", "rb"]
+    kind = "query_id long, name long, qb int, rb int, list int, at array<int>, vec_ids array<long>, entries array<long>"
+
+    def ask(queries: DataFrame, choose) -> DataFrame:
+        """Entries of every cell; ``choose`` gives the places in the block of rows for some queries."""
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            out = [[] for _ in range(8)]
+            if len(a) and len(b):
+                ids, right = _rows(b)
+                left, names = _matrix(a.column("v").combine_chunks()), [a.column(c).to_pylist() for c in ("vec_id", "name", "qb", "rb", "list")]
+                for lo in range(0, len(a), AT_ONCE):
+                    part = a.slice(lo, AT_ONCE)
+                    s = _entries(left[lo : lo + AT_ONCE], right, exact)
+                    mine = ids[None, :] == np.asarray(part.column("vec_id").combine_chunks())[:, None]
+                    for i, at in enumerate(choose(part, s, mine)):
+                        if len(at):
+                            for c, x in zip(out, [*(n[lo + i] for n in names), at.astype(np.int32), ids[at], s[i, at]], strict=True):
+                                c.append(x)
+            types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["query_id", "name", "qb", "rb", "list", "at", "vec_ids", "entries"])
+
+        return queries.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, kind)
+
+    def best(part: pa.Table, s: np.ndarray, mine: np.ndarray):
+        want = min(k + 1, s.shape[1])
+        for i, at in enumerate(np.argpartition(-s.astype(float), want - 1, axis=1)[:, :want]):
+            yield at[~mine[i, at]]
+
+    def asked(part: pa.Table, s: np.ndarray, mine: np.ndarray):
+        yield from (np.array(x, np.int64) for x in part.column("ask").to_pylist())
+
+    def sufficient(part: pa.Table, s: np.ndarray, mine: np.ndarray):
+        cut = part.column("cutoff").to_pylist()
+        for i, c in enumerate(cut):
+            share = -_LONG - 1 if c is None else -(-c // m)
+            yield np.flatnonzero((s[i] >= share) & ~mine[i])
+
+    # 1. leaders of each list, their sums, and the cutoff
+    flat = lambda x: x.select(*one, "list", F.explode(F.arrays_zip("at", "vec_ids", "entries")).alias("x")).select(*one, "list", "x.*")
+    place = F.row_number().over(Window.partitionBy("query_id", "name", "list").orderBy(F.desc("entries"), "vec_ids"))
+    lead = flat(ask(q, best)).withColumn("n", place).where(F.col("n") <= LEADERS * k).groupBy(*one).agg(F.collect_set("at").alias("ask"))
+    lead = common.stage(lead, "leaders")
+    sums = flat(ask(q.join(lead.withColumnRenamed("query_id", "vec_id"), ["vec_id", "name", "qb", "rb"]), asked))
+    sums = sums.groupBy(*one, "at", "vec_ids").agg(F.sum("entries").alias("score")).groupBy("query_id", "vec_ids").agg(F.max("score").alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    cut = common.stage(sums.withColumn("n", nth).where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")), "cutoffs")
+
+    # 2. sufficient entries
+    held = common.stage(ask(q.join(cut, "vec_id", "left"), sufficient), "entries", codec="zstd")
+
+    # 3. what the other lists collected, and the sums
+    wanted = held.groupBy(*one).agg(F.collect_list(F.struct("list", "at")).alias("x"))
+    there = F.array_distinct(F.flatten(F.transform("x", lambda y: y["at"])))
+    here = lambda i: F.flatten(F.transform(F.filter("x", lambda y: y["list"] == F.lit(i)), lambda y: y["at"]))
+    lists = F.array(*[F.struct(F.lit(i).alias("list"), F.array_except(there, here(i)).alias("ask")) for i in range(m)])
+    wanted = wanted.select(*one, F.explode(lists).alias("y")).select(F.col("query_id").alias("vec_id"), "name", "qb", "rb", "y.list", "y.ask").where(F.size("ask") > 0)
+    more = ask(q.join(wanted, ["vec_id", "name", "qb", "rb", "list"]), asked)
+    summed = held.unionByName(more).groupBy(*one).agg(F.collect_list(F.struct("at", "vec_ids", "entries")).alias("x")).join(cut.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+
+    def total(part: pa.RecordBatch) -> pa.RecordBatch:
+        out = [[], [], []]
+        for query, x, c in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
+            y = x.values
+            at, ids, s = (np.concatenate([np.asarray(z.values) for z in y.field(f)]) for f in ("at", "vec_ids", "entries"))
+            places, first, which = np.unique(at, return_index=True, return_inverse=True)
+            score = np.zeros(len(places), np.int64)
+            np.add.at(score, which, s)
+            good = np.flatnonzero(score >= (-_LONG - 1 if c is None else c))
+            for o, z in zip(out, (np.full(len(good), query), ids[first][good], score[good]), strict=True):
+                o.append(z)
+        return pa.record_batch({n: np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for n, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
+
+    found = common.map_arrow(summed.select("query_id", "x", "cutoff"), total, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
