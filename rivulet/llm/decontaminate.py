@@ -13,6 +13,8 @@ Texts move only for candidate documents.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,11 +38,12 @@ def _seeds(col: pa.Array, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.n
     return [common.shingle_hashes(wh, at, n) for n in sizes]
 
 
-def _seed_rows(df: DataFrame, key: str, sizes: tuple[int, ...], only: np.ndarray | None = None) -> DataFrame:
-    """(key, seed) of each text, distinct within the text; ``only``: the sorted seeds that matter."""
+def _seed_rows(df: DataFrame, key: str, sizes: tuple[int, ...], matter: np.ndarray | None = None) -> DataFrame:
+    """(key, seed) of each text, distinct within the text; ``matter``: the sorted seeds that matter, sent to each executor once."""
+    shared = None if matter is None else df.sparkSession.sparkContext.broadcast(matter)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows, seeds = [], []
+        rows, seeds, only = [], [], None if shared is None else shared.value
         for h, at in _seeds(part.column(1), sizes):
             r = np.repeat(np.arange(part.num_rows), np.diff(at))
             if only is not None:
@@ -57,28 +60,34 @@ def _seed_rows(df: DataFrame, key: str, sizes: tuple[int, ...], only: np.ndarray
 def tile(item: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in text, length), longest first, of at least ``least`` tokens.
 
-    Of equally long matches the one with the smaller starts is marked first.
+    The search length falls from pass to pass.  A pass finds all unmarked matches of at least its length and takes
+    them from a queue, longest first; one that a tile covers in part goes back as its free
+    pieces, each at its own length.  Of equally long matches the one with the smaller starts is marked first.
     """
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
-    tiles, s = [], max(least, min(len(item), len(text)))
+    tiles, s = [], least
+    while s * 4 <= min(len(item), len(text)):
+        s *= 4
     while s >= least:
-        found = _matches(item, text, free_i, free_t, s)
-        if not found:
-            s = s - 1 if s <= 2 * least else max(least, s // 2)
-            continue
-        if found[0][0] > 2 * s and s < len(item):
-            s = found[0][0]
-            continue
-        for k, i, t in found:
-            if free_i[i : i + k].all() and free_t[t : t + k].all():
-                free_i[i : i + k] = free_t[t : t + k] = False
-                tiles.append((i, t, k))
-        # what occluded matches left over is searched again at the same length
+        queue = _matches(item, text, free_i, free_t, s)
+        heapq.heapify(queue)
+        while queue:
+            k, i, t = heapq.heappop(queue)
+            free = free_i[i : i - k] & free_t[t : t - k]
+            if free.all():
+                free_i[i : i - k] = free_t[t : t - k] = False
+                tiles.append((i, t, -k))
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], free, [0]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= s:
+                    heapq.heappush(queue, (a - b, i + a, t + a))
+        s = s // 4
     return tiles
 
 
 def _matches(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, s: int) -> list[tuple[int, int, int]]:
-    """Maximal unmarked matches (-length order) of at least ``s`` tokens, by rolling hashes of length ``s``."""
+    """Maximal unmarked matches (-length, starts) of at least ``s`` tokens, by running hashes of length ``s``."""
     hi, ht = _rolling(item, s), _rolling(text, s)
     open_i, open_t = _open(free_i, s), _open(free_t, s)
     places: dict[int, list[int]] = {}
@@ -97,8 +106,8 @@ def _matches(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.
             while i + k < len(item) and t + k < len(text) and free_i[i + k] and free_t[t + k] and item[i + k] == text[t + k]:
                 k += 1
             if k >= s:
-                out.append((k, i, t))
-    return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
+                out.append((-k, i, t))
+    return out
 
 
 def _rolling(x: np.ndarray, s: int) -> np.ndarray:
