@@ -216,6 +216,8 @@ def read_records(spark: SparkSession, path: str, length: int = SEQUENCE, start:
     """(slot, seq, tokens) from slot ``start`` on; shards before it are not opened."""
     size = stride(length)
     files = spark.read.format("binaryFile").option("basePath", path).load(path)
+    if "shard" not in files.columns:  # no shard was written
+        files = files.withColumn("shard", F.lit(None).cast("long"))
     files = files.where(F.col("shard") >= start // shard_records).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
