@@ -48,14 +48,17 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = LIMIT)
     * A single row over the limit has a shard of its own.
     * A null size counts as 0 and a null key as ''; repeated rows each count.
     * An empty table gives no shards.  A column of ``df`` named like an added
-      one is kept with ``_in`` at its end.
+      one, or like one that is used on the way, is kept with as many ``_in`` at its end as make it unique.
     """
     added = ["shard", "depth", "n_bytes", "shard_bytes"]
-    src = df
-    for c in [c for c in df.columns if c in [*added, "h", "cell"]]:
-        src = src.withColumnRenamed(c, f"{c}_in")
+    new = {}
+    for c in [c for c in df.columns if c in [*added, "h", "cell", "_rows", "_cut"]]:
+        new[c] = f"{c}_in"
+        while new[c] in [*df.columns, *[v for x, v in new.items() if x != c]]:
+            new[c] += "_in"
+    src = df.withColumnsRenamed(new)
     names = src.columns
-    k = f"{key}_in" if key not in names else key
+    k = new.get(key, key)
     rows = src.withColumns({"h": hash_bits(F.col(k)), "n_bytes": F.coalesce(size.cast("long"), F.lit(0).cast("long"))})
     light = rows.select("h", "n_bytes")
     total = light.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
