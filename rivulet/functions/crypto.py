@@ -25,11 +25,11 @@ def _expand(secret: bytes, info: bytes, length: int) -> bytes:
     return out[:length]
 
 
-def tenant_keys(master: bytes, tenant: str, version: int = 1) -> tuple[bytes, bytes]:
-    """(encryption key, mac key) of a tenant: HKDF with one extract and two expands."""
+def tenant_keys(master: bytes, tenant: str) -> tuple[bytes, bytes]:
+    """(encryption key, mac key) of a tenant: HKDF with one extract, salted with the tenant's name, and two expands."""
     if len(master) < 32:
         raise ValueError("the master secret has less than 32 bytes")
-    base = hmac.new(f"{tenant}:{version}".encode(), master, hashlib.sha256).digest()
+    base = hmac.new(tenant.encode(), master, hashlib.sha256).digest()
     return _expand(base, b"enc", 32), _expand(base, b"mac", 32)
 
 
@@ -37,7 +37,7 @@ def key_dimension(spark: SparkSession, master: bytes, tenants: list[str], versio
     """(tenant, keyversion, enc_key, ipad, opad): one row per tenant, pads made ready for the MAC."""
     rows = []
     for t in tenants:
-        enc, mac = tenant_keys(master, t, version)
+        enc, mac = tenant_keys(master, t)
         k = mac.ljust(BLOCK, b"\0")
         rows.append((t, version, bytearray(enc), bytearray(b ^ 0x36 for b in k), bytearray(b ^ 0x5C for b in k)))
     return spark.createDataFrame(rows, "tenant string, keyversion int, enc_key binary, ipad binary, opad binary")

@@ -27,6 +27,12 @@ def extra_attribute(raw: Column) -> Column:
     return F.array_min(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, [*S.CONTEXT_ATTRIBUTES, "data"]))))
 
 
+def json_text(raw: Column, key: str) -> Column:
+    """A top-level value of a JSON object that is a text; null for other kinds, other values and broken JSON."""
+    v = F.call_function("try_variant_get", F.call_function("try_parse_json", raw), F.lit(f"$.{key}"), F.lit("variant"))
+    return F.when(F.call_function("schema_of_variant", v) == "STRING", F.call_function("try_variant_get", v, F.lit("$"), F.lit("string")))
+
+
 def partition_key(tenant: Column, pseudonym: Column) -> Column:
     return F.concat_ws("|", tenant, pseudonym)
 

@@ -2,7 +2,11 @@
 
 Structure first (unknown attribute, size, schema), then one tenant per batch,
 then the envelope's own rules, then duplicates among what is still valid.  Every
-verdict is a code and a path, never a value.
+verdict is a code and a reason: the code with a path or an attribute's name, never a value.
+
+An element is parsed once into the declared type and once as a variant.  If both
+say the same, no key is unknown and no value was converted, and only the enumerations are
+left to check; the checks path by path run on the other elements alone.
 """
 
 from __future__ import annotations
@@ -13,60 +17,94 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import text
 
+_TEXT_KEYS = ["subject", "dataschema", "datacontenttype", "sequence", "partitionkey"]
+_ENUMS = {"type": S.EVENT_TYPES, "sourcechannel": S.CHANNELS, "referrertype": S.REFERRERS, "completionmethod": S.COMPLETION_METHODS}
+_CANDIDATE, _PAYLOAD, _JOBS = "$.data.candidate", "$.data.event_payload", "$.data.event_payload.recommended_job_ids"
+
 
 def _kind(path: str) -> Column:
     return F.expr(f"schema_of_variant(try_variant_get(v, '{path}', 'variant'))")
 
 
-def _optional(path: str, kinds: tuple[str, ...]) -> Column:
-    k = _kind(path)
-    return k.isNull() | (k == "VOID") | F.array_contains(F.array(*map(F.lit, kinds)), F.regexp_extract(k, r"^[A-Z]+", 0))
+def _is(path: str, *kinds: str) -> Column:
+    """True if the value is there with one of the kinds."""
+    return F.coalesce(F.regexp_extract(_kind(path), "^[A-Z]+", 0).isin(*kinds), F.lit(False))
 
 
-def _string(path: str) -> Column:
-    return F.coalesce(_kind(path) == "STRING", F.lit(False))
+def _there(path: str) -> Column:
+    return _kind(path).isNotNull()
 
 
-def _one_of(path: str, allowed: list[str]) -> Column:
-    v = F.expr(f"try_variant_get(v, '{path}', 'string')")
-    return v.isNull() | v.isin(allowed)
+def _text(path: str) -> Column:
+    return F.expr(f"try_variant_get(v, '{path}', 'string')")
 
 
 def _closed(path: str, keys: list[str]) -> Column:
     found = F.json_object_keys(F.get_json_object("raw", path))
-    return F.coalesce(F.size(F.array_except(found, F.array(*map(F.lit, keys)))) == 0, F.lit(False))
-
-
-def schema_ok() -> Column:
-    """Over columns raw and v (its variant): required fields, kinds, enumerations and closed objects."""
-    checks = [
-        F.expr("try_variant_get(v, '$.specversion', 'string')").eqNullSafe(F.lit("1.0")) & _string("$.specversion"),
-        *[_string(f"$.{k}") for k in ("id", "source", "type", "time")],
-        *[_optional(f"$.{k}", ("STRING",)) for k in ("subject", "dataschema", "datacontenttype", "sequence", "partitionkey", "sourcechannel", "referrertype", "completionmethod")],
-        _optional("$.keyversion", ("BIGINT",)),
-        _one_of("$.type", S.EVENT_TYPES), _one_of("$.sourcechannel", S.CHANNELS), _one_of("$.referrertype", S.REFERRERS), _one_of("$.completionmethod", S.COMPLETION_METHODS),
-        _closed("$.data", ["candidate", "event_payload"]), _closed("$.data.candidate", S.CANDIDATE_KEYS), _closed("$.data.event_payload", S.PAYLOAD_KEYS),
-        *[_string(f"$.data.{k}") for k in ("candidate.user_id", "event_payload.job_id", "event_payload.session_id")],
-        *[_optional(f"$.data.candidate.{k}", ("STRING",)) for k in S.CANDIDATE_KEYS if k not in ("user_id", "years_of_experience")],
-        _optional("$.data.candidate.years_of_experience", ("DECIMAL", "DOUBLE", "BIGINT")), _one_of("$.data.candidate.experience_status", S.EXPERIENCE),
-        *[_optional(f"$.data.event_payload.{k}", ("BIGINT",)) for k in ("step_number", "time_spent_on_step_ms", "total_application_duration_ms")],
-        *[_optional(f"$.data.event_payload.{k}", ("STRING",)) for k in ("step_name", "action", "completion_method")],
-        _one_of("$.data.event_payload.completion_method", S.COMPLETION_METHODS), _optional("$.data.event_payload.recommended_job_ids", ("ARRAY",)), _optional("$.data.event_payload.client_metadata", ("OBJECT",)),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out & c
-    return out
-
-
-def structural(elements: DataFrame, max_bytes: int = S.MAX_EVENT_BYTES) -> DataFrame:
-    """``elements`` (batch_id, idx, raw) with source, id, type, time and the structural ``code``, null where it passes."""
-    e = elements.withColumn("v", F.expr("try_parse_json(raw)"))
-    object_ = F.coalesce(_kind("$").startswith("OBJECT"), F.lit(False))
+    return F.coalesce(F.size(F.array_except(found, F.array(*map(F.lit, keys)))) == 0, F.lit(True))
+
+
+def schema_fault() -> Column:
+    """Over columns raw and v (its variant): the path of the first fault, null without one.
+
+    Values that are there come first, in the contract's order, then what is missing, named by its parent.
+    """
+    bad: list[tuple[str, Column]] = []
+    null_or = lambda path, *kinds: _there(path) & ~_is(path, "VOID", *kinds)
+    one_of = lambda path, allowed: _there(path) & ~(_is(path, "VOID") | (_is(path, "STRING") & F.coalesce(_text(path).isin(allowed), F.lit(False))))
+    bad.append(("$.specversion", _there("$.specversion") & ~(_is("$.specversion", "STRING") & _text("$.specversion").eqNullSafe(F.lit("1.0")))))
+    bad += [(f"$.{k}", _there(f"$.{k}") & ~_is(f"$.{k}", "STRING")) for k in ("id", "source", "type", "time")]
+    bad += [("$.type", one_of("$.type", S.EVENT_TYPES))]
+    bad += [(f"$.{k}", null_or(f"$.{k}", "STRING")) for k in _TEXT_KEYS]
+    bad += [("$.keyversion", null_or("$.keyversion", "BIGINT"))]
+    bad += [(f"$.{k}", one_of(f"$.{k}", v)) for k, v in _ENUMS.items() if k != "type"]
+    bad += [(p, _there(p) & ~_is(p, "OBJECT")) for p in ("$.data", _CANDIDATE, _PAYLOAD)]
+    bad += [(f"{p}.{k}", _there(f"{p}.{k}") & ~_is(f"{p}.{k}", "STRING")) for p, k in ((_CANDIDATE, "user_id"), (_PAYLOAD, "job_id"), (_PAYLOAD, "session_id"))]
+    bad += [(f"{_CANDIDATE}.{k}", null_or(f"{_CANDIDATE}.{k}", "STRING")) for k in S.CANDIDATE_KEYS if k not in ("user_id", "years_of_experience", "experience_status")]
+    bad += [(f"{_CANDIDATE}.experience_status", one_of(f"{_CANDIDATE}.experience_status", S.EXPERIENCE)), (f"{_CANDIDATE}.years_of_experience", null_or(f"{_CANDIDATE}.years_of_experience", "DECIMAL", "DOUBLE", "FLOAT", "BIGINT"))]
+    bad += [(f"{_PAYLOAD}.{k}", null_or(f"{_PAYLOAD}.{k}", "BIGINT")) for k in ("step_number", "time_spent_on_step_ms", "total_application_duration_ms")]
+    bad += [(f"{_PAYLOAD}.{k}", null_or(f"{_PAYLOAD}.{k}", "STRING")) for k in ("step_name", "action")]
+    bad += [(f"{_PAYLOAD}.completion_method", one_of(f"{_PAYLOAD}.completion_method", S.COMPLETION_METHODS))]
+    items = F.expr(f"try_variant_get(v, '{_JOBS}', 'array<variant>')")
+    bad += [(_JOBS, _there(_JOBS) & ~_is(_JOBS, "ARRAY")), (f"{_JOBS}[...]", F.coalesce(F.exists(items, lambda x: F.call_function("schema_of_variant", x) != "STRING"), F.lit(False)))]
+    bad += [(f"{_PAYLOAD}.client_metadata", _there(f"{_PAYLOAD}.client_metadata") & ~_is(f"{_PAYLOAD}.client_metadata", "OBJECT"))]
+    bad += [("$.data", ~_closed("$.data", ["candidate", "event_payload"])), (_CANDIDATE, ~_closed(_CANDIDATE, S.CANDIDATE_KEYS)), (_PAYLOAD, ~_closed(_PAYLOAD, S.PAYLOAD_KEYS))]
+    bad += [(p, ~_there(f"{p}.{k}")) for p, k in ((_CANDIDATE, "user_id"), (_PAYLOAD, "job_id"), (_PAYLOAD, "session_id"), ("$.data", "candidate"), ("$.data", "event_payload"))]
+    bad += [("$", ~_there(f"$.{k}")) for k in ("specversion", "id", "source", "type", "time", "data")]
+    return F.coalesce(*[F.when(c, F.lit(p)) for p, c in bad])
+
+
+def _enum_fault() -> Column:
+    """The same for an element whose parsed form ``e`` says all that the text says."""
+    bad = [(f"$.{k}", F.col(f"e.{k}").isNotNull() & ~F.col(f"e.{k}").isin(v)) for k, v in _ENUMS.items()]
+    bad += [(f"{_CANDIDATE}.experience_status", ~F.col("e.data.candidate.experience_status").isin(S.EXPERIENCE)), (f"{_PAYLOAD}.completion_method", ~F.col("e.data.event_payload.completion_method").isin(S.COMPLETION_METHODS))]
+    return F.coalesce(F.when(~F.col("e.specversion").eqNullSafe(F.lit("1.0")), F.lit("$.specversion")), *[F.when(c, F.lit(p)) for p, c in bad])
+
+
+def structural(elements: DataFrame, max_bytes: int = S.MAX_EVENT_BYTES, size: Column | None = None) -> DataFrame:
+    """``elements`` (batch_id, idx, raw) with source, id, type, time, the parsed event ``e``, and ``code`` and ``reason``, null where it passes.
+
+    ``size`` gives the bytes that count, the text's own if none is given.
+    """
+    e = elements.withColumns({"v": F.expr("try_parse_json(raw)"), "e": F.from_json("raw", S.INGRESS_EVENT)})
+    e = e.withColumn("same", F.coalesce(F.expr("to_json(v) = to_json(try_parse_json(to_json(e)))"), F.lit(False)))
+    need = [F.col(f"e.{k}") for k in ("specversion", "id", "source", "type", "time", "data.candidate.user_id", "data.event_payload.job_id", "data.event_payload.session_id")]
+    full = F.col("same")
+    for c in need:
+        full = full & c.isNotNull()
+    at = F.concat(F.lit(" at $["), F.col("idx").cast("string"), F.lit("]"))
+    big = (F.octet_length("raw") if size is None else size) > max_bytes
+    oversized = F.struct(F.lit("OVERSIZED").alias("code"), F.concat(F.lit("OVERSIZED"), at, F.lit(f": exceeds {max_bytes} bytes")).alias("reason"))
+    schema = lambda path: F.when(path.isNotNull(), F.struct(F.lit("SCHEMA").alias("code"), F.concat(F.lit("SCHEMA at "), path).alias("reason")))
     extra = text.extra_attribute(F.col("raw"))
-    code = F.when(~object_, "SCHEMA").when(extra.isNotNull(), "UNKNOWN_ATTRIBUTE").when(F.octet_length("raw") > max_bytes, "OVERSIZED").when(~schema_ok(), "SCHEMA")
-    got = {k: F.expr(f"try_variant_get(v, '$.{k}', 'string')") for k in ("source", "id", "type", "time")}
-    return e.withColumns(got | {"code": code}).drop("v")
+    slow = (
+        F.when(~F.coalesce(_kind("$").startswith("OBJECT"), F.lit(False)), F.struct(F.lit("SCHEMA").alias("code"), F.concat(F.lit("SCHEMA"), at, F.lit(": not an object")).alias("reason")))
+        .when(extra.isNotNull(), F.struct(F.lit("UNKNOWN_ATTRIBUTE").alias("code"), F.concat(F.lit("UNKNOWN_ATTRIBUTE"), at, F.lit(": "), extra).alias("reason")))
+        .when(big, oversized).otherwise(schema(schema_fault()))
+    )
+    e = e.withColumn("x", F.when(full, F.when(big, oversized).otherwise(schema(_enum_fault()))).otherwise(slow))
+    field = lambda k: F.when(F.col("same"), F.col(f"e.{k}")).otherwise(_text(f"$.{k}"))
+    return e.withColumns({k: field(k) for k in ("source", "id", "type", "time")} | {"code": F.col("x.code"), "reason": F.col("x.reason")}).drop("v", "same", "x")
 
 
 def envelope_problem(source: Column, time: Column, id_: Column) -> Column:
@@ -78,28 +116,50 @@ def raw_subject(type_: Column, subject: Column) -> Column:
     return type_.rlike("(user-registered|user-logged-in)$") & F.coalesce(subject.rlike("^(usr_|user_)"), F.lit(False))
 
 
-def validate_batches(elements: DataFrame, max_bytes: int = S.MAX_EVENT_BYTES) -> DataFrame:
-    """Every element with its final ``code`` (null: accepted).  In a batch of several tenants all have MIXED_TENANT."""
-    e = structural(elements, max_bytes)
+def validate_batches(elements: DataFrame, max_bytes: int = S.MAX_EVENT_BYTES, size: Column | None = None, parsed: bool = False) -> DataFrame:
+    """Every element with its final ``code`` and ``reason`` (null: accepted); ``parsed`` keeps the parsed event ``e``.
+
+    A batch of several tenants is refused as one: all its elements have the code MIXED_TENANT, and the
+    reason stands at index 0 alone, as its one rejection.
+    """
+    e = structural(elements, max_bytes, size)
+    e = e if parsed else e.drop("e")
     of_batch = Window.partitionBy("batch_id")
     decoded = F.when(F.col("code").isNull(), F.col("source"))
-    e = e.withColumn("mixed", F.min(decoded).over(of_batch) != F.max(decoded).over(of_batch))
-    e = e.withColumn("code", F.when(F.coalesce("mixed", F.lit(False)), "MIXED_TENANT").otherwise(F.coalesce("code", envelope_problem(F.col("source"), F.col("time"), F.col("id")))))
+    problem = envelope_problem(F.col("source"), F.col("time"), F.col("id"))
+    where = F.create_map(*[F.lit(x) for kv in (("BAD_SOURCE", "$.source"), ("BAD_TIME", "$.time"), ("BAD_ID", "$.id")) for x in kv])
+    e = e.withColumns({"mixed": F.coalesce(F.min(decoded).over(of_batch) != F.max(decoded).over(of_batch), F.lit(False)), "problem": F.when(F.col("code").isNull(), problem)})
+    code = F.when(F.col("mixed"), "MIXED_TENANT").otherwise(F.coalesce("code", "problem"))
+    reason = F.when(F.col("mixed"), F.when(F.col("idx") == 0, "MIXED_TENANT: spans more than one tenant")).otherwise(F.coalesce("reason", F.concat("problem", F.lit(" at "), where[F.col("problem")])))
+    e = e.withColumns({"code": code, "reason": reason})
     nth = F.row_number().over(Window.partitionBy("batch_id", "source", "id", F.col("code").isNull()).orderBy("idx"))
-    return e.withColumn("code", F.coalesce("code", F.when(nth > 1, "DUPLICATE_ID"))).drop("mixed")
+    again = F.col("code").isNull() & (nth > 1)
+    return e.withColumns({"code": F.when(again, "DUPLICATE_ID").otherwise(F.col("code")), "reason": F.when(again, "DUPLICATE_ID at $.id").otherwise(F.col("reason"))}).drop("mixed", "problem")
 
 
-def batch_limits(requests: DataFrame, max_body: int = S.MAX_BODY_BYTES, max_events: int = S.MAX_EVENTS, max_event: int = S.MAX_INGRESS_BYTES) -> DataFrame:
-    """(batch_id, n_events, code) of whole requests (batch_id, body); null code: within the limits."""
+def limited(requests: DataFrame, max_body: int = S.MAX_BODY_BYTES, max_events: int = S.MAX_EVENTS, max_event: int = S.MAX_INGRESS_BYTES) -> DataFrame:
+    """``requests`` (body, ...) with the elements' texts ``raws`` in place of the body, and ``code``; null code: within the limits."""
     parts = F.expr("try_cast(try_parse_json(body) as array<variant>)")
-    r = requests.select("batch_id", "body", F.when(F.octet_length("body") <= max_body, F.transform(parts, lambda v: F.call_function("to_json", v))).alias("raws"))
+    r = requests.withColumn("raws", F.when(F.octet_length("body") <= max_body, F.transform(parts, lambda v: F.call_function("to_json", v))))
     code = F.when(F.octet_length("body") > max_body, "BODY_TOO_LARGE").when(F.col("raws").isNull(), "BODY_NOT_A_BATCH").when(F.size("raws") > max_events, "TOO_MANY_EVENTS").when(F.exists("raws", lambda x: F.octet_length(x) > max_event), "EVENT_TOO_LARGE")
-    return r.select("batch_id", F.when(F.col("raws").isNotNull(), F.size("raws")).cast("long").alias("n_events"), code.alias("code"))
+    return r.withColumn("code", code).drop("body")
+
+
+def batch_limits(requests: DataFrame, max_body: int = S.MAX_BODY_BYTES, max_events: int = S.MAX_EVENTS, max_event: int = S.MAX_INGRESS_BYTES) -> DataFrame:
+    """(batch_id, n_events, code) of whole requests (batch_id, body); null code: within the limits."""
+    r = limited(requests, max_body, max_events, max_event)
+    return r.select("batch_id", F.when(F.col("raws").isNotNull(), F.size("raws")).cast("long").alias("n_events"), "code")
+
+
+def rejections(verdicts: DataFrame) -> DataFrame:
+    """The elements that a response names: one for a batch of several tenants, each rejected one otherwise."""
+    return verdicts.where("reason is not null")
 
 
 def outcomes(verdicts: DataFrame) -> DataFrame:
-    """(batch_id, accepted, rejected, rejections) per batch; rejections are (idx, code) in body order."""
+    """(batch_id, accepted, rejected, rejections) per batch; rejections are (idx, code, reason) in body order."""
+    named = F.col("reason").isNotNull()
     return verdicts.groupBy("batch_id").agg(
-        F.count_if(F.col("code").isNull()).alias("accepted"), F.count_if(F.col("code").isNotNull()).alias("rejected"),
-        F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("idx", "code")))).alias("rejections"),
+        F.count_if(F.col("code").isNull()).alias("accepted"), F.count_if(named).alias("rejected"),
+        F.array_sort(F.collect_list(F.when(named, F.struct("idx", "code", "reason")))).alias("rejections"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import crypto, text
-from ..operators import dlq, ratelimit, tenancy, validate
+from ..operators import dlq, program, ratelimit, tenancy, validate
 from ..sources import adapt, readers
 
 _MASTER = bytes(range(32))
@@ -39,9 +39,10 @@ def validate_batch_limits(spark, d):
 
 
 def mixed_tenant_batches(spark, d):
-    e = adapt.raw_elements(_rows(spark, d).withColumn("batch_id", F.floor(F.col("event_id") / 3)))
+    e = adapt.raw_elements(_rows(spark, d).withColumns({"batch_id": F.floor(F.col("event_id") / 3), "idx": F.col("event_id") % 3}))
     v = validate.validate_batches(e)
-    return v.groupBy("batch_id").agg(F.count_if(F.col("code") == "MIXED_TENANT").alias("refused"), F.countDistinct("source").alias("sources"))
+    mixed = F.col("code") == "MIXED_TENANT"
+    return v.groupBy("batch_id").agg(F.count_if(mixed).alias("refused"), F.count_if(mixed & F.col("reason").isNotNull()).alias("rejections"), F.countDistinct("source").alias("sources"))
 
 
 def raw_subject_audit(spark, d):
@@ -49,15 +50,22 @@ def raw_subject_audit(spark, d):
     return r.where(validate.raw_subject(F.col("type"), F.col("subject"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
-def tenant_binding(spark, d):
-    r = _rows(spark, d)
+def _claims(rows):
+    """(batch_id, token_tenant, credential_id, channel_hint) of each request, some of them at odds."""
     b = F.col("batch_id")
-    req = r.select("batch_id", "tenant").distinct()
     cred = F.concat(F.lit("cred_"), F.when(b % 13 == 0, "nobody").otherwise(F.col("tenant")), F.lit("_web_app"))
-    req = req.select("batch_id", F.when(b % 19 == 0, "stranger").when(b % 11 == 0, "tenant_0000").otherwise(F.col("tenant")).alias("token_tenant"), cred.alias("credential_id"), F.when(b % 7 == 0, "MOBILE_APP").alias("channel_hint"))
+    return rows.select("batch_id", "tenant").distinct().select("batch_id", F.when(b % 19 == 0, "stranger").when(b % 11 == 0, "tenant_0000").otherwise(F.col("tenant")).alias("token_tenant"), cred.alias("credential_id"), F.when(b % 7 == 0, "MOBILE_APP").alias("channel_hint"))
+
+
+def _dimensions(spark):
     tenants = spark.createDataFrame([(t,) for t in adapt.TENANTS], "tenant string")
     creds = tenants.crossJoin(spark.createDataFrame([(c,) for c in S.CHANNELS], "channel string")).select(F.concat(F.lit("cred_"), "tenant", F.lit("_"), F.lower("channel")).alias("credential_id"), "tenant", "channel")
-    return tenancy.bind(req, r.select("batch_id", "source"), tenants, creds)
+    return tenants, creds
+
+
+def tenant_binding(spark, d):
+    r = _rows(spark, d)
+    return tenancy.bind(_claims(r), r.select("batch_id", "source"), *_dimensions(spark))
 
 
 def token_budget(spark, d):
@@ -66,7 +74,7 @@ def token_budget(spark, d):
 
 
 def ingest_outcome(spark, d):
-    return validate.outcomes(_verdicts(spark, d)).select("batch_id", "accepted", "rejected", F.array_join(F.transform("rejections", lambda x: F.concat(x["idx"].cast("string"), F.lit(":"), x["code"])), ",").alias("rejections"))
+    return validate.outcomes(_verdicts(spark, d)).select("batch_id", "accepted", "rejected", F.array_join(F.transform("rejections", lambda x: F.concat(x["idx"].cast("string"), F.lit(":"), x["reason"])), ",").alias("rejections"))
 
 
 def request_roundtrip(spark, d):
@@ -79,11 +87,47 @@ def dlq_records(spark, d):
     return dlq.dead_letters(_verdicts(spark, d)).select("id", "source", "type", "batch_id", "index", "reason", "stage")
 
 
+def _ingested(spark, d):
+    """All events through the ingest program, as requests of a tenant and day."""
+    r = _rows(spark, d)
+    at = r.groupBy("batch_id").agg(F.unix_timestamp(F.min("ts").cast("timestamp")).cast("double").alias("at"))
+    requests = adapt.requests(r, long_names=True).join(_claims(r), "batch_id").join(at, "batch_id")
+    return program.ingest(requests, *_dimensions(spark), _keys(spark), _limits(spark), (0.0001, 25.0), max_events=18, max_bytes=2000)
+
+
+def ingest_published(spark, d):
+    """What was published, with the mail decrypted again."""
+    p = _ingested(spark, d).published
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    p = p.select("batch_id", "idx", "key", *[get(k).alias(k) for k in ("source", "id", "type", "sourcechannel", "partitionkey", "keyversion")], get("data.candidate.email_enc").alias("token"), get("data.candidate.user_id").isNull().alias("sealed"))
+    k = _keys(spark).select(F.concat(F.lit("/careers/"), "tenant").alias("source"), "enc_key")
+    aad = crypto.bound_data(F.col("source"), F.col("id"), F.col("type"), F.lit("email"), F.col("keyversion"))
+    p = p.join(F.broadcast(k), "source").withColumn("email", crypto.decrypt_field(F.col("token"), F.col("enc_key"), aad))
+    return p.select("batch_id", F.col("idx").cast("long").alias("idx"), "source", "id", "type", "sourcechannel", "email", "key", (F.col("partitionkey") == F.col("key")).alias("keyed"), "sealed")
+
+
+def ingest_responses(spark, d):
+    r = _ingested(spark, d).responses
+    named = F.array_join(F.transform("rejected", lambda x: F.concat(x["idx"].cast("string"), F.lit(":"), x["reason"])), ",")
+    return r.select("batch_id", "status", "why", "retry_after", "accepted", named.alias("rejected"))
+
+
+def ingest_dead_letters(spark, d):
+    """Every dead letter, written as a record and decoded again."""
+    got = readers.decode_letters(dlq.letter_records(_ingested(spark, d).letters))
+    return got.select("key", "source", "code", "reason", "stage", F.col("index").cast("long").alias("index"), "rejected_source", "rejected_id", "rejected_type", "decoded")
+
+
 def dlq_by_stage(spark, d):
-    v = _verdicts(spark, d)
-    late = v.withColumn("code", F.when(F.col("code").isNull() & (F.octet_length("raw") > 10) & (F.col("event_id") % 29 == 1), "OVERSIZED"))
-    again, ready = dlq.replay_split(dlq.dead_letters(v).unionByName(dlq.dead_letters(late, "encrypt")))
-    return again.groupBy("stage", "source").agg(F.count("*").alias("n")).unionByName(ready.groupBy("stage", "source").agg(F.count("*").alias("n")))
+    return _ingested(spark, d).letters.groupBy("stage", "source").agg(F.count("*").alias("n"))
+
+
+def dlq_replay(spark, d):
+    """Plain letters go through the checks again; sealed ones are published as they are, under their own keys."""
+    plain, sealed = dlq.replay_split(_ingested(spark, d).letters)
+    again = validate.validate_batches(dlq.replayed_elements(plain)).groupBy(F.lit("validate").alias("stage"), F.coalesce("code", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    ready = dlq.replayed_records(sealed).groupBy(F.lit("encrypt").alias("stage"), F.col("key").alias("outcome")).agg(F.count("*").alias("n"))
+    return again.unionByName(ready)
 
 
 def _users(spark, d):
@@ -170,7 +214,7 @@ def limits_summary(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     validate_verdicts, validate_duplicates, validate_batch_limits, mixed_tenant_batches, raw_subject_audit, tenant_binding, token_budget, ingest_outcome, request_roundtrip,
-    dlq_records, dlq_by_stage, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, limits_summary,
+    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_dead_letters, dlq_replay, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, limits_summary,
 )}
 
 _USERS = """u AS (SELECT c_custkey, 'tenant_' || lpad((c_custkey % 20)::VARCHAR, 4, '0') AS tenant, c_name AS name, lower(c_name) || '@example.invalid' AS email,
@@ -188,18 +232,42 @@ f AS (
   FROM f JOIN q ON q.tenant = f.tenant AND q.k = f.k + 1)
 """
 
+_WHY = """r AS (SELECT *, CASE WHEN batch_id % 19 = 0 THEN 'stranger' WHEN batch_id % 11 = 0 THEN 'tenant_0000' ELSE tenant END AS tok, CASE WHEN batch_id % 13 = 0 THEN NULL ELSE tenant END AS ct FROM b),
+w AS (SELECT *, CASE WHEN tok = 'stranger' THEN 'UNKNOWN_TENANT' WHEN ct IS NULL OR ct <> tok THEN 'CREDENTIAL_MISMATCH' WHEN batch_id % 7 = 0 THEN 'CHANNEL_MISMATCH' WHEN tok <> tenant THEN 'SOURCE_MISMATCH' END AS why FROM r)"""
+_PROGRAM = f""",
+b AS (SELECT batch_id, tenant, count(*) AS size, count(*) FILTER (code IS NULL) AS n, floor(epoch(min(ts)))::DOUBLE AS tm FROM ver GROUP BY 1, 2), {_WHY},
+li AS (SELECT * FROM (VALUES ('tenant_0001', 0.0001::DOUBLE, 30.0::DOUBLE), ('tenant_0002', 0.0002, 25.0)) t(tenant, rate, burst)),
+q AS (SELECT w.*, coalesce(rate, 0.0001::DOUBLE) AS rate, coalesce(burst, 25.0::DOUBLE) AS burst, row_number() OVER (PARTITION BY w.tenant ORDER BY tm, batch_id) AS k FROM w LEFT JOIN li USING (tenant) WHERE size <= 18 AND why IS NULL AND n > 0),
+f AS (
+  SELECT tenant, batch_id, n, tm, k, rate, burst >= n AS allowed, CASE WHEN burst >= n THEN burst - n ELSE burst - floor(burst) END AS tok FROM q WHERE k = 1
+  UNION ALL
+  SELECT q.tenant, q.batch_id, q.n, q.tm, q.k, q.rate, least(q.burst, f.tok + (q.tm - f.tm) * q.rate) >= q.n,
+    CASE WHEN least(q.burst, f.tok + (q.tm - f.tm) * q.rate) >= q.n THEN least(q.burst, f.tok + (q.tm - f.tm) * q.rate) - q.n ELSE least(q.burst, f.tok + (q.tm - f.tm) * q.rate) - floor(least(q.burst, f.tok + (q.tm - f.tm) * q.rate)) END
+  FROM f JOIN q ON q.tenant = f.tenant AND q.k = f.k + 1),
+fates AS (SELECT w.batch_id, CASE WHEN size > 18 THEN 413 WHEN why IS NOT NULL THEN 403 WHEN NOT coalesce(allowed, true) THEN 429 ELSE 202 END AS status,
+  CASE WHEN size > 18 THEN 'TOO_MANY_EVENTS' WHEN why IS NOT NULL THEN why WHEN NOT coalesce(allowed, true) THEN 'RATE_LIMITED' END AS why,
+  CASE WHEN size <= 18 AND why IS NULL AND NOT allowed THEN greatest(1, ceil((1 - f.tok) / rate))::BIGINT END AS retry_after FROM w LEFT JOIN f USING (batch_id)),
+fine AS (SELECT ver.* FROM ver JOIN fates USING (batch_id) WHERE status = 202),
+letters AS (SELECT *, 'validate' AS stage FROM fine WHERE code IS NOT NULL
+  UNION ALL SELECT * REPLACE ('OVERSIZED at $[' || idx || ']: exceeds 2000 bytes' AS reason), 'encrypt' FROM fine WHERE code IS NULL AND event_id % 29 = 1)
+"""
+
 SQL = {
     "validate_verdicts": _sql("SELECT source, coalesce(code, 'accepted') AS code, count(*) AS n FROM ver GROUP BY 1, 2"),
     "validate_duplicates": _sql("SELECT batch_id, idx, id FROM ver WHERE code = 'DUPLICATE_ID'"),
     "validate_batch_limits": _sql("SELECT batch_id, CASE WHEN batch_id % 17 <> 3 THEN count(*) END AS n_events, CASE WHEN batch_id % 17 = 3 THEN 'BODY_NOT_A_BATCH' WHEN count(*) > 18 THEN 'TOO_MANY_EVENTS' END AS code FROM ing GROUP BY batch_id"),
-    "mixed_tenant_batches": _sql(", m AS (SELECT event_id // 3 AS batch_id, source, extra OR event_type = 'error' AS bad FROM ing), g AS (SELECT batch_id, count(*) AS n, count(DISTINCT source) AS s, count(DISTINCT CASE WHEN NOT bad THEN source END) AS k FROM m GROUP BY 1) SELECT batch_id, CASE WHEN k > 1 THEN n ELSE 0 END AS refused, s AS sources FROM g"),
+    "mixed_tenant_batches": _sql(", m AS (SELECT event_id // 3 AS batch_id, source, extra OR event_type = 'error' AS bad FROM ing), g AS (SELECT batch_id, count(*) AS n, count(DISTINCT source) AS s, count(DISTINCT CASE WHEN NOT bad THEN source END) AS k FROM m GROUP BY 1) SELECT batch_id, CASE WHEN k > 1 THEN n ELSE 0 END AS refused, (k > 1)::BIGINT AS rejections, s AS sources FROM g"),
     "raw_subject_audit": _sql("SELECT source, count(*) AS n FROM ing WHERE event_type = 'signup' AND event_id % 3 = 0 GROUP BY 1"),
-    "tenant_binding": _sql(", b AS (SELECT DISTINCT batch_id, tenant FROM ing), r AS (SELECT *, CASE WHEN batch_id % 19 = 0 THEN 'stranger' WHEN batch_id % 11 = 0 THEN 'tenant_0000' ELSE tenant END AS tok, CASE WHEN batch_id % 13 = 0 THEN NULL ELSE tenant END AS ct FROM b), w AS (SELECT batch_id, CASE WHEN tok = 'stranger' THEN 'UNKNOWN_TENANT' WHEN ct IS NULL OR ct <> tok THEN 'CREDENTIAL_MISMATCH' WHEN batch_id % 7 = 0 THEN 'CHANNEL_MISMATCH' WHEN tok <> tenant THEN 'SOURCE_MISMATCH' END AS why FROM r) SELECT batch_id, CASE WHEN why IS NULL THEN 200 ELSE 403 END::INT AS status, why FROM w"),
+    "tenant_binding": _sql(f", b AS (SELECT DISTINCT batch_id, tenant FROM ing), {_WHY} SELECT batch_id, CASE WHEN why IS NULL THEN 200 ELSE 403 END::INT AS status, why FROM w"),
     "token_budget": "WITH f AS (SELECT user_id % 5 AS run_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error') SELECT run_id, count(*) FILTER (k > 100) AS refused, count(*) FILTER (k <= 100) AS checked FROM f GROUP BY 1",
-    "ingest_outcome": _sql("SELECT batch_id, count(*) FILTER (code IS NULL) AS accepted, count(*) FILTER (code IS NOT NULL) AS rejected, coalesce(string_agg(idx || ':' || code, ',' ORDER BY idx), '') AS rejections FROM ver GROUP BY 1"),
+    "ingest_outcome": _sql("SELECT batch_id, count(*) FILTER (code IS NULL) AS accepted, count(*) FILTER (code IS NOT NULL) AS rejected, coalesce(string_agg(idx || ':' || reason, ',' ORDER BY idx), '') AS rejections FROM ver GROUP BY 1"),
     "request_roundtrip": _sql("SELECT coalesce(code, 'accepted') AS code, count(*) AS n FROM ver GROUP BY 1"),
-    "dlq_records": _sql("SELECT 'dlq-' || upper(substr(sha256(batch_id || '|' || idx), 1, 20)) AS id, source, 'com.careerpage.career.ingestion-error' AS type, batch_id, idx AS index, code || ' at $[' || idx || ']' AS reason, 'validate' AS stage FROM ver WHERE code IS NOT NULL"),
-    "dlq_by_stage": _sql("SELECT 'validate' AS stage, source, count(*) AS n FROM ver WHERE code IS NOT NULL GROUP BY 2 UNION ALL SELECT 'encrypt', source, count(*) FROM ver WHERE code IS NULL AND event_id % 29 = 1 GROUP BY 2"),
+    "dlq_records": _sql("SELECT 'dlq-' || upper(substr(sha256(batch_id || '|' || idx), 1, 20)) AS id, source, 'com.careerpage.career.ingestion-error' AS type, batch_id, idx AS index, reason, 'validate' AS stage FROM ver WHERE code IS NOT NULL"),
+    "dlq_by_stage": _sql(_PROGRAM + "SELECT stage, source, count(*) AS n FROM letters GROUP BY 1, 2", True),
+    "ingest_published": _sql(f"{_PROGRAM}, k AS (SELECT * FROM (VALUES {_key_values()}) t(tenant, ipad, opad)) SELECT batch_id, idx, source, id, type, 'WEB_APP' AS sourcechannel, user_ref || '@example.invalid' AS email, tenant || '|' || sha256(unhex(opad) || unhex(sha256(unhex(ipad) || user_ref::BLOB))) AS key, true AS keyed, true AS sealed FROM fine JOIN k USING (tenant) WHERE code IS NULL AND event_id % 29 <> 1", True),
+    "ingest_responses": _sql(_PROGRAM + "SELECT f.batch_id, f.status::INT AS status, f.why, f.retry_after, count(*) FILTER (f.status = 202 AND v.code IS NULL AND v.event_id % 29 <> 1) AS accepted, coalesce(string_agg(v.idx || ':' || CASE WHEN v.code IS NULL THEN 'OVERSIZED at $[' || v.idx || ']: exceeds 2000 bytes' ELSE v.reason END, ',' ORDER BY v.idx) FILTER (f.status = 202 AND (v.code IS NOT NULL OR v.event_id % 29 = 1)), '') AS rejected FROM fates f JOIN ver v USING (batch_id) GROUP BY ALL", True),
+    "ingest_dead_letters": _sql(_PROGRAM + "SELECT source AS key, source, split_part(reason, ' ', 1) AS code, reason, stage, idx AS index, source AS rejected_source, id AS rejected_id, type AS rejected_type, true AS decoded FROM letters", True),
+    "dlq_replay": _sql(f"{_PROGRAM}, k AS (SELECT * FROM (VALUES {_key_values()}) t(tenant, ipad, opad)), a AS (SELECT *, CASE WHEN c0 IS NOT NULL THEN c0 WHEN row_number() OVER (PARTITION BY batch_id, source, id, c0 IS NULL ORDER BY idx) > 1 THEN 'DUPLICATE_ID' ELSE 'accepted' END AS outcome FROM letters WHERE stage = 'validate') SELECT stage, outcome, count(*) AS n FROM a GROUP BY 1, 2 UNION ALL SELECT stage, tenant || '|' || sha256(unhex(opad) || unhex(sha256(unhex(ipad) || user_ref::BLOB))), count(*) FROM letters JOIN k USING (tenant) WHERE stage = 'encrypt' GROUP BY 1, 2", True),
     "pseudonyms": f"WITH k AS (SELECT * FROM (VALUES {_key_values()}) t(tenant, ipad, opad)), {_USERS}, h AS (SELECT c_custkey, tenant, sha256(unhex(opad) || unhex(sha256(unhex(ipad) || ('usr_' || c_custkey)::BLOB))) AS p FROM u JOIN k USING (tenant)) SELECT c_custkey, p AS user_id_pseudo, tenant || '|' || p AS key FROM h",
     "decrypt_export": f"WITH {_OPEN} SELECT c_custkey, field, outcome, CASE WHEN outcome = 'ok' THEN CASE field WHEN 'name' THEN name ELSE email END END AS value FROM o",
     "decrypt_audit": f"WITH {_OPEN} SELECT tenant, outcome, count(*) AS n FROM o GROUP BY 1, 2",

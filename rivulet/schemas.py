@@ -27,6 +27,8 @@ TIME_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?
 MAX_BODY_BYTES, MAX_EVENTS, MAX_INGRESS_BYTES, MAX_EVENT_BYTES = 4 << 20, 500, 48 << 10, 64 << 10
 UNKNOWN_SOURCE = "/careers/_unknown"
 DLQ_TYPE = PREFIX + "ingestion-error"
+DLQ_SCHEMA = "https://schema.careerpage.example/dlq/1.0"
+TOPIC_RAW, TOPIC_DLQ = "career.events.raw", "career.events.dlq"
 LABEL_CAP, UNSET, OTHER = 64, "__unset__", "__other__"
 
 _s, _l = T.StringType(), T.LongType()
@@ -37,7 +39,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 CANDIDATE = _struct(**{k: T.DoubleType() if k == "years_of_experience" else _s for k in CANDIDATE_KEYS})
-PAYLOAD = _struct(**{k: _l if k in ("step_number", "time_spent_on_step_ms", "total_application_duration_ms") else T.ArrayType(_s) if k == "recommended_job_ids" else _s for k in PAYLOAD_KEYS})
+PAYLOAD = _struct(**{k: _l if k in ("step_number", "time_spent_on_step_ms", "total_application_duration_ms") else T.ArrayType(_s) if k == "recommended_job_ids" else T.VariantType() if k == "client_metadata" else _s for k in PAYLOAD_KEYS})
 INGRESS_EVENT = _struct(**{k: _l if k == "keyversion" else _s for k in CONTEXT_ATTRIBUTES}, data=_struct(candidate=CANDIDATE, event_payload=PAYLOAD))
 LEDGER = _struct(id=_s, source=_s, type=_s, tenant=_s, user_ref=_s, seq=_l)
 TOPIC = _struct(topic=_s, partition=T.IntegerType(), offset=_l, key=T.BinaryType(), value=T.BinaryType(), timestamp=T.TimestampType())

@@ -47,19 +47,19 @@ def ingress(events: DataFrame) -> DataFrame:
     )
 
 
-def raw_elements(rows: DataFrame) -> DataFrame:
-    """(batch_id, idx, event_id, raw): each event as the JSON that its request carries."""
+def raw_elements(rows: DataFrame, long_names: bool = False) -> DataFrame:
+    """(batch_id, idx, event_id, raw): each event as the JSON that its request carries; with ``long_names`` some candidates have one of 1,500 letters."""
     envelope = [F.lit("1.0").alias("specversion"), "id", "source", "type", "time", F.col("channel").alias("sourcechannel"), "sequence"]
     data = F.struct(
-        F.struct(F.col("user_ref").alias("user_id"), F.concat("user_ref", F.lit("@example.invalid")).alias("email")).alias("candidate"),
+        F.struct(F.col("user_ref").alias("user_id"), F.concat("user_ref", F.lit("@example.invalid")).alias("email"), *([F.when(F.col("event_id") % 29 == 1, F.repeat(F.lit("n"), 1500)).alias("name")] if long_names else [])).alias("candidate"),
         F.struct(F.concat(F.lit("job_"), (F.col("event_id") % 97)).alias("job_id"), F.concat(F.lit("sess_"), "user_id").alias("session_id"), (F.col("event_id") % 5 + 1).alias("step_number")).alias("event_payload"),
     ).alias("data")
     return rows.select("batch_id", "idx", "event_id", F.to_json(F.struct(*envelope, F.when(F.col("extra"), "1").alias("shadow"), data)).alias("raw"))
 
 
-def requests(rows: DataFrame) -> DataFrame:
+def requests(rows: DataFrame, long_names: bool = False) -> DataFrame:
     """(batch_id, body): whole request bodies, elements in order."""
-    e = raw_elements(rows).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("idx", "raw"))).alias("x"))
+    e = raw_elements(rows, long_names).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("idx", "raw"))).alias("x"))
     return e.select("batch_id", F.concat(F.lit("["), F.array_join(F.transform("x", lambda y: y["raw"]), ","), F.lit("]")).alias("body"))
 
 
@@ -107,8 +107,10 @@ ing AS (
   FROM e1),
 v0 AS (
   SELECT *, CASE WHEN extra THEN 'UNKNOWN_ATTRIBUTE' WHEN event_type = 'error' THEN 'SCHEMA' WHEN time = 'yesterday' THEN 'BAD_TIME' WHEN id = '' THEN 'BAD_ID' END AS c0 FROM ing),
-ver AS (
+v1 AS (
   SELECT *, CASE WHEN c0 IS NOT NULL THEN c0 WHEN row_number() OVER (PARTITION BY batch_id, source, id, c0 IS NULL ORDER BY idx) > 1 THEN 'DUPLICATE_ID' END AS code FROM v0),
+ver AS (
+  SELECT *, code || CASE code WHEN 'UNKNOWN_ATTRIBUTE' THEN ' at $[' || idx || ']: shadow' WHEN 'SCHEMA' THEN ' at $.type' WHEN 'BAD_TIME' THEN ' at $.time' ELSE ' at $.id' END AS reason FROM v1),
 led AS (SELECT id, source, type, tenant, user_ref, seq, event_id FROM ing UNION ALL SELECT id, source, type, tenant, user_ref, seq, event_id FROM ing WHERE event_id % 101 = 3),
 t0 AS (
   SELECT id, source, type, user_ref, event_id, (user_id % 12)::INT AS part,

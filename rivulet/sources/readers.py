@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import text
 
 WEBHOOK_KEYS = ["partner", "external_application_id", "career_site_id", "job_id", "referrer_url", "utm_source", "utm_medium", "occurred_at", "applicant"]
 
@@ -40,6 +41,18 @@ def decode_events(records: DataFrame, value: str = "value") -> DataFrame:
     return got.select(*[c for c in records.columns if c not in ("source", "id", "type", "seq", "decoded")], "_e.source", "_e.id", "_e.type", F.trim("_e.sequence").try_cast("bigint").alias("seq"), ok.alias("decoded"))
 
 
+def decode_letters(records: DataFrame) -> DataFrame:
+    """Dead letters (key, value) as rows: source, code, reason, stage, index, and source, id and type of what was rejected.
+
+    The latter are null where the payload does not hold them as texts; ``decoded`` is false where the value is no dead letter.
+    """
+    context = S._struct(reason=S._s, stage=S._s, index=S._l)
+    e = records.withColumn("_e", F.from_json("value", S._struct(source=S._s, id=S._s, type=S._s, data=S._struct(original_payload=S._s, error_context=context))))
+    payload, ok = F.col("_e.data.original_payload"), F.col("_e.data.error_context.reason").isNotNull() & F.col("_e.source").isNotNull() & (F.col("_e.type") == S.DLQ_TYPE)
+    context = [F.col(f"_e.data.error_context.{k}").alias(k) for k in ("reason", "stage", "index")]
+    return e.select("key", "_e.source", text.code_of(F.col("_e.data.error_context.reason")).alias("code"), *context, *[text.json_text(payload, k).alias(f"rejected_{k}") for k in ("source", "id", "type")], F.coalesce(ok, F.lit(False)).alias("decoded"))
+
+
 def parse_webhooks(calls: DataFrame) -> DataFrame:
     """Partner calls (body) with their fields; ``ok`` is false where a key is unknown or a required one is missing."""
     keys = F.json_object_keys("body")
