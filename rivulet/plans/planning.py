@@ -218,7 +218,7 @@ SELECT tenant, id, request::BIGINT AS request FROM f""",
     "user_sequences": _sql("SELECT source, user_ref, max(sequence) AS last, count(*) AS n FROM ing GROUP BY 1, 2"),
     "injection_plan": "WITH x AS (SELECT 1)" + _PLAN + "SELECT k, slot, variant FROM pl",
     "inject_faults": _sql(_PLAN + ", j AS (SELECT ing.*, variant FROM ing LEFT JOIN pl ON pl.slot = ing.event_id), c AS (SELECT *, count(*) FILTER (variant IS NULL) OVER (PARTITION BY batch_id) AS clean FROM j) SELECT variant, count(*) AS injected, count(*) FILTER (clean = 0) AS appended, count(*) FILTER (variant = 'bad_time' OR time = 'yesterday') AS bad_times FROM c WHERE variant IS NOT NULL GROUP BY 1"),
-    "webhook_fanout": "SELECT o_orderkey, '/careers/tenant_' || lpad((o_custkey % 20)::VARCHAR, 4, '0') AS source, 'src' || (o_custkey % 3) AS utm_source, k, 'com.careerpage.career.' || ['job-viewed', 'application-started', 'application-step-completed', 'application-submitted'][k + 1] AS type FROM orders, range(4) r(k) WHERE o_orderkey % 4 = 0 AND o_orderkey % 12 > 0",
+    "webhook_fanout": "SELECT o_orderkey, '/careers/tenant_' || lpad((o_custkey % 20)::VARCHAR, 4, '0') AS source, 'src' || (o_custkey % 3) AS utm_source, k, 'com.careerpage.career.' || ['job-viewed', 'application-started', 'application-step-completed', 'application-submitted'][k + 1] AS type FROM orders, range(4) r(k) WHERE o_orderkey % 12 > 0",
     "attribution": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(props->>'$.k') AS known FROM events GROUP BY 1",
     "dedup_events": _sql("SELECT source, count(DISTINCT id) AS n FROM ing GROUP BY 1"),
     "sessions": _sql(_S12 + "SELECT user_id, floor(epoch(first_ts))::BIGINT AS start, n, max_step, started, ended FROM ss"),
