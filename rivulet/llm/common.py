@@ -7,7 +7,7 @@ Staging
 
 Hashing
     Work inside tasks is vectorised over slices of about 256 kB of UTF-8, so
-    memory stays flat whatever the batch size.  Words are known by keyed digests of
+    memory stays flat whatever the batch size.  Words are known by 64-bit digests of
     their bytes.  Prefix hashes, for strings of under 512 bytes only, are polynomials
     modulo 2**64 over a table of random odd weights per byte; the difference of two prefix
     values, shifted back by the inverse power, is the hash of the bytes between.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
-import itertools
 import re
 import tempfile
 import uuid
@@ -80,7 +79,15 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     with _cleaned_shuffles(spark):
         # row groups are held in memory until they are full
         df.write.option("compression", codec).option("parquet.block.size", BLOCK_BYTES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later job reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fits_broadcast(df: DataFrame, row_limit: int) -> bool:
@@ -98,7 +105,7 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str, row_limit: int = 1_000_0
     return df.join(right, key, "left_semi")
 
 
-def matched(left: DataFrame, found: DataFrame, key: str, row_limit: int = 1_000_000) -> DataFrame:
+def matched(left: DataFrame, found: DataFrame, key: str, row_limit: int = 100_000) -> DataFrame:
     """``left`` joined with ``found``, which has one line for each value of ``key`` and the number of its ``rows`` in ``left``.
 
     ``found`` is broadcast if a count shows that it is small.  Otherwise only its most frequent keys are, of
@@ -183,11 +190,11 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def _table(blank: Callable[[int], bool]) -> bytes:
-    return bytes(32 if blank(b) else b + 32 if 65 <= b <= 90 else b for b in range(256))
+def _table(blank: Callable[[int], bool]) -> np.ndarray:
+    return np.array([32 if blank(b) else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-#: For ``bytes.translate``: lower case, and blanks for space and the controls from tab to carriage return,
+#: Bytes of words: lower case, and blanks for space and the controls from tab to carriage return,
 #: or for all but letters, digits, underscores and bytes of longer characters.
 SPACED = _table(lambda b: b == 32 or 9 <= b <= 13)
 PLAIN = _table(lambda b: not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b == 95 or b >= 128))
@@ -227,33 +234,51 @@ def span_hash(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((p[b] - p[a]) * down[a] + b.astype(np.uint64) - a.astype(np.uint64))
 
 
-class Digests(dict):
-    """64-bit keyed digests of words by their bytes; short words are kept between calls, up to a bound."""
-
-    MOST, LONGEST = 1 << 16, 32
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = h
-        return h
-
+def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes under ``table``, start, end, row) of each maximal run of bytes within a row that ``table`` does not make blank."""
+    low = table[data]
+    n = len(low)
+    if not n:
+        return low, *[np.zeros(0, np.int64)] * 3
+    solid = low != 32
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = offs[(offs > 0) & (offs < n)]
+    first[inner] = solid[inner]
+    last[inner - 1] = solid[inner - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return low, start, end, np.searchsorted(offs, start, "right") - 1
 
-_digests = Digests()
 
+#: Longer words are digested one by one.
+_LONG_WORD = 64
+_EIGHT = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
-def words(col: pa.Array, table: bytes = SPACED) -> tuple[list[bytes], np.ndarray]:
-    """(lower-cased words of all rows, word offsets by row); ``table`` turns separators into blanks."""
-    found = [(raw or b"").translate(table).split() for raw in col.cast(pa.large_binary()).to_pylist()]
-    return list(itertools.chain.from_iterable(found)), np.concatenate([[0], np.cumsum([len(w) for w in found], dtype=np.int64)]).astype(np.int64)
 
+def word_hashes(col: pa.Array, table: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each lower-cased word, word offsets by row).
 
-def word_hashes(col: pa.Array, table: bytes = SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """(digest of each lower-cased word, word offsets by row)."""
-    flat_words, offs = words(col, table)
-    return np.fromiter(map(_digests.__getitem__, flat_words), np.uint64, len(flat_words)), offs
+    Eight bytes at a time go through a bijection, so words of up to eight bytes never collide with
+    others of their length; no string has structure that longer ones could collide by.
+    """
+    data, offs = flat(col)
+    low, start, end, row = words(data, offs, table)
+    size = end - start
+    h = mix(size.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(1))
+    low8 = np.concatenate([low, np.zeros(8, np.uint8)])
+    at = np.arange(8)
+    live = np.flatnonzero(size <= _LONG_WORD)
+    done = 0
+    while len(live):
+        left = size[live] - done
+        chunk = np.ascontiguousarray(low8[(start[live] + done)[:, None] + at]).view(np.uint64).ravel() & _EIGHT[np.minimum(left, 8)]
+        h[live] = mix(h[live] ^ chunk)
+        done += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > _LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(row, np.arange(len(offs)))
 
 
 def shingle_hashes(wh: np.ndarray, woffs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

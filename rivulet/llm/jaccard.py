@@ -8,8 +8,9 @@ ones, k growing with the frequency; candidates are then verified on whole texts.
 Tokens are ordered by frequency, rare ones first.  Let a set of n tokens share
 ``a`` of them at least with a similar one of m.  The first shared token has a place of
 at most ``n - a + 1`` in both.  If it is rare, the single index finds the pair.  If
-not, all shared tokens are frequent, and at most ``n + m - 2a`` others lie between
-them, so that among the first ``(n + m - 2a + 1)(k - 1) + 1`` shared ones some k stand
+not, all shared tokens are frequent, and the first two of them have places of at most ``n - a + 1``
+and ``n - a + 2``: small sets are indexed by any two tokens at such places.  For large sets
+these would be many.  But at most ``n + m - 2a`` others lie between the shared tokens, so that among the first ``(n + m - 2a + 1)(k - 1) + 1`` shared ones some k stand
 side by side in both orders: the index of k neighbours finds the pair, with
 prefixes that are longer by as much and as many entries as the prefix has tokens.
 
@@ -26,7 +27,7 @@ How groups stay small:
 * a set with more rare tokens than similar ones may lack has no frequent entry,
   and entries carry how many tokens can still be shared, which joins check.
 
-All of it is exact but for digests: words are known by keyed digests, sets by
+All of it is exact but for digests: words are known by 64-bit digests, sets by
 digests of 128 bits.  A token's class depends on the token alone, and links are only ever accepted by
 comparing whole sets.
 """
@@ -44,8 +45,12 @@ from . import common
 
 #: Tokens found in this many components are indexed with their neighbours: k grows by one each time their number grows eightfold.
 FREQUENT, GROWTH, MOST_K = 8, 8, 4
+#: Pairs whose smaller set has at most so many tokens meet by any two tokens of their prefixes, larger ones by k neighbours.
+SMALL = 160
 #: Min-hash bands that name the buckets of the first links, values in each, and leaders of a bucket.
 BANDS, BAND_VALUES, LEADERS = 5, 4, 8
+#: Tokens of one component beyond those that a similar set may lack.
+SLACK = 4
 ID_LIMIT = 1_000_000
 
 
@@ -53,7 +58,11 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     h, at = common.shingle_hashes(*common.word_hashes(texts), n)
     h = h.view(np.int64)
-    return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        s = np.sort(h[a:b])
+        out.append(s[np.append(True, s[1:] != s[:-1])] if b > a else s)
+    return out
 
 
 _TURN = np.random.default_rng(11).integers(1, 1 << 63, BANDS * BAND_VALUES, np.uint64) | np.uint64(1)
@@ -75,6 +84,20 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
     return h.T.view(np.int64)
 
 
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """256 bits per set: the parity of its tokens by hash.  Two sets differ in as many tokens as bits at least."""
+    out = np.zeros((len(sets), 256), np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((common.mix(s.view(np.uint64) ^ np.uint64(BANDS)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+def _near(num: int, den: int, other: str = "2") -> Column:
+    """Over n_sh and bits, and the same with ``other`` at their ends: the bits allow for the threshold."""
+    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col(f"bits{other}")[k])) for k in range(1, 4)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col(f"bits{other}")[0])))
+    return F.lit(den + num) * apart <= F.lit(den - num) * (F.col("n_sh") + F.col(f"n_sh{other}"))
+
+
 def _node(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -89,7 +112,7 @@ def _spare(n: Column, num: int, den: int) -> Column:
 
 
 def token_sets(docs: DataFrame, n: int, num: int, den: int, whole: bool = False) -> DataFrame:
-    """(doc_id, node, n_sh, bands, toks): node identifies the set; toks are its least hashes, all of them if ``whole``."""
+    """(doc_id, node, n_sh, bands, bits, toks): node identifies the set; toks are its least hashes, all of them if ``whole``."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = _sets(part.column(1), n)
@@ -97,9 +120,10 @@ def token_sets(docs: DataFrame, n: int, num: int, den: int, whole: bool = False)
         most = size if whole else np.minimum(size, (spare(size, num, den) + 1) * 3 // 2 + 8)
         toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(np.concatenate([s[:m] for s, m in zip(sets, most, strict=True)])))
         bands = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(_bands(sets)).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        return pa.record_batch({"doc_id": part.column(0), "node": pa.array([_node(s) for s in sets], pa.binary()), "n_sh": size, "bands": bands, "toks": toks})
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(_bits(sets).ravel()), 4).cast(pa.list_(pa.int64()))
+        return pa.record_batch({"doc_id": part.column(0), "node": pa.array([_node(s) for s in sets], pa.binary()), "n_sh": size, "bands": bands, "bits": bits, "toks": toks})
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node binary, n_sh long, bands array<long>, toks array<long>")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node binary, n_sh long, bands array<long>, bits array<long>, toks array<long>")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -154,23 +178,24 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
 
     Rows that repeat a doc_id count as linked only if ``by_id``.
     """
-    t1 = common.stage(token_sets(docs, n, num, den), "tokens")
+    made = common.stage(token_sets(docs, n, num, den), "tokens")
+    t1 = common.stage(made.select("doc_id", "node", "n_sh"), "rows")
     rows = t1.where("n_sh > 0 and doc_id is not null").select("doc_id", "node", "n_sh")
     # small numbers stand for sets from here on; staged, they stay the same
     classes = common.stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_sh").alias("n_sh")).withColumn("nid", F.monotonically_increasing_id()), "classes")
-    chosen = t1.where("n_sh > 0 and doc_id is not null").join(classes.select("node", F.col("rep").alias("doc_id"), "nid"), ["doc_id", "node"])
-    chosen = common.stage(chosen.dropDuplicates(["doc_id", "node"]).select("nid", "n_sh", "bands", "toks"), "sets")
+    chosen = made.where("n_sh > 0").join(classes.select("node", F.col("rep").alias("doc_id"), "nid"), ["doc_id", "node"])
+    chosen = common.stage(chosen.dropDuplicates(["doc_id", "node"]).select("nid", F.col("n_sh").cast("int").alias("n_sh"), "bands", "bits", "toks"), "sets")
+    common.unstage(made)
 
     # stars: every member of a bucket meets its few leaders; other ones lead in each band
-    band = chosen.where("n_sh > 1").select("nid", "n_sh", F.posexplode("bands").alias("b", "key"))
+    band = chosen.where("n_sh > 1").select("nid", "n_sh", "bits", F.posexplode("bands").alias("b", "key"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("nid", "b"), "nid"))
-    lead = band.withColumn("at", place).where(F.col("at") <= LEADERS).select("key", F.col("nid").alias("nid2"), F.col("n_sh").alias("n_sh2"))
+    lead = band.withColumn("at", place).where(F.col("at") <= LEADERS).select("key", *[F.col(c).alias(f"{c}2") for c in ("nid", "n_sh", "bits")])
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
-    stars = band.join(lead, "key").where((F.col("nid") != F.col("nid2")) & fits).select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"))
+    stars = band.join(lead, "key").where((F.col("nid") != F.col("nid2")) & fits & _near(num, den)).select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"))
     links = verified(stars, classes, docs, n, num, den)
-    linked = common.connected_components(links)
-    firsts = chosen.select("nid", F.col("n_sh").cast("int").alias("n_sh"), "toks").join(linked.select(F.col("node").alias("nid"), "component"), "nid", "left")
-    firsts = common.stage(firsts.select("nid", F.coalesce("component", "nid").alias("cid"), "n_sh", "toks"), "firsts")
+    linked = common.stage(common.connected_components(links).select(F.col("node").alias("nid"), "component"), "linked")
+    firsts = chosen.join(linked, "nid", "left").select("nid", F.coalesce("component", "nid").alias("cid"), "n_sh", "toks")
 
     # tokens of several components among the least ones of each set
     tok = firsts.select("nid", "cid", F.explode("toks").alias("token"))
@@ -192,8 +217,8 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
     if more:
         for x in more:
             links = links.unionByName(x)
-        linked = common.connected_components(links)
-    comps = classes.join(linked.select(F.col("node").alias("nid"), "component"), "nid", "left").select("node", "rep", F.coalesce("component", "nid").alias("comp"))
+        linked = common.connected_components(links).select(F.col("node").alias("nid"), "component")
+    comps = classes.join(linked, "nid", "left").select("node", "rep", F.coalesce("component", "nid").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_node = comps.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")
     out = t1.select("doc_id", "n_sh", F.when(F.col("doc_id").isNotNull() & (F.col("n_sh") > 0), F.col("node")).alias("node"))
@@ -218,24 +243,31 @@ def index_entries(n: int, tokens: np.ndarray, counts: np.ndarray, num: int, den:
     ``tokens`` are those of several components, in order, and ``counts`` their numbers of components.
     """
     alone, lacked, most_k = n - len(tokens), spare(n, num, den), longest_k(num, den)
-    rare = int(np.searchsorted(counts, FREQUENT))
+    rare, u = int(np.searchsorted(counts, FREQUENT)), tokens.view(np.uint64)
     singles = max(0, min(rare, lacked + 1 - alone))
-    keys = common.mix(tokens[:singles].view(np.uint64) ^ np.uint64(1)).view(np.int64).tolist()
+    keys = common.mix(u[:singles] ^ np.uint64(1)).view(np.int64).tolist()
     out = [(k, n - alone - i) for i, k in enumerate(keys)]
     if alone + rare > lacked or rare == len(tokens):
         return out
+    if n * num <= SMALL * den and most_k > 1:
+        # the first two shared tokens, at their places in the prefix
+        at = np.arange(rare, min(len(tokens), lacked + 2 - alone))
+        i, j = (at[x] for x in np.triu_indices(len(at), 1))
+        key = common.mix(common.mix(np.uint64(2) + u[i]) + u[j])
+        free = np.minimum(n - alone - i, n - alone - j + 1)
+        out += zip(key.view(np.int64).tolist(), free.tolist(), strict=True)
+    if n <= SMALL and most_k > 1:
+        return out
     # others of the largest similar set lie between the shared tokens
     between = den * n // num - n
     last = min(len(tokens), lacked + (between + 1) * (most_k - 1) + 1 - alone)
     k = np.ones(last - rare, np.int64)
     for j in range(1, most_k):
         k += counts[rare:last] >= FREQUENT * GROWTH ** (j - 1)
-    k = np.minimum(k, most_k)
-    u = tokens.view(np.uint64)
     for size in np.unique(k).tolist():
         at = rare + np.flatnonzero(k == size)
         at = at[at + size <= len(tokens)]
-        h = np.full(len(at), size + 1, np.uint64)
+        h = np.full(len(at), size + 2, np.uint64)
         for j in range(size):
             h = common.mix(h + u[at + j])
         free = n - alone - at if size == 1 else np.full(len(at), n - alone - rare)
@@ -252,24 +284,24 @@ def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: Da
     """
     named = weak.join(classes.select("nid", "node", F.col("rep").alias("doc_id")), "nid")
     again = common.semi_by_id(docs.select("doc_id", "text"), named.select("doc_id"), "doc_id", ID_LIMIT)
-    full = token_sets(again, n, num, den, whole=True).select("node", "toks").join(named.select("node", "nid", "cid", "n_sh"), "node")
-    full = common.stage(full.dropDuplicates(["node"]).select("nid", "cid", "n_sh", "toks"), "weak-sets")
+    full = token_sets(again, n, num, den, whole=True).select("node", "bits", "toks").join(named.select("node", "nid", "cid", "n_sh"), "node")
+    full = common.stage(full.dropDuplicates(["node"]).select("nid", "cid", "n_sh", "bits", "toks"), "weak-sets")
     toks = full.select("nid", "cid", F.explode("toks").alias("token"))
     counts = toks.groupBy("token", "cid").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("c"), F.sum("rows").alias("rows"))
     counts = common.stage(counts.where("c > 1"), "counts")
     met = common.matched(toks, counts, "token").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x"))
     # a set with more tokens of its own than a similar one may lack meets no other
-    met = full.select("nid", "cid", "n_sh").join(met, "nid").where(F.col("n_sh") - F.size("x") <= _spare(F.col("n_sh"), num, den))
+    met = full.select("nid", "cid", "n_sh", "bits").join(met, "nid").where(F.col("n_sh") - F.size("x") <= _spare(F.col("n_sh"), num, den))
 
     def entries(part: pa.RecordBatch) -> pa.RecordBatch:
-        x = part.column(3)
+        x = part.column(4)
         at, c, t = np.asarray(x.offsets), np.asarray(x.values.field(0)), np.asarray(x.values.field(1))
         got = [index_entries(size, t[a:b], c[a:b], num, den) for size, a, b in zip(part.column(2).to_pylist(), at[:-1], at[1:], strict=True)]
         row = pa.array(np.repeat(np.arange(part.num_rows), [len(g) for g in got]))
         flat = np.array([e for g in got for e in g], np.int64).reshape(-1, 2)
-        return pa.record_batch([part.column(0).take(row), part.column(1).take(row), part.column(2).take(row), pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32))], names=["nid", "cid", "n_sh", "key", "free"])
+        return pa.record_batch([*[part.column(k).take(row) for k in range(4)], pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32))], names=["nid", "cid", "n_sh", "bits", "key", "free"])
 
-    index = common.stage(common.map_arrow(met.select("nid", "cid", "n_sh", "x"), entries, "nid long, cid long, n_sh int, key long, free int").distinct(), "index")
+    index = common.stage(common.map_arrow(met.select("nid", "cid", "n_sh", "bits", "x"), entries, "nid long, cid long, n_sh int, bits array<long>, key long, free int"), "index")
     # a key of one component links nothing new; nor does an entry whose set is too small or too large for all others of the key
     keys = index.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("n_sh").alias("least"), F.max("free").alias("freest"), F.count("*").alias("rows")).where("lo <> hi").drop("lo", "hi")
     reach = lambda free, size: F.lit(den + num) * free >= F.lit(num) * size
@@ -278,15 +310,19 @@ def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: Da
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
     cross = (F.col("cid") != F.col("cid2")) & fits
     ends = [F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")]
-    twin = index.select("key", F.col("nid").alias("nid2"), F.col("cid").alias("cid2"), F.col("n_sh").alias("n_sh2"), F.col("free").alias("free2"))
-    by_key = index.join(twin, "key").where(cross & reach(F.least("free", "free2"), F.col("n_sh") + F.col("n_sh2")) & F.expr("nid < nid2")).select(*ends)
+    twin = index.select("key", *[F.col(c).alias(f"{c}2") for c in ("nid", "cid", "n_sh", "bits", "free")])
+    by_key = index.join(twin, "key").where(cross & _near(num, den) & reach(F.least("free", "free2"), F.col("n_sh") + F.col("n_sh2")) & F.expr("nid < nid2")).select(*ends)
 
-    # the others' tokens of one component, as arrays until the one exchange by token
+    # a few more of the others' tokens of one component than a similar set may lack; both sides have their rows of tokens as arrays until the exchange
     gone = shared.groupBy("nid").agg(F.collect_set("token").alias("gone"))
     own = firsts.where("n_sh > 1").join(weak.select("nid"), "nid", "left_anti").join(gone, "nid", "left").select("nid", "cid", "n_sh", F.when(F.col("gone").isNull(), F.col("toks")).otherwise(F.array_except("toks", "gone")).alias("own"))
-    other = own.select(F.col("nid").alias("nid2"), F.col("cid").alias("cid2"), F.col("n_sh").alias("n_sh2"), (F.size("own") - _spare(F.col("n_sh"), num, den)).cast("int").alias("least"), F.explode("own").alias("token"))
-    probe = full.select("nid", "cid", "n_sh", F.explode("toks").alias("token"))
-    by_own = other.join(probe, "token").where(cross).groupBy("nid", "nid2").agg(F.count("*").alias("k"), F.first("least").alias("least")).where("k >= least").select(*ends)
+    own = own.withColumn("own", F.slice("own", 1, _spare(F.col("n_sh"), num, den).cast("int") + 1 + SLACK))
+    other = own.select(F.col("nid").alias("nid2"), F.col("cid").alias("cid2"), F.explode("own").alias("token"))
+    probe = full.select("nid", "cid", F.explode("toks").alias("token"))
+    met = other.join(probe, "token").where("cid <> cid2").groupBy("nid", "nid2").agg(F.count("*").alias("k"))
+    met = common.stage(met, "met")
+    sizes = own.select(F.col("nid").alias("nid2"), F.col("n_sh").alias("n_sh2"), (F.size("own") - _spare(F.col("n_sh"), num, den)).alias("least"))
+    by_own = met.join(sizes, "nid2").where("k >= least").join(full.select("nid", "n_sh"), "nid").where(fits).select(*ends)
     return by_key.unionByName(by_own).distinct()
 
 
