@@ -21,7 +21,7 @@ suffixes are sorted only where they can matter:
    with the same ``o`` bytes before the anchor all but the first in
    (document, start) are repeats.
 
-k-grams meet by 64-bit hashes; suffixes, and thereby every repeat, are compared by their bytes.
+k-grams meet by 64-bit hashes; every repeat is confirmed by its bytes, before the anchor and from it on.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from . import common
 LENGTH = 100
 GRAM = 28
 #: Bytes of blocks that a task sorts at once.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 12 << 20
 _BLOCK = "g long, doc_id long, lo int, off int, n int"
 
 
@@ -88,17 +88,6 @@ def blocks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 # --------------------------------------------------------------------------
 # 3. front-coded runs and the tree of losers
 # --------------------------------------------------------------------------
-def front_code(strings: list[bytes]) -> tuple[np.ndarray, bytes]:
-    """(common prefix with the string before, all the rest) of sorted strings."""
-    lcp, rest, last = np.zeros(len(strings), np.int32), [], b""
-    for i, s in enumerate(strings):
-        k = common_prefix(last, s, 0)
-        lcp[i] = k
-        rest.append(s[k:])
-        last = s
-    return lcp, b"".join(rest)
-
-
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix, of which ``known`` bytes are known."""
     n, k = min(len(a), len(b)), known
@@ -119,20 +108,20 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
     return n
 
 
-def front_decode(lcp: np.ndarray, sizes: np.ndarray, rest: bytes) -> list[bytes]:
-    out, at, last = [], 0, b""
+def front_decode(lcp: np.ndarray, sizes: np.ndarray, rest: bytes) -> Iterator[tuple[bytes, int]]:
+    """(string, common prefix with the string before) of a front-coded run, one at a time."""
+    at, last = 0, b""
     for k, n in zip(lcp.tolist(), sizes.tolist(), strict=True):
         e = at + n - k
         last = last[:k] + rest[at:e]
         at = e
-        out.append(last)
-    return out
+        yield last, k
 
 
-def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
-    """(run, place in run, common prefix with the string before) in sorted order.
+def merge_runs(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, int, bytes]]:
+    """(run, common prefix with the string before, string) in sorted order.
 
-    ``runs`` are sorted strings with their common prefixes.  Each node of the tree
+    ``runs`` give sorted strings with their common prefixes.  Each node of the tree
     keeps the loser and its common prefix with the string that won there.  With the
     last winner as the common reference, of two challengers the one with the
     longer common prefix is the smaller; only equal prefixes compare bytes, from there on.
@@ -140,8 +129,9 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
     k = 1
     while k < max(1, len(runs)):
         k *= 2
-    head = [0] * k
-    string = [r[0][0] if i < len(runs) and r[0] else None for i, r in enumerate([*runs, *[([], [])] * (k - len(runs))])]
+    end = (None, 0)
+    runs = [*runs, *[iter(())] * (k - len(runs))]
+    string = [next(r, end)[0] for r in runs]
     prefix = [0] * k
 
     def beats(a: int, b: int) -> bool:
@@ -170,13 +160,8 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 
     win = build(1) if k > 1 else 0
     while string[win] is not None:
-        yield win, head[win], prefix[win]
-        head[win] += 1
-        strings, lcps = runs[win]
-        if head[win] < len(strings):
-            string[win], prefix[win] = strings[head[win]], lcps[head[win]]
-        else:
-            string[win] = None
+        yield win, prefix[win], string[win]
+        string[win], prefix[win] = next(runs[win], end)
         node = (win + k) // 2
         while node:
             if not beats(win, loser[node]):
@@ -213,21 +198,23 @@ def repeated_windows(g: np.ndarray, lcp: np.ndarray, before: np.ndarray, off: np
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        r = rank[at][order]
-        out[at[order[r > r[lead]]], o] = True
+        rows, first, r = at[order], at[order][lead], rank[at][order]
+        later = np.flatnonzero(r > r[lead])
+        same = (before[rows[later], :o] == before[first[later], :o]).all(axis=1)
+        out[rows[later[same]], o] = True
     return out
 
 
 # --------------------------------------------------------------------------
 # the operator
 # --------------------------------------------------------------------------
-def _runs(found: DataFrame, docs: DataFrame, length: int, parts: int) -> DataFrame:
+def _runs(found: DataFrame, docs: DataFrame, length: int, width: int, parts: int) -> DataFrame:
     """Sorted, front-coded runs (bucket, run) of the blocks' suffixes, and repeats (doc_id, start, end) within a run."""
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("g", "lo", "off", "n")).alias("x"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, "doc_id").select("doc_id", "text", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[_Spans] = []
         size = 0
         for batch in batches:
             for part in common.slices(batch):
@@ -239,99 +226,137 @@ def _runs(found: DataFrame, docs: DataFrame, length: int, parts: int) -> DataFra
                 begin = np.repeat(offs[:-1], np.diff(at)) + lo
                 # a row that repeats another's doc_id may be shorter than its blocks
                 fits = np.flatnonzero(begin + n + length - 1 <= np.repeat(offs[1:], np.diff(at)))
-                g, doc, lo, off, n, begin = (v[fits] for v in (g, doc, lo, off, n, begin))
-                held.append((g, doc, lo, off, n, [data[a : a + k + length - 1].tobytes() for a, k in zip(begin.tolist(), n.tolist(), strict=True)]))
-                size += sum(map(len, held[-1][5]))
+                for some in np.array_split(fits, -(-len(fits) // 4096) or 1):
+                    held.append(_Spans(data, *(v[some] for v in (begin, g, doc, lo, off, n)), length, width))
+                    size += held[-1].rows.nbytes
                 if size > RUN_BYTES:
-                    yield from _flush(held, parts, length)
+                    yield from _flush(held, parts, length, width)
                     held, size = [], 0
         if held:
-            yield from _flush(held, parts, length)
+            yield from _flush(held, parts, length, width)
 
     common.small_batches(docs.sparkSession)
     return rows.mapInArrow(run, "bucket long, run binary, doc_id long, start long, end long")
 
 
-def _flush(held: list[tuple], parts: int, length: int) -> Iterator[pa.RecordBatch]:
-    g, doc, lo, off, n = (np.concatenate([h[k] for h in held]) for k in range(5))
-    spans = [s for h in held for s in h[5]]
+class _Spans:
+    """Blocks as rows of bytes that sort as they should: hash of the k-gram, suffix, its size, bytes before the anchor and their number."""
+
+    def __init__(self, data: np.ndarray, begin, g, doc, lo, off, n, length: int, width: int):
+        self.g, self.doc, self.lo, self.off, self.n = g, doc, lo, off, n
+        self.size = 8 + n + length - 1 - off
+        k, longest, last = len(g), length + width - 1, max(0, len(data) - 1)
+        self.rows = np.zeros((k, 8 + longest + 2 + width + 2), np.uint8)
+        if not k:
+            return
+        self.rows[:, :8] = g.view(np.uint64).byteswap().view(np.uint8).reshape(k, 8)
+        at = np.arange(longest, dtype=np.int32)
+        anchor = (begin + off).astype(np.int64)[:, None]
+        self.rows[:, 8 : 8 + longest] = np.where(at < (self.size - 8)[:, None], data[np.minimum(anchor + at, last)], 0)
+        self.rows[:, 8 + longest : 10 + longest] = self.size.astype(">u2").view(np.uint8).reshape(k, 2)
+        at = at[:width]
+        self.rows[:, 10 + longest : 10 + longest + width] = np.where(at < off[:, None], data[np.maximum(anchor - 1 - at, 0)], 0)
+        self.rows[:, -2:] = off.astype(">u2").view(np.uint8).reshape(k, 2)
+
+
+def _flush(held: list[_Spans], parts: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
+    rows, g, doc, lo, off, n, size = (np.concatenate([getattr(h, k) for h in held]) for k in ("rows", "g", "doc", "lo", "off", "n", "size"))
     if not len(g):
         return
+    longest = 8 + length + width - 1
     # the k-gram's hash stands for its bytes: its range splits evenly, and equal k-grams stay together
-    lead = g.view(np.uint64).byteswap().tobytes()
-    suffix = [lead[8 * i : 8 * i + 8] + s[o:] for i, (s, o) in enumerate(zip(spans, off.tolist(), strict=True))]
-    docs_of, starts = doc.tolist(), lo.tolist()
-    head = [s[:o] for s, o in zip(spans, off.tolist(), strict=True)]
-    order = sorted(range(len(g)), key=lambda i: (suffix[i], head[i], docs_of[i], starts[i]))
-    first, again = [], []
-    for i in order:
-        if not first or suffix[i] != suffix[first[-1]] or head[i] != head[first[-1]]:
-            first.append(i)
-        elif (docs_of[i], starts[i]) != (docs_of[first[-1]], starts[first[-1]]):
-            again.append(i)
-    order = first
-    bucket = ((g.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)[order]
-    edge = np.searchsorted(bucket, np.arange(parts + 1))
-    names, runs = [], []
-    for b in np.unique(bucket):
-        o = order[edge[b] : edge[b + 1]]
-        strings = [suffix[i] for i in o]
-        lcp, rest = front_code(strings)
-        size = np.array([len(s) for s in strings], np.int32)
-        heads = [head[i][::-1] for i in o]
-        blob = b"".join([np.int64(len(o)).tobytes(), lcp.astype(np.int16).tobytes(), size.astype(np.int16).tobytes(), doc[o].astype(np.int64).tobytes(), lo[o].astype(np.int32).tobytes(), off[o].astype(np.int16).tobytes(), n[o].astype(np.int16).tobytes(), rest, b"".join(heads)])
-        names.append(int(b))
-        runs.append(zlib.compress(blob, 1))
-    none = lambda k, kind: pa.nulls(k, kind)
+    order = np.lexsort((lo, doc))
+    order = order[np.argsort(rows[order].view(f"S{rows.shape[1]}").ravel(), kind="stable")]
+    rows, g, doc, lo, off, n, size = (v[order] for v in (rows, g, doc, lo, off, n, size))
+    new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    again = np.flatnonzero(~new & ((doc != doc[lead]) | (lo != lo[lead])))
     cols = ["bucket", "run", "doc_id", "start", "end"]
-    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(runs, pa.binary()), *[none(len(names), pa.int64())] * 3], names=cols)
-    if again:
+    if len(again):
         s = lo[again].astype(np.int64)
-        yield pa.record_batch([none(len(again), pa.int64()), none(len(again), pa.binary()), pa.array(doc[again].astype(np.int64)), pa.array(s), pa.array(s + n[again] + length - 1)], names=cols)
-
-
-def _unpack(blob: bytes):
-    raw = zlib.decompress(blob)
-    k = int(np.frombuffer(raw, np.int64, 1)[0])
-    at, cols = 8, []
-    for kind in (np.int16, np.int16, np.int64, np.int32, np.int16, np.int16):
-        cols.append(np.frombuffer(raw, kind, k, at))
-        at += k * np.dtype(kind).itemsize
-    lcp, size, doc, lo, off, n = cols
-    tail = int((size.astype(np.int64) - lcp).sum())
-    return lcp.astype(int), front_decode(lcp, size, raw[at : at + tail]), doc, lo, off.astype(np.int64), n.astype(np.int64), np.frombuffer(raw, np.uint8, int(off.astype(np.int64).sum()), at + tail)
+        yield pa.record_batch([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.binary()), pa.array(doc[again].astype(np.int64)), pa.array(s), pa.array(s + n[again] + length - 1)], names=cols)
+    rows, g, doc, lo, off, n, size = (v[new] for v in (rows, g, doc, lo, off, n, size))
+    bucket = ((g.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    apart = rows[1:, :longest] != rows[:-1, :longest]
+    lcp = np.append(0, np.minimum(np.where(apart.any(axis=1), apart.argmax(axis=1), longest), np.minimum(size[1:], size[:-1])))
+    lcp[edge[:-1]] = 0
+    at = np.arange(longest)
+    runs = []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        rest = rows[a:b, :longest][(at >= lcp[a:b, None]) & (at < size[a:b, None])]
+        heads = rows[a:b, longest + 2 : longest + 2 + width][at[:width] < off[a:b, None]]
+        cut = [lcp.astype(np.int16), size.astype(np.int16), doc.astype(np.int64), lo.astype(np.int32), off.astype(np.int16), n.astype(np.int16)]
+        runs.append(zlib.compress(b"".join([np.int64(b - a).tobytes(), *(v[a:b].tobytes() for v in cut), rest.tobytes(), heads.tobytes()]), 1))
+    none = pa.nulls(len(runs), pa.int64())
+    yield pa.record_batch([pa.array(bucket[edge[:-1]]), pa.array(runs, pa.binary()), none, none, none], names=cols)
+
+
+class _Run:
+    """A run as it was packed: columns, bytes before the anchors, and strings one at a time."""
+
+    def __init__(self, blob: bytes):
+        raw = zlib.decompress(blob)
+        k = int(np.frombuffer(raw, np.int64, 1)[0])
+        at, cols = 8, []
+        for kind in (np.int16, np.int16, np.int64, np.int32, np.int16, np.int16):
+            cols.append(np.frombuffer(raw, kind, k, at))
+            at += k * np.dtype(kind).itemsize
+        lcp, size, self.doc, self.lo, self.off, self.n = cols
+        tail = int((size.astype(np.int64) - lcp).sum())
+        self.strings = front_decode(lcp, size, raw[at : at + tail])
+        self.heads = np.frombuffer(raw, np.uint8, offset=at + tail)
+        self.head_at = np.concatenate([[0], np.cumsum(self.off, dtype=np.int64)])
+
+
+#: Merged blocks that are looked at together; a k-gram with more has all of its blocks at once.
+AT_ONCE = 16_384
 
 
 def _merge(length: int):
     """(doc_id, start, end) of the removed stretches of one bucket."""
-
-    def run(table: pa.Table) -> pa.Table:
-        runs = [_unpack(b.as_py()) for b in table.column("run").combine_chunks()]
-        base = np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])])
-        merged = list(merge_runs([(r[1], r[0].tolist()) for r in runs]))
-        pick = np.array([base[a] + i for a, i, _ in merged])
-        lcp = np.array([k for *_, k in merged]) - 8
-        doc, lo, off, n = (np.concatenate([r[k] for r in runs])[pick] for k in (2, 3, 4, 5))
-        g = np.array([int.from_bytes(runs[a][1][i][:8], "big") for a, i, _ in merged], np.uint64)
+    kind = [("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
+
+    def found(runs: list[_Run], which: list[int], place: list[int], lcp: list[int]) -> pa.Table:
+        which, place, lcp = np.array(which), np.array(place), np.array(lcp) - 8
+        doc, lo, off, n = (np.zeros(len(which), np.int64) for _ in range(4))
+        heads: list = [None] * len(which)
+        for r in np.unique(which).tolist():
+            at, run = np.flatnonzero(which == r), runs[r]
+            i = place[at]
+            doc[at], lo[at], off[at], n[at] = run.doc[i], run.lo[i], run.off[i], run.n[i]
+            for a, k in zip(at.tolist(), i.tolist(), strict=True):
+                heads[a] = run.heads[run.head_at[k] : run.head_at[k + 1]]
         width = int(off.max(initial=0))
-        all_off = np.concatenate([r[4] for r in runs])
-        heads = np.concatenate([r[6] for r in runs])
-        before = np.zeros((len(all_off), width), np.uint8)
-        before[np.arange(width) < all_off[:, None]] = heads
-        place = lo.astype(np.int64) + off
-        order = np.lexsort((place, doc))
-        rank = np.empty(len(pick), np.int64)
-        rank[order] = np.cumsum(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)))
-        hit = repeated_windows(g, lcp, before[pick], off, n, rank, length)
+        before = np.zeros((len(which), width), np.uint8)
+        before[np.arange(width) < off[:, None]] = np.concatenate(heads) if width else 0
+        anchor = lo + off
+        order = np.lexsort((anchor, doc))
+        rank = np.empty(len(which), np.int64)
+        rank[order] = np.cumsum(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(anchor[order]) != 0)))
+        hit = repeated_windows(np.cumsum(lcp < 0), lcp, before, off, n, rank, length)
         i, o = np.nonzero(hit)
-        start = lo[i].astype(np.int64) + off[i] - o
+        start = anchor[i] - o
         order = np.lexsort((start, doc[i]))
         d, s = doc[i][order], start[order]
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + length)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(d)) - 1 if len(d) else first
-        return pa.table({"doc_id": d[first], "start": s[first], "end": s[last] + length})
+        return pa.table([d[first], s[first], s[last] + length], schema=pa.schema(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = [_Run(b.as_py()) for batch in batches for b in batch.column("run")]
+        seen, held = [0] * len(runs), ([], [], [])
+        for r, k, _ in merge_runs([x.strings for x in runs]):
+            if k < 8 and len(held[0]) >= AT_ONCE:
+                yield from found(runs, *held).to_batches()
+                held = ([], [], [])
+            for h, v in zip(held, (r, seen[r], k), strict=True):
+                h.append(v)
+            seen[r] += 1
+        if held[0]:
+            yield from found(runs, *held).to_batches()
 
     return run
 
@@ -340,12 +365,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc_id, start, end): byte stretches, which may overlap, of repeats in ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    counts = blocks(docs, length, gram).groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1")
-    found = common.stage(common.matched(blocks(docs, length, gram), common.stage(counts, "grams"), "g"), "blocks")
+    made = common.stage(blocks(docs, length, gram), "blocks")
+    counts = common.stage(made.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1"), "grams")
+    found = common.stage(common.matched(made, counts, "g"), "found")
+    common.unstage(made)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // 100_000))
-    sorted_ = common.stage(_runs(found, docs, length, parts), "runs", codec="uncompressed")
-    merged = sorted_.where("bucket is not null").select("bucket", "run").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_merge(length), "doc_id long, start long, end long")
-    return sorted_.where("bucket is null").select("doc_id", "start", "end").unionByName(merged)
+    runs = common.stage(_runs(found, docs, length, length - gram + 1, parts), "runs", codec="uncompressed")
+    common.unstage(found)
+    merged = runs.where("bucket is not null").select("bucket", "run").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_merge(length), "doc_id long, start long, end long")
+    return runs.where("bucket is null").select("doc_id", "start", "end").unionByName(merged)
 
 
 def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, text: str = "") -> DataFrame:
