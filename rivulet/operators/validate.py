@@ -69,7 +69,7 @@ def schema_fault() -> Column:
     bad += [(_JOBS, _there(_JOBS) & ~_is(_JOBS, "ARRAY")), (f"{_JOBS}[...]", F.coalesce(F.exists(items, lambda x: F.call_function("schema_of_variant", x) != "STRING"), F.lit(False)))]
     bad += [(f"{_PAYLOAD}.client_metadata", _there(f"{_PAYLOAD}.client_metadata") & ~_is(f"{_PAYLOAD}.client_metadata", "OBJECT"))]
     bad += [("$.data", ~_closed("$.data", ["candidate", "event_payload"])), (_CANDIDATE, ~_closed(_CANDIDATE, S.CANDIDATE_KEYS)), (_PAYLOAD, ~_closed(_PAYLOAD, S.PAYLOAD_KEYS))]
-    bad += [(p, ~_there(f"{p}.{k}")) for p, k in ((_CANDIDATE, "user_id"), (_PAYLOAD, "job_id"), (_PAYLOAD, "session_id"), ("$.data", "candidate"), ("$.data", "event_payload"))]
+    bad += [(p, _there(p) & ~_there(f"{p}.{k}")) for p, k in ((_CANDIDATE, "user_id"), (_PAYLOAD, "job_id"), (_PAYLOAD, "session_id"), ("$.data", "candidate"), ("$.data", "event_payload"))]
     bad += [("$", ~_there(f"$.{k}")) for k in ("specversion", "id", "source", "type", "time", "data")]
     return F.coalesce(*[F.when(c, F.lit(p)) for p, c in bad])
 

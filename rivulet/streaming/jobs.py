@@ -5,29 +5,42 @@ Each takes a streaming frame; state is bounded by a watermark or a time to live.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import dlq, validate
+from ..operators import dlq
+from ..operators.program import Ingested
 
 
-def ingest(elements: DataFrame, published: str, letters: str, checkpoint: str):
-    """Validate a stream of (batch_id, idx, raw): dead letters are written before accepted events.
+def ingest(requests: DataFrame, run: Callable[[DataFrame], Ingested], path: str, checkpoint: str, trigger: dict | None = None):
+    """Run a stream of whole requests through ``run``, the ingest program with its dimensions.
 
-    A failed write fails the micro-batch; ids of dead letters are digests, so a
-    replay writes the same ones.
+    Requests come whole, so that no batch's elements fall into two micro-batches.  Token buckets are full at the start
+    of each micro-batch.
     """
+    write = lambda batch, epoch: write_epoch(run(batch), path, epoch)
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        v = validate.validate_batches(batch)
-        dlq.dead_letters(v).write.mode("append").parquet(letters)
-        v.where("code is null").select("batch_id", "idx", "source", "id", "raw").write.mode("append").parquet(published)
 
-    return elements.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_epoch(got: Ingested, path: str, epoch: int) -> None:
+    """Write ``letters``, then ``published`` and ``responses`` of one micro-batch, each into its folder ``epoch=...``.
+
+    A retried micro-batch overwrites what it wrote before.  A failed write fails the micro-batch, and so does an
+    account that does not balance: each event that a response calls accepted is published, each that it calls rejected is a letter.
+    """
+    spark = got.published.sparkSession
+    tables = {"letters": dlq.letter_records(got.letters), "published": got.published, "responses": got.responses}
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
+    there = {name: spark.read.schema(rows.schema).parquet(f"{path}/{name}/epoch={epoch}") for name, rows in tables.items()}
+    said = there["responses"].agg(F.coalesce(F.sum("accepted"), F.lit(0)), F.coalesce(F.sum(F.size("rejected")), F.lit(0))).first()
+    wrote = there["published"].count(), there["letters"].count()
+    if tuple(said) != wrote:
+        raise RuntimeError(f"epoch {epoch}: responses name {tuple(said)} accepted and rejected events, {wrote} were written")
 
 
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -47,11 +60,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return found.select("user_id", "w.start", F.col("w.end").alias("end"), "n", (F.col("started") & ~F.col("ended")).alias("abandoned"))
 
 
-def ordering_monitor(events: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
+def ordering_monitor(events: DataFrame, keep_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
     """(source, user_ref, violations, unchecked, evicted) per key and micro-batch.
 
-    State is the highest number seen for a key.  A key that is idle for ``keep_ms`` is
-    evicted, which bounds the state by activity instead of by a global count.
+    State is the highest number seen for a key.  A key is evicted once the watermark of ``ts`` is ``keep_ms`` past
+    its last event, so state is bounded by activity, a replay evicts alike, and a bounded stream ends.
     """
 
     def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -59,17 +72,46 @@ def ordering_monitor(events: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
             state.remove()
             yield pd.DataFrame({"source": [key[0]], "user_ref": [key[1]], "violations": [0], "unchecked": [0], "evicted": [1]})
             return
-        high = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["partition", "offset"])
-        late = unchecked = 0
+        high, last = state.get if state.exists else (None, 0)
+        # one key's rows of one micro-batch, which the source's trigger bounds; only four narrow columns are kept
+        rows = pd.concat([b[["partition", "offset", "seq", "ts"]] for b in batches]).sort_values(["partition", "offset"])
+        late_ones = unchecked = 0
         for seq in rows.seq:
             if pd.isna(seq):
                 unchecked += 1
                 continue
-            late += high is not None and seq < high
+            late_ones += high is not None and seq < high
             high = int(seq) if high is None else max(high, int(seq))
-        state.update((high,))
-        state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame({"source": [key[0]], "user_ref": [key[1]], "violations": [int(late)], "unchecked": [unchecked], "evicted": [0]})
+        last = max(last, int(rows.ts.max().timestamp() * 1000))
+        state.update((high, last))
+        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"source": [key[0]], "user_ref": [key[1]], "violations": [int(late_ones)], "unchecked": [unchecked], "evicted": [0]})
+
+    keyed = events.withWatermark("ts", late).groupBy("source", "user_ref")
+    return keyed.applyInPandasWithState(check, "source string, user_ref string, violations long, unchecked long, evicted long", "high long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def abandonment(events: DataFrame, gap_ms: int = 1_800_000, late: str = "10 minutes") -> DataFrame:
+    """(user_id, last, n) of each user who started an application and then was silent for ``gap_ms`` without submitting or saving it.
 
-    return events.groupBy("source", "user_ref").applyInPandasWithState(check, "source string, user_ref string, violations long, unchecked long, evicted long", "high long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    An event-time timer of the last event decides; events behind the watermark are dropped by it and come in no count.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            started, ended, last, n = state.get
+            state.remove()
+            if started and not ended:
+                yield pd.DataFrame({"user_id": [key[0]], "last": [last], "n": [n]})
+            return
+        started, ended, last, n = state.get if state.exists else (False, False, 0, 0)
+        for b in batches:
+            started |= bool((b.type == "application-started").any())
+            ended |= bool(b.type.isin(["application-submitted", "application-draft-saved"]).any())
+            last = max(last, int(b.ts.max().timestamp() * 1000))
+            n += len(b)
+        state.update((started, ended, last, n))
+        state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs() + 1))
+
+    keyed = events.withWatermark("ts", late).groupBy("user_id")
+    return keyed.applyInPandasWithState(follow, "user_id long, last long, n long", "started boolean, ended boolean, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)

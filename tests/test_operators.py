@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,17 +11,46 @@ from pyspark.sql import types as T
 
 from rivulet import schemas as S
 from rivulet.functions import crypto, text
-from rivulet.operators import dlq, faults, metrics, ratelimit, skew, validate
+from rivulet.operators import dlq, faults, metrics, program, ratelimit, skew, validate
 from rivulet.sources import adapt, readers
 from rivulet.streaming import jobs
 
 GOOD = {"specversion": "1.0", "id": "a", "source": "/careers/t_1", "type": S.EVENT_TYPES[0], "time": "2024-01-01T00:00:00Z", "data": {"candidate": {"user_id": "u"}, "event_payload": {"job_id": "j", "session_id": "s"}}}
 
 
-def _codes(spark, events):
+def _verdicts(spark, events):
     rows = [(1, i, e if isinstance(e, str) else json.dumps(e)) for i, e in enumerate(events)]
     v = validate.validate_batches(spark.createDataFrame(rows, "batch_id long, idx long, raw string"))
-    return [r.code for r in v.orderBy("idx").collect()]
+    return [(r.code, r.reason) for r in v.orderBy("idx").collect()]
+
+
+def _codes(spark, events):
+    return [c for c, _ in _verdicts(spark, events)]
+
+
+DATA = {"candidate": {"user_id": "u"}, "event_payload": {"job_id": "j", "session_id": "s"}}
+
+
+@pytest.mark.parametrize("change, reason", [
+    ({"shadow": 1, "another": 2}, "UNKNOWN_ATTRIBUTE at $[0]: another"), ({"id": 5}, "SCHEMA at $.id"), ({"time": "2024-01-01"}, "BAD_TIME at $.time"), ({"source": "/careers/"}, "BAD_SOURCE at $.source"),
+    ({"type": "other"}, "SCHEMA at $.type"), ({"specversion": None}, "SCHEMA at $.specversion"), ({"data": 3}, "SCHEMA at $.data"), ({"data": {}}, "SCHEMA at $.data"),
+    ({"data": DATA | {"candidate": {}}}, "SCHEMA at $.data.candidate"), ({"data": DATA | {"candidate": {"user_id": "u", "age": 3}}}, "SCHEMA at $.data.candidate"),
+    ({"data": DATA | {"event_payload": {"job_id": "j", "session_id": "s", "recommended_job_ids": [1, 2]}}}, "SCHEMA at $.data.event_payload.recommended_job_ids[...]"),
+    ({"data": DATA | {"event_payload": {"job_id": "j", "session_id": "s", "recommended_job_ids": ["1"], "client_metadata": {"a": [1, {"b": None}]}}}}, None),
+    ({"data": DATA | {"event_payload": {"job_id": "j", "session_id": "s", "completion_method": "GUESS"}}}, "SCHEMA at $.data.event_payload.completion_method"),
+    ({"data": DATA | {"event_payload": {"job_id": "j", "session_id": "s", "step_number": "1"}}}, "SCHEMA at $.data.event_payload.step_number"),
+    ({"data": DATA | {"candidate": {"user_id": "u", "years_of_experience": "3", "experience_status": "OLD"}}}, "SCHEMA at $.data.candidate.experience_status"),
+])
+def test_reasons_name_paths(spark, change, reason):
+    assert _verdicts(spark, [GOOD | change])[0][1] == reason
+
+
+def test_one_rejection_for_several_tenants(spark):
+    got = _verdicts(spark, [GOOD, GOOD | {"source": "/careers/t_2"}, "nonsense"])
+    assert got == [("MIXED_TENANT", "MIXED_TENANT: spans more than one tenant"), ("MIXED_TENANT", None), ("MIXED_TENANT", None)]
+    assert _verdicts(spark, ["nonsense", "[1]"])[1] == ("SCHEMA", "SCHEMA at $[1]: not an object")
+    big = GOOD | {"subject": "x" * 70_000}
+    assert _verdicts(spark, [big]) == [("OVERSIZED", "OVERSIZED at $[0]: exceeds 65536 bytes")]
 
 
 @pytest.mark.parametrize("change, code", [
@@ -46,8 +76,13 @@ def test_limits_and_empty_bodies(spark):
     assert validate.batch_limits(df, 5).where("batch_id = 4").first().code == "BODY_TOO_LARGE"
 
 
+ENC, MAC = "4417c2a69bbd29056cd2335c4bdaf848dd60a2d506eb53913adab53cbb31efbc", "e94ec8c9b917dea3a7d691164616b9b9efa37379f8dca894866b14b2363b2fa5"
+
+
 def test_hmac_and_keys(spark):
+    # HKDF-SHA256 with the tenant's name as salt, infos "enc" and "mac"
     enc, mac = crypto.tenant_keys(b"k" * 32, "t")
+    assert (enc.hex(), mac.hex()) == (ENC, MAC)
     k = crypto.key_dimension(spark, b"k" * 32, ["t"])
     got = k.select(crypto.pseudonym(F.lit("usr_1")).alias("p")).first().p
     assert got == hmac.new(mac, b"usr_1", hashlib.sha256).hexdigest() and enc != mac
@@ -104,15 +139,30 @@ def test_ledger_lines_that_do_not_parse(spark, tmp_path):
     assert got.count() == 2 and got.where("_corrupt is not null").count() == 1
 
 
+def _requests(spark):
+    from rivulet.plans import ingest
+
+    r = adapt.ingress(adapt.table(spark, "/root/testdata/sf0.001", "events"))
+    at = r.groupBy("batch_id").agg(F.unix_timestamp(F.min("ts").cast("timestamp")).cast("double").alias("at"))
+    run = lambda b: program.ingest(b, *ingest._dimensions(spark), ingest._keys(spark), ingest._limits(spark), (0.0001, 25.0), max_bytes=2000)
+    return adapt.requests(r, long_names=True).join(ingest._claims(r), "batch_id").join(at, "batch_id"), run
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
-    rows = adapt.ingress(adapt.table(spark, "/root/testdata/sf0.001", "events"))
-    src = str(tmp_path / "in")
-    adapt.raw_elements(rows).write.parquet(src)
-    el = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    jobs.ingest(el, str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination()
-    v = validate.validate_batches(adapt.raw_elements(rows))
-    assert spark.read.parquet(str(tmp_path / "bad")).count() == dlq.dead_letters(v).count()
-    assert spark.read.parquet(str(tmp_path / "ok")).count() == v.where("code is null").count()
+    requests, run = _requests(spark)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    requests.write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    jobs.ingest(stream, run, out, str(tmp_path / "cp")).awaitTermination()
+    got = run(spark.read.parquet(src))
+    keys = lambda x: sorted(map(tuple, x.select("batch_id", "idx", "key").collect()))
+    assert keys(spark.read.parquet(f"{out}/published")) == keys(got.published) and got.published.count() > 100
+    assert spark.read.parquet(f"{out}/letters").count() == got.letters.count() > 20
+    # a retried micro-batch writes the same rows over
+    jobs.write_epoch(got, out, 0)
+    assert keys(spark.read.parquet(f"{out}/published")) == keys(got.published)
+    with pytest.raises(RuntimeError, match="were written"):
+        jobs.write_epoch(program.Ingested(got.published.limit(3), got.letters, got.responses), out, 1)
 
 
 def test_streaming_dedup_and_order(spark, tmp_path):
@@ -122,13 +172,32 @@ def test_streaming_dedup_and_order(spark, tmp_path):
     s = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     for name, df in (("uniq", jobs.deduplicated(s)), ("late", jobs.ordering_monitor(s))):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert spark.table("uniq").count() == top.select("source", "id").distinct().count()
+        assert q.awaitTermination(100)
+    from rivulet.operators import sessions
     from rivulet.operators.reconcile import ordering_violations
 
+    assert spark.table("uniq").count() == sessions.deduplicated(top).count()
     assert spark.table("late").agg(F.sum("violations")).first()[0] == ordering_violations(top).where("late").count()
 
 
+def test_timers_follow_event_time(spark, tmp_path):
+    """Two files, read one after the other: what lies behind the watermark of the first is evicted or abandoned in the second."""
+    src = str(tmp_path / "e")
+    kind = "user_id long, type string, ts timestamp, source string, user_ref string, partition int, offset long, seq long"
+    rows = [[(1, "application-started", "2024-01-01 00:00:00", "s", "a", 0, 0, 5), (2, "application-started", "2024-01-01 00:00:00", "s", "b", 0, 1, 1), (2, "application-submitted", "2024-01-01 00:05:00", "s", "b", 0, 2, 2)], [(3, "job-viewed", "2024-01-01 09:00:00", "s", "c", 0, 3, 1)], [(3, "job-viewed", "2024-01-01 09:01:00", "s", "c", 0, 4, 0)]]
+    for k, part in enumerate(rows):
+        x = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in part], kind).withColumn("ts", F.to_timestamp(F.element_at(F.array(*[F.lit(r[2]) for r in part]), (F.col("offset") - part[0][6] + 1).cast("int"))))
+        x.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    s = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for name, df in (("quiet", jobs.abandonment(s)), ("order", jobs.ordering_monitor(s))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(100)
+    assert [(r.user_id, r.n) for r in spark.table("quiet").collect()] == [(1, 1)]
+    assert {r.user_ref for r in spark.table("order").where("evicted = 1").collect()} == {"a", "b"}
+    assert spark.table("order").agg(F.sum("violations")).first()[0] == 1
+
+
 def test_every_order_becomes_a_webhook(spark):
     from rivulet.plans import planning
 
