@@ -33,6 +33,13 @@ def json_text(raw: Column, key: str) -> Column:
     return F.when(F.call_function("schema_of_variant", v) == "STRING", F.call_function("try_variant_get", v, F.lit("$"), F.lit("string")))
 
 
+def channel_label(channel: Column, metadata: Column) -> Column:
+    """What tells a channel's clients apart, read from its own shape of metadata: page, device model or campaign."""
+    get = lambda path: F.get_json_object(metadata, path)
+    campaign = F.concat_ws("/", get("$.utm_source"), get("$.utm_medium"))
+    return F.when(channel == "MOBILE_APP", get("$.device.model")).when(channel == "THIRD_PARTY_SERVICE", F.when(campaign != "", campaign)).otherwise(get("$.page"))
+
+
 def partition_key(tenant: Column, pseudonym: Column) -> Column:
     return F.concat_ws("|", tenant, pseudonym)
 

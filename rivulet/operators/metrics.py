@@ -24,6 +24,14 @@ def capped_labels(rows: DataFrame, label: str, arrival: str, cap: int = S.LABEL_
     return x.groupBy(F.when(F.col("_named"), F.col(label)).otherwise(S.OTHER).alias(label)).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_named"), 0).otherwise(F.col("n"))).alias("folded"))
 
 
+def scrape_totals(samples: DataFrame, *by: str) -> DataFrame:
+    """(by..., name, value) over the samples of all workers: sums, but the maximum of what is a share of one worker.
+
+    Shares have names that end in ``_utilisation``: four of them add up to no share.
+    """
+    return samples.groupBy(*by, "name").agg(F.when(F.col("name").endswith("_utilisation"), F.max("sample")).otherwise(F.sum("sample")).alias("value"))
+
+
 def histogram(rows: DataFrame, value: Column, edges: list[float]) -> DataFrame:
     """(le, n, cumulative) per bucket, empty ones included; a value falls in the first bucket with value <= le."""
     bounds = F.array(*[F.lit(float(e)) for e in [*edges, float("inf")]])

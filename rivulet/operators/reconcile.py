@@ -23,17 +23,46 @@ def presence(ledger: DataFrame, stored: DataFrame, rejected: DataFrame) -> DataF
     return x.select("source", "id", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("sent", "kept", "refused")))
 
 
-def summary(found: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row of counts and the verdict."""
+def counts(found: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row of the counts that the keys alone give."""
     there, kept, out = F.col("sent") > 0, F.col("kept") > 0, F.col("refused") > 0
     x = found.agg(
         F.sum("sent").alias("ledger_rows"), F.count_if(there).alias("expected"), (F.sum("sent") - F.count_if(there)).alias("ledger_duplicates"),
         F.count_if(there & (kept | out)).alias("accepted"), F.count_if(kept).alias("stored"), (F.sum("kept") - F.count_if(kept)).alias("wire_duplicates"),
         F.count_if(there & ~kept & ~out).alias("missing"), F.count_if(kept & ~there).alias("unexpected"),
     )
-    d = rejected.agg(F.count("*").alias("dlq"))
-    y = x.crossJoin(d)
-    return y.withColumn("verdict", F.when(F.col("expected") == 0, "UNVERIFIED").when((F.col("missing") > 0) | (F.col("unexpected") > 0) | (F.col("wire_duplicates") > 0), "FAIL").otherwise("PASS"))
+    return x.crossJoin(rejected.agg(F.count("*").alias("dlq")))
+
+
+#: What makes a verdict FAIL, in the order in which it is reported; each is a count that has to be 0.
+FAILURES = ["undrained", "undecodable", "missing", "unexpected", "unattributed", "dlq_off", "unknown_codes", "duplicates_off", "ordering_violations", "seq_mismatches", "pseudonym_mismatches"]
+
+
+def summary(ledger: DataFrame, stored: DataFrame, rejected: DataFrame, code: Column, line: str, ends: DataFrame, undecodable: DataFrame, expected_dlq: int | None = None, expected_duplicates: int = 0, pseudonyms: bool = True) -> DataFrame:
+    """One row: all counts, the verdict, and ``failures``, a text for each count that should be 0 and is not.
+
+    The verdict is UNVERIFIED for an empty ledger, whatever else holds.  ``ends`` (partition, drained) and ``undecodable``
+    (n) tell how the topic was read; without ``expected_dlq`` the number of dead letters is not asserted, and
+    without ``pseudonyms`` (columns expected and user_pseudo) these are not measured: null, not 0.
+    All frames are read several times, so stage them.
+    """
+    x = counts(presence(ledger, stored, rejected), rejected)
+    known = code.isin(S.KNOWN_CODES)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [
+        one(ends.where(~F.col("drained")), "undrained"), undecodable.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("undecodable")), one(unattributed(rejected, ledger), "unattributed"),
+        rejected.agg(F.count_distinct(F.when(~known, code)).alias("unknown_codes")),
+        ordering_violations(stored).agg(F.count_if("late").alias("ordering_violations"), F.count_if(F.col("seq").isNull()).alias("ordering_unchecked")),
+        one(sequence_mismatches(ledger, stored, line), "seq_mismatches"),
+        one(pseudonym_mismatches(ledger, stored, line), "pseudonym_mismatches") if pseudonyms else stored.agg(F.lit(None).cast("long").alias("pseudonym_mismatches")),
+    ]
+    for p in parts:
+        x = x.crossJoin(p)  # one row each
+    off = F.abs(F.col("dlq") - F.lit(expected_dlq)) if expected_dlq is not None else F.lit(0)
+    x = x.withColumns({"dlq_off": off.cast("long"), "duplicates_off": F.abs(F.col("wire_duplicates") - expected_duplicates).cast("long")})
+    failures = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in FAILURES]), lambda f: f.isNotNull())
+    x = x.withColumn("failures", failures)
+    return x.withColumn("verdict", F.when(F.col("expected") == 0, "UNVERIFIED").when(F.size("failures") > 0, "FAIL").otherwise("PASS"))
 
 
 def missing(found: DataFrame) -> DataFrame:

@@ -212,9 +212,16 @@ def limits_summary(spark, d):
     return ratelimit.bucket_tallies(ratelimit.token_buckets(_charges(spark, d), _limits(spark), (0.0001, 25.0)), _limits(spark))
 
 
+def decrypt_limited(spark, d):
+    """Decrypt requests by tenant under their own bucket: ten in a row, then ten a second."""
+    c = _users(spark, d).select("tenant", (F.col("c_custkey") / 400).cast("double").alias("at"), F.col("c_custkey").alias("id"), F.lit(1).alias("n"))
+    x = ratelimit.token_buckets(c, _limits(spark).where("tenant = '-'"), (10.0, 10.0))
+    return x.groupBy("tenant").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
+
+
 QUERIES = {f.__name__: f for f in (
     validate_verdicts, validate_duplicates, validate_batch_limits, mixed_tenant_batches, raw_subject_audit, tenant_binding, token_budget, ingest_outcome, request_roundtrip,
-    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_dead_letters, dlq_replay, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, limits_summary,
+    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_dead_letters, dlq_replay, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, decrypt_limited, limits_summary,
 )}
 
 _USERS = """u AS (SELECT c_custkey, 'tenant_' || lpad((c_custkey % 20)::VARCHAR, 4, '0') AS tenant, c_name AS name, lower(c_name) || '@example.invalid' AS email,
@@ -279,6 +286,10 @@ li AS (SELECT * FROM (VALUES ('tenant_0001', 0.0001::DOUBLE, 30.0::DOUBLE), ('te
 q AS (SELECT ch.*, coalesce(rate, 0.00015::DOUBLE) AS rate, coalesce(burst, 10.0::DOUBLE) AS burst, row_number() OVER (PARTITION BY ch.tenant ORDER BY tm, event_id) AS k FROM ch LEFT JOIN li USING (tenant)),
 f AS (SELECT tenant, tm, k, true AS allowed, burst - 1 AS tok FROM q WHERE k = 1
   UNION ALL SELECT q.tenant, q.tm, q.k, least(q.burst, f.tok + (q.tm - f.tm) * q.rate) >= 1, least(q.burst, f.tok + (q.tm - f.tm) * q.rate) - (least(q.burst, f.tok + (q.tm - f.tm) * q.rate) >= 1)::INT FROM f JOIN q ON q.tenant = f.tenant AND q.k = f.k + 1)
+SELECT tenant, count(*) FILTER (allowed) AS allowed, count(*) FILTER (NOT allowed) AS denied FROM f GROUP BY 1""",
+    "decrypt_limited": """WITH RECURSIVE q AS (SELECT 'tenant_' || lpad((c_custkey % 20)::VARCHAR, 4, '0') AS tenant, c_custkey / 400.0::DOUBLE AS tm, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey) AS k FROM customer),
+f AS (SELECT tenant, tm, k, true AS allowed, 9.0::DOUBLE AS tok FROM q WHERE k = 1
+  UNION ALL SELECT q.tenant, q.tm, q.k, least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) >= 1, least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) - (least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) >= 1)::INT FROM f JOIN q ON q.tenant = f.tenant AND q.k = f.k + 1)
 SELECT tenant, count(*) FILTER (allowed) AS allowed, count(*) FILTER (NOT allowed) AS denied FROM f GROUP BY 1""",
     "limits_summary": _sql(_BUCKET + ", t AS (SELECT tenant, sum(CASE WHEN allowed THEN n ELSE 0 END)::BIGINT AS consumed, count(*) FILTER (NOT allowed) AS denied FROM f GROUP BY 1), a AS (SELECT * FROM (VALUES ('tenant_0001'), ('tenant_0002'), ('tenant_9999')) t(tenant)) SELECT tenant, a.tenant IS NOT NULL AS configured, t.tenant IS NOT NULL AS seen, coalesce(consumed, 0)::BIGINT AS consumed, coalesce(denied, 0)::BIGINT AS denied FROM a FULL JOIN t USING (tenant)", True),
 }

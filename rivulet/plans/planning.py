@@ -10,6 +10,7 @@ from ..functions import text
 from ..operators import faults, metrics, reconcile, skew
 from ..operators import sessions as ses
 from ..sources import adapt, readers
+from ..staging import staged
 from .ingest import _rows, _sql, _verdicts
 
 EDGES = [1, 5, 10, 25, 50, 100, 250, 500]
@@ -66,8 +67,12 @@ def gauges(spark, d):
 
 
 def zipf_plan(spark, d):
-    t = spark.createDataFrame([(x, i + 1) for i, x in enumerate(adapt.TENANTS)], "tenant string, rank int")
-    n = adapt.table(spark, d, "orders").count()
+    """The orders' tenants in the order of their orders, and the same number of orders dealt to them by a Zipf law."""
+    name = F.concat(F.lit("tenant_"), F.lpad((F.col("o_custkey") % 20).cast("string"), 4, "0"))
+    t = staged(adapt.table(spark, d, "orders").groupBy(name.alias("tenant")).agg(F.count("*").alias("n")), "tenants")
+    n = t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # one row per tenant
+    t = t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "tenant"))).select("tenant", "rank")
     x = skew.apportion(skew.zipf_shares(t, 1.1), "share", n, "rank")
     return x.where("units > 0").select("tenant", F.round("share", 9).alias("share"), "units", skew.users_needed().alias("users"))
 
@@ -89,6 +94,42 @@ def fingerprint(spark, d):
     return skew.fingerprint(_rows(spark, d), "source", "type", "channel")
 
 
+def fingerprint_overall(spark, d):
+    """One digest of all sources together."""
+    return skew.fingerprint(_rows(spark, d).withColumn("all", F.lit("all")), "all", "source", "type", "channel")
+
+
+def channel_metadata(spark, d):
+    """Events by channel and by what their metadata, of a different shape for each channel, says of the client."""
+    k = (F.col("event_id") % 4).cast("string")
+    web = F.to_json(F.struct(F.concat(F.lit("/page/"), k).alias("page"), F.lit("agent").alias("userAgent")))
+    app = F.to_json(F.struct(F.struct(F.concat(F.lit("model "), k).alias("model")).alias("device")))
+    hook = F.to_json(F.struct(F.concat(F.lit("source"), k).alias("utm_source"), F.lit("cpc").alias("utm_medium")))
+    r = _rows(spark, d).withColumn("metadata", F.when(F.col("event_id") % 37 == 0, "{}").when(F.col("channel") == "WEB_APP", web).when(F.col("channel") == "MOBILE_APP", app).otherwise(hook))
+    return metrics.counters(r.withColumn("label", text.channel_label(F.col("channel"), F.col("metadata"))), "channel", "label")
+
+
+def scrape_totals(spark, d):
+    """Samples of four workers, read from their texts and put together by scrape."""
+    e = adapt.table(spark, d, "events").select(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day"), "event_id", (F.col("user_id") % 4).alias("worker"))
+    w = e.groupBy("day", "worker").agg(F.count("*").alias("n"), F.max(F.col("event_id") % 100).alias("full"))
+    line = F.explode(F.array(*[F.concat(F.lit(f'{name}{{worker="'), "worker", F.lit('"} '), value.cast("string")) for name, value in (("events_total", F.col("n")), ("buffer_utilisation", F.col("full")))]))
+    lines = w.select("day", line.alias("value"))
+    return metrics.scrape_totals(readers.parse_metrics(lines, "day"), "day").select("day", "name", "value")
+
+
+def metric_projection(spark, d):
+    """The four fields that metrics need, parsed from the events' texts alone."""
+    e = adapt.raw_elements(_rows(spark, d)).select(F.from_json("raw", S._struct(**{k: S._s for k in ("source", "type", "sourcechannel", "sequence")})).alias("e"))
+    return metrics.counters(e.select("e.*").withColumnRenamed("sourcechannel", "channel"), "type", "channel")
+
+
+def attribute_audit(spark, d):
+    """Names of top-level attributes, and whether the contract lets an attribute have such a name."""
+    e = adapt.raw_elements(_rows(spark, d)).select(F.explode(F.json_object_keys("raw")).alias("name"))
+    return e.groupBy("name", text.attribute_name_ok(F.col("name")).alias("ok")).agg(F.count("*").alias("n"))
+
+
 def tenant_shards(spark, d):
     """Every event counted in the shard of its tenant; the digest is taken once per tenant."""
     t = _rows(spark, d).groupBy("tenant").agg(F.count("*").alias("n"))
@@ -175,7 +216,7 @@ def validation_failures(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    event_counters, label_cap, size_histogram, bucket_quantiles, scrape_rates, metric_samples, rate_view, gauges, zipf_plan, skew_report, busiest_tenant, max_events_per_user, fingerprint, tenant_shards,
+    event_counters, label_cap, size_histogram, bucket_quantiles, scrape_rates, metric_samples, rate_view, gauges, zipf_plan, skew_report, busiest_tenant, max_events_per_user, fingerprint, fingerprint_overall, channel_metadata, scrape_totals, metric_projection, attribute_audit, tenant_shards,
     request_plan, tenant_batches, user_sequences, injection_plan, inject_faults, webhook_fanout, attribution, dedup_events, sessions, sessions_30_minutes, abandonment, funnel_survival, validation_failures,
 )}
 
@@ -203,11 +244,16 @@ SQL = {
     "metric_samples": "SELECT CASE WHEN event_id % 10 > 0 THEN event_type END AS type, event_id % 10 > 0 AS ok, count(*) AS n, sum(CASE WHEN event_id % 10 > 0 THEN event_id % 7 END)::DOUBLE AS total FROM events GROUP BY 1, 2",
     "rate_view": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) FILTER (event_type <> 'error') AS accepted, count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY 1",
     "gauges": _sql("SELECT part AS partition, max(off) + 1 - floor((max(off) + 1) * 9 / 10.0)::BIGINT AS lag FROM top GROUP BY 1"),
-    "zipf_plan": "WITH n AS (SELECT count(*) AS n FROM orders), t AS (SELECT i AS rank, 'tenant_' || lpad((i - 1)::VARCHAR, 4, '0') AS tenant, pow(i, -1.1) AS p FROM range(1, 21) r(i)), s AS (SELECT *, p / sum(p) OVER () AS share FROM t), x AS (SELECT *, share / sum(share) OVER () * n AS e FROM s, n), y AS (SELECT *, floor(e)::BIGINT AS u, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, rank) AS k, n - sum(floor(e)) OVER () AS l FROM x), z AS (SELECT *, u + (k <= l)::BIGINT AS units FROM y) SELECT tenant, round(share, 9) AS share, units, greatest(50, ceil(units / 625.0))::BIGINT AS users FROM z WHERE units > 0",
+    "zipf_plan": "WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT 'tenant_' || lpad((o_custkey % 20)::VARCHAR, 4, '0') AS tenant, count(*) AS c FROM orders GROUP BY 1), t0 AS (SELECT tenant, row_number() OVER (ORDER BY c DESC, tenant) AS rank FROM o), t AS (SELECT rank, tenant, pow(rank, -1.1) AS p FROM t0), s AS (SELECT *, p / sum(p) OVER () AS share FROM t), x AS (SELECT *, share / sum(share) OVER () * n AS e FROM s, n), y AS (SELECT *, floor(e)::BIGINT AS u, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, rank) AS k, n - sum(floor(e)) OVER () AS l FROM x), z AS (SELECT *, u + (k <= l)::BIGINT AS units FROM y) SELECT tenant, round(share, 9) AS share, units, greatest(50, ceil(units / 625.0))::BIGINT AS users FROM z WHERE units > 0",
     "skew_report": "WITH c AS (SELECT count(*) AS n FROM orders GROUP BY o_custkey), r AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS r, row_number() OVER (ORDER BY n) AS a, count(*) OVER () AS k, sum(n) OVER () AS t FROM c) SELECT max(t)::BIGINT AS units, max(k) AS tenants, round_even(sum(n) FILTER (r <= greatest(1, floor(k * 0.01))) / max(t)::DOUBLE, 4) AS top1_share, round_even(sum(n) FILTER (r <= greatest(1, floor(k * 0.05))) / max(t)::DOUBLE, 4) AS top5_share, max(n) AS busiest, max(n) FILTER (a = k // 2 + 1) AS median, min(n) AS thinnest FROM r",
     "busiest_tenant": _sql("SELECT tenant, count(*) AS n FROM ing GROUP BY 1 ORDER BY n DESC, tenant DESC LIMIT 1"),
     "max_events_per_user": _sql("SELECT source, max(n) AS most FROM (SELECT source, user_ref, count(*) AS n FROM ing GROUP BY 1, 2) GROUP BY 1"),
     "fingerprint": _sql(", c AS (SELECT source, type || '|' || channel || '|' || count(*) AS x FROM ing GROUP BY source, type, channel) SELECT source, sha256(string_agg(x, ';' ORDER BY x)) AS digest FROM c GROUP BY 1"),
+    "fingerprint_overall": _sql(", c AS (SELECT source || '|' || type || '|' || channel || '|' || count(*) AS x FROM ing GROUP BY source, type, channel) SELECT 'all' AS \"all\", sha256(string_agg(x, ';' ORDER BY x)) AS digest FROM c"),
+    "channel_metadata": _sql("SELECT channel, CASE WHEN event_id % 37 = 0 THEN '__unset__' WHEN channel = 'WEB_APP' THEN '/page/' || (event_id % 4) WHEN channel = 'MOBILE_APP' THEN 'model ' || (event_id % 4) ELSE 'source' || (event_id % 4) || '/cpc' END AS label, count(*) AS n FROM ing GROUP BY 1, 2"),
+    "scrape_totals": "WITH w AS (SELECT floor(floor(epoch(ts)) / 86400)::BIGINT AS day, user_id % 4 AS w, count(*) AS n, max(event_id % 100) AS f FROM events GROUP BY 1, 2) SELECT day, 'events_total' AS name, sum(n)::DOUBLE AS value FROM w GROUP BY 1 UNION ALL SELECT day, 'buffer_utilisation', max(f)::DOUBLE FROM w GROUP BY 1",
+    "metric_projection": _sql("SELECT type, channel, count(*) AS n FROM ing GROUP BY 1, 2"),
+    "attribute_audit": _sql("SELECT name, name <> 'data' AS ok, n FROM (SELECT unnest(['specversion', 'id', 'source', 'type', 'time', 'sourcechannel', 'sequence', 'data']) AS name, count(*) AS n FROM ing GROUP BY 1 UNION ALL SELECT 'shadow', count(*) FROM ing WHERE extra) WHERE n > 0"),
     "request_plan": """WITH RECURSIVE e AS (SELECT 'tenant_' || lpad((user_id % 20)::VARCHAR, 4, '0') AS tenant, event_id AS id, CASE WHEN event_id % 41 = 0 THEN 'b' ELSE 'a' END AS channel, event_id % 900 + 100 AS size, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT tenant, id, channel, k, 0 AS request, 1 AS n, size AS total FROM e WHERE k = 1
   UNION ALL SELECT e.tenant, e.id, e.channel, e.k, f.request + (e.channel <> f.channel OR f.n >= 50 OR f.total + e.size > 8000)::INT,

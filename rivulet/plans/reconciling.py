@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, text
 from ..operators import metrics, reconcile
 from ..sources import adapt, readers
+from ..staging import staged
 from .ingest import _MASTER, _key_values, _rows, _sql
 
 
@@ -19,8 +20,29 @@ def _found(spark, d):
     return reconcile.presence(*_sides(spark, d))
 
 
+def _staged_sides(spark, d):
+    """Ledger, topic and dead letters, derived once, with pseudonyms."""
+    r = staged(_rows(spark, d), "events")
+    keys = F.broadcast(crypto.key_dimension(spark, _MASTER, adapt.TENANTS))
+    led = adapt.ledger(r).join(keys, "tenant").withColumn("expected", crypto.pseudonym(F.col("user_ref"))).drop("enc_key", "ipad", "opad")
+    top = adapt.topic(r).withColumn("tenant", text.tenant_of(F.col("source"))).join(keys, "tenant")
+    top = top.withColumn("user_pseudo", crypto.pseudonym(F.when(F.col("event_id") % 73 == 0, F.concat("user_ref", F.lit("?"))).otherwise(F.col("user_ref")))).drop("enc_key", "ipad", "opad")
+    return staged(led, "ledger"), staged(top, "topic"), staged(adapt.dead_letters(r), "letters")
+
+
 def reconcile_summary(spark, d):
-    return reconcile.summary(_found(spark, d), _sides(spark, d)[2])
+    led, top, dead = _staged_sides(spark, d)
+    records = adapt.topic_records(top)
+    broken = readers.decode_events(records).where("not decoded").agg(F.count("*").alias("n"))
+    ends = readers.drained(top, spark.createDataFrame([(p, 10**9 if p == 5 else 1) for p in range(12)], "partition int, end long"))
+    x = reconcile.summary(led, top, dead, text.code_of(F.col("reason")), "event_id", ends, broken, expected_dlq=100)
+    return x.withColumn("failures", F.array_join("failures", "; "))
+
+
+def topic_decoded(spark, d):
+    """Topic values decoded again, the undecodable counted by partition."""
+    x = readers.decode_events(adapt.topic_records(_sides(spark, d)[1]))
+    return x.groupBy("partition").agg(F.count_if("decoded").alias("decoded"), F.count_if(~F.col("decoded")).alias("undecodable"), F.sum(F.when(F.col("decoded"), F.col("seq"))).alias("seq_total"))
 
 
 def reconcile_missing(spark, d):
@@ -146,7 +168,7 @@ def ledger_merge(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    reconcile_summary, reconcile_missing, reconcile_unexpected, reconcile_by_source, reconcile_by_type, unattributed_letters, dlq_by_code, seq_mismatches, pseudonym_mismatches,
+    reconcile_summary, topic_decoded, reconcile_missing, reconcile_unexpected, reconcile_by_source, reconcile_by_type, unattributed_letters, dlq_by_code, seq_mismatches, pseudonym_mismatches,
     partition_offsets, topic_drained, wire_duplicates, ordering_violations, sequence_texts, run_receipt, responses_by_class, held_rate, exact_quantiles, loss_window, flood_isolation, dlq_exactness, ledger_merge,
 )}
 
@@ -168,7 +190,17 @@ def _groups(by: str, r: str) -> str:
 
 
 SQL = {
-    "reconcile_summary": _sql(_KEYS + ", s AS (SELECT sum(sent)::BIGINT AS ledger_rows, count(*) FILTER (sent > 0) AS expected, sum(sent)::BIGINT - count(*) FILTER (sent > 0) AS ledger_duplicates, count(*) FILTER (sent > 0 AND (kept > 0 OR refused > 0)) AS accepted, count(*) FILTER (kept > 0) AS stored, sum(kept)::BIGINT - count(*) FILTER (kept > 0) AS wire_duplicates, count(*) FILTER (sent > 0 AND kept = 0 AND refused = 0) AS missing, count(*) FILTER (kept > 0 AND sent = 0) AS unexpected FROM p) SELECT *, (SELECT count(*) FROM dlq) AS dlq, CASE WHEN missing > 0 OR unexpected > 0 OR wire_duplicates > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s"),
+    "reconcile_summary": _sql(f"""{_KEYS}, s AS (SELECT sum(sent)::BIGINT AS ledger_rows, count(*) FILTER (sent > 0) AS expected, sum(sent)::BIGINT - count(*) FILTER (sent > 0) AS ledger_duplicates, count(*) FILTER (sent > 0 AND (kept > 0 OR refused > 0)) AS accepted, count(*) FILTER (kept > 0) AS stored, sum(kept)::BIGINT - count(*) FILTER (kept > 0) AS wire_duplicates, count(*) FILTER (sent > 0 AND kept = 0 AND refused = 0) AS missing, count(*) FILTER (kept > 0 AND sent = 0) AS unexpected FROM p),
+o AS (SELECT *, max(seq) OVER (PARTITION BY source, user_ref ORDER BY part, off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM top),
+l AS (SELECT source, id, arg_max(seq, event_id) AS es, arg_min(user_ref, event_id) AS u FROM led GROUP BY 1, 2),
+m AS (SELECT count(*) FILTER (seq <> es) AS seq_mismatches, count(*) FILTER (CASE WHEN event_id % 73 = 0 THEN user_ref || '?' ELSE user_ref END <> u) AS pseudonym_mismatches FROM top JOIN l USING (source, id)),
+z AS (SELECT s.*, (SELECT count(*) FROM dlq) AS dlq, 12 - (SELECT count(DISTINCT part) FROM top WHERE part <> 5) AS undrained, (SELECT count(*) FROM top WHERE event_id % 211 = 0) AS undecodable,
+  (SELECT count(*) FROM dlq WHERE rid IS NULL OR NOT EXISTS (SELECT 1 FROM led WHERE led.source = dlq.rsource AND led.id = dlq.rid)) AS unattributed,
+  (SELECT count(DISTINCT code) FROM dlq WHERE code = 'STRANGE') AS unknown_codes, (SELECT count(*) FROM o WHERE seq < high) AS ordering_violations, (SELECT count(*) FROM o WHERE seq IS NULL) AS ordering_unchecked, m.* FROM s, m),
+y AS (SELECT *, abs(dlq - 100) AS dlq_off, abs(wire_duplicates) AS duplicates_off FROM z),
+x AS (SELECT *, concat_ws('; ', {", ".join(f"CASE WHEN {c} > 0 THEN '{c}: ' || {c} END" for c in reconcile.FAILURES)}) AS failures FROM y)
+SELECT *, CASE WHEN failures <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict FROM x"""),
+    "topic_decoded": _sql("SELECT part AS partition, count(*) FILTER (event_id % 211 <> 0) AS decoded, count(*) FILTER (event_id % 211 = 0) AS undecodable, sum(CASE WHEN event_id % 211 <> 0 THEN seq END)::BIGINT AS seq_total FROM top GROUP BY 1"),
     "reconcile_missing": _sql(_KEYS + "SELECT source, id FROM p WHERE sent > 0 AND kept = 0 AND refused = 0"),
     "reconcile_unexpected": _sql(_KEYS + "SELECT source, id FROM p WHERE kept > 0 AND sent = 0"),
     "reconcile_by_source": _groups("source", "rsource"),

@@ -80,6 +80,12 @@ def topic(rows: DataFrame) -> DataFrame:
     return all_.withColumn("offset", (F.row_number().over(w) - 1).cast("long"))
 
 
+def topic_records(top: DataFrame) -> DataFrame:
+    """``topic`` rows as stored records (partition, offset, value); the values of some are cut short."""
+    value = F.to_json(F.struct("source", "id", "type", F.lpad(F.col("seq").cast("string"), 10, "0").alias("sequence")))
+    return top.select("partition", "offset", F.when(F.col("event_id") % 211 == 0, F.substring(value, 1, 25)).otherwise(value).cast("binary").alias("value"))
+
+
 def dead_letters(rows: DataFrame) -> DataFrame:
     """What was rejected: (source, reason, rejected_source, rejected_id, rejected_type)."""
     bad = rows.where("event_id % 7 = 1")

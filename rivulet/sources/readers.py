@@ -61,12 +61,12 @@ def parse_webhooks(calls: DataFrame) -> DataFrame:
     return calls.withColumns(fields | {"candidate_ref": F.get_json_object("body", "$.applicant.candidate_ref")}).withColumn("ok", F.coalesce(known & F.col("career_site_id").isNotNull() & F.col("job_id").isNotNull() & F.col("candidate_ref").isNotNull(), F.lit(False)))
 
 
-def parse_metrics(lines: DataFrame) -> DataFrame:
-    """Samples (name, labels, value) of metric texts; a line that cannot be read has ok = false and a null value, never 0."""
+def parse_metrics(lines: DataFrame, *keep: str) -> DataFrame:
+    """Samples (keep..., name, labels, value) of metric texts; a line that cannot be read has ok = false and a null value, never 0."""
     x = lines.where(F.trim("value") != "").where(~F.col("value").startswith("#"))
     head = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)$"
     number = F.regexp_extract("value", head, 3)
     labels = F.regexp_extract("value", head, 2)
     keys, values = F.regexp_extract_all(labels, F.lit(r'([A-Za-z_][A-Za-z0-9_]*)="'), F.lit(1)), F.regexp_extract_all(labels, F.lit(r'="([^"]*)"'), F.lit(1))
     v = F.when(number.isin("+Inf", "Inf"), F.lit(float("inf"))).otherwise(number.try_cast("double"))
-    return x.select(F.regexp_extract("value", head, 1).alias("name"), F.map_from_arrays(keys, values).alias("labels"), v.alias("sample")).withColumn("ok", (F.col("name") != "") & F.col("sample").isNotNull())
+    return x.select(*keep, F.regexp_extract("value", head, 1).alias("name"), F.map_from_arrays(keys, values).alias("labels"), v.alias("sample")).withColumn("ok", (F.col("name") != "") & F.col("sample").isNotNull())

@@ -230,3 +230,43 @@ def test_no_window_ranks_one_row_per_key(spark):
     capped = metrics.capped_labels(labels, "label", "at", 2)
     assert sorted(map(tuple, capped.collect()), key=repr) == sorted([(None, 1, 0), ("b", 1, 0), (S.OTHER, 3, 3)], key=repr)
     assert "Window" not in capped._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sinks_keep_keys_together_and_report(spark, tmp_path):
+    from rivulet.operators import reconcile
+    from rivulet.sources import sinks
+
+    rows = spark.createDataFrame([(f"k{i % 7}", i, None if i % 5 else "x") for i in range(70)], "key string, n int, note string")
+    records = sinks.as_records(rows, "key")
+    assert json.loads(records.where("value like '%note%'").first().value)["note"] == "x"
+    sinks.publish_files(records, str(tmp_path / "p"), 3)
+    back = spark.read.parquet(str(tmp_path / "p")).withColumn("file", F.input_file_name())
+    assert back.count() == 70 and back.groupBy("key").agg(F.count_distinct("file").alias("f")).where("f > 1").count() == 0
+    for _ in range(2):
+        sinks.append_json(rows.select("key", "n"), str(tmp_path / "ledger"))
+    assert spark.read.json(str(tmp_path / "ledger")).count() == 140
+    led = spark.createDataFrame([("s1", "a", "t", 1, 0), ("s1", "b", "t", 2, 1), ("s2", "a", "t", 1, 2)], "source string, id string, type string, seq long, line long")
+    top = spark.createDataFrame([("s1", "a", "t", "u", 1, 0, 0), ("s1", "b", "t", "u", 2, 0, 1)], "source string, id string, type string, user_ref string, seq long, partition int, offset long")
+    dead = spark.createDataFrame([("s2", "SCHEMA at $.type", "s2", "a", "t")], "source string, reason string, rejected_source string, rejected_id string, rejected_type string")
+    ends, none = readers.drained(top, spark.createDataFrame([(0, 2)], "partition int, end long")), spark.createDataFrame([(0,)], "n long")
+    told = lambda led_, **more: reconcile.summary(led_, top, dead, text.code_of(F.col("reason")), "line", ends, none, pseudonyms=False, **more).first()
+    good = told(led, expected_dlq=1)
+    assert good.verdict == "PASS" and good.failures == [] and good.pseudonym_mismatches is None and (good.accepted, good.stored, good.dlq) == (3, 2, 1)
+    assert told(led, expected_dlq=2).failures == ["dlq_off: 1"] and told(led, expected_duplicates=1).failures == ["duplicates_off: 1"]
+    assert told(led.where("id = 'a'")).failures == ["unexpected: 1"] and told(led.where("id > 'z'")).verdict == "UNVERIFIED"
+    sinks.report(reconcile.counts(reconcile.presence(led, top, dead), dead), reconcile.group_deltas(led, top, dead, "source"), str(tmp_path / "r"), shown=1)
+    assert spark.read.json(str(tmp_path / "r/summary")).first().expected == 3
+    assert spark.read.parquet(str(tmp_path / "r/groups")).count() == 2 and spark.read.json(str(tmp_path / "r/first")).first().group == "s1"
+
+
+def test_letters_that_do_not_decode(spark):
+    x = readers.decode_letters(spark.createDataFrame([("k", '{"source":"/careers/a"}'), ("k", "junk"), ("k", None)], "key string, value string"))
+    assert [r.decoded for r in x.collect()] == [False] * 3
+
+
+def test_tenants_go_to_one_of_the_shards_by_their_digest(spark):
+    from rivulet.plans import planning
+
+    got = planning.tenant_shards(spark, "/root/testdata/sf0.001").collect()
+    assert {r.tenant: r.shard for r in got} == {r.tenant: int.from_bytes(hashlib.blake2b(r.tenant.encode(), digest_size=8).digest(), "big") % 4 for r in got}
+    assert sum(r.n for r in got) == adapt.table(spark, "/root/testdata/sf0.001", "events").count()
