@@ -60,6 +60,18 @@ def corrupt(rows: DataFrame) -> DataFrame:
     })
 
 
+def emitted(rows: DataFrame) -> DataFrame:
+    """What goes out of ``rows`` (with their partners): each row, corrupted if it has a variant, and the clean appended ones.
+
+    A batch without any clean row has no partner to give, so each of its corrupted rows brings its clean self, at the
+    end of the batch: the number of corrupted rows stays exact, and that of clean ones grows.
+    """
+    size = F.count("*").over(Window.partitionBy("batch_id"))
+    last = F.row_number().over(Window.partitionBy("batch_id").orderBy("idx"))
+    more = rows.withColumn("_size", size).where("appended").withColumns({"idx": (F.col("_size") + last - 1).cast(rows.schema["idx"].dataType), "variant": F.lit(None).cast("string")}).drop("_size")
+    return corrupt(rows).unionByName(more.withColumn("extra", F.lit(False)))
+
+
 def request_plan(rows: DataFrame, max_events: int, max_bytes: int) -> DataFrame:
     """``rows`` (tenant, at, id, channel, size) with ``request``: contiguous cuts in order.
 

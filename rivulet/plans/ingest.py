@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import crypto, text
-from ..operators import dlq, program, ratelimit, tenancy, validate
+from ..operators import decrypt, dlq, program, ratelimit, tenancy, validate
 from ..sources import adapt, readers
 
 _MASTER = bytes(range(32))
@@ -212,6 +212,26 @@ def limits_summary(spark, d):
     return ratelimit.bucket_tallies(ratelimit.token_buckets(_charges(spark, d), _limits(spark), (0.0001, 25.0)), _limits(spark))
 
 
+def _answers(spark, d):
+    """One decrypt request per customer, by five operators; some without the key, for strange tenants or with a foreign token."""
+    k, c = _keys(spark), F.col("c_custkey")
+    p = crypto.protect(_users(spark, d).select("tenant", "source", "id", "type", "user_id", "name", "email", "c_custkey"), k)
+    asked = F.element_at(F.array(*map(F.lit, ["name", "email", "salary", "gender"])), (c % 4 + 1).cast("int"))
+    p = p.select(
+        c.alias("request_id"), F.concat(F.lit("op_"), c % 5).alias("actor"), (c % 23 != 0).alias("authorized"), (c / 40).cast("double").alias("at"), F.when(c % 17 == 0, "stranger").otherwise(F.col("tenant")).alias("career_site_id"),
+        "source", F.when(c % 10 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"), "type", asked.alias("field"), "keyversion", F.when(asked == "name", F.col("name_enc")).when(asked == "email", F.col("email_enc")).alias("token"),
+    )
+    return decrypt.answer(p, k, 5.0, 3.0)
+
+
+def decrypt_attempts(spark, d):
+    return _answers(spark, d).select("request_id", F.col("status").cast("int").alias("status"), "reason", "retry_after", "value")
+
+
+def decrypt_audit_rows(spark, d):
+    return decrypt.audit(_answers(spark, d), F.col("at")).drop("at")
+
+
 def decrypt_limited(spark, d):
     """Decrypt requests by tenant under their own bucket: ten in a row, then ten a second."""
     c = _users(spark, d).select("tenant", (F.col("c_custkey") / 400).cast("double").alias("at"), F.col("c_custkey").alias("id"), F.lit(1).alias("n"))
@@ -221,7 +241,7 @@ def decrypt_limited(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     validate_verdicts, validate_duplicates, validate_batch_limits, mixed_tenant_batches, raw_subject_audit, tenant_binding, token_budget, ingest_outcome, request_roundtrip,
-    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_dead_letters, dlq_replay, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, decrypt_limited, limits_summary,
+    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_dead_letters, dlq_replay, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, decrypt_limited, decrypt_attempts, decrypt_audit_rows, limits_summary,
 )}
 
 _USERS = """u AS (SELECT c_custkey, 'tenant_' || lpad((c_custkey % 20)::VARCHAR, 4, '0') AS tenant, c_name AS name, lower(c_name) || '@example.invalid' AS email,
@@ -259,6 +279,13 @@ letters AS (SELECT *, 'validate' AS stage FROM fine WHERE code IS NOT NULL
   UNION ALL SELECT * REPLACE ('OVERSIZED at $[' || idx || ']: exceeds 2000 bytes' AS reason), 'encrypt' FROM fine WHERE code IS NULL AND event_id % 29 = 1)
 """
 
+_ANSWERS = f"""RECURSIVE {_USERS},
+q AS (SELECT c_custkey, 'op_' || (c_custkey % 5) AS op, c_custkey / 40.0::DOUBLE AS tm, row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey) AS k FROM u WHERE c_custkey % 23 <> 0),
+f AS (SELECT c_custkey, op, tm, k, true AS allowed, 2.0::DOUBLE AS tok FROM q WHERE k = 1
+  UNION ALL SELECT q.c_custkey, q.op, q.tm, q.k, least(3.0::DOUBLE, f.tok + (q.tm - f.tm) * 5.0::DOUBLE) >= 1, least(3.0::DOUBLE, f.tok + (q.tm - f.tm) * 5.0::DOUBLE) - (least(3.0::DOUBLE, f.tok + (q.tm - f.tm) * 5.0::DOUBLE) >= 1)::INT FROM f JOIN q ON q.op = f.op AND q.k = f.k + 1),
+a0 AS (SELECT u.*, allowed, tok, ['name', 'email', 'salary', 'gender'][c_custkey % 4 + 1] AS asked FROM u LEFT JOIN f USING (c_custkey)),
+a AS (SELECT *, CASE WHEN c_custkey % 23 = 0 THEN 'UNAUTHORIZED' WHEN NOT allowed THEN 'RATE_LIMITED' WHEN asked = 'salary' THEN 'UNKNOWN_FIELD' WHEN asked = 'gender' THEN 'DECRYPT_FAILED' WHEN c_custkey % 17 = 0 THEN 'UNKNOWN_TENANT' WHEN c_custkey % 10 = 0 THEN 'DECRYPT_FAILED' END AS reason FROM a0)"""
+
 SQL = {
     "validate_verdicts": _sql("SELECT source, coalesce(code, 'accepted') AS code, count(*) AS n FROM ver GROUP BY 1, 2"),
     "validate_duplicates": _sql("SELECT batch_id, idx, id FROM ver WHERE code = 'DUPLICATE_ID'"),
@@ -287,6 +314,8 @@ q AS (SELECT ch.*, coalesce(rate, 0.00015::DOUBLE) AS rate, coalesce(burst, 10.0
 f AS (SELECT tenant, tm, k, true AS allowed, burst - 1 AS tok FROM q WHERE k = 1
   UNION ALL SELECT q.tenant, q.tm, q.k, least(q.burst, f.tok + (q.tm - f.tm) * q.rate) >= 1, least(q.burst, f.tok + (q.tm - f.tm) * q.rate) - (least(q.burst, f.tok + (q.tm - f.tm) * q.rate) >= 1)::INT FROM f JOIN q ON q.tenant = f.tenant AND q.k = f.k + 1)
 SELECT tenant, count(*) FILTER (allowed) AS allowed, count(*) FILTER (NOT allowed) AS denied FROM f GROUP BY 1""",
+    "decrypt_attempts": f"WITH {_ANSWERS} SELECT c_custkey AS request_id, CASE reason WHEN 'UNAUTHORIZED' THEN 401 WHEN 'RATE_LIMITED' THEN 429 WHEN 'UNKNOWN_TENANT' THEN 404 ELSE CASE WHEN reason IS NULL THEN 200 ELSE 400 END END::INT AS status, reason, CASE WHEN reason = 'RATE_LIMITED' THEN greatest(1, ceil((1 - tok) / 5.0::DOUBLE))::BIGINT END AS retry_after, CASE WHEN reason IS NULL THEN CASE asked WHEN 'name' THEN name ELSE email END END AS value FROM a",
+    "decrypt_audit_rows": f"WITH {_ANSWERS}, b AS (SELECT *, CASE reason WHEN 'UNAUTHORIZED' THEN 'denied' WHEN 'RATE_LIMITED' THEN 'rate-limited' WHEN 'UNKNOWN_FIELD' THEN 'rejected' ELSE CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END END AS outcome FROM a), c AS (SELECT *, outcome NOT IN ('denied', 'rate-limited') AS seen FROM b) SELECT c_custkey AS request_id, CASE WHEN outcome = 'ok' THEN 'op_' || (c_custkey % 5) ELSE 'unidentified' END AS actor, CASE WHEN seen THEN CASE WHEN c_custkey % 17 = 0 THEN 'stranger' ELSE tenant END END AS career_site_id, CASE WHEN seen THEN '/careers/' || tenant END AS source, CASE WHEN seen THEN 'ev-' || c_custkey || CASE WHEN c_custkey % 10 = 0 THEN 'x' ELSE '' END END AS event_id, CASE WHEN seen THEN asked END AS field, outcome FROM c",
     "decrypt_limited": """WITH RECURSIVE q AS (SELECT 'tenant_' || lpad((c_custkey % 20)::VARCHAR, 4, '0') AS tenant, c_custkey / 400.0::DOUBLE AS tm, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey) AS k FROM customer),
 f AS (SELECT tenant, tm, k, true AS allowed, 9.0::DOUBLE AS tok FROM q WHERE k = 1
   UNION ALL SELECT q.tenant, q.tm, q.k, least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) >= 1, least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) - (least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) >= 1)::INT FROM f JOIN q ON q.tenant = f.tenant AND q.k = f.k + 1)

@@ -150,14 +150,26 @@ def user_sequences(spark, d):
     return _rows(spark, d).groupBy("source", "user_ref").agg(F.max("sequence").alias("last"), F.count("*").alias("n"))
 
 
-def _injected(spark, d):
-    r = _rows(spark, d)
+def _partnered(spark, d, rate=0.02):
+    r = staged(_rows(spark, d), "events")
     n = r.count()
-    plan = faults.injection_plan(spark, n, skew.injected_total(n, 0.02), 42)
+    plan = faults.injection_plan(spark, n, skew.injected_total(n, rate), 42)
     # the slot is a place in the order of event_id, which may have gaps and repeats
     r = faults.placed(r, "event_id", "ts", "user_id", "event_type", "value")
     x = r.select("batch_id", "idx", "event_id", F.concat(F.lit("ev-"), "event_id").alias("id"), "type", "time", "place").join(plan.select(F.col("slot").alias("place"), "variant"), "place", "left")
-    return faults.corrupt(faults.partners(x))
+    return faults.partners(x)
+
+
+def _injected(spark, d):
+    return faults.corrupt(_partnered(spark, d))
+
+
+def injection_report(spark, d):
+    """What went out at a rate at which some batches have no clean event left."""
+    x = staged(faults.emitted(_partnered(spark, d, 0.3).drop("place")), "emitted")
+    bad = F.col("variant").isNotNull()
+    y = x.agg(F.count_distinct("batch_id").alias("batches"), F.count("*").alias("emitted"), F.count_if(bad).alias("injected"), F.count_if(F.col("appended") & ~bad).alias("appended"))
+    return y.withColumn("rate", F.round(F.col("injected") / F.col("emitted"), 6))
 
 
 def injection_plan(spark, d):
@@ -172,7 +184,7 @@ def inject_faults(spark, d):
 
 def webhook_fanout(spark, d):
     o = adapt.table(spark, d, "orders")
-    js = F.to_json(F.struct(F.lit("board").alias("partner"), F.concat(F.lit("x"), "o_orderkey").alias("external_application_id"), F.concat(F.lit("tenant_"), F.lpad((F.col("o_custkey") % 20).cast("string"), 4, "0")).alias("career_site_id"), F.when(F.col("o_orderkey") % 12 > 0, F.concat(F.lit("job_"), F.col("o_orderkey") % 9)).alias("job_id"), F.concat(F.lit("src"), F.col("o_custkey") % 3).alias("utm_source"), F.struct(F.concat(F.lit("c"), "o_custkey").alias("candidate_ref")).alias("applicant")))
+    js = F.to_json(F.struct(F.lit("board").alias("partner"), F.concat(F.lit("x"), "o_orderkey").alias("external_application_id"), F.concat(F.lit("tenant_"), F.lpad((F.col("o_custkey") % 20).cast("string"), 4, "0")).alias("career_site_id"), F.when(F.col("o_orderkey") % 12 > 0, F.concat(F.lit("job_"), F.col("o_orderkey") % 9)).alias("job_id"), F.lit("https://boards.example.com/jobs/1").alias("referrer_url"), F.concat(F.lit("src"), F.col("o_custkey") % 3).alias("utm_source"), F.lit("cpc").alias("utm_medium"), F.col("o_orderdate").cast("string").alias("occurred_at"), F.struct(F.concat(F.lit("c"), "o_custkey").alias("candidate_ref")).alias("applicant")))
     w = readers.parse_webhooks(o.select("o_orderkey", js.alias("body")))
     kinds = F.array(*[F.struct(F.lit(i).cast("long").alias("k"), F.lit(S.PREFIX + t).alias("type")) for i, t in enumerate(("job-viewed", "application-started", "application-step-completed", "application-submitted"))])
     return w.where("ok").select("o_orderkey", F.concat(F.lit("/careers/"), "career_site_id").alias("source"), "utm_source", F.explode(kinds).alias("e")).select("o_orderkey", "source", "utm_source", "e.k", "e.type")
@@ -217,7 +229,7 @@ def validation_failures(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     event_counters, label_cap, size_histogram, bucket_quantiles, scrape_rates, metric_samples, rate_view, gauges, zipf_plan, skew_report, busiest_tenant, max_events_per_user, fingerprint, fingerprint_overall, channel_metadata, scrape_totals, metric_projection, attribute_audit, tenant_shards,
-    request_plan, tenant_batches, user_sequences, injection_plan, inject_faults, webhook_fanout, attribution, dedup_events, sessions, sessions_30_minutes, abandonment, funnel_survival, validation_failures,
+    request_plan, tenant_batches, user_sequences, injection_plan, inject_faults, injection_report, webhook_fanout, attribution, dedup_events, sessions, sessions_30_minutes, abandonment, funnel_survival, validation_failures,
 )}
 
 _LE = "(SELECT unnest([1, 5, 10, 25, 50, 100, 250, 500, 'inf'::DOUBLE]) AS le)"
@@ -264,6 +276,7 @@ SELECT tenant, id, request::BIGINT AS request FROM f""",
     "user_sequences": _sql("SELECT source, user_ref, max(sequence) AS last, count(*) AS n FROM ing GROUP BY 1, 2"),
     "injection_plan": "WITH x AS (SELECT 1)" + _PLAN + "SELECT k, slot, variant FROM pl",
     "inject_faults": _sql(_PLAN + ", j AS (SELECT ing.*, variant FROM ing LEFT JOIN pl ON pl.slot = ing.event_id), c AS (SELECT *, count(*) FILTER (variant IS NULL) OVER (PARTITION BY batch_id) AS clean FROM j) SELECT variant, count(*) AS injected, count(*) FILTER (clean = 0) AS appended, count(*) FILTER (variant = 'bad_time' OR time = 'yesterday') AS bad_times FROM c WHERE variant IS NOT NULL GROUP BY 1"),
+    "injection_report": _sql(_PLAN.replace("0.02", "0.3") + ", j AS (SELECT ing.*, variant FROM ing LEFT JOIN pl ON pl.slot = ing.event_id), c AS (SELECT *, count(*) FILTER (variant IS NULL) OVER (PARTITION BY batch_id) AS clean FROM j), t AS (SELECT count(DISTINCT batch_id) AS batches, count(variant) AS injected, count(*) FILTER (variant IS NOT NULL AND clean = 0) AS appended, count(*) AS n FROM c) SELECT batches, n + appended AS emitted, injected, appended, round(injected / (n + appended)::DOUBLE, 6) AS rate FROM t"),
     "webhook_fanout": "SELECT o_orderkey, '/careers/tenant_' || lpad((o_custkey % 20)::VARCHAR, 4, '0') AS source, 'src' || (o_custkey % 3) AS utm_source, k, 'com.careerpage.career.' || ['job-viewed', 'application-started', 'application-step-completed', 'application-submitted'][k + 1] AS type FROM orders, range(4) r(k) WHERE o_orderkey % 12 > 0",
     "attribution": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(props->>'$.k') AS known FROM events GROUP BY 1",
     "dedup_events": _sql("SELECT source, count(DISTINCT id) AS n FROM ing GROUP BY 1"),

@@ -42,7 +42,6 @@ CANDIDATE = _struct(**{k: T.DoubleType() if k == "years_of_experience" else _s f
 PAYLOAD = _struct(**{k: _l if k in ("step_number", "time_spent_on_step_ms", "total_application_duration_ms") else T.ArrayType(_s) if k == "recommended_job_ids" else T.VariantType() if k == "client_metadata" else _s for k in PAYLOAD_KEYS})
 INGRESS_EVENT = _struct(**{k: _l if k == "keyversion" else _s for k in CONTEXT_ATTRIBUTES}, data=_struct(candidate=CANDIDATE, event_payload=PAYLOAD))
 LEDGER = _struct(id=_s, source=_s, type=_s, tenant=_s, user_ref=_s, seq=_l)
-TOPIC = _struct(topic=_s, partition=T.IntegerType(), offset=_l, key=T.BinaryType(), value=T.BinaryType(), timestamp=T.TimestampType())
 
 
 def drift(found: T.StructType, declared: T.StructType) -> list[str]:

@@ -9,6 +9,7 @@ from .. import schemas as S
 from ..functions import text
 
 WEBHOOK_KEYS = ["partner", "external_application_id", "career_site_id", "job_id", "referrer_url", "utm_source", "utm_medium", "occurred_at", "applicant"]
+APPLICANT_KEYS = ["candidate_ref", "email_hmac", "email_enc", "phone_enc", "name_enc"]
 
 
 def split_batches(requests: DataFrame) -> DataFrame:
@@ -54,11 +55,16 @@ def decode_letters(records: DataFrame) -> DataFrame:
 
 
 def parse_webhooks(calls: DataFrame) -> DataFrame:
-    """Partner calls (body) with their fields; ``ok`` is false where a key is unknown or a required one is missing."""
+    """Partner calls (body) with their fields; ``ok`` is false where a key is unknown or missing, in the call or in its applicant."""
     keys = F.json_object_keys("body")
-    fields = {k: F.get_json_object("body", f"$.{k}") for k in WEBHOOK_KEYS[:-1]}
-    known = F.size(F.array_except(keys, F.array(*map(F.lit, WEBHOOK_KEYS)))) == 0
-    return calls.withColumns(fields | {"candidate_ref": F.get_json_object("body", "$.applicant.candidate_ref")}).withColumn("ok", F.coalesce(known & F.col("career_site_id").isNotNull() & F.col("job_id").isNotNull() & F.col("candidate_ref").isNotNull(), F.lit(False)))
+    fields_of_call = WEBHOOK_KEYS[:-1]
+    fields = {k: F.get_json_object("body", f"$.{k}") for k in fields_of_call}
+    of_applicant = F.json_object_keys(F.get_json_object("body", "$.applicant"))
+    known = (F.size(F.array_except(keys, F.array(*map(F.lit, WEBHOOK_KEYS)))) == 0) & (F.size(F.array_except(of_applicant, F.array(*map(F.lit, APPLICANT_KEYS)))) == 0)
+    full = F.col("candidate_ref").isNotNull()
+    for k in fields_of_call:
+        full = full & F.col(k).isNotNull()
+    return calls.withColumns(fields | {"candidate_ref": F.get_json_object("body", "$.applicant.candidate_ref")}).withColumn("ok", F.coalesce(known & full, F.lit(False)))
 
 
 def parse_metrics(lines: DataFrame, *keep: str) -> DataFrame:

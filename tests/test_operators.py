@@ -270,3 +270,30 @@ def test_tenants_go_to_one_of_the_shards_by_their_digest(spark):
     got = planning.tenant_shards(spark, "/root/testdata/sf0.001").collect()
     assert {r.tenant: r.shard for r in got} == {r.tenant: int.from_bytes(hashlib.blake2b(r.tenant.encode(), digest_size=8).digest(), "big") % 4 for r in got}
     assert sum(r.n for r in got) == adapt.table(spark, "/root/testdata/sf0.001", "events").count()
+
+
+def test_no_event_of_an_unknown_tenant_passes_unsealed(spark):
+    k = crypto.key_dimension(spark, b"k" * 32, ["t"])
+    rows = spark.createDataFrame([("t", "s", "i", "y", "u", None), ("x", "s", "j", "y", "u", "a@b")], "tenant string, source string, id string, type string, user_id string, email string")
+    good = crypto.protect(rows.where("tenant = 't'"), k).first()
+    assert good.email_enc is None and good.email_hmac is None and len(good.user_id_pseudo) == 64
+    with pytest.raises(Exception, match="no keys for tenant x"):
+        crypto.protect(rows, k).collect()
+
+
+def test_calls_with_foreign_keys_are_refused(spark):
+    call = {k: "x" for k in readers.WEBHOOK_KEYS[:-1]} | {"applicant": {"candidate_ref": "c"}}
+    bodies = [call, call | {"more": 1}, call | {"applicant": {"candidate_ref": "c", "age": 3}}, call | {"applicant": {}}, {k: v for k, v in call.items() if k != "utm_medium"}]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(9, "junk"), (10, None)], "i int, body string")
+    assert [r.i for r in readers.parse_webhooks(df).where("ok").collect()] == [0]
+
+
+def test_an_appended_partner_is_clean(spark):
+    rows = spark.createDataFrame([(1, 0, "a", "t", "now", "duplicate_id"), (1, 1, "b", "t", "now", "bad_time"), (2, 0, "c", "t", "now", None), (2, 1, "d", "t", "now", "duplicate_id")], "batch_id int, idx int, id string, type string, time string, variant string")
+    got = sorted((r.batch_id, r.idx, r.id, r.time, r.variant) for r in faults.emitted(faults.partners(rows)).collect())
+    assert got == sorted([(1, 0, "a", "now", "duplicate_id"), (1, 1, "b", "yesterday", "bad_time"), (1, 2, "a", "now", None), (1, 3, "b", "now", None), (2, 0, "c", "now", None), (2, 1, "c", "now", "duplicate_id")], key=lambda r: r[:3])
+
+
+def test_a_real_frame_against_its_declaration(spark):
+    led = adapt.ledger(adapt.ingress(adapt.table(spark, "/root/testdata/sf0.001", "events")))
+    assert S.drift(led.schema, S.LEDGER) == ["event_id"] and S.drift(led.drop("event_id").schema, S.LEDGER) == []
