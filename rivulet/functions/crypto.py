@@ -76,7 +76,7 @@ def protect(events: DataFrame, keys: DataFrame) -> DataFrame:
     job: tenants are bound before, and nothing may pass unsealed.  Encryption draws a fresh nonce, so write the result once before it is read twice.
     """
     df = events.join(F.broadcast(keys), "tenant", "left")
-    df = df.withColumn("enc_key", F.coalesce("enc_key", F.raise_error(F.concat(F.lit("no keys for tenant "), F.coalesce("tenant", F.lit("(null)")))).cast("binary")))
+    df = df.where(F.assert_true(F.col("enc_key").isNotNull(), F.concat(F.lit("no keys for tenant "), F.coalesce("tenant", F.lit("(null)")))).isNull())
     fields = [f for f in S.PII_FIELDS if f in events.columns]
     aad = {f: bound_data(F.col("source"), F.col("id"), F.col("type"), F.lit(f), F.col("keyversion")) for f in fields}
     made = {f"{f}_enc": encrypt_field(F.col(f), F.col("enc_key"), F.col("keyversion"), aad[f]) for f in fields}
