@@ -37,6 +37,14 @@ def placed(rows: DataFrame, key: str, *ties: str) -> DataFrame:
     return x.withColumn("_at", at).join(F.broadcast(first), "_range").withColumn("place", F.col("_first") + F.col("_at") - 1).drop("_range", "_at", "_first")
 
 
+def checked_total(rows: DataFrame, planned: int) -> DataFrame:
+    """``rows``, if there are as many as the plan was made for; an exact share of another number would be no exact share."""
+    found = rows.count()
+    if found != planned:
+        raise ValueError(f"the plan is for {planned} events, there are {found}")
+    return rows
+
+
 def partners(rows: DataFrame, bad: str = "variant") -> DataFrame:
     """``rows`` (batch_id, idx, id, variant) with the id of a clean partner in the same batch.
 

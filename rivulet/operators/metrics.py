@@ -58,7 +58,7 @@ def bucket_quantile(hist: DataFrame, q: float, by: list[str] = ()) -> DataFrame:
 
 
 def rates(scrapes: DataFrame, counters_: list[str], by: list[str] = ()) -> DataFrame:
-    """Rates per second since the scrape before, with a caveat where none can be told.
+    """Rates per second since the scrape before, with a caveat where none can be told; of accepted and rejected also the error rate.
 
     ``scrapes`` has ``at`` (seconds), ``workers`` and the counters.  The first one is a baseline.
     """
@@ -69,4 +69,8 @@ def rates(scrapes: DataFrame, counters_: list[str], by: list[str] = ()) -> DataF
         fell = fell | (F.col(c) < prev[c])
     caveat = F.when(prev["at"].isNull(), "baseline").when(prev["at"] == F.col("at"), "same time").when(prev["workers"] != F.col("workers"), "workers changed").when(fell, "counter fell")
     out = scrapes.withColumn("caveat", caveat)
+    if {"accepted", "rejected"} <= set(counters_):
+        more = {c: F.col(c) - prev[c] for c in ("accepted", "rejected")}
+        total = more["accepted"] + more["rejected"]
+        out = out.withColumn("error_rate", F.when(F.col("caveat").isNull() & (total > 0), more["rejected"] / total))
     return out.withColumns({f"{c}_per_sec": F.when(F.col("caveat").isNull(), (F.col(c) - prev[c]) / (F.col("at") - prev["at"])) for c in counters_})

@@ -114,5 +114,11 @@ def ordering_violations(stored: DataFrame) -> DataFrame:
     return stored.withColumn("late", F.coalesce(F.col("seq") < F.max("seq").over(w), F.lit(False)))
 
 
+def consumer_lag(ends: DataFrame, committed: DataFrame) -> DataFrame:
+    """(partition, lag) of ``ends`` (partition, end_offset) against ``committed`` (partition, offset), 0 where nothing was committed yet."""
+    x = ends.join(committed.select("partition", F.col("offset").alias("_done")), "partition", "left")
+    return x.select("partition", F.greatest(F.col("end_offset") - F.coalesce("_done", F.lit(0)), F.lit(0)).cast("long").alias("lag"))
+
+
 def partition_ends(stored: DataFrame) -> DataFrame:
     return stored.groupBy("partition").agg(F.count("*").alias("records"), (F.max("offset") + 1).alias("end_offset"))

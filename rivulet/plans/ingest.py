@@ -112,6 +112,12 @@ def ingest_responses(spark, d):
     return r.select("batch_id", "status", "why", "retry_after", "accepted", named.alias("rejected"))
 
 
+def ingest_counters(spark, d):
+    """Requests, accepted and rejected events by status and reason of the whole request."""
+    r = _ingested(spark, d).responses
+    return r.groupBy(F.col("status").cast("int").alias("status"), F.coalesce("why", F.lit(S.UNSET)).alias("why")).agg(F.count("*").alias("batches"), F.sum("accepted").alias("accepted"), F.sum(F.size("rejected")).alias("rejected"))
+
+
 def ingest_dead_letters(spark, d):
     """Every dead letter, written as a record and decoded again."""
     got = readers.decode_letters(dlq.letter_records(_ingested(spark, d).letters))
@@ -241,7 +247,7 @@ def decrypt_limited(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     validate_verdicts, validate_duplicates, validate_batch_limits, mixed_tenant_batches, raw_subject_audit, tenant_binding, token_budget, ingest_outcome, request_roundtrip,
-    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_dead_letters, dlq_replay, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, decrypt_limited, decrypt_attempts, decrypt_audit_rows, limits_summary,
+    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_counters, ingest_dead_letters, dlq_replay, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, decrypt_limited, decrypt_attempts, decrypt_audit_rows, limits_summary,
 )}
 
 _USERS = """u AS (SELECT c_custkey, 'tenant_' || lpad((c_custkey % 20)::VARCHAR, 4, '0') AS tenant, c_name AS name, lower(c_name) || '@example.invalid' AS email,
@@ -300,6 +306,7 @@ SQL = {
     "dlq_by_stage": _sql(_PROGRAM + "SELECT stage, source, count(*) AS n FROM letters GROUP BY 1, 2", True),
     "ingest_published": _sql(f"{_PROGRAM}, k AS (SELECT * FROM (VALUES {_key_values()}) t(tenant, ipad, opad)) SELECT batch_id, idx, source, id, type, 'WEB_APP' AS sourcechannel, user_ref || '@example.invalid' AS email, tenant || '|' || sha256(unhex(opad) || unhex(sha256(unhex(ipad) || user_ref::BLOB))) AS key, true AS keyed, true AS sealed FROM fine JOIN k USING (tenant) WHERE code IS NULL AND event_id % 29 <> 1", True),
     "ingest_responses": _sql(_PROGRAM + "SELECT f.batch_id, f.status::INT AS status, f.why, f.retry_after, count(*) FILTER (f.status = 202 AND v.code IS NULL AND v.event_id % 29 <> 1) AS accepted, coalesce(string_agg(v.idx || ':' || CASE WHEN v.code IS NULL THEN 'OVERSIZED at $[' || v.idx || ']: exceeds 2000 bytes' ELSE v.reason END, ',' ORDER BY v.idx) FILTER (f.status = 202 AND (v.code IS NOT NULL OR v.event_id % 29 = 1)), '') AS rejected FROM fates f JOIN ver v USING (batch_id) GROUP BY ALL", True),
+    "ingest_counters": _sql(_PROGRAM + "SELECT f.status::INT AS status, coalesce(f.why, '__unset__') AS why, count(DISTINCT f.batch_id) AS batches, count(*) FILTER (f.status = 202 AND v.code IS NULL AND v.event_id % 29 <> 1) AS accepted, count(*) FILTER (f.status = 202 AND (v.code IS NOT NULL OR v.event_id % 29 = 1)) AS rejected FROM fates f JOIN ver v USING (batch_id) GROUP BY 1, 2", True),
     "ingest_dead_letters": _sql(_PROGRAM + "SELECT source AS key, source, split_part(reason, ' ', 1) AS code, reason, stage, idx AS index, source AS rejected_source, id AS rejected_id, type AS rejected_type, true AS decoded FROM letters", True),
     "dlq_replay": _sql(f"{_PROGRAM}, k AS (SELECT * FROM (VALUES {_key_values()}) t(tenant, ipad, opad)), a AS (SELECT *, CASE WHEN c0 IS NOT NULL THEN c0 WHEN row_number() OVER (PARTITION BY batch_id, source, id, c0 IS NULL ORDER BY idx) > 1 THEN 'DUPLICATE_ID' ELSE 'accepted' END AS outcome FROM letters WHERE stage = 'validate') SELECT stage, outcome, count(*) AS n FROM a GROUP BY 1, 2 UNION ALL SELECT stage, tenant || '|' || sha256(unhex(opad) || unhex(sha256(unhex(ipad) || user_ref::BLOB))), count(*) FROM letters JOIN k USING (tenant) WHERE stage = 'encrypt' GROUP BY 1, 2", True),
     "pseudonyms": f"WITH k AS (SELECT * FROM (VALUES {_key_values()}) t(tenant, ipad, opad)), {_USERS}, h AS (SELECT c_custkey, tenant, sha256(unhex(opad) || unhex(sha256(unhex(ipad) || ('usr_' || c_custkey)::BLOB))) AS p FROM u JOIN k USING (tenant)) SELECT c_custkey, p AS user_id_pseudo, tenant || '|' || p AS key FROM h",

@@ -45,7 +45,7 @@ def scrape_rates(spark, d):
     w = Window.orderBy("b")
     s = e.select((F.col("b") * 21600).alias("at"), (F.col("b") % 37 == 0).cast("int").alias("workers"), F.when(F.col("b") % 23 == 0, 0).otherwise(F.sum("ok").over(w)).alias("accepted"), F.sum("bad").over(w).alias("rejected"))
     x = metrics.rates(s, ["accepted", "rejected"])
-    return x.select("at", "caveat", F.round("accepted_per_sec", 9).alias("accepted_per_sec"), F.round("rejected_per_sec", 9).alias("rejected_per_sec"))
+    return x.select("at", "caveat", F.round("error_rate", 9).alias("error_rate"), F.round("accepted_per_sec", 9).alias("accepted_per_sec"), F.round("rejected_per_sec", 9).alias("rejected_per_sec"))
 
 
 def metric_samples(spark, d):
@@ -61,9 +61,12 @@ def rate_view(spark, d):
 
 
 def gauges(spark, d):
-    ends = reconcile.partition_ends(adapt.topic(_rows(spark, d)))
-    done = F.floor(F.col("end_offset") * 9 / 10)
-    return ends.select("partition", (F.col("end_offset") - done).alias("lag"))
+    """Lag of a consumer that has committed what it read of some partitions, and the depth of the dead letters."""
+    r = _rows(spark, d)
+    top = adapt.topic(r)
+    committed = top.where("partition <> 7 and event_id % 3 = 0").groupBy("partition").agg((F.max("offset") + 1).alias("offset"))
+    lag = reconcile.consumer_lag(reconcile.partition_ends(top), committed).select(F.concat(F.lit("lag of "), "partition").alias("gauge"), F.col("lag").alias("value"))
+    return lag.unionByName(adapt.dead_letters(r).agg(F.lit("dead letters").alias("gauge"), F.count("*").alias("value")))
 
 
 def zipf_plan(spark, d):
@@ -155,6 +158,7 @@ def _partnered(spark, d, rate=0.02):
     n = r.count()
     plan = faults.injection_plan(spark, n, skew.injected_total(n, rate), 42)
     # the slot is a place in the order of event_id, which may have gaps and repeats
+    r = faults.checked_total(r, n)
     r = faults.placed(r, "event_id", "ts", "user_id", "event_type", "value")
     x = r.select("batch_id", "idx", "event_id", F.concat(F.lit("ev-"), "event_id").alias("id"), "type", "time", "place").join(plan.select(F.col("slot").alias("place"), "variant"), "place", "left")
     return faults.partners(x)
@@ -252,10 +256,10 @@ SQL = {
     "label_cap": "WITH p AS (SELECT 'usr_' || user_id AS u, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY f, u) AS k FROM p) SELECT CASE WHEN k <= 64 THEN u ELSE '__other__' END AS user, sum(n)::BIGINT AS n, sum(CASE WHEN k > 64 THEN n ELSE 0 END)::BIGINT AS folded FROM r GROUP BY 1",
     "size_histogram": _sql(", " + _hist("SELECT count(*) AS v FROM ing GROUP BY batch_id") + " SELECT CASE WHEN isinf(le) THEN 'Infinity' ELSE le::DECIMAL(10, 1)::VARCHAR END AS le, n, cumulative FROM h"),
     "bucket_quantiles": "WITH " + _hist("SELECT o_totalprice / 1000 AS v FROM orders") + ", q AS (SELECT unnest([0.1, 0.5, 0.9, 0.99])::DOUBLE AS q), t AS (SELECT max(cumulative) AS t FROM h), f AS (SELECT q, min(le) AS le FROM q, t, h WHERE cumulative >= q * t GROUP BY q), g AS (SELECT f.q, f.le, h.cumulative AS c, q * t AS rank, coalesce((SELECT max(le) FROM h x WHERE x.n > 0 AND x.le < f.le), 0) AS lo, coalesce((SELECT max(cumulative) FROM h x WHERE x.n > 0 AND x.le < f.le), 0) AS lc FROM f JOIN h ON h.le = f.le, t) SELECT q, CASE WHEN isinf(le) THEN NULL WHEN c <= lc THEN le ELSE round(lo + (le - lo) * (rank - lc) / (c - lc), 6) END AS value FROM g",
-    "scrape_rates": "WITH e AS (SELECT floor(floor(epoch(ts)) / 21600)::BIGINT AS b, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1), s AS (SELECT b * 21600 AS t, (b % 37 = 0)::INT AS w, CASE WHEN b % 23 = 0 THEN 0 ELSE sum(ok) OVER (ORDER BY b)::BIGINT END AS a, sum(bad) OVER (ORDER BY b)::BIGINT AS r FROM e), l AS (SELECT *, lag(t) OVER o AS pt, lag(w) OVER o AS pw, lag(a) OVER o AS pa, lag(r) OVER o AS pr FROM s WINDOW o AS (ORDER BY t)), c AS (SELECT *, CASE WHEN pt IS NULL THEN 'baseline' WHEN pt = t THEN 'same time' WHEN pw <> w THEN 'workers changed' WHEN a < pa OR r < pr THEN 'counter fell' END AS caveat FROM l) SELECT t AS at, caveat, CASE WHEN caveat IS NULL THEN round((a - pa) / (t - pt)::DOUBLE, 9) END AS accepted_per_sec, CASE WHEN caveat IS NULL THEN round((r - pr) / (t - pt)::DOUBLE, 9) END AS rejected_per_sec FROM c",
+    "scrape_rates": "WITH e AS (SELECT floor(floor(epoch(ts)) / 21600)::BIGINT AS b, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1), s AS (SELECT b * 21600 AS t, (b % 37 = 0)::INT AS w, CASE WHEN b % 23 = 0 THEN 0 ELSE sum(ok) OVER (ORDER BY b)::BIGINT END AS a, sum(bad) OVER (ORDER BY b)::BIGINT AS r FROM e), l AS (SELECT *, lag(t) OVER o AS pt, lag(w) OVER o AS pw, lag(a) OVER o AS pa, lag(r) OVER o AS pr FROM s WINDOW o AS (ORDER BY t)), c AS (SELECT *, CASE WHEN pt IS NULL THEN 'baseline' WHEN pt = t THEN 'same time' WHEN pw <> w THEN 'workers changed' WHEN a < pa OR r < pr THEN 'counter fell' END AS caveat FROM l) SELECT t AS at, caveat, CASE WHEN caveat IS NULL AND a - pa + r - pr > 0 THEN round((r - pr) / (a - pa + r - pr)::DOUBLE, 9) END AS error_rate, CASE WHEN caveat IS NULL THEN round((a - pa) / (t - pt)::DOUBLE, 9) END AS accepted_per_sec, CASE WHEN caveat IS NULL THEN round((r - pr) / (t - pt)::DOUBLE, 9) END AS rejected_per_sec FROM c",
     "metric_samples": "SELECT CASE WHEN event_id % 10 > 0 THEN event_type END AS type, event_id % 10 > 0 AS ok, count(*) AS n, sum(CASE WHEN event_id % 10 > 0 THEN event_id % 7 END)::DOUBLE AS total FROM events GROUP BY 1, 2",
     "rate_view": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) FILTER (event_type <> 'error') AS accepted, count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY 1",
-    "gauges": _sql("SELECT part AS partition, max(off) + 1 - floor((max(off) + 1) * 9 / 10.0)::BIGINT AS lag FROM top GROUP BY 1"),
+    "gauges": _sql("SELECT 'lag of ' || part AS gauge, max(off) + 1 - coalesce(max(off) FILTER (part <> 7 AND event_id % 3 = 0) + 1, 0) AS value FROM top GROUP BY part UNION ALL SELECT 'dead letters', count(*) FROM dlq"),
     "zipf_plan": "WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT 'tenant_' || lpad((o_custkey % 20)::VARCHAR, 4, '0') AS tenant, count(*) AS c FROM orders GROUP BY 1), t0 AS (SELECT tenant, row_number() OVER (ORDER BY c DESC, tenant) AS rank FROM o), t AS (SELECT rank, tenant, pow(rank, -1.1) AS p FROM t0), s AS (SELECT *, p / sum(p) OVER () AS share FROM t), x AS (SELECT *, share / sum(share) OVER () * n AS e FROM s, n), y AS (SELECT *, floor(e)::BIGINT AS u, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, rank) AS k, n - sum(floor(e)) OVER () AS l FROM x), z AS (SELECT *, u + (k <= l)::BIGINT AS units FROM y) SELECT tenant, round(share, 9) AS share, units, greatest(50, ceil(units / 625.0))::BIGINT AS users FROM z WHERE units > 0",
     "skew_report": "WITH c AS (SELECT count(*) AS n FROM orders GROUP BY o_custkey), r AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS r, row_number() OVER (ORDER BY n) AS a, count(*) OVER () AS k, sum(n) OVER () AS t FROM c) SELECT max(t)::BIGINT AS units, max(k) AS tenants, round_even(sum(n) FILTER (r <= greatest(1, floor(k * 0.01))) / max(t)::DOUBLE, 4) AS top1_share, round_even(sum(n) FILTER (r <= greatest(1, floor(k * 0.05))) / max(t)::DOUBLE, 4) AS top5_share, max(n) AS busiest, max(n) FILTER (a = k // 2 + 1) AS median, min(n) AS thinnest FROM r",
     "busiest_tenant": _sql("SELECT tenant, count(*) AS n FROM ing GROUP BY 1 ORDER BY n DESC, tenant DESC LIMIT 1"),
