@@ -51,6 +51,8 @@ SMALL = 160
 BANDS, BAND_VALUES, LEADERS = 5, 4, 8
 #: Tokens of one component beyond those that a similar set may lack.
 SLACK = 4
+#: Parity bits of sets that meet their leaders, and of sets that are indexed.
+NARROW, WIDE = 256, 1024
 ID_LIMIT = 1_000_000
 
 
@@ -84,18 +86,18 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
     return h.T.view(np.int64)
 
 
-def _bits(sets: list[np.ndarray]) -> np.ndarray:
-    """256 bits per set: the parity of its tokens by hash.  Two sets differ in as many tokens as bits at least."""
-    out = np.zeros((len(sets), 256), np.uint8)
+def _bits(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """``width`` bits per set: the parity of its tokens by hash.  Two sets differ in as many tokens as bits at least."""
+    out = np.zeros((len(sets), width), np.uint8)
     for i, s in enumerate(sets):
-        out[i] = np.bincount((common.mix(s.view(np.uint64) ^ np.uint64(BANDS)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+        out[i] = np.bincount((common.mix(s.view(np.uint64) ^ np.uint64(BANDS)) >> np.uint64(65 - width.bit_length())).astype(np.int64), minlength=width) & 1
     return np.packbits(out, axis=1).view(np.int64)
 
 
-def _near(num: int, den: int, other: str = "2") -> Column:
-    """Over n_sh and bits, and the same with ``other`` at their ends: the bits allow for the threshold."""
-    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col(f"bits{other}")[k])) for k in range(1, 4)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col(f"bits{other}")[0])))
-    return F.lit(den + num) * apart <= F.lit(den - num) * (F.col("n_sh") + F.col(f"n_sh{other}"))
+def _near(num: int, den: int, width: int) -> Column:
+    """Over n_sh and bits, and the same with a 2 at their ends: the bits allow for the threshold."""
+    apart = [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(width // 64)]
+    return F.lit(den + num) * sum(apart[1:], apart[0]) <= F.lit(den - num) * (F.col("n_sh") + F.col("n_sh2"))
 
 
 def _node(s: np.ndarray) -> bytes:
@@ -120,7 +122,8 @@ def token_sets(docs: DataFrame, n: int, num: int, den: int, whole: bool = False)
         most = size if whole else np.minimum(size, (spare(size, num, den) + 1) * 3 // 2 + 8)
         toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(np.concatenate([s[:m] for s, m in zip(sets, most, strict=True)])))
         bands = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(_bands(sets)).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        bits = pa.FixedSizeListArray.from_arrays(pa.array(_bits(sets).ravel()), 4).cast(pa.list_(pa.int64()))
+        width = WIDE if whole else NARROW
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(_bits(sets, width).ravel()), width // 64).cast(pa.list_(pa.int64()))
         return pa.record_batch({"doc_id": part.column(0), "node": pa.array([_node(s) for s in sets], pa.binary()), "n_sh": size, "bands": bands, "bits": bits, "toks": toks})
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node binary, n_sh long, bands array<long>, bits array<long>, toks array<long>")
@@ -192,7 +195,7 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("nid", "b"), "nid"))
     lead = band.withColumn("at", place).where(F.col("at") <= LEADERS).select("key", *[F.col(c).alias(f"{c}2") for c in ("nid", "n_sh", "bits")])
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
-    stars = band.join(lead, "key").where((F.col("nid") != F.col("nid2")) & fits & _near(num, den)).select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"))
+    stars = band.join(lead, "key").where((F.col("nid") != F.col("nid2")) & fits & _near(num, den, NARROW)).select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"))
     links = verified(stars, classes, docs, n, num, den)
     linked = common.stage(common.connected_components(links).select(F.col("node").alias("nid"), "component"), "linked")
     firsts = chosen.join(linked, "nid", "left").select("nid", F.coalesce("component", "nid").alias("cid"), "n_sh", "toks")
@@ -291,27 +294,28 @@ def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: Da
     counts = common.stage(counts.where("c > 1"), "counts")
     met = common.matched(toks, counts, "token").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x"))
     # a set with more tokens of its own than a similar one may lack meets no other
-    met = full.select("nid", "cid", "n_sh", "bits").join(met, "nid").where(F.col("n_sh") - F.size("x") <= _spare(F.col("n_sh"), num, den))
+    met = full.select("nid", "cid", "n_sh").join(met, "nid").where(F.col("n_sh") - F.size("x") <= _spare(F.col("n_sh"), num, den))
 
     def entries(part: pa.RecordBatch) -> pa.RecordBatch:
-        x = part.column(4)
+        x = part.column(3)
         at, c, t = np.asarray(x.offsets), np.asarray(x.values.field(0)), np.asarray(x.values.field(1))
         got = [index_entries(size, t[a:b], c[a:b], num, den) for size, a, b in zip(part.column(2).to_pylist(), at[:-1], at[1:], strict=True)]
         row = pa.array(np.repeat(np.arange(part.num_rows), [len(g) for g in got]))
         flat = np.array([e for g in got for e in g], np.int64).reshape(-1, 2)
-        return pa.record_batch([*[part.column(k).take(row) for k in range(4)], pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32))], names=["nid", "cid", "n_sh", "bits", "key", "free"])
+        return pa.record_batch([*[part.column(k).take(row) for k in range(3)], pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32))], names=["nid", "cid", "n_sh", "key", "free"])
 
-    index = common.stage(common.map_arrow(met.select("nid", "cid", "n_sh", "bits", "x"), entries, "nid long, cid long, n_sh int, bits array<long>, key long, free int"), "index")
+    index = common.stage(common.map_arrow(met.select("nid", "cid", "n_sh", "x"), entries, "nid long, cid long, n_sh int, key long, free int"), "index")
     # a key of one component links nothing new; nor does an entry whose set is too small or too large for all others of the key
     keys = index.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("n_sh").alias("least"), F.max("free").alias("freest"), F.count("*").alias("rows")).where("lo <> hi").drop("lo", "hi")
     reach = lambda free, size: F.lit(den + num) * free >= F.lit(num) * size
     index = common.matched(index, common.stage(keys, "keys"), "key").where(reach(F.least("free", "freest"), F.col("n_sh") + F.col("least"))).drop("least", "freest")
+    index = index.join(full.select("nid", "bits"), "nid")
 
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
     cross = (F.col("cid") != F.col("cid2")) & fits
     ends = [F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")]
     twin = index.select("key", *[F.col(c).alias(f"{c}2") for c in ("nid", "cid", "n_sh", "bits", "free")])
-    by_key = index.join(twin, "key").where(cross & _near(num, den) & reach(F.least("free", "free2"), F.col("n_sh") + F.col("n_sh2")) & F.expr("nid < nid2")).select(*ends)
+    by_key = index.join(twin, "key").where(cross & _near(num, den, WIDE) & reach(F.least("free", "free2"), F.col("n_sh") + F.col("n_sh2")) & F.expr("nid < nid2")).select(*ends)
 
     # a few more of the others' tokens of one component than a similar set may lack; both sides have their rows of tokens as arrays until the exchange
     gone = shared.groupBy("nid").agg(F.collect_set("token").alias("gone"))

@@ -93,8 +93,9 @@ def test_every_similar_pair_shares_an_entry():
 def test_parity_bits_never_say_too_much():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 300, n)) for n in (0, 1, 40, 90, 90, 200)]
-    bits = np.unpackbits(jaccard._bits(sets).view(np.uint8), axis=1)
-    assert all((bits[i] != bits[j]).sum() <= len(np.setxor1d(sets[i], sets[j])) for i in range(6) for j in range(6))
+    for width in (jaccard.NARROW, jaccard.WIDE):
+        bits = np.unpackbits(jaccard._bits(sets, width).view(np.uint8), axis=1)
+        assert bits.shape == (6, width) and all((bits[i] != bits[j]).sum() <= len(np.setxor1d(sets[i], sets[j])) for i in range(6) for j in range(6))
 
 
 def test_tiles_of_long_items():
