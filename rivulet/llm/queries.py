@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, jaccard, langid, pieces, quality, sharding, suffixes, topk, training_order
+from . import conversations, decontaminate, jaccard, langid, packing, pieces, quality, sharding, suffixes, topk, training_order
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op3_exact_top_k": topk.op3_exact_top_k,
         "op4_chat_formatting": conversations.op4_chat_formatting,
         "op9_extendible_sharding": sharding.op9_extendible_sharding,
+        "op11_best_fit_packing": packing.op11_best_fit_packing,
     }
 
 
