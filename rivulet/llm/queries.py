@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, jaccard, langid, lexical, packing, pieces, quality, sharding, suffixes, topk, training_order
+from . import conversations, decontaminate, jaccard, langid, lexical, negatives, packing, pieces, quality, sharding, suffixes, topk, training_order
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op9_extendible_sharding": sharding.op9_extendible_sharding,
         "op11_best_fit_packing": packing.op11_best_fit_packing,
         "op12_presence_masks": lexical.op12_presence_masks,
+        "op13_hyperplane_negatives": negatives.op13_hyperplane_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_jaccard": jaccard.SQL, "op3_exact_top_k": topk.SQL, "op4_chat_formatting": conversations.SQL, "op9_extendible_sharding": sharding.SQL, "op12_presence_masks": lexical.SQL}
+    return {"op10_ngram_jaccard": jaccard.SQL, "op3_exact_top_k": topk.SQL, "op4_chat_formatting": conversations.SQL, "op9_extendible_sharding": sharding.SQL, "op12_presence_masks": lexical.SQL, "op13_hyperplane_negatives": negatives.SQL}
