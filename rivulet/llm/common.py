@@ -7,8 +7,8 @@ Staging
 
 Hashing
     Work inside tasks is vectorised over slices of about 256 kB of UTF-8, so
-    memory stays flat whatever the batch size.  Words are known by 64-bit digests of
-    their bytes.  Prefix hashes, for strings of under 512 bytes only, are polynomials
+    memory stays flat whatever the batch size.  Words are known by 64-bit digests under a key
+    that is drawn for each run; where equality decides, words are compared themselves.  Prefix hashes, for strings of under 512 bytes only, are polynomials
     modulo 2**64 over a table of random odd weights per byte; the difference of two prefix
     values, shifted back by the inverse power, is the hash of the bytes between.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import re
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -251,47 +252,80 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
     return low, start, end, np.searchsorted(offs, start, "right") - 1
 
 
-#: Longer words are digested one by one.
-_LONG_WORD = 64
-_EIGHT = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Words whose digests a worker remembers, and the longest ones that it does.
+_REMEMBERED, _LONG_WORD = 200_000, 64
+_known: dict[bytes, dict[bytes, bytes]] = {}
 
 
-def word_hashes(col: pa.Array, table: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each lower-cased word, word offsets by row).
+def word_key() -> bytes:
+    """A key for word digests.  The driver draws one for each run and no output holds it, so nobody can build words of one digest."""
+    return secrets.token_bytes(16)
 
-    Eight bytes at a time go through a bijection, so words of up to eight bytes never collide with
-    others of their length; no string has structure that longer ones could collide by.
-    """
-    data, offs = flat(col)
-    low, start, end, row = words(data, offs, table)
-    size = end - start
-    h = mix(size.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(1))
-    low8 = np.concatenate([low, np.zeros(8, np.uint8)])
-    at = np.arange(8)
-    live = np.flatnonzero(size <= _LONG_WORD)
-    done = 0
-    while len(live):
-        left = size[live] - done
-        chunk = np.ascontiguousarray(low8[(start[live] + done)[:, None] + at]).view(np.uint64).ravel() & _EIGHT[np.minimum(left, 8)]
-        h[live] = mix(h[live] ^ chunk)
-        done += 8
-        live = live[left > 8]
-    for i in np.flatnonzero(size > _LONG_WORD):
-        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-    return h, np.searchsorted(row, np.arange(len(offs)))
 
+def distinct_words(cols: list[pa.Array], table: np.ndarray = SPACED) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """The different words of all ``cols``, and for each of these (places in that list, word offsets by row): words are compared byte by byte."""
+    parts = [words(*flat(col), table) for col in cols]
+    ends = np.concatenate([[0], *(end - start for _, start, end, _ in parts)]).cumsum()
+    solid = np.concatenate([low[low != 32] for low, *_ in parts])
+    x = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(solid))]).dictionary_encode()
+    code, lo, out = x.indices.to_numpy().astype(np.int64), 0, []
+    for col, (_, start, _, row) in zip(cols, parts, strict=True):
+        out.append((code[lo : lo + len(start)], np.searchsorted(row, np.arange(len(col) + 1))))
+        lo += len(start)
+    return x.dictionary.to_pylist(), out
+
+
+def word_hashes(col: pa.Array, table: np.ndarray = SPACED, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """(digest of each lower-cased word under ``key``, word offsets by row)."""
+    found, [(code, at)] = distinct_words([col], table)
+    if key not in _known or len(_known[key]) > _REMEMBERED:
+        _known.clear()
+    known = _known.setdefault(key, {})
+    digests = []
+    for w in found:
+        d = known.get(w)
+        if d is None:
+            d = hashlib.blake2b(w, digest_size=8, key=key).digest()
+            if len(w) <= _LONG_WORD:
+                known[w] = d
+        digests.append(d)
+    return np.frombuffer(b"".join(digests), "<u8").astype(np.uint64)[code], at
 
-def shingle_hashes(wh: np.ndarray, woffs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``n`` words of each row, with offsets by row.
+
+def shingle_numbers(code: np.ndarray, woffs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all runs of ``n`` words of each row, from the words' own numbers, with offsets by row: equal for equal runs and no others.
 
     A row with fewer words, but at least one, has its whole sequence as one.
     """
+    row, at, size, soffs = _shingles(woffs, n)
+    base = int(code.max(initial=0)) + 2
+    number, span = np.zeros(len(row), np.int64), 1
+    for j in range(n):
+        if span * base >= 1 << 62:
+            number = np.unique(number, return_inverse=True)[1]
+            span = len(number)
+        have = size > j
+        word = np.zeros(len(row), np.int64)
+        word[have] = code[at[have] + j] + 1
+        number, span = number * base + word, span * base
+    return number, soffs
+
+
+def _shingles(woffs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, number of words) of each run of ``n`` words, and offsets by row."""
     count = np.diff(woffs)
     made = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     soffs = np.concatenate([[0], np.cumsum(made)])
     row = np.repeat(np.arange(len(count)), made)
-    at = woffs[row] + np.arange(soffs[-1]) - soffs[row]
-    size = np.minimum(count[row], n)
+    return row, woffs[row] + np.arange(soffs[-1]) - soffs[row], np.minimum(count[row], n), soffs
+
+
+def shingle_hashes(wh: np.ndarray, woffs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``n`` words of each row, with offsets by row.
+
+    A row with fewer words, but at least one, has its whole sequence as one.
+    """
+    _, at, size, soffs = _shingles(woffs, n)
     h = size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
     mult = 1
     for j in range(n):

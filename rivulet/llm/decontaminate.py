@@ -8,7 +8,8 @@ put in another order are found too.
 
 The seeds of the benchmark are held against the documents inside one narrow
 pass when a count shows that they are few; otherwise all seeds are joined.
-Texts move only for candidate documents.
+Texts move only for candidate documents.  Seeds only name candidates; tiles are runs of tokens
+that are equal themselves.
 """
 
 from __future__ import annotations
@@ -29,22 +30,23 @@ SEED_LIMIT = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return common.word_hashes(pc.utf8_lower(col), common.PLAIN)
+def _tokens(*cols: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the tokens, offsets by row) of each column: one number for each token in all of them, spread over 64 bits."""
+    return [(common.mix(code.astype(np.uint64)), at) for code, at in common.distinct_words([pc.utf8_lower(c) for c in cols], common.PLAIN)[1]]
 
 
-def _seeds(col: pa.Array, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    wh, at = _tokens(col)
+def _seeds(col: pa.Array, sizes: tuple[int, ...], secret: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    wh, at = common.word_hashes(pc.utf8_lower(col), common.PLAIN, secret)
     return [common.shingle_hashes(wh, at, n) for n in sizes]
 
 
-def _seed_rows(df: DataFrame, key: str, sizes: tuple[int, ...], matter: np.ndarray | None = None) -> DataFrame:
+def _seed_rows(df: DataFrame, key: str, sizes: tuple[int, ...], secret: bytes, matter: np.ndarray | None = None) -> DataFrame:
     """(key, seed) of each text, distinct within the text; ``matter``: the sorted seeds that matter, sent to each executor once."""
     shared = None if matter is None else df.sparkSession.sparkContext.broadcast(matter)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         rows, seeds, only = [], [], None if shared is None else shared.value
-        for h, at in _seeds(part.column(1), sizes):
+        for h, at in _seeds(part.column(1), sizes, secret):
             r = np.repeat(np.arange(part.num_rows), np.diff(at))
             if only is not None:
                 hit = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h if len(only) else np.zeros(len(h), bool)
@@ -146,19 +148,19 @@ def coverage(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, seed_
     """
     items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = tuple(range(1, least + 1))
-    seeds = common.stage(_seed_rows(items, "item_id", (least,)), "seeds")
+    sizes, secret = tuple(range(1, least + 1)), common.word_key()
+    seeds = common.stage(_seed_rows(items, "item_id", (least,), secret), "seeds")
     distinct = seeds.select("seed").distinct()
     only = None
     if common.fits_broadcast(distinct, seed_limit):
         only = np.sort(distinct.toPandas()["seed"].to_numpy(np.int64).view(np.uint64))
     lens = sorted({least, *_short_lengths(items, sizes)})
-    pairs = common.stage(_seed_rows(docs, "doc_id", tuple(lens), only).join(seeds, "seed").select("doc_id", "item_id").distinct(), "pairs")
+    pairs = common.stage(_seed_rows(docs, "doc_id", tuple(lens), secret, only).join(seeds, "seed").select("doc_id", "item_id").distinct(), "pairs")
     texts = common.semi_by_id(docs, pairs.select("doc_id").distinct(), "doc_id").withColumnRenamed("text", "doc_text")
     rows = pairs.join(texts, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        (a, x), (b, y) = _tokens(part.column(2)), _tokens(part.column(3))
+        (a, x), (b, y) = _tokens(part.column(2), part.column(3))
         got = []
         for k in range(part.num_rows):
             item, text = a[x[k] : x[k + 1]], b[y[k] : y[k + 1]]
@@ -174,7 +176,7 @@ def _short_lengths(items: DataFrame, sizes: tuple[int, ...]) -> list[int]:
     """Token counts below the tile length that occur among the items: at most a handful of numbers."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        n = np.unique(np.diff(_tokens(part.column(0))[1]))
+        n = np.unique(np.diff(_tokens(part.column(0))[0][1]))
         return pa.record_batch({"n": n[(n > 0) & (n < sizes[-1])].astype(np.int64)})
 
     return [r.n for r in common.map_arrow(items.select("text"), run, "n long").distinct().collect()]

@@ -27,9 +27,9 @@ How groups stay small:
 * a set with more rare tokens than similar ones may lack has no frequent entry,
   and entries carry how many tokens can still be shared, which joins check.
 
-All of it is exact but for digests: words are known by 64-bit digests, sets by
-digests of 128 bits.  A token's class depends on the token alone, and links are only ever accepted by
-comparing whole sets.
+Words are known by 64-bit digests and sets by digests of 128 bits, under a key that is drawn for each
+run, so that nobody can build words or sets of one digest.  A token's class depends on the token alone, and links are
+only ever accepted by comparing whole sets word by word.
 """
 
 from __future__ import annotations
@@ -56,10 +56,26 @@ NARROW, WIDE = 256, 1024
 ID_LIMIT = 1_000_000
 
 
-def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+def _sets(texts: pa.Array, n: int, key: bytes) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    h, at = common.shingle_hashes(*common.word_hashes(texts), n)
-    h = h.view(np.int64)
+    h, at = common.shingle_hashes(*common.word_hashes(texts, key=key), n)
+    return _distinct(h.view(np.int64), at)
+
+
+def _word_sets(n: int, *cols: pa.Array) -> list[list[np.ndarray]]:
+    """The same of each column with numbers that only equal shingles share, in all columns."""
+    codes = common.distinct_words(list(cols))[1]
+    code, offs = np.concatenate([c for c, _ in codes]), [np.zeros(1, np.int64)]
+    for _, at in codes:
+        offs.append(at[1:] + offs[-1][-1])
+    sets, lo, out = _distinct(*common.shingle_numbers(code, np.concatenate(offs), n)), 0, []
+    for c in cols:
+        out.append(sets[lo : lo + len(c)])
+        lo += len(c)
+    return out
+
+
+def _distinct(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         s = np.sort(h[a:b])
@@ -113,11 +129,11 @@ def _spare(n: Column, num: int, den: int) -> Column:
     return n - F.ceil(F.lit(num) * n / F.lit(den)).cast("long")
 
 
-def token_sets(docs: DataFrame, n: int, num: int, den: int, whole: bool = False) -> DataFrame:
-    """(doc_id, node, n_sh, bands, bits, toks): node identifies the set; toks are its least hashes, all of them if ``whole``."""
+def token_sets(docs: DataFrame, n: int, num: int, den: int, key: bytes, whole: bool = False) -> DataFrame:
+    """(doc_id, node, n_sh, bands, bits, toks): node identifies the set under ``key``; toks are its least hashes, all of them if ``whole``."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = _sets(part.column(1), n)
+        sets = _sets(part.column(1), n, key)
         size = np.array([len(s) for s in sets], np.int64)
         most = size if whole else np.minimum(size, (spare(size, num, den) + 1) * 3 // 2 + 8)
         toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(np.concatenate([s[:m] for s, m in zip(sets, most, strict=True)])))
@@ -129,10 +145,11 @@ def token_sets(docs: DataFrame, n: int, num: int, den: int, whole: bool = False)
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node binary, n_sh long, bands array<long>, bits array<long>, toks array<long>")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int, key: bytes, repeated: bool) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold; texts are read for their classes only.
 
-    A class with many pairs has one row for each in the join by ``a``, which Spark's adaptive execution splits.
+    Sets are compared by their words.  Only with ``repeated`` ids, which bring other texts along, does the digest under ``key`` tell which text is
+    meant.  A class with many pairs has one row for each in the join by ``a``, which Spark's adaptive execution splits.
     """
     pairs = common.stage(pairs.select("a", "b").distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
@@ -143,19 +160,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     both = pairs.join(end("b"), "b").join(end("a"), "a")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        # rows of one class stand together, and its set is made once
         ids, first, at = np.unique(np.asarray(part.column(0)), return_index=True, return_inverse=True)
-        left, right = _sets(part.column(3).take(pa.array(first)), n), _sets(part.column(5), n)
-        name, keep = [_node(x) for x in left], []
-        # an id that repeats with other texts brings sets of other classes
-        na, nb = part.column(2).to_pylist(), part.column(4).to_pylist()
-        if any(x != na[i] for x, i in zip(name, first.tolist(), strict=True)):
-            left = _sets(part.column(3), n)
-            name, at = [_node(x) for x in left], np.arange(part.num_rows)
-        for i, (k, y) in enumerate(zip(at.tolist(), right, strict=True)):
-            x = left[k]
+        rows, keep = np.arange(part.num_rows), []
+        if repeated:  # an id that repeats with other texts brings sets of other classes
+            mine = [[_node(x) == name for x, name in zip(_sets(part.column(c), n, key), part.column(c - 1).to_pylist(), strict=True)] for c in (3, 5)]
+            rows, first, at = rows[np.logical_and(*mine)], rows, rows
+        # rows of one class stand together, and its set is made once
+        left, right = _word_sets(n, part.column(3).take(pa.array(first)), part.column(5))
+        for i in rows.tolist():
+            x, y = left[at[i]], right[i]
             same = len(np.intersect1d(x, y, assume_unique=True))
-            if den * same >= num * (len(x) + len(y) - same) and name[k] == na[i] and _node(y) == nb[i]:
+            if den * same >= num * (len(x) + len(y) - same):
                 keep.append(i)
         kept = pa.array(keep, pa.int64())
         return pa.record_batch({"a": part.column(0).take(kept), "b": part.column(1).take(kept)})
@@ -176,14 +191,16 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     return row_components(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
 
 
-def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = True) -> DataFrame:
+def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = True, key: bytes | None = None) -> DataFrame:
     """doc_id, n_shingles, node, comp and component_id of each row; comp is null where the row stands alone.
 
-    Rows that repeat a doc_id count as linked only if ``by_id``.
+    Rows that repeat a doc_id count as linked only if ``by_id``.  ``key`` is that of the nodes; without one it is drawn.
     """
-    made = common.stage(token_sets(docs, n, num, den), "tokens")
+    key = key or common.word_key()
+    made = common.stage(token_sets(docs, n, num, den, key), "tokens")
     t1 = common.stage(made.select("doc_id", "node", "n_sh"), "rows")
     rows = t1.where("n_sh > 0 and doc_id is not null").select("doc_id", "node", "n_sh")
+    repeated = bool(rows.groupBy("doc_id").agg((F.min("node") != F.max("node")).alias("x")).where("x").head(1))
     # small numbers stand for sets from here on; staged, they stay the same
     classes = common.stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_sh").alias("n_sh")).withColumn("nid", F.monotonically_increasing_id()), "classes")
     chosen = made.where("n_sh > 0").join(classes.select("node", F.col("rep").alias("doc_id"), "nid"), ["doc_id", "node"])
@@ -196,7 +213,7 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
     lead = band.withColumn("at", place).where(F.col("at") <= LEADERS).select("key", *[F.col(c).alias(f"{c}2") for c in ("nid", "n_sh", "bits")])
     fits = F.lit(den) * F.least("n_sh", "n_sh2") >= F.lit(num) * F.greatest("n_sh", "n_sh2")
     stars = band.join(lead, "key").where((F.col("nid") != F.col("nid2")) & fits & _near(num, den, NARROW)).select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b"))
-    links = verified(stars, classes, docs, n, num, den)
+    links = verified(stars, classes, docs, n, num, den, key, repeated)
     linked = common.stage(common.connected_components(links).select(F.col("node").alias("nid"), "component"), "linked")
     firsts = chosen.join(linked, "nid", "left").select("nid", F.coalesce("component", "nid").alias("cid"), "n_sh", "toks")
 
@@ -211,9 +228,9 @@ def row_components(docs: DataFrame, n: int, num: int, den: int, by_id: bool = Tr
     weak = common.stage(size.where((F.col("m") - F.col("s") < _spare(F.col("n_sh"), num, den) + 1) & (F.col("n_sh") > 1)).select("nid", "cid", "n_sh"), "weak")
     more = []
     if not weak.isEmpty():
-        more.append(verified(_candidates(docs, classes, weak, shared, firsts, n, num, den), classes, docs, n, num, den))
+        more.append(verified(_candidates(docs, classes, weak, shared, firsts, n, num, den, key), classes, docs, n, num, den, key, repeated))
     named = rows.join(classes.select("node", "nid"), "node")
-    if by_id:
+    if by_id and repeated:
         several = named.groupBy("doc_id").agg(F.min("nid").alias("a"), F.max("nid").alias("z")).where("a <> z").select("doc_id", "a")
         more.append(common.stage(named.join(several, "doc_id").where("a <> nid").select("a", F.col("nid").alias("b")).distinct(), "id-links"))
     more = [x for x in more if not x.isEmpty()]
@@ -278,7 +295,7 @@ def index_entries(n: int, tokens: np.ndarray, counts: np.ndarray, num: int, den:
     return out
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: DataFrame, firsts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: DataFrame, firsts: DataFrame, n: int, num: int, den: int, key: bytes) -> DataFrame:
     """Pairs of different components that may be similar, for the sets whose known tokens don't settle it.
 
     Weak sets meet each other by their own token frequencies, which are exact, and the
@@ -287,7 +304,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, weak: DataFrame, shared: Da
     """
     named = weak.join(classes.select("nid", "node", F.col("rep").alias("doc_id")), "nid")
     again = common.semi_by_id(docs.select("doc_id", "text"), named.select("doc_id"), "doc_id", ID_LIMIT)
-    full = token_sets(again, n, num, den, whole=True).select("node", "bits", "toks").join(named.select("node", "nid", "cid", "n_sh"), "node")
+    full = token_sets(again, n, num, den, key, whole=True).select("node", "bits", "toks").join(named.select("node", "nid", "cid", "n_sh"), "node")
     full = common.stage(full.dropDuplicates(["node"]).select("nid", "cid", "n_sh", "bits", "toks"), "weak-sets")
     toks = full.select("nid", "cid", F.explode("toks").alias("token"))
     counts = toks.groupBy("token", "cid").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("c"), F.sum("rows").alias("rows"))

@@ -281,3 +281,65 @@ def test_odd_conversations(spark):
     found = {r.conv_id: [x.text for x in r.t] for r in out}
     assert sorted(found[1][:2]) == ["a", "b"] and found[1][2] == "" and found[3] == ["r" * 100_000]
     assert conversations.format_paths(conversations.thread(df.where("conv_id > 9"))).count() == 0
+
+
+def same_digest(mask=(1 << 64) - 1):
+    """Two different words of 16 letters that an unkeyed chain of public bijections over eight bytes at a time cannot tell apart."""
+    m = lambda h: int(common.mix(np.array([h], np.uint64))[0])
+    start, r = m((16 * 0xD6E8FEB86659FD93 + 1) & mask), random.Random(1)
+    letters = b"abcdefghijklmnopqrstuvwxyz"
+    plain = lambda v: all(97 <= b <= 122 for b in v.to_bytes(8, "little"))
+    heads: dict[int, int] = {}
+    # the second halves differ by what the first halves make; high bits of a byte of a letter are alike, so heads are sorted by these
+    for _ in range(400_000):
+        head = int.from_bytes(bytes(r.choices(letters, k=8)), "little")
+        left = m(start ^ head)
+        other = heads.setdefault(left & 0xE0E0E0E0E0E0E0E0 & 0xFFFF_FFFF_FFFF_FFFF, head)
+        if other != head:
+            apart = m(start ^ other) ^ left
+            tail = int.from_bytes(b"mmmmmmmm", "little")
+            for t in (tail, int.from_bytes(b"hhhhhhhh", "little"), int.from_bytes(b"pppppppp", "little"), int.from_bytes(b"eeeeeeee", "little"), int.from_bytes(b"ssssssss", "little")):
+                if plain(t ^ apart):
+                    return (head.to_bytes(8, "little") + (t ^ apart).to_bytes(8, "little")).decode(), (other.to_bytes(8, "little") + t.to_bytes(8, "little")).decode()
+    return None
+
+
+CRAFTED = [("pfzfigsaadaabaaa", "pphtbiyjnxctxzws")]
+
+
+@pytest.mark.parametrize("x, y", CRAFTED + [p for p in [same_digest()] if p])
+def test_words_built_to_have_one_digest(spark, x, y):
+    import corpus_pipeline
+
+    rows = [(1, " ".join([x] * 30)), (2, " ".join([y] * 30)), (3, " ".join([x] * 30)), (4, " ".join([x, y] * 40)), (5, " ".join([y, x] * 40))]
+    for n, num in ((3, 90), (5, 80)):
+        got = jaccard.similarity_components(docs(spark, rows), n, num, 100).collect()
+        assert sorted(map(tuple, got), key=str) == components(rows, n, num, 100)
+    bench = spark.createDataFrame([(1, " ".join([y] * 6))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contamination(docs(spark, rows[:3]), bench).where("contaminated").collect()} == {2}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, rows[:3]), "").collect()} == {1, 2}
+
+
+def test_equal_digests_are_told_apart_by_words(spark, monkeypatch):
+    """Even digests that are all alike for two words link nothing and tile nothing."""
+    real = common.word_hashes
+    twin = lambda col, table=common.SPACED, key=b"": real(pa.array([None if t is None else t.replace("right", "wrong") for t in col.to_pylist()]), table, b"")
+    monkeypatch.setattr(common, "word_hashes", twin)
+    text = [f"w{i}" for i in range(60)]
+    a, b = pa.array([" ".join(["right", *text])]), pa.array([" ".join(["wrong", *text])])
+    assert jaccard._sets(a, 3, b"")[0].tolist() == jaccard._sets(b, 3, b"")[0].tolist()
+    (x,), (y,) = jaccard._word_sets(3, a, b)
+    assert len(x) == len(y) == 59 and len(np.intersect1d(x, y)) == 58
+    (p, _), (q, _) = decontaminate._tokens(a, b)
+    assert p[0] != q[0] and (p[1:] == q[1:]).all()
+
+
+def test_shingle_numbers_of_any_length():
+    r = random.Random(2)
+    rows = [[r.randint(0, 4) for _ in range(r.randint(0, 12))] for _ in range(40)]
+    code, offs = np.array([w for x in rows for w in x]) * 10**7, np.cumsum([0, *map(len, rows)])
+    for n in (1, 2, 3, 5, 9):
+        got, at = common.shingle_numbers(code, offs, n)
+        want = [tuple(x[i : i + n]) for x in rows for i in range(max(len(x) - n + 1, min(1, len(x))))]
+        assert len(got) == len(want) == at[-1]
+        assert len(set(zip(got.tolist(), want, strict=True))) == len(set(got.tolist())) == len(set(want))
