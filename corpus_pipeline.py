@@ -38,9 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates: the one with the smallest doc_id.
 
     Different texts under one doc_id are different rows; where the smallest doc_id repeats in a group,
-    the least set of shingles, then the least SHA-256 of the text stays.
+    the least SHA-256 of the text stays.
     """
-    groups = common.stage(jaccard.row_components(docs.select("doc_id", "text"), 5, 80, 100, by_id=False).select("doc_id", "node", "comp", "component_id"), "groups")
+    key = common.word_key()
+    groups = common.stage(jaccard.row_components(docs.select("doc_id", "text"), 5, 80, 100, by_id=False, key=key).select("doc_id", "node", "comp", "component_id"), "groups")
     again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return _without(docs, groups.where("doc_id <> component_id").select("doc_id").distinct())
@@ -48,10 +49,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     left = _without(docs, groups.where("doc_id <> component_id").select("doc_id").union(again).distinct()).select(*docs.columns)
     # rows of repeated ids are told apart by their sets of shingles
     sub = common.stage(docs.join(again, "doc_id", "left_semi").select("*", F.monotonically_increasing_id().alias("_row")), "repeated")
-    sets = jaccard.token_sets(sub.select(F.col("_row").alias("doc_id"), "text"), 5, 80, 100).select(F.col("doc_id").alias("_row"), "node", "n_sh")
+    sets = jaccard.token_sets(sub.select(F.col("_row").alias("doc_id"), "text"), 5, 80, 100, key).select(F.col("doc_id").alias("_row"), "node", "n_sh")
     sets = sub.select("_row", "doc_id", F.sha2("text", 256).alias("sha")).join(sets, "_row")
     found = sets.join(groups.where("doc_id = component_id and comp is not null").select("doc_id", "node", "comp").distinct(), ["doc_id", "node"])
-    first = found.groupBy("comp").agg(F.min(F.struct("doc_id", "node", "sha", "_row")).alias("x")).select("x._row")
+    first = found.groupBy("comp").agg(F.min(F.struct("doc_id", "sha", "_row")).alias("x")).select("x._row")
     kept = first.unionByName(sets.where("n_sh = 0").select("_row"))
     return left.unionByName(sub.join(kept, "_row", "left_semi").select(*docs.columns))
 
