@@ -17,22 +17,23 @@ _OUTCOME = {"UNAUTHORIZED": "denied", "RATE_LIMITED": "rate-limited", "UNKNOWN_F
 def answer(requests: DataFrame, keys: DataFrame, rate: float = 10.0, burst: float = 10.0) -> DataFrame:
     """``requests`` with status, reason, outcome and, where it is ``ok``, the value.
 
-    ``requests``: request_id, actor, authorized, at (seconds), career_site_id, source, id, type, field, keyversion and token.
-    Refusals before the bucket cost nothing of it.  The ciphertext is bound to its place, so another tenant's key or another
+    ``requests``: request_id, actor, authorized, at (seconds), career_site_id, source, id, type, field and token.
+    Refusals before the bucket cost nothing of it; what is not known to be authorized, or not known to be allowed, is refused.  The token names the
+    version of the keys that opens it.  The ciphertext is bound to its place, so another tenant's key or another
     event's token fails.
     """
-    asked = requests.where("authorized").select(F.col("actor").alias("tenant"), "at", F.col("request_id").alias("id"), F.lit(1).alias("n"))
+    yes = F.coalesce("authorized", F.lit(False))
+    asked = requests.where(yes).select(F.col("actor").alias("tenant"), "at", F.col("request_id").alias("id"), F.lit(1).alias("n"))
     none = requests.sparkSession.createDataFrame([], "tenant string, rate double, burst double")
     allowed = ratelimit.token_buckets(asked, none, (rate, burst)).select(F.col("id").alias("request_id"), "allowed", "retry_after")
-    k = keys.select(F.col("tenant").alias("career_site_id"), "enc_key")
+    k = crypto.by_tenant(keys).select(F.col("tenant").alias("career_site_id"), "versions")
     x = requests.join(allowed, "request_id", "left").join(F.broadcast(k), "career_site_id", "left")
-    aad = crypto.bound_data(F.col("source"), F.col("id"), F.col("type"), F.col("field"), F.col("keyversion"))
-    x = x.withColumn("value", crypto.decrypt_field(F.col("token"), F.col("enc_key"), aad))
+    x = x.withColumn("value", crypto.open_field(F.col("token"), F.col("versions"), F.col("source"), F.col("id"), F.col("type"), F.col("field")))
     reason = (
-        F.when(~F.col("authorized"), "UNAUTHORIZED").when(~F.col("allowed"), "RATE_LIMITED").when(~F.col("field").isin(S.PII_FIELDS), "UNKNOWN_FIELD")
-        .when(F.col("token").isNull(), "DECRYPT_FAILED").when(F.col("enc_key").isNull(), "UNKNOWN_TENANT").when(F.col("value").isNull(), "DECRYPT_FAILED")
+        F.when(~yes, "UNAUTHORIZED").when(~F.coalesce("allowed", F.lit(False)), "RATE_LIMITED").when(~F.coalesce(F.col("field").isin(S.PII_FIELDS), F.lit(False)), "UNKNOWN_FIELD")
+        .when(F.col("token").isNull(), "DECRYPT_FAILED").when(F.col("versions").isNull(), "UNKNOWN_TENANT").when(F.col("value").isNull(), "DECRYPT_FAILED")
     )
-    x = x.withColumn("reason", reason).drop("enc_key", "token", "allowed")
+    x = x.withColumn("reason", reason).drop("versions", "token", "allowed")
     pick = lambda table, ok: F.coalesce(*[F.when(F.col("reason") == c, F.lit(v)) for c, v in table.items()], F.lit(ok))
     return x.withColumns({"status": pick(_STATUS, 200), "outcome": pick(_OUTCOME, "ok"), "value": F.when(F.col("reason").isNull(), F.col("value")), "retry_after": F.when(F.col("reason") == "RATE_LIMITED", F.col("retry_after"))})
 

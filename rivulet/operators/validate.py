@@ -4,14 +4,17 @@ Structure first (unknown attribute, size, schema), then one tenant per batch,
 then the envelope's own rules, then duplicates among what is still valid.  Every
 verdict is a code and a reason: the code with a path or an attribute's name, never a value.
 
+A request is one row with at most some hundred elements, so all of this is a fold over the request's
+array: no exchange and no window, and elements are exploded for output alone.
+
 An element is parsed once into the declared type and once as a variant.  If both
 say the same, no key is unknown and no value was converted, and only the enumerations are
-left to check; the checks path by path run on the other elements alone.
+left to check; the checks path by path run on the other elements alone.  Of a key that repeats in an object the last value counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -22,89 +25,88 @@ _ENUMS = {"type": S.EVENT_TYPES, "sourcechannel": S.CHANNELS, "referrertype": S.
 _CANDIDATE, _PAYLOAD, _JOBS = "$.data.candidate", "$.data.event_payload", "$.data.event_payload.recommended_job_ids"
 
 
-def _kind(path: str) -> Column:
-    return F.expr(f"schema_of_variant(try_variant_get(v, '{path}', 'variant'))")
-
+class _Checks:
+    """Checks of one element: its text ``raw`` and its variant ``v``."""
 
-def _is(path: str, *kinds: str) -> Column:
-    """True if the value is there with one of the kinds."""
-    return F.coalesce(F.regexp_extract(_kind(path), "^[A-Z]+", 0).isin(*kinds), F.lit(False))
+    def __init__(self, raw: Column, v: Column):
+        self.raw, self.v = raw, v
 
+    def get(self, path: str, kind: str) -> Column:
+        return F.call_function("try_variant_get", self.v, F.lit(path), F.lit(kind))
 
-def _there(path: str) -> Column:
-    return _kind(path).isNotNull()
+    def kind(self, path: str) -> Column:
+        return F.call_function("schema_of_variant", self.get(path, "variant"))
 
+    def is_(self, path: str, *kinds: str) -> Column:
+        """True if the value is there with one of the kinds."""
+        return F.coalesce(F.regexp_extract(self.kind(path), "^[A-Z]+", 0).isin(*kinds), F.lit(False))
 
-def _text(path: str) -> Column:
-    return F.expr(f"try_variant_get(v, '{path}', 'string')")
+    def there(self, path: str) -> Column:
+        return self.kind(path).isNotNull()
 
+    def text(self, path: str) -> Column:
+        return self.get(path, "string")
 
-def _closed(path: str, keys: list[str]) -> Column:
-    found = F.json_object_keys(F.get_json_object("raw", path))
-    return F.coalesce(F.size(F.array_except(found, F.array(*map(F.lit, keys)))) == 0, F.lit(True))
+    def closed(self, path: str, keys: list[str]) -> Column:
+        found = F.json_object_keys(F.get_json_object(self.raw, path))
+        return F.coalesce(F.size(F.array_except(found, F.array(*map(F.lit, keys)))) == 0, F.lit(True))
 
 
-def schema_fault() -> Column:
-    """Over columns raw and v (its variant): the path of the first fault, null without one.
+def schema_fault(raw: Column, v: Column) -> Column:
+    """The path of the first fault of an element (text and variant), null without one.
 
     Values that are there come first, in the contract's order, then what is missing, named by its parent.
     """
-    bad: list[tuple[str, Column]] = []
-    null_or = lambda path, *kinds: _there(path) & ~_is(path, "VOID", *kinds)
-    one_of = lambda path, allowed: _there(path) & ~(_is(path, "VOID") | (_is(path, "STRING") & F.coalesce(_text(path).isin(allowed), F.lit(False))))
-    bad.append(("$.specversion", _there("$.specversion") & ~(_is("$.specversion", "STRING") & _text("$.specversion").eqNullSafe(F.lit("1.0")))))
-    bad += [(f"$.{k}", _there(f"$.{k}") & ~_is(f"$.{k}", "STRING")) for k in ("id", "source", "type", "time")]
+    c, bad = _Checks(raw, v), []
+    null_or = lambda path, *kinds: c.there(path) & ~c.is_(path, "VOID", *kinds)
+    one_of = lambda path, allowed: c.there(path) & ~(c.is_(path, "VOID") | (c.is_(path, "STRING") & F.coalesce(c.text(path).isin(allowed), F.lit(False))))
+    bad.append(("$.specversion", c.there("$.specversion") & ~(c.is_("$.specversion", "STRING") & c.text("$.specversion").eqNullSafe(F.lit("1.0")))))
+    bad += [(f"$.{k}", c.there(f"$.{k}") & ~c.is_(f"$.{k}", "STRING")) for k in ("id", "source", "type", "time")]
     bad += [("$.type", one_of("$.type", S.EVENT_TYPES))]
     bad += [(f"$.{k}", null_or(f"$.{k}", "STRING")) for k in _TEXT_KEYS]
     bad += [("$.keyversion", null_or("$.keyversion", "BIGINT"))]
     bad += [(f"$.{k}", one_of(f"$.{k}", v)) for k, v in _ENUMS.items() if k != "type"]
-    bad += [(p, _there(p) & ~_is(p, "OBJECT")) for p in ("$.data", _CANDIDATE, _PAYLOAD)]
-    bad += [(f"{p}.{k}", _there(f"{p}.{k}") & ~_is(f"{p}.{k}", "STRING")) for p, k in ((_CANDIDATE, "user_id"), (_PAYLOAD, "job_id"), (_PAYLOAD, "session_id"))]
+    bad += [(p, c.there(p) & ~c.is_(p, "OBJECT")) for p in ("$.data", _CANDIDATE, _PAYLOAD)]
+    bad += [(f"{p}.{k}", c.there(f"{p}.{k}") & ~c.is_(f"{p}.{k}", "STRING")) for p, k in ((_CANDIDATE, "user_id"), (_PAYLOAD, "job_id"), (_PAYLOAD, "session_id"))]
     bad += [(f"{_CANDIDATE}.{k}", null_or(f"{_CANDIDATE}.{k}", "STRING")) for k in S.CANDIDATE_KEYS if k not in ("user_id", "years_of_experience", "experience_status")]
     bad += [(f"{_CANDIDATE}.experience_status", one_of(f"{_CANDIDATE}.experience_status", S.EXPERIENCE)), (f"{_CANDIDATE}.years_of_experience", null_or(f"{_CANDIDATE}.years_of_experience", "DECIMAL", "DOUBLE", "FLOAT", "BIGINT"))]
     bad += [(f"{_PAYLOAD}.{k}", null_or(f"{_PAYLOAD}.{k}", "BIGINT")) for k in ("step_number", "time_spent_on_step_ms", "total_application_duration_ms")]
     bad += [(f"{_PAYLOAD}.{k}", null_or(f"{_PAYLOAD}.{k}", "STRING")) for k in ("step_name", "action")]
     bad += [(f"{_PAYLOAD}.completion_method", one_of(f"{_PAYLOAD}.completion_method", S.COMPLETION_METHODS))]
-    items = F.expr(f"try_variant_get(v, '{_JOBS}', 'array<variant>')")
-    bad += [(_JOBS, _there(_JOBS) & ~_is(_JOBS, "ARRAY")), (f"{_JOBS}[...]", F.coalesce(F.exists(items, lambda x: F.call_function("schema_of_variant", x) != "STRING"), F.lit(False)))]
-    bad += [(f"{_PAYLOAD}.client_metadata", _there(f"{_PAYLOAD}.client_metadata") & ~_is(f"{_PAYLOAD}.client_metadata", "OBJECT"))]
-    bad += [("$.data", ~_closed("$.data", ["candidate", "event_payload"])), (_CANDIDATE, ~_closed(_CANDIDATE, S.CANDIDATE_KEYS)), (_PAYLOAD, ~_closed(_PAYLOAD, S.PAYLOAD_KEYS))]
-    bad += [(p, _there(p) & ~_there(f"{p}.{k}")) for p, k in ((_CANDIDATE, "user_id"), (_PAYLOAD, "job_id"), (_PAYLOAD, "session_id"), ("$.data", "candidate"), ("$.data", "event_payload"))]
-    bad += [("$", ~_there(f"$.{k}")) for k in ("specversion", "id", "source", "type", "time", "data")]
-    return F.coalesce(*[F.when(c, F.lit(p)) for p, c in bad])
+    items = c.get(_JOBS, "array<variant>")
+    bad += [(_JOBS, c.there(_JOBS) & ~c.is_(_JOBS, "ARRAY")), (f"{_JOBS}[...]", F.coalesce(F.exists(items, lambda x: F.call_function("schema_of_variant", x) != "STRING"), F.lit(False)))]
+    bad += [(f"{_PAYLOAD}.client_metadata", c.there(f"{_PAYLOAD}.client_metadata") & ~c.is_(f"{_PAYLOAD}.client_metadata", "OBJECT"))]
+    bad += [("$.data", ~c.closed("$.data", ["candidate", "event_payload"])), (_CANDIDATE, ~c.closed(_CANDIDATE, S.CANDIDATE_KEYS)), (_PAYLOAD, ~c.closed(_PAYLOAD, S.PAYLOAD_KEYS))]
+    bad += [(p, c.there(p) & ~c.there(f"{p}.{k}")) for p, k in ((_CANDIDATE, "user_id"), (_PAYLOAD, "job_id"), (_PAYLOAD, "session_id"), ("$.data", "candidate"), ("$.data", "event_payload"))]
+    bad += [("$", ~c.there(f"$.{k}")) for k in ("specversion", "id", "source", "type", "time", "data")]
+    return F.coalesce(*[F.when(x, F.lit(p)) for p, x in bad])
 
 
-def _enum_fault() -> Column:
+def _enum_fault(e: Column) -> Column:
     """The same for an element whose parsed form ``e`` says all that the text says."""
-    bad = [(f"$.{k}", F.col(f"e.{k}").isNotNull() & ~F.col(f"e.{k}").isin(v)) for k, v in _ENUMS.items()]
-    bad += [(f"{_CANDIDATE}.experience_status", ~F.col("e.data.candidate.experience_status").isin(S.EXPERIENCE)), (f"{_PAYLOAD}.completion_method", ~F.col("e.data.event_payload.completion_method").isin(S.COMPLETION_METHODS))]
-    return F.coalesce(F.when(~F.col("e.specversion").eqNullSafe(F.lit("1.0")), F.lit("$.specversion")), *[F.when(c, F.lit(p)) for p, c in bad])
-
+    candidate, payload = e["data"]["candidate"], e["data"]["event_payload"]
+    bad = [(f"$.{k}", e[k].isNotNull() & ~e[k].isin(v)) for k, v in _ENUMS.items()]
+    bad += [(f"{_CANDIDATE}.experience_status", ~candidate["experience_status"].isin(S.EXPERIENCE)), (f"{_PAYLOAD}.completion_method", ~payload["completion_method"].isin(S.COMPLETION_METHODS))]
+    return F.coalesce(F.when(~e["specversion"].eqNullSafe(F.lit("1.0")), F.lit("$.specversion")), *[F.when(c, F.lit(p)) for p, c in bad])
 
-def structural(elements: DataFrame, max_bytes: int = S.MAX_EVENT_BYTES, size: Column | None = None) -> DataFrame:
-    """``elements`` (batch_id, idx, raw) with source, id, type, time, the parsed event ``e``, and ``code`` and ``reason``, null where it passes.
 
-    ``size`` gives the bytes that count, the text's own if none is given.
-    """
-    e = elements.withColumns({"v": F.expr("try_parse_json(raw)"), "e": F.from_json("raw", S.INGRESS_EVENT)})
-    e = e.withColumn("same", F.coalesce(F.expr("to_json(v) = to_json(try_parse_json(to_json(e)))"), F.lit(False)))
-    need = [F.col(f"e.{k}") for k in ("specversion", "id", "source", "type", "time", "data.candidate.user_id", "data.event_payload.job_id", "data.event_payload.session_id")]
-    full = F.col("same")
-    for c in need:
+def _structural(p: Column, max_bytes: int, size: Column) -> Column:
+    """Code and reason of one element ``p`` (idx, raw, v, e, same), null where its structure passes; ``size`` bytes count."""
+    e, checks = p["e"], _Checks(p["raw"], p["v"])
+    full = p["same"]
+    for c in (e["specversion"], e["id"], e["source"], e["type"], e["time"], e["data"]["candidate"]["user_id"], e["data"]["event_payload"]["job_id"], e["data"]["event_payload"]["session_id"]):
         full = full & c.isNotNull()
-    at = F.concat(F.lit(" at $["), F.col("idx").cast("string"), F.lit("]"))
-    big = (F.octet_length("raw") if size is None else size) > max_bytes
-    oversized = F.struct(F.lit("OVERSIZED").alias("code"), F.concat(F.lit("OVERSIZED"), at, F.lit(f": exceeds {max_bytes} bytes")).alias("reason"))
-    schema = lambda path: F.when(path.isNotNull(), F.struct(F.lit("SCHEMA").alias("code"), F.concat(F.lit("SCHEMA at "), path).alias("reason")))
-    extra = text.extra_attribute(F.col("raw"))
+    at = F.concat(F.lit(" at $["), p["idx"].cast("string"), F.lit("]"))
+    told = lambda code, reason: F.struct(F.lit(code).alias("code"), reason.alias("reason"))
+    big, oversized = size > max_bytes, told("OVERSIZED", F.concat(F.lit("OVERSIZED"), at, F.lit(f": exceeds {max_bytes} bytes")))
+    schema = lambda path: F.when(path.isNotNull(), told("SCHEMA", F.concat(F.lit("SCHEMA at "), path)))
+    extra = text.extra_attribute(p["raw"])
     slow = (
-        F.when(~F.coalesce(_kind("$").startswith("OBJECT"), F.lit(False)), F.struct(F.lit("SCHEMA").alias("code"), F.concat(F.lit("SCHEMA"), at, F.lit(": not an object")).alias("reason")))
-        .when(extra.isNotNull(), F.struct(F.lit("UNKNOWN_ATTRIBUTE").alias("code"), F.concat(F.lit("UNKNOWN_ATTRIBUTE"), at, F.lit(": "), extra).alias("reason")))
-        .when(big, oversized).otherwise(schema(schema_fault()))
+        F.when(~F.coalesce(checks.kind("$").startswith("OBJECT"), F.lit(False)), told("SCHEMA", F.concat(F.lit("SCHEMA"), at, F.lit(": not an object"))))
+        .when(extra.isNotNull(), told("UNKNOWN_ATTRIBUTE", F.concat(F.lit("UNKNOWN_ATTRIBUTE"), at, F.lit(": "), extra)))
+        .when(big, oversized).otherwise(schema(schema_fault(p["raw"], p["v"])))
     )
-    e = e.withColumn("x", F.when(full, F.when(big, oversized).otherwise(schema(_enum_fault()))).otherwise(slow))
-    field = lambda k: F.when(F.col("same"), F.col(f"e.{k}")).otherwise(_text(f"$.{k}"))
-    return e.withColumns({k: field(k) for k in ("source", "id", "type", "time")} | {"code": F.col("x.code"), "reason": F.col("x.reason")}).drop("v", "same", "x")
+    return F.when(full, F.when(big, oversized).otherwise(schema(_enum_fault(e)))).otherwise(slow)
 
 
 def envelope_problem(source: Column, time: Column, id_: Column) -> Column:
@@ -116,29 +118,79 @@ def raw_subject(type_: Column, subject: Column) -> Column:
     return type_.rlike("(user-registered|user-logged-in)$") & F.coalesce(subject.rlike("^(usr_|user_)"), F.lit(False))
 
 
-def validate_batches(elements: DataFrame, max_bytes: int = S.MAX_EVENT_BYTES, size: Column | None = None, parsed: bool = False) -> DataFrame:
-    """Every element with its final ``code`` and ``reason`` (null: accepted); ``parsed`` keeps the parsed event ``e``.
+def last_of_repeated_keys(frame: DataFrame) -> None:
+    """Let objects with a repeated key be parsed, the last value counting.  The setting stays in the session, as results are computed later."""
+    frame.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def judged(requests: DataFrame, elements: Column, max_bytes: int = S.MAX_EVENT_BYTES, size=None) -> DataFrame:
+    """``requests`` with ``verdicts``: for each of its ``elements`` (an array of idx and raw) idx, raw, source, id, type, time, the parsed event e, code and reason.
 
-    A batch of several tenants is refused as one: all its elements have the code MIXED_TENANT, and the
-    reason stands at index 0 alone, as its one rejection.
+    A null code means accepted.  A batch of several tenants is refused as one: all its elements have the code MIXED_TENANT, and the
+    reason stands at index 0 alone, as its one rejection.  ``size`` makes the bytes that count from an element's parsed event and text; without
+    it they are those of the text.
     """
-    e = structural(elements, max_bytes, size)
-    e = e if parsed else e.drop("e")
-    of_batch = Window.partitionBy("batch_id")
-    decoded = F.when(F.col("code").isNull(), F.col("source"))
-    problem = envelope_problem(F.col("source"), F.col("time"), F.col("id"))
+    last_of_repeated_keys(requests)
+    # one step for each level of what the next one reads several times
+    parsed = F.transform(elements, lambda x: F.struct(x["idx"].alias("idx"), x["raw"].alias("raw"), F.call_function("try_parse_json", x["raw"]).alias("v"), F.from_json(x["raw"], S.INGRESS_EVENT).alias("e")))
+    json_of = lambda v: F.to_json(F.call_function("try_parse_json", v))
+    seen = F.transform(parsed, lambda p: F.struct(*[p[k].alias(k) for k in ("idx", "raw", "v", "e")], F.coalesce(F.to_json(p["v"]) == json_of(F.to_json(p["e"])), F.lit(False)).alias("same")))
+
+    def told(p: Column) -> Column:
+        field = lambda k: F.when(p["same"], p["e"][k]).otherwise(_Checks(p["raw"], p["v"]).text(f"$.{k}"))
+        x = _structural(p, max_bytes, F.octet_length(p["raw"]) if size is None else F.coalesce(size(p["e"]), F.octet_length(p["raw"])))
+        return F.struct(*[p[k].alias(k) for k in ("idx", "raw", "e")], *[field(k).alias(k) for k in ("source", "id", "type", "time")], x.alias("x"))
+
     where = F.create_map(*[F.lit(x) for kv in (("BAD_SOURCE", "$.source"), ("BAD_TIME", "$.time"), ("BAD_ID", "$.id")) for x in kv])
-    e = e.withColumns({"mixed": F.coalesce(F.min(decoded).over(of_batch) != F.max(decoded).over(of_batch), F.lit(False)), "problem": F.when(F.col("code").isNull(), problem)})
-    code = F.when(F.col("mixed"), "MIXED_TENANT").otherwise(F.coalesce("code", "problem"))
-    reason = F.when(F.col("mixed"), F.when(F.col("idx") == 0, "MIXED_TENANT: spans more than one tenant")).otherwise(F.coalesce("reason", F.concat("problem", F.lit(" at "), where[F.col("problem")])))
-    e = e.withColumns({"code": code, "reason": reason})
-    nth = F.row_number().over(Window.partitionBy("batch_id", "source", "id", F.col("code").isNull()).orderBy("idx"))
-    again = F.col("code").isNull() & (nth > 1)
-    return e.withColumns({"code": F.when(again, "DUPLICATE_ID").otherwise(F.col("code")), "reason": F.when(again, "DUPLICATE_ID at $.id").otherwise(F.col("reason"))}).drop("mixed", "problem")
+
+    def enveloped(p: Column) -> Column:
+        problem = F.when(p["x"].isNull(), envelope_problem(p["source"], p["time"], p["id"]))
+        reason = F.coalesce(p["x"]["reason"], F.concat(problem, F.lit(" at "), where[problem]))
+        return F.struct(*[p[k].alias(k) for k in ("idx", "raw", "e", "source", "id", "type", "time")], p["x"].isNull().alias("decoded"), F.coalesce(p["x"]["code"], problem).alias("code"), reason.alias("reason"))
+
+    # a valid source has no line end in it
+    key = lambda p: F.when(p["code"].isNull(), F.concat(p["source"], F.lit("\n"), p["id"]))
+
+    def whole(v: Column) -> Column:
+        sources = F.transform(F.filter(v, lambda p: p["decoded"]), lambda p: p["source"])
+        mixed = _let(sources, lambda s: F.coalesce(F.array_min(s) != F.array_max(s), F.lit(False)))
+        return _let(F.struct(mixed.alias("mixed"), F.transform(v, key).alias("keys")), lambda of: F.transform(v, lambda p, i: final(of, p, i)))
+
+    def final(of: Column, p: Column, i: Column) -> Column:
+        again = p["code"].isNull() & (F.array_position(of["keys"], key(p)) <= i)
+        code = F.when(of["mixed"], "MIXED_TENANT").when(again, "DUPLICATE_ID").otherwise(p["code"])
+        reason = F.when(of["mixed"], F.when(p["idx"] == 0, "MIXED_TENANT: spans more than one tenant")).when(again, "DUPLICATE_ID at $.id").otherwise(p["reason"])
+        return F.struct(*[p[k].alias(k) for k in ("idx", "raw", "source", "id", "type", "time", "e")], code.alias("code"), reason.alias("reason"))
+
+    return requests.withColumn("verdicts", _let(F.transform(F.transform(seen, told), enveloped), whole))
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is made once, however often it is read: a column would be put into the lambdas that read it and made for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def verdict_rows(found: DataFrame, *keep: str, parsed: bool = False) -> DataFrame:
+    """One row for each verdict of ``judged`` requests."""
+    # plain columns, and the outer form: pruned fields of a struct, or filters on the size, would have the array made again
+    x = found.select(*keep, F.inline_outer("verdicts")).where("idx is not null")
+    return x if parsed else x.drop("e")
+
+
+def numbered(raws: Column | str) -> Column:
+    """Texts of elements as ``judged`` takes them."""
+    return F.transform(raws, lambda r, i: F.struct(i.cast("long").alias("idx"), r.alias("raw")))
+
+
+def validate_batches(elements: DataFrame, max_bytes: int = S.MAX_EVENT_BYTES) -> DataFrame:
+    """Every element (batch_id, idx, raw) with its final ``code`` and ``reason`` (null: accepted), for elements that come apart: each batch is put together first."""
+    whole = elements.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("idx", "raw"))).alias("elements"))
+    return verdict_rows(judged(whole, F.col("elements"), max_bytes), "batch_id")
 
 
 def limited(requests: DataFrame, max_body: int = S.MAX_BODY_BYTES, max_events: int = S.MAX_EVENTS, max_event: int = S.MAX_INGRESS_BYTES) -> DataFrame:
     """``requests`` (body, ...) with the elements' texts ``raws`` in place of the body, and ``code``; null code: within the limits."""
+    last_of_repeated_keys(requests)
     parts = F.expr("try_cast(try_parse_json(body) as array<variant>)")
     r = requests.withColumn("raws", F.when(F.octet_length("body") <= max_body, F.transform(parts, lambda v: F.call_function("to_json", v))))
     code = F.when(F.octet_length("body") > max_body, "BODY_TOO_LARGE").when(F.col("raws").isNull(), "BODY_NOT_A_BATCH").when(F.size("raws") > max_events, "TOO_MANY_EVENTS").when(F.exists("raws", lambda x: F.octet_length(x) > max_event), "EVENT_TOO_LARGE")

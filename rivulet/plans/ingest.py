@@ -8,6 +8,7 @@ from .. import schemas as S
 from ..functions import crypto, text
 from ..operators import decrypt, dlq, program, ratelimit, tenancy, validate
 from ..sources import adapt, readers
+from ..staging import staged
 
 _MASTER = bytes(range(32))
 
@@ -17,7 +18,9 @@ def _rows(spark, d):
 
 
 def _verdicts(spark, d):
-    return validate.validate_batches(adapt.raw_elements(_rows(spark, d)))
+    """Verdicts on the requests of a tenant and day, which are staged as a source would have them."""
+    whole = validate.limited(staged(adapt.requests(_rows(spark, d)), "requests"), max_events=1 << 30, max_body=1 << 30)
+    return validate.verdict_rows(validate.judged(whole, validate.numbered("raws")), "batch_id")
 
 
 def _sql(body: str, recursive: bool = False) -> str:
@@ -100,9 +103,8 @@ def ingest_published(spark, d):
     p = _ingested(spark, d).published
     get = lambda k: F.get_json_object("value", f"$.{k}")
     p = p.select("batch_id", "idx", "key", *[get(k).alias(k) for k in ("source", "id", "type", "sourcechannel", "partitionkey", "keyversion")], get("data.candidate.email_enc").alias("token"), get("data.candidate.user_id").isNull().alias("sealed"))
-    k = _keys(spark).select(F.concat(F.lit("/careers/"), "tenant").alias("source"), "enc_key")
-    aad = crypto.bound_data(F.col("source"), F.col("id"), F.col("type"), F.lit("email"), F.col("keyversion"))
-    p = p.join(F.broadcast(k), "source").withColumn("email", crypto.decrypt_field(F.col("token"), F.col("enc_key"), aad))
+    k = crypto.by_tenant(_keys(spark)).select(F.concat(F.lit("/careers/"), "tenant").alias("source"), "versions")
+    p = p.join(F.broadcast(k), "source").withColumn("email", crypto.open_field(F.col("token"), F.col("versions"), F.col("source"), F.col("id"), F.col("type"), F.lit("email")))
     return p.select("batch_id", F.col("idx").cast("long").alias("idx"), "source", "id", "type", "sourcechannel", "email", "key", (F.col("partitionkey") == F.col("key")).alias("keyed"), "sealed")
 
 

@@ -13,7 +13,8 @@ APPLICANT_KEYS = ["candidate_ref", "email_hmac", "email_enc", "phone_enc", "name
 
 
 def split_batches(requests: DataFrame) -> DataFrame:
-    """(batch_id, idx, raw) of every element of JSON-array bodies; other bodies give no rows."""
+    """(batch_id, idx, raw) of every element of JSON-array bodies; other bodies give no rows.  Of a key that repeats in an object the last value counts."""
+    requests.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parts = F.expr("try_cast(try_parse_json(body) as array<variant>)")
     return requests.select("batch_id", F.posexplode(parts).alias("idx", "v")).select("batch_id", F.col("idx").cast("long").alias("idx"), F.expr("to_json(v)").alias("raw"))
 

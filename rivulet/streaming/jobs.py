@@ -10,37 +10,97 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import dlq
 from ..operators.program import Ingested
+from ..operators.ratelimit import Bucket
+from .commits import Log
 
 
-def ingest(requests: DataFrame, run: Callable[[DataFrame], Ingested], path: str, checkpoint: str, trigger: dict | None = None):
-    """Run a stream of whole requests through ``run``, the ingest program with its dimensions.
+def ingest(requests: DataFrame, run: Callable[[DataFrame, DataFrame | None], Ingested], path: str, checkpoint: str, trigger: dict | None = None):
+    """Run a stream of whole requests through ``run``, the ingest program with its dimensions, into the commit log at ``path``.
 
-    Requests come whole, so that no batch's elements fall into two micro-batches.  Token buckets are full at the start
-    of each micro-batch.
+    Requests come whole, so that no batch's elements fall into two micro-batches.  ``run`` takes the requests and the token buckets as
+    the last committed epoch left them; the buckets afterwards are committed with the rows, so a retried or restarted
+    micro-batch starts from the same tokens.
     """
-    write = lambda batch, epoch: write_epoch(run(batch), path, epoch)
-    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    log = Log(requests.sparkSession, path)
+    return requests.writeStream.foreachBatch(lambda batch, epoch: commit_epoch(batch, run, log, epoch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def write_epoch(got: Ingested, path: str, epoch: int) -> None:
-    """Write ``letters``, then ``published`` and ``responses`` of one micro-batch, each into its folder ``epoch=...``.
+def commit_epoch(batch: DataFrame, run: Callable[[DataFrame, DataFrame | None], Ingested], log: Log, epoch: int) -> None:
+    """Commit ``letters``, ``published``, ``responses`` and ``buckets`` of one micro-batch, or nothing of it.
 
-    A retried micro-batch overwrites what it wrote before.  A failed write fails the micro-batch, and so does an
-    account that does not balance: each event that a response calls accepted is published, each that it calls rejected is a letter.
+    A micro-batch whose account does not balance fails: each event that a response calls accepted is published, each that it calls rejected
+    is a letter.  One that was committed before is not run again.  What the program staged is deleted either way.
     """
-    spark = got.published.sparkSession
-    tables = {"letters": dlq.letter_records(got.letters), "published": got.published, "responses": got.responses}
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
-    there = {name: spark.read.schema(rows.schema).parquet(f"{path}/{name}/epoch={epoch}") for name, rows in tables.items()}
+    if log.has(epoch):
+        return
+    got = run(batch, log.last("buckets", before=epoch))
+    try:
+        log.write(epoch, {"letters": dlq.letter_records(got.letters), "published": got.published, "responses": got.responses, "buckets": got.state}, balanced)
+    finally:
+        got.close()
+
+
+def balanced(there: dict[str, DataFrame]) -> None:
+    """Raise if the responses name other numbers of accepted and rejected events than were written."""
     said = there["responses"].agg(F.coalesce(F.sum("accepted"), F.lit(0)), F.coalesce(F.sum(F.size("rejected")), F.lit(0))).first()
     wrote = there["published"].count(), there["letters"].count()
     if tuple(said) != wrote:
-        raise RuntimeError(f"epoch {epoch}: responses name {tuple(said)} accepted and rejected events, {wrote} were written")
+        raise RuntimeError(f"responses name {tuple(said)} accepted and rejected events, {wrote} were written")
+
+
+class _TokenBuckets(StatefulProcessor):
+    """One bucket for each tenant, kept as its tokens and the time of its last request."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bucket = handle.getValueState("bucket", "tokens double, last double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # a tenant's narrow rows of one micro-batch, which the source's trigger bounds
+        x = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
+        held = self.bucket.get() if self.bucket.exists() else (None, float(x["at"].iloc[0]))
+        bucket = Bucket(key[0], float(x.rate.iloc[0]), float(x.burst.iloc[0]), held[0], held[1])
+        took = [bucket.take(float(at), int(n)) for at, n in zip(x["at"], x.n, strict=True)]
+        self.bucket.update((bucket.tokens, bucket.last))
+        yield pd.DataFrame({"tenant": key[0], "id": x.id.to_numpy(), "allowed": [t[0] for t in took], "retry_after": pd.array([t[1] for t in took], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def token_buckets(charges: DataFrame, limits: DataFrame, default: tuple[float, float]) -> DataFrame:
+    """(tenant, id, allowed, retry_after) of a stream of charges (tenant, at seconds, id, n) under buckets that last from micro-batch to micro-batch.
+
+    State is two numbers per tenant, in the RocksDB store, which the session has to name in ``spark.sql.streaming.stateStore.providerClass``.  In a
+    micro-batch a tenant's charges count in the order of at, then id; micro-batches count as they come.
+    """
+    lim = limits.select("tenant", F.col("rate").cast("double").alias("rate"), F.col("burst").cast("double").alias("burst"))
+    x = charges.select("tenant", F.col("at").cast("double").alias("at"), "id", F.col("n").cast("long").alias("n")).join(F.broadcast(lim), "tenant", "left")
+    x = x.withColumns({"rate": F.coalesce("rate", F.lit(default[0])), "burst": F.coalesce("burst", F.lit(default[1]))})
+    out = f"tenant string, id {x.schema['id'].dataType.simpleString()}, allowed boolean, retry_after long"
+    return x.groupBy("tenant").transformWithStateInPandas(_TokenBuckets(), out, "append", "None")
+
+
+def timely(events: DataFrame, path: str, checkpoint: str, late_seconds: int, trigger: dict | None = None):
+    """Commit a stream's ``timely`` rows and, apart, those ``late`` ones that lie behind the watermark, so that none is lost uncounted.
+
+    The watermark of a micro-batch is the greatest ``ts`` of the epochs before, less ``late_seconds``; it is committed with the rows as ``clock`` (ts, timely, late).
+    """
+    log = Log(events.sparkSession, path)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        before = log.last("clock", before=epoch)
+        high = before.first().ts if before is not None else None
+        mark = F.lit(None).cast("timestamp") if high is None else F.lit(high) - F.expr(f"interval {late_seconds} seconds")
+        flagged = batch.withColumn("_late", F.coalesce(F.col("ts") < mark, F.lit(False)))
+        clock = flagged.agg(F.greatest(F.max("ts"), F.lit(high).cast("timestamp")).alias("ts"), F.count_if(~F.col("_late")).alias("timely"), F.count_if("_late").alias("late"))
+        log.write(epoch, {"timely": flagged.where(~F.col("_late")).drop("_late"), "late": flagged.where("_late").drop("_late"), "clock": clock})
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
