@@ -30,16 +30,21 @@ class _Checks:
 
     def __init__(self, raw: Column, v: Column):
         self.raw, self.v = raw, v
+        self._kinds: dict[str, tuple[Column, Column]] = {}
 
     def get(self, path: str, kind: str) -> Column:
         return F.call_function("try_variant_get", self.v, F.lit(path), F.lit(kind))
 
     def kind(self, path: str) -> Column:
-        return F.call_function("schema_of_variant", self.get(path, "variant"))
+        if path not in self._kinds:  # columns are made once for each path: making them is what takes the driver's time
+            kind = F.call_function("schema_of_variant", self.get(path, "variant"))
+            self._kinds[path] = kind, F.regexp_extract(kind, "^[A-Z]+", 0)
+        return self._kinds[path][0]
 
     def is_(self, path: str, *kinds: str) -> Column:
         """True if the value is there with one of the kinds."""
-        return F.coalesce(F.regexp_extract(self.kind(path), "^[A-Z]+", 0).isin(*kinds), F.lit(False))
+        self.kind(path)
+        return F.coalesce(self._kinds[path][1].isin(*kinds), F.lit(False))
 
     def there(self, path: str) -> Column:
         return self.kind(path).isNotNull()

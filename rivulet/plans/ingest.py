@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import crypto, text
-from ..operators import decrypt, dlq, program, ratelimit, tenancy, validate
+from ..operators import decrypt, dlq, program, ratelimit, replay, tenancy, validate
 from ..sources import adapt, readers
 from ..staging import staged
 
@@ -90,12 +90,20 @@ def dlq_records(spark, d):
     return dlq.dead_letters(_verdicts(spark, d)).select("id", "source", "type", "batch_id", "index", "reason", "stage")
 
 
+def _asked(rows):
+    """(batch_id, token_tenant, credential_id, channel_hint, at) of each request."""
+    at = rows.groupBy("batch_id").agg(F.unix_timestamp(F.min("ts").cast("timestamp")).cast("double").alias("at"))
+    return _claims(rows).join(at, "batch_id")
+
+
+def _program(spark):
+    return lambda requests: program.ingest(requests, *_dimensions(spark), _keys(spark), _limits(spark), (0.0001, 25.0), max_events=18, max_bytes=2000)
+
+
 def _ingested(spark, d):
     """All events through the ingest program, as requests of a tenant and day."""
     r = _rows(spark, d)
-    at = r.groupBy("batch_id").agg(F.unix_timestamp(F.min("ts").cast("timestamp")).cast("double").alias("at"))
-    requests = adapt.requests(r, long_names=True).join(_claims(r), "batch_id").join(at, "batch_id")
-    return program.ingest(requests, *_dimensions(spark), _keys(spark), _limits(spark), (0.0001, 25.0), max_events=18, max_bytes=2000)
+    return _program(spark)(adapt.requests(r, long_names=True).join(_asked(r), "batch_id"))
 
 
 def ingest_published(spark, d):
@@ -138,6 +146,14 @@ def dlq_replay(spark, d):
     return again.unionByName(ready)
 
 
+def dlq_rounds(spark, d):
+    """All dead letters in rounds; times that are none are mended and foreign attributes taken out before a letter goes out again."""
+    got = _ingested(spark, d)
+    asked = staged(_asked(_rows(spark, d)).withColumn("at", F.col("at") + 1e9), "asked")
+    mended = lambda raw, reason: F.when(reason.startswith("BAD_TIME"), F.replace(raw, F.lit('"yesterday"'), F.lit('"2024-03-01T00:00:00Z"'))).when(reason.startswith("UNKNOWN_ATTRIBUTE"), F.replace(raw, F.lit('"shadow":"1",'), F.lit(""))).otherwise(raw)
+    return replay.rounds(got.letters, asked, _program(spark), 3, mended).select("batch_id", "index", "stage", "fate", "retry_count", "reason", "first_reason")
+
+
 def _users(spark, d):
     c = adapt.table(spark, d, "customer")
     return c.select(F.concat(F.lit("tenant_"), F.lpad((F.col("c_custkey") % 20).cast("string"), 4, "0")).alias("tenant"), F.concat(F.lit("usr_"), "c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.concat(F.lower("c_name"), F.lit("@example.invalid")).alias("email"), F.concat(F.lit("ev-"), "c_custkey").alias("id"), "c_custkey").withColumns({"source": F.concat(F.lit("/careers/"), "tenant"), "type": F.lit(S.EVENT_TYPES[7])})
@@ -153,10 +169,10 @@ def pseudonyms(spark, d):
     return u.select("c_custkey", p.alias("user_id_pseudo"), text.partition_key(F.col("tenant"), p).alias("key"))
 
 
-def _key_values() -> str:
+def _key_values(master: bytes = _MASTER) -> str:
     rows = []
     for t in adapt.TENANTS:
-        k = crypto.tenant_keys(_MASTER, t)[1].ljust(64, b"\0")
+        k = crypto.tenant_keys(master, t)[1].ljust(64, b"\0")
         rows.append(f"('{t}', '{bytes(b ^ 0x36 for b in k).hex()}', '{bytes(b ^ 0x5C for b in k).hex()}')")
     return ", ".join(rows)
 
@@ -240,6 +256,17 @@ def decrypt_audit_rows(spark, d):
     return decrypt.audit(_answers(spark, d), F.col("at")).drop("at")
 
 
+def key_rotation(spark, d):
+    """Fields sealed before and after a rotation of the keys, opened by the versions that their tokens name; some name an unknown one, and of some requests it is not known whether they are authorized."""
+    c, keys = F.col("c_custkey"), _keys(spark).unionByName(crypto.key_dimension(spark, _MASTER[::-1], adapt.TENANTS, 2, 500.0))
+    u = _users(spark, d).select("tenant", "source", "id", "type", "user_id", "name", "email", "c_custkey", F.when(c % 3 == 0, 499.5).otherwise(F.when(c % 3 == 1, 500.0).otherwise(9e9)).alias("at"))
+    p = staged(crypto.protect(u, keys, "at"), "sealed")
+    token = F.when(c % 7 == 0, F.concat(F.lit("9"), F.expr("substr(email_enc, 2)"))).otherwise(F.col("email_enc"))
+    asked = p.select(c.alias("request_id"), F.concat(F.lit("op_"), c).alias("actor"), F.when(c % 11 > 0, True).alias("authorized"), F.lit(0.0).alias("at"), F.col("tenant").alias("career_site_id"), "source", "id", "type", F.lit("email").alias("field"), token.alias("token"))
+    got = decrypt.answer(asked, keys).select(F.col("request_id").alias("c_custkey"), F.col("status").cast("int").alias("status"), "reason", "value")
+    return p.select("c_custkey", "keyversion", "user_id_pseudo").join(got, "c_custkey")
+
+
 def decrypt_limited(spark, d):
     """Decrypt requests by tenant under their own bucket: ten in a row, then ten a second."""
     c = _users(spark, d).select("tenant", (F.col("c_custkey") / 400).cast("double").alias("at"), F.col("c_custkey").alias("id"), F.lit(1).alias("n"))
@@ -249,7 +276,7 @@ def decrypt_limited(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     validate_verdicts, validate_duplicates, validate_batch_limits, mixed_tenant_batches, raw_subject_audit, tenant_binding, token_budget, ingest_outcome, request_roundtrip,
-    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_counters, ingest_dead_letters, dlq_replay, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, decrypt_limited, decrypt_attempts, decrypt_audit_rows, limits_summary,
+    dlq_records, dlq_by_stage, ingest_published, ingest_responses, ingest_counters, ingest_dead_letters, dlq_replay, dlq_rounds, pseudonyms, decrypt_export, decrypt_audit, protect_roundtrip, before_after, rate_limit_batches, rate_limit_events, decrypt_limited, decrypt_attempts, decrypt_audit_rows, key_rotation, limits_summary,
 )}
 
 _USERS = """u AS (SELECT c_custkey, 'tenant_' || lpad((c_custkey % 20)::VARCHAR, 4, '0') AS tenant, c_name AS name, lower(c_name) || '@example.invalid' AS email,
@@ -325,6 +352,15 @@ f AS (SELECT tenant, tm, k, true AS allowed, burst - 1 AS tok FROM q WHERE k = 1
 SELECT tenant, count(*) FILTER (allowed) AS allowed, count(*) FILTER (NOT allowed) AS denied FROM f GROUP BY 1""",
     "decrypt_attempts": f"WITH {_ANSWERS} SELECT c_custkey AS request_id, CASE reason WHEN 'UNAUTHORIZED' THEN 401 WHEN 'RATE_LIMITED' THEN 429 WHEN 'UNKNOWN_TENANT' THEN 404 ELSE CASE WHEN reason IS NULL THEN 200 ELSE 400 END END::INT AS status, reason, CASE WHEN reason = 'RATE_LIMITED' THEN greatest(1, ceil((1 - tok) / 5.0::DOUBLE))::BIGINT END AS retry_after, CASE WHEN reason IS NULL THEN CASE asked WHEN 'name' THEN name ELSE email END END AS value FROM a",
     "decrypt_audit_rows": f"WITH {_ANSWERS}, b AS (SELECT *, CASE reason WHEN 'UNAUTHORIZED' THEN 'denied' WHEN 'RATE_LIMITED' THEN 'rate-limited' WHEN 'UNKNOWN_FIELD' THEN 'rejected' ELSE CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END END AS outcome FROM a), c AS (SELECT *, outcome NOT IN ('denied', 'rate-limited') AS seen FROM b) SELECT c_custkey AS request_id, CASE WHEN outcome = 'ok' THEN 'op_' || (c_custkey % 5) ELSE 'unidentified' END AS actor, CASE WHEN seen THEN CASE WHEN c_custkey % 17 = 0 THEN 'stranger' ELSE tenant END END AS career_site_id, CASE WHEN seen THEN '/careers/' || tenant END AS source, CASE WHEN seen THEN 'ev-' || c_custkey || CASE WHEN c_custkey % 10 = 0 THEN 'x' ELSE '' END END AS event_id, CASE WHEN seen THEN asked END AS field, outcome FROM c",
+    "key_rotation": f"""WITH k AS (SELECT *, 1 AS version FROM (VALUES {_key_values()}) t(tenant, ipad, opad) UNION ALL SELECT *, 2 FROM (VALUES {_key_values(_MASTER[::-1])}) t(tenant, ipad, opad)), {_USERS},
+a AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS keyversion, sha256(unhex(opad) || unhex(sha256(unhex(ipad) || ('usr_' || c_custkey)::BLOB))) AS user_id_pseudo, email,
+  CASE WHEN c_custkey % 11 = 0 THEN 'UNAUTHORIZED' WHEN c_custkey % 7 = 0 THEN 'DECRYPT_FAILED' END AS reason FROM u JOIN k ON k.tenant = u.tenant AND version = CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END)
+SELECT c_custkey, keyversion, user_id_pseudo, CASE reason WHEN 'UNAUTHORIZED' THEN 401 WHEN 'DECRYPT_FAILED' THEN 400 ELSE 200 END::INT AS status, reason, CASE WHEN reason IS NULL THEN email END AS value FROM a""",
+    "dlq_rounds": _sql(f"""{_PROGRAM}, l AS (SELECT batch_id, idx, stage, reason, event_id, id, source, extra, event_type, time, CASE WHEN event_type = 'error' THEN 'SCHEMA at $.type' WHEN id = '' THEN 'BAD_ID at $.id' END AS rest FROM letters),
+-- the second round sees the reason of the first: a foreign attribute hides a time that is none, which is mended in the round after
+c AS (SELECT *, CASE WHEN stage = 'encrypt' THEN 0 WHEN extra AND event_type <> 'error' AND time = 'yesterday' THEN 2 ELSE 1 END AS n FROM l),
+e AS (SELECT *, CASE WHEN stage = 'encrypt' THEN NULL WHEN extra AND event_type = 'error' THEN 'SCHEMA at $.type' WHEN event_type = 'error' THEN reason WHEN id = '' THEN 'BAD_ID at $.id' END AS final FROM c)
+SELECT batch_id, idx AS index, stage, CASE WHEN final IS NULL THEN 'published' ELSE 'rejected' END AS fate, (n + CASE WHEN final IS NOT NULL AND final <> reason THEN 1 ELSE 0 END)::BIGINT AS retry_count, final AS reason, reason AS first_reason FROM e""", True),
     "decrypt_limited": """WITH RECURSIVE q AS (SELECT 'tenant_' || lpad((c_custkey % 20)::VARCHAR, 4, '0') AS tenant, c_custkey / 400.0::DOUBLE AS tm, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey) AS k FROM customer),
 f AS (SELECT tenant, tm, k, true AS allowed, 9.0::DOUBLE AS tok FROM q WHERE k = 1
   UNION ALL SELECT q.tenant, q.tm, q.k, least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) >= 1, least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) - (least(10.0::DOUBLE, f.tok + (q.tm - f.tm) * 10.0::DOUBLE) >= 1)::INT FROM f JOIN q ON q.tenant = f.tenant AND q.k = f.k + 1)

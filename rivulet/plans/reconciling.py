@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import crypto, text
-from ..operators import metrics, reconcile
+from ..operators import metrics, reconcile, summaries
 from ..sources import adapt, readers
 from ..staging import staged
 from .ingest import _MASTER, _key_values, _rows, _sql
@@ -135,8 +135,16 @@ def held_rate(spark, d):
 
 
 def exact_quantiles(spark, d):
-    q = lambda p: F.expr(f"percentile_disc({p}) within group (order by seconds)")
-    return _attempts(spark, d).groupBy("status").agg(q(0.5).alias("p50"), q(0.99).alias("p99"), F.max("seconds").alias("slowest"))
+    a = staged(_attempts(spark, d).select("status", "seconds"), "attempts")
+    got = metrics.exact_quantiles(a, "status", "seconds", [0.5, 0.99, 1.0])
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    return got.groupBy("status").agg(at(0.5).alias("p50"), at(0.99).alias("p99"), at(1.0).alias("slowest"))
+
+
+def reconcile_by_summaries(spark, d):
+    """Missing and unexpected keys from summaries of both sides, without a join of the tables."""
+    led, top, dead = (staged(x, "side") for x in _sides(spark, d))
+    return summaries.missing_and_unexpected(led, top, dead)
 
 
 def loss_window(spark, d):
@@ -168,7 +176,7 @@ def ledger_merge(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    reconcile_summary, topic_decoded, reconcile_missing, reconcile_unexpected, reconcile_by_source, reconcile_by_type, unattributed_letters, dlq_by_code, seq_mismatches, pseudonym_mismatches,
+    reconcile_summary, topic_decoded, reconcile_missing, reconcile_unexpected, reconcile_by_summaries, reconcile_by_source, reconcile_by_type, unattributed_letters, dlq_by_code, seq_mismatches, pseudonym_mismatches,
     partition_offsets, topic_drained, wire_duplicates, ordering_violations, sequence_texts, run_receipt, responses_by_class, held_rate, exact_quantiles, loss_window, flood_isolation, dlq_exactness, ledger_merge,
 )}
 
@@ -203,6 +211,7 @@ SELECT *, CASE WHEN failures <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict FROM x
     "topic_decoded": _sql("SELECT part AS partition, count(*) FILTER (event_id % 211 <> 0) AS decoded, count(*) FILTER (event_id % 211 = 0) AS undecodable, sum(CASE WHEN event_id % 211 <> 0 THEN seq END)::BIGINT AS seq_total FROM top GROUP BY 1"),
     "reconcile_missing": _sql(_KEYS + "SELECT source, id FROM p WHERE sent > 0 AND kept = 0 AND refused = 0"),
     "reconcile_unexpected": _sql(_KEYS + "SELECT source, id FROM p WHERE kept > 0 AND sent = 0"),
+    "reconcile_by_summaries": _sql(_KEYS + "SELECT 'missing' AS side, source, id FROM p WHERE sent > 0 AND kept = 0 AND refused = 0 UNION ALL SELECT 'unexpected', source, id FROM p WHERE kept > 0 AND sent = 0"),
     "reconcile_by_source": _groups("source", "rsource"),
     "reconcile_by_type": _groups("type", "rtype"),
     "unattributed_letters": _sql("SELECT source, count(*) AS n FROM dlq WHERE rid IS NULL OR NOT EXISTS (SELECT 1 FROM led WHERE led.source = dlq.rsource AND led.id = dlq.rid) GROUP BY 1"),
