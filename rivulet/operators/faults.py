@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 VARIANTS = ["bad_type", "bad_time", "unknown_attribute", "duplicate_id"]
 
 
@@ -81,28 +85,87 @@ def emitted(rows: DataFrame) -> DataFrame:
 
 
 def request_plan(rows: DataFrame, max_events: int, max_bytes: int) -> DataFrame:
-    """``rows`` (tenant, at, id, channel, size) with ``request``: contiguous cuts in order.
+    """``rows`` (tenant, at, id, channel, size) with ``request``: contiguous cuts in order, numbered from 0 in each tenant.
 
-    A new request starts where the channel changes or where the next event would break
-    a limit.  The cut depends on all cuts before, so each tenant's rows are folded in order with O(1) state.
+    A new request starts where the tenant or channel changes or where the next event would break a limit; an event over the
+    limit is alone.  A cut depends on the cut before, but from any row on, the next cut follows from the next ``max_events`` rows.  So
+    the sorted rows are cut into blocks by range, each with the first rows of the next; a block turns the place of its first cut into that of the
+    next block, by pointer doubling, and only these maps of at most ``max_events`` + 1 places, one for each block, are followed in
+    order.  A tenant may spread over all blocks.
     """
-    df = rows.select("tenant", "at", "id", "channel", F.col("size").cast("long").alias("size")).repartition("tenant").sortWithinPartitions("tenant", "at", "id")
-
-    def fold(batches):
-        tenant, channel, req, n, size = None, None, 0, 0, 0
+    spark = rows.sparkSession
+    x = rows.select("tenant", "at", "id", "channel", F.col("size").cast("long").alias("size")).repartitionByRange("tenant", "at", "id").sortWithinPartitions("tenant", "at", "id").withColumn("_m", F.monotonically_increasing_id())
+    x = staged(x.select("tenant", "id", "channel", "size", F.shiftright("_m", 33).alias("part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("k")), "ordered")
+    sizes = [(r.part, r.n) for r in x.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]  # a row for each range
+    where = spark.createDataFrame(_blocks(sizes, max_events), "part long, block long, shift long, before long")
+    x = x.join(F.broadcast(where), "part").select("block", (F.col("k") + F.col("shift")).alias("k"), "tenant", "id", "channel", "size", "before", F.lit(True).alias("own"))
+    more = x.where((F.col("block") > 0) & (F.col("k") <= max_events)).withColumns({"block": F.col("block") - 1, "k": F.col("k") + F.col("before"), "own": F.lit(False)})
+    blocks = x.unionByName(more)
+
+    def nexts(t: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+        """The rows in order, the place of the next cut after a cut at each of them, and how many are the block's own."""
+        t = t.combine_chunks().sort_by("k")
+        n, size = len(t), np.asarray(t.column("size"))
+        change = np.zeros(n, bool)
+        for c in ("tenant", "channel"):
+            code = t.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            change[1:] |= code[1:] != code[:-1]
+        at, i = np.append(np.flatnonzero(change), n), np.arange(n)
+        total = np.concatenate([[0], np.cumsum(size)])
+        full = np.searchsorted(total, total[:-1] + max_bytes, "right") - 1
+        nxt = np.minimum(np.minimum(i + max_events, at[np.searchsorted(at, i, "right").clip(max=len(at) - 1)]), np.maximum(i + 1, full))
+        return t, np.minimum(nxt, n), int(np.asarray(t.column("own")).sum())
+
+    def leave(t: pa.Table) -> pa.Table:
+        t, nxt, own = nexts(t)
+        to = nxt[:own].copy()
+        while (inside := to < own).any():
+            to[inside] = to[to[inside]]
+        first = np.arange(max_events + 1)
+        out = np.where(first >= own, first - own, to[np.minimum(first, own - 1)] - own)
+        return pa.table({"block": t.column("block")[:1], "leaves": pa.array([out.tolist()], pa.list_(pa.int64()))})
+
+    def follow(batches):
+        at = 0
         for pdf in batches:
-            out = []
-            for t, c, s in zip(pdf.tenant, pdf.channel, pdf["size"], strict=True):
-                if t != tenant:
-                    tenant, channel, req, n, size = t, c, 0, 0, 0
-                elif c != channel or n >= max_events or size + s > max_bytes:
-                    channel, req, n, size = c, req + 1, 0, 0
-                n += 1
-                size += s
-                out.append(req)
-            yield pd.DataFrame({"tenant": pdf.tenant, "id": pdf.id, "request": out})
-
-    return df.mapInPandas(fold, "tenant string, id long, request long")
+            enter = []
+            for to in pdf.leaves:
+                enter.append(at)
+                at = int(to[at])
+            yield pd.DataFrame({"block": pdf.block, "enter": enter})
+
+    leaves = staged(blocks.groupBy("block").applyInArrow(leave, "block long, leaves array<long>"), "leaves")
+    entered = leaves.repartition(1).sortWithinPartitions("block").mapInPandas(follow, "block long, enter long")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select("tenant", "id").schema}
+
+    def cut(t: pa.Table) -> pa.Table:
+        t, nxt, own = nexts(t)
+        first, at = np.zeros(own, np.int64), int(t.column("enter")[0].as_py())
+        while at < own:
+            first[at] = 1
+            at = int(nxt[at])
+        tenant = t.column("tenant")[:own].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], tenant[1:] != tenant[:-1]]))
+        so_far = np.cumsum(first)
+        local = so_far - np.repeat((so_far - first)[start], np.diff(np.append(start, own)))
+        return pa.table({"block": t.column("block")[:own], "tenant": t.column("tenant")[:own], "id": t.column("id")[:own], "local": local})
+
+    done = staged(blocks.join(staged(entered, "entered"), "block").groupBy("block").applyInArrow(cut, f"block long, tenant {kinds['tenant']}, id {kinds['id']}, local long"), "cuts")
+    most = done.groupBy("tenant", "block").agg(F.max("local").alias("n"))
+    before = most.select("tenant", "block", F.coalesce(F.sum("n").over(Window.partitionBy("tenant").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    b = before.withColumnsRenamed({"tenant": "_t", "block": "_b"})
+    return done.join(b, F.col("tenant").eqNullSafe(F.col("_t")) & (F.col("block") == F.col("_b"))).select("tenant", "id", (F.col("local") + F.col("before") - 1).alias("request"))
+
+
+def _blocks(sizes: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int]]:
+    """(part, block, place of the part in it, rows of the block before) of consecutive parts put together until a block has more than ``least`` rows."""
+    out, block, held, before = [], 0, 0, 0
+    for part, n in sizes:
+        if held > least:
+            block, held, before = block + 1, 0, held
+        out.append((part, block, held, before))
+        held += n
+    return out
 
 
 def tenant_batches(rows: DataFrame, max_events: int) -> DataFrame:
