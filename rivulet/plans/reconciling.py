@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import crypto, text
 from ..operators import metrics, reconcile, summaries
-from ..sources import adapt, readers
-from ..staging import staged
+from ..sources import adapt, readers, topics
+from ..staging import shared_dir, staged
 from .ingest import _MASTER, _key_values, _rows, _sql
 
 
@@ -93,6 +95,15 @@ def topic_drained(spark, d):
     return readers.drained(top, ends)
 
 
+def topic_ranges(spark, d):
+    """A topic with lost offsets, written as files and read by offset ranges: what its ends are the source says."""
+    top = _sides(spark, d)[1].where("event_id % 13 <> 0")
+    path = f"{shared_dir(spark)}/topic-{uuid.uuid4().hex}"
+    topics.write(adapt.topic_records(top.withColumn("x", F.lit(0))).select("partition", "offset", F.lit(None).cast("string").alias("key"), "value"), path)
+    got = topics.read(spark, path, stop={p: 20 for p in range(1, 12, 2)})
+    return topics.drained(got, topics.held(spark, path))
+
+
 def wire_duplicates(spark, d):
     return _sides(spark, d)[1].groupBy("source").agg((F.count("*") - F.countDistinct("id")).alias("duplicates"))
 
@@ -177,7 +188,7 @@ def ledger_merge(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     reconcile_summary, topic_decoded, reconcile_missing, reconcile_unexpected, reconcile_by_summaries, reconcile_by_source, reconcile_by_type, unattributed_letters, dlq_by_code, seq_mismatches, pseudonym_mismatches,
-    partition_offsets, topic_drained, wire_duplicates, ordering_violations, sequence_texts, run_receipt, responses_by_class, held_rate, exact_quantiles, loss_window, flood_isolation, dlq_exactness, ledger_merge,
+    partition_offsets, topic_drained, topic_ranges, wire_duplicates, ordering_violations, sequence_texts, run_receipt, responses_by_class, held_rate, exact_quantiles, loss_window, flood_isolation, dlq_exactness, ledger_merge,
 )}
 
 _KEYS = """,
@@ -220,6 +231,7 @@ SELECT *, CASE WHEN failures <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict FROM x
     "pseudonym_mismatches": _sql(f", k AS (SELECT * FROM (VALUES {_key_values()}) t(tenant, ipad, opad)), l AS (SELECT source, id, arg_min(user_ref, event_id) AS u FROM led GROUP BY 1, 2), m AS (SELECT top.*, CASE WHEN event_id % 73 = 0 THEN user_ref || '?' ELSE user_ref END AS v FROM top), j AS (SELECT m.*, l.u FROM m JOIN l USING (source, id) WHERE v <> l.u) SELECT source, id, part AS partition, off AS \"offset\", sha256(unhex(opad) || unhex(sha256(unhex(ipad) || v::BLOB))) AS user_pseudo FROM j JOIN k ON '/careers/' || k.tenant = source"),
     "partition_offsets": _sql("SELECT part AS partition, count(*) AS records, max(off) + 1 AS end_offset FROM top GROUP BY 1"),
     "topic_drained": _sql(", n AS (SELECT i::INT AS partition, CASE WHEN i % 2 = 1 THEN 400 ELSE 1000000000 END::BIGINT AS \"end\" FROM range(13) r(i)), g AS (SELECT part AS partition, max(off) + 1 AS read_to FROM top GROUP BY 1) SELECT partition, \"end\", coalesce(read_to, 0) AS read_to, coalesce(read_to, 0) >= \"end\" AS drained FROM n LEFT JOIN g USING (partition)"),
+    "topic_ranges": _sql(", k AS (SELECT part, off FROM top WHERE event_id % 13 <> 0), n AS (SELECT part, min(off) AS low, max(off) + 1 AS e FROM k GROUP BY 1), g AS (SELECT part, max(off) + 1 AS r, count(*) AS c FROM k WHERE part % 2 = 0 OR off < 20 GROUP BY 1) SELECT part AS partition, low, e AS \"end\", coalesce(r, low) AS read_to, coalesce(r, low) - low - coalesce(c, 0) AS gaps, coalesce(r, low) >= e AS drained FROM n LEFT JOIN g USING (part)"),
     "wire_duplicates": _sql("SELECT source, count(*) - count(DISTINCT id) AS duplicates FROM top GROUP BY 1"),
     "ordering_violations": _sql(", o AS (SELECT *, max(seq) OVER (PARTITION BY source, user_ref ORDER BY part, off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM top) SELECT source, count(*) FILTER (seq < high) AS violations, count(*) FILTER (seq IS NULL) AS unchecked FROM o GROUP BY 1"),
     "sequence_texts": _sql("SELECT user_id, sum(CASE WHEN event_id % 5 <> 0 THEN seq END)::BIGINT AS total, count(*) FILTER (event_id % 5 = 0) AS unchecked FROM ing GROUP BY 1"),

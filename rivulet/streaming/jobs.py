@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import dlq
 from ..operators.program import Ingested
 from ..operators.ratelimit import Bucket
+from ..staging import staged, unstage
 from .commits import Log
 
 
@@ -151,6 +153,139 @@ def ordering_monitor(events: DataFrame, keep_ms: int = 3_600_000, late: str = "1
     return keyed.applyInPandasWithState(check, "source string, user_ref string, violations long, unchecked long, evicted long", "high long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Window(StatefulProcessor):
+    """High-water numbers of at most ``cap`` pairs, the oldest ones leaving first.
+
+    A pair keeps its place in the queue while it is there, so the queue is a run of numbers without holes: head and tail.
+    """
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.high = handle.getMapState("high", "source string, user_ref string", "seq long")
+        self.queue = handle.getMapState("queue", "place long", "source string, user_ref string")
+        self.ends = handle.getValueState("ends", "head long, tail long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # one hash partition's narrow rows of one micro-batch, which the source's trigger bounds
+        x = pd.concat([b[["source", "user_ref", "partition", "offset", "seq"]] for b in rows]).sort_values(["partition", "offset"])
+        head, tail = self.ends.get() if self.ends.exists() else (0, 0)
+        known: dict[tuple, int | None] = {}  # what this micro-batch touched; None: not there
+        late = unchecked = evicted = 0
+        for pair, seq in zip(zip(x.source, x.user_ref, strict=True), x.seq, strict=True):
+            if pd.isna(seq):
+                unchecked += 1
+                continue
+            if pair not in known:
+                known[pair] = self.high.getValue(pair)[0] if self.high.containsKey(pair) else None
+            if known[pair] is None:
+                self.queue.updateValue((tail,), pair)
+                tail += 1
+            elif seq <= known[pair]:
+                late += seq < known[pair]
+                continue
+            known[pair] = int(seq)
+            while tail - head > self.cap:
+                oldest = tuple(self.queue.getValue((head,)))
+                self.queue.removeKey((head,))
+                known[oldest] = None
+                head, evicted = head + 1, evicted + 1
+        for pair, seq in known.items():
+            if seq is not None:
+                self.high.updateValue(pair, (seq,))
+            elif self.high.containsKey(pair):
+                self.high.removeKey(pair)
+        self.ends.update((head, tail))
+        yield pd.DataFrame({"slot": [key[0]], "violations": [int(late)], "unchecked": [unchecked], "evicted": [evicted], "held": [tail - head]})
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_monitor(events: DataFrame, cap: int = 100_000, slots: int = 64) -> DataFrame:
+    """(slot, violations, unchecked, evicted, held) for each micro-batch, of at most ``cap`` pairs of source and user_ref.
+
+    Pairs are dealt out by hash to ``slots``, each of which holds at most ``cap // slots`` of them and evicts the one that it has held longest; a
+    pair that is seen again does not get younger.  Evictions can only hide violations.  State is in the RocksDB store, which
+    the session has to name.
+    """
+    x = events.select("source", "user_ref", "partition", "offset", "seq", F.pmod(F.xxhash64("source", "user_ref"), F.lit(slots)).alias("slot"))
+    return x.groupBy("slot").transformWithStateInPandas(_Window(max(1, cap // slots)), "slot long, violations long, unchecked long, evicted long, held long", "append", "None")
+
+
+def unique(events: DataFrame, path: str, checkpoint: str, buckets: int = 64, bits: int = 1 << 17, trigger: dict | None = None):
+    """Commit the first row of each (source, id) of a stream as ``unique``, however long ago the key was seen first.
+
+    Keys that were seen lie in ``seen``, by bucket of their hash; each bucket has a Bloom filter of ``bits`` bits, committed as ``filters``.
+    Only keys that pass their filter are looked up, and only in the buckets that these are in, so new keys cost no join.  Of the rows of one
+    micro-batch with one key the least ``ts`` counts.
+    """
+    log = Log(events.sparkSession, path)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        if log.has(epoch):
+            return
+        key = ["source", "id"]
+        first = batch.groupBy(*key).agg(F.min_by(F.struct(*[c for c in batch.columns if c not in key]), "ts").alias("_r")).select(*key, "_r.*").withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        first = staged(first, "first")
+        old, seen = log.last("filters", before=epoch), log.read("seen", before=epoch)
+        fresh = first
+        if seen is not None:
+            maybe = staged(_passed(first, old, bits), "maybe")
+            where = [r["_bucket"] for r in maybe.select("_bucket").distinct().collect()]  # at most ``buckets``
+            again = maybe.join(seen.where(F.col("_bucket").isin(where)), ["_bucket", *key], "left_semi").select(*key)
+            fresh = first.join(staged(again, "again"), key, "left_anti")
+        fresh = staged(fresh, "fresh")
+        try:
+            log.write(epoch, {"unique": fresh.drop("_bucket"), "seen": fresh.select("_bucket", *key).repartition("_bucket").sortWithinPartitions("_bucket"), "filters": _filters(fresh, old, bits)})
+        finally:
+            for x in (first, fresh):
+                unstage(x)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _places(bits: int) -> list:
+    """Three places of a key in a filter."""
+    return [F.pmod(F.xxhash64("source", "id", F.lit(i)), F.lit(bits)).cast("int") for i in range(3)]
+
+
+def _filters(keys: DataFrame, old: DataFrame | None, bits: int) -> DataFrame:
+    """(_bucket, filter): one bitmap for each bucket, with the bits of ``old``."""
+    new = keys.select("_bucket", F.explode(F.array(*_places(bits))).alias("place")).groupBy("_bucket").agg(F.collect_set("place").alias("places"))  # at most ``bits`` places
+    both = new.withColumn("filter", F.lit(None).cast("binary")) if old is None else new.join(old, "_bucket", "full")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for places, held in zip(b.places, b["filter"], strict=True):
+                bitmap = np.zeros(bits, np.uint8) if held is None else np.unpackbits(np.frombuffer(held, np.uint8), count=bits)
+                if places is not None:
+                    bitmap[np.asarray(places, np.int64)] = 1
+                out.append(np.packbits(bitmap).tobytes())
+            yield pd.DataFrame({"_bucket": b["_bucket"], "filter": out})
+
+    return both.select("_bucket", "places", "filter").mapInPandas(run, "_bucket int, filter binary")
+
+
+def _passed(keys: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
+    """Keys whose places are all set in the filter of their bucket; the filters, buckets x bits / 8 bytes, go to every executor once."""
+    shared = keys.sparkSession.sparkContext.broadcast({r["_bucket"]: bytes(r["filter"]) for r in filters.collect()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bitmaps = {k: np.unpackbits(np.frombuffer(v, np.uint8), count=bits) for k, v in shared.value.items()}
+        for b in batches:
+            there = np.zeros(len(b), bool)
+            for bucket, at in b.groupby("_bucket").indices.items():
+                if bucket in bitmaps:
+                    there[at] = np.all([bitmaps[bucket][b[f"p{i}"].to_numpy()[at]] for i in range(3)], axis=0)
+            yield b.loc[there, ["_bucket", "source", "id"]]
+
+    x = keys.select("_bucket", "source", "id", *[p.alias(f"p{i}") for i, p in enumerate(_places(bits))])
+    return x.mapInPandas(run, "_bucket int, source string, id string")
+
+
 def abandonment(events: DataFrame, gap_ms: int = 1_800_000, late: str = "10 minutes") -> DataFrame:
     """(user_id, last, n) of each user who started an application and then was silent for ``gap_ms`` without submitting or saving it.
 

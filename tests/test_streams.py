@@ -152,3 +152,72 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
     assert ids(timely) | ids(late) == set(range(300)) and timely.count() + late.count() == 300
     assert {99, 149, 199, 249, 299} <= ids(late) and 49 in ids(timely)
     assert clock.agg(F.sum("timely"), F.sum("late")).first() == (timely.count(), late.count())
+
+
+def test_the_oldest_pairs_leave_a_full_window(spark, tmp_path):
+    import random
+
+    r = random.Random(6)
+    rows = [("s", f"u{int(r.paretovariate(0.7)) % 60}", 0, k, None if r.random() < 0.05 else r.randrange(40)) for k in range(700)]
+    df = spark.createDataFrame(rows, "source string, user_ref string, partition int, offset long, seq long")
+    src, out, cap, slots = str(tmp_path / "in"), str(tmp_path / "out"), 24, 3
+    in_files(df, src, "offset", parts=4)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = jobs.bounded_monitor(streamed(spark, df, src), cap, slots).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(300)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    slot = {x.user_ref: x.slot for x in df.select("user_ref", F.pmod(F.xxhash64("source", "user_ref"), F.lit(slots)).alias("slot")).distinct().collect()}
+    want = {k: [0, 0, 0, {}] for k in range(slots)}
+    for _, user, _, _, seq in rows:  # a plain window for each slot
+        w = want[slot[user]]
+        if seq is None:
+            w[1] += 1
+        elif user in w[3] and seq <= w[3][user]:
+            w[0] += seq < w[3][user]
+        else:
+            w[3][user] = seq
+            if len(w[3]) > cap // slots:
+                del w[3][next(iter(w[3]))]
+                w[2] += 1
+    got = spark.read.parquet(out).groupBy("slot").agg(F.sum("violations"), F.sum("unchecked"), F.sum("evicted"), F.max("held")).collect()
+    assert {g[0]: list(g[1:4]) for g in got} == {k: w[:3] for k, w in want.items()} and max(g[4] for g in got) <= cap // slots
+    assert sum(w[2] for w in want.values()) > 10 and sum(w[0] for w in want.values()) > 10
+
+
+def test_keys_stay_unique_over_days(spark, tmp_path):
+    rows = spark.range(400).select(F.lit("s").alias("source"), F.concat(F.lit("k"), F.col("id") % 170 + F.when(F.col("id") % 3 == 0, 1000).otherwise(0)).alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 86_400).alias("ts"), F.col("id").alias("n"))
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    in_files(rows, src, "ts", parts=4)
+    held = f"{src}/003.parquet"
+    os.rename(held, str(tmp_path / "later"))
+    for bits in (64, 64):  # filters so small that most keys pass them, and a restart
+        assert jobs.unique(streamed(spark, rows, src), out, str(tmp_path / "cp"), buckets=4, bits=bits).awaitTermination(300)
+        if os.path.exists(str(tmp_path / "later")):
+            os.rename(str(tmp_path / "later"), held)
+    want = sorted(map(tuple, rows.groupBy("source", "id").agg(F.min("ts"), F.min("n")).collect()))
+    log = Log(spark, out)
+    assert sorted(map(tuple, log.read("unique").select("source", "id", "ts", "n").collect())) == want and len(log.epochs()) == 4
+    assert log.read("seen").count() == len(want) and log.last("filters").count() == 4
+
+
+def test_a_topic_is_read_by_offsets(spark, tmp_path):
+    from rivulet.sources import topics
+
+    path = "file://" + str(tmp_path / "topic")
+    make = lambda lo, hi: spark.range(lo, hi).select((F.col("id") % 3).cast("int").alias("partition"), F.floor(F.col("id") / 3).alias("offset"), F.concat(F.lit("k"), "id").alias("key"), F.col("id").cast("string").cast("binary").alias("value"))
+    topics.write(make(0, 300).where("offset <> 40 or partition <> 1"), path)
+    offsets = lambda df: {p: sorted(r.offset for r in df.where(F.col("partition") == p).collect()) for p in range(3)}
+    assert topics.read(spark, path).count() == 299 and sorted(map(tuple, topics.held(spark, path).collect())) == [(0, 0, 100), (1, 0, 100), (2, 0, 100)]
+    part = topics.read(spark, path, {0: 90, 2: 5}, {1: 3, 2: 7})
+    assert offsets(part) == {0: list(range(90, 100)), 1: [0, 1, 2], 2: [5, 6]}
+    told = {r.partition: (r.low, r.end, r.read_to, r.gaps, r.drained) for r in topics.drained(topics.read(spark, path, stop={2: 50}), topics.held(spark, path)).collect()}
+    assert told == {0: (0, 100, 100, 0, True), 1: (0, 100, 100, 1, True), 2: (0, 100, 50, 0, False)}
+    run = lambda: topics.stream(spark, path, {0: 50}).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(200)
+    assert run()
+    topics.write(make(300, 360), path)
+    assert run()
+    got = offsets(spark.read.parquet(str(tmp_path / "out")))
+    assert got == {0: list(range(50, 120)), 1: [k for k in range(120) if k != 40], 2: list(range(120))}
+    assert topics.read(spark, "file://" + str(tmp_path / "none")).count() == 0
