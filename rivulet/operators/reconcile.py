@@ -41,12 +41,16 @@ FAILURES = ["undrained", "undecodable", "missing", "unexpected", "unattributed",
 def summary(ledger: DataFrame, stored: DataFrame, rejected: DataFrame, code: Column, line: str, ends: DataFrame, undecodable: DataFrame, expected_dlq: int | None = None, expected_duplicates: int = 0, pseudonyms: bool = True) -> DataFrame:
     """One row: all counts, the verdict, and ``failures``, a text for each count that should be 0 and is not.
 
-    The verdict is UNVERIFIED for an empty ledger, whatever else holds.  ``ends`` (partition, drained) and ``undecodable``
+    The verdict is UNVERIFIED, whatever else holds, for what could not be read whole: an empty ledger, one with lines that do not parse (rows with
+    a text in ``_corrupt``), or a topic that was not read to its ends.  ``ends`` (partition, drained) and ``undecodable``
     (n) tell how the topic was read; without ``expected_dlq`` the number of dead letters is not asserted, and
     without ``pseudonyms`` (columns expected and user_pseudo) these are not measured: null, not 0.
     All frames are read several times, so stage them.
     """
-    x = counts(presence(ledger, stored, rejected), rejected)
+    broken = F.count_if(F.col("_corrupt").isNotNull()) if "_corrupt" in ledger.columns else F.lit(0).cast("long")
+    corrupt = ledger.agg(broken.alias("_broken"))
+    ledger = ledger.where("_corrupt is null") if "_corrupt" in ledger.columns else ledger
+    x = counts(presence(ledger, stored, rejected), rejected).crossJoin(corrupt)
     known = code.isin(S.KNOWN_CODES)
     one = lambda df, name: df.agg(F.count("*").alias(name))
     parts = [
@@ -62,7 +66,28 @@ def summary(ledger: DataFrame, stored: DataFrame, rejected: DataFrame, code: Col
     x = x.withColumns({"dlq_off": off.cast("long"), "duplicates_off": F.abs(F.col("wire_duplicates") - expected_duplicates).cast("long")})
     failures = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in FAILURES]), lambda f: f.isNotNull())
     x = x.withColumn("failures", failures)
-    return x.withColumn("verdict", F.when(F.col("expected") == 0, "UNVERIFIED").when(F.size("failures") > 0, "FAIL").otherwise("PASS"))
+    unread = (F.col("expected") == 0) | (F.col("_broken") > 0) | (F.col("undrained") > 0)
+    return x.withColumn("verdict", F.when(unread, "UNVERIFIED").when(F.size("failures") > 0, "FAIL").otherwise("PASS")).drop("_broken")
+
+
+def samples(found: DataFrame, limit: int = 3) -> DataFrame:
+    """(what, source, id): the first ``limit`` keys, by name, of those missing and of those unexpected."""
+    one = lambda df, what: df.orderBy("source", "id").limit(limit).select(F.lit(what).alias("what"), "source", "id")
+    return one(missing(found), "missing").unionByName(one(unexpected(found), "unexpected"))
+
+
+def merged_shards(shards: list[DataFrame]) -> DataFrame:
+    """All rows of several ledgers; a tenant that is in two of them is an error, as its rows could not be told from repeats."""
+    if not shards:
+        raise ValueError("there is no ledger to merge")
+    out = None
+    for k, s in enumerate(shards):
+        s = s.withColumn("_shard", F.lit(k))
+        out = s if out is None else out.unionByName(s)
+    twice = out.groupBy("tenant").agg(F.min("_shard").alias("a"), F.max("_shard").alias("b")).where("a <> b").orderBy("tenant").limit(3).collect()
+    if twice:
+        raise ValueError("tenants in more than one ledger: " + ", ".join(f"{r.tenant} ({r.a} and {r.b})" for r in twice))
+    return out.drop("_shard")
 
 
 def missing(found: DataFrame) -> DataFrame:

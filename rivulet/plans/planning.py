@@ -48,6 +48,16 @@ def scrape_rates(spark, d):
     return x.select("at", "caveat", F.round("error_rate", 9).alias("error_rate"), F.round("accepted_per_sec", 9).alias("accepted_per_sec"), F.round("rejected_per_sec", 9).alias("rejected_per_sec"))
 
 
+def gateway_rates(spark, d):
+    """Rates of accepted, rejected, dead-lettered and shed events between scrapes of six hours, with the error rate."""
+    k = F.col("event_id")
+    e = adapt.table(spark, d, "events").groupBy(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 21600).alias("b")).agg(F.count_if(k % 7 != 1).alias("accepted"), F.count_if(k % 7 == 1).alias("rejected"), F.count_if(k % 14 == 1).alias("dlq"), F.count_if(k % 11 == 0).alias("shed"))
+    w = Window.orderBy("b")  # one row for each scrape
+    s = e.select((F.col("b") * 21600).alias("at"), F.lit(2).alias("workers"), *[F.sum(c).over(w).alias(c) for c in ("accepted", "rejected", "dlq", "shed")])
+    x = metrics.rates(s, ["accepted", "rejected", "dlq", "shed"])
+    return x.select("at", "caveat", *[F.round(c, 9).alias(c) for c in ("error_rate", "accepted_per_sec", "rejected_per_sec", "dlq_per_sec", "shed_per_sec")])
+
+
 def metric_samples(spark, d):
     e = adapt.table(spark, d, "events")
     line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("events_total{type=\""), "event_type", F.lit("\" broken"))).otherwise(F.concat(F.lit("events_total{type=\""), "event_type", F.lit("\",user=\""), "user_id", F.lit("\"} "), F.col("event_id") % 7))
@@ -232,7 +242,7 @@ def validation_failures(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    event_counters, label_cap, size_histogram, bucket_quantiles, scrape_rates, metric_samples, rate_view, gauges, zipf_plan, skew_report, busiest_tenant, max_events_per_user, fingerprint, fingerprint_overall, channel_metadata, scrape_totals, metric_projection, attribute_audit, tenant_shards,
+    event_counters, label_cap, size_histogram, bucket_quantiles, scrape_rates, gateway_rates, metric_samples, rate_view, gauges, zipf_plan, skew_report, busiest_tenant, max_events_per_user, fingerprint, fingerprint_overall, channel_metadata, scrape_totals, metric_projection, attribute_audit, tenant_shards,
     request_plan, tenant_batches, user_sequences, injection_plan, inject_faults, injection_report, webhook_fanout, attribution, dedup_events, sessions, sessions_30_minutes, abandonment, funnel_survival, validation_failures,
 )}
 
@@ -257,6 +267,10 @@ SQL = {
     "size_histogram": _sql(", " + _hist("SELECT count(*) AS v FROM ing GROUP BY batch_id") + " SELECT CASE WHEN isinf(le) THEN 'Infinity' ELSE le::DECIMAL(10, 1)::VARCHAR END AS le, n, cumulative FROM h"),
     "bucket_quantiles": "WITH " + _hist("SELECT o_totalprice / 1000 AS v FROM orders") + ", q AS (SELECT unnest([0.1, 0.5, 0.9, 0.99])::DOUBLE AS q), t AS (SELECT max(cumulative) AS t FROM h), f AS (SELECT q, min(le) AS le FROM q, t, h WHERE cumulative >= q * t GROUP BY q), g AS (SELECT f.q, f.le, h.cumulative AS c, q * t AS rank, coalesce((SELECT max(le) FROM h x WHERE x.n > 0 AND x.le < f.le), 0) AS lo, coalesce((SELECT max(cumulative) FROM h x WHERE x.n > 0 AND x.le < f.le), 0) AS lc FROM f JOIN h ON h.le = f.le, t) SELECT q, CASE WHEN isinf(le) THEN NULL WHEN c <= lc THEN le ELSE round(lo + (le - lo) * (rank - lc) / (c - lc), 6) END AS value FROM g",
     "scrape_rates": "WITH e AS (SELECT floor(floor(epoch(ts)) / 21600)::BIGINT AS b, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1), s AS (SELECT b * 21600 AS t, (b % 37 = 0)::INT AS w, CASE WHEN b % 23 = 0 THEN 0 ELSE sum(ok) OVER (ORDER BY b)::BIGINT END AS a, sum(bad) OVER (ORDER BY b)::BIGINT AS r FROM e), l AS (SELECT *, lag(t) OVER o AS pt, lag(w) OVER o AS pw, lag(a) OVER o AS pa, lag(r) OVER o AS pr FROM s WINDOW o AS (ORDER BY t)), c AS (SELECT *, CASE WHEN pt IS NULL THEN 'baseline' WHEN pt = t THEN 'same time' WHEN pw <> w THEN 'workers changed' WHEN a < pa OR r < pr THEN 'counter fell' END AS caveat FROM l) SELECT t AS at, caveat, CASE WHEN caveat IS NULL AND a - pa + r - pr > 0 THEN round((r - pr) / (a - pa + r - pr)::DOUBLE, 9) END AS error_rate, CASE WHEN caveat IS NULL THEN round((a - pa) / (t - pt)::DOUBLE, 9) END AS accepted_per_sec, CASE WHEN caveat IS NULL THEN round((r - pr) / (t - pt)::DOUBLE, 9) END AS rejected_per_sec FROM c",
+    "gateway_rates": """WITH e AS (SELECT floor(epoch(ts) / 21600)::BIGINT AS b, count(*) FILTER (event_id % 7 <> 1) AS accepted, count(*) FILTER (event_id % 7 = 1) AS rejected, count(*) FILTER (event_id % 14 = 1) AS dlq, count(*) FILTER (event_id % 11 = 0) AS shed FROM events GROUP BY 1),
+p AS (SELECT *, lag(b) OVER (ORDER BY b) AS q FROM e)
+SELECT b * 21600 AS at, CASE WHEN q IS NULL THEN 'baseline' END AS caveat, CASE WHEN q IS NOT NULL THEN round(rejected / (accepted + rejected), 9) END AS error_rate,
+  round(accepted / ((b - q) * 21600), 9) AS accepted_per_sec, round(rejected / ((b - q) * 21600), 9) AS rejected_per_sec, round(dlq / ((b - q) * 21600), 9) AS dlq_per_sec, round(shed / ((b - q) * 21600), 9) AS shed_per_sec FROM p""",
     "metric_samples": "SELECT CASE WHEN event_id % 10 > 0 THEN event_type END AS type, event_id % 10 > 0 AS ok, count(*) AS n, sum(CASE WHEN event_id % 10 > 0 THEN event_id % 7 END)::DOUBLE AS total FROM events GROUP BY 1, 2",
     "rate_view": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) FILTER (event_type <> 'error') AS accepted, count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY 1",
     "gauges": _sql("SELECT 'lag of ' || part AS gauge, max(off) + 1 - coalesce(max(off) FILTER (part <> 7 AND event_id % 3 = 0) + 1, 0) AS value FROM top GROUP BY part UNION ALL SELECT 'dead letters', count(*) FROM dlq"),

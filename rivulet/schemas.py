@@ -41,6 +41,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
 CANDIDATE = _struct(**{k: T.DoubleType() if k == "years_of_experience" else _s for k in CANDIDATE_KEYS})
 PAYLOAD = _struct(**{k: _l if k in ("step_number", "time_spent_on_step_ms", "total_application_duration_ms") else T.ArrayType(_s) if k == "recommended_job_ids" else T.VariantType() if k == "client_metadata" else _s for k in PAYLOAD_KEYS})
 INGRESS_EVENT = _struct(**{k: _l if k == "keyversion" else _s for k in CONTEXT_ATTRIBUTES}, data=_struct(candidate=CANDIDATE, event_payload=PAYLOAD))
+# the candidate of a published event: a pseudonym and sealed fields in place of plain ones
+SEALED_CANDIDATE = _struct(**{k: T.DoubleType() if k == "years_of_experience" else _s for k in ["user_id_pseudo", "email_hmac", *[f"{f}_enc" for f in PII_FIELDS], "experience_status", "years_of_experience", "education_degree", "education_branch"]})
+PUBLISHED_EVENT = _struct(**{k: _l if k == "keyversion" else _s for k in CONTEXT_ATTRIBUTES}, data=_struct(candidate=SEALED_CANDIDATE, event_payload=PAYLOAD))
 LEDGER = _struct(id=_s, source=_s, type=_s, tenant=_s, user_ref=_s, seq=_l)
 
 

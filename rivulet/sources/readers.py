@@ -56,16 +56,51 @@ def decode_letters(records: DataFrame) -> DataFrame:
 
 
 def parse_webhooks(calls: DataFrame) -> DataFrame:
-    """Partner calls (body) with their fields; ``ok`` is false where a key is unknown or missing, in the call or in its applicant."""
-    keys = F.json_object_keys("body")
-    fields_of_call = WEBHOOK_KEYS[:-1]
-    fields = {k: F.get_json_object("body", f"$.{k}") for k in fields_of_call}
-    of_applicant = F.json_object_keys(F.get_json_object("body", "$.applicant"))
-    known = (F.size(F.array_except(keys, F.array(*map(F.lit, WEBHOOK_KEYS)))) == 0) & (F.size(F.array_except(of_applicant, F.array(*map(F.lit, APPLICANT_KEYS)))) == 0)
-    full = F.col("candidate_ref").isNotNull()
-    for k in fields_of_call:
-        full = full & F.col(k).isNotNull()
-    return calls.withColumns(fields | {"candidate_ref": F.get_json_object("body", "$.applicant.candidate_ref")}).withColumn("ok", F.coalesce(known & full, F.lit(False)))
+    """Partner calls (body) with their fields; ``ok`` is false where a key is unknown or missing, or a value is no text, in the call or in its applicant.
+
+    Of an applicant only ``candidate_ref`` has to be there; the others may be left out or null.
+    """
+    calls.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    v = F.call_function("try_parse_json", F.col("body"))
+    kind = lambda path: F.call_function("schema_of_variant", F.call_function("try_variant_get", v, F.lit(path), F.lit("variant")))
+    keys, of_applicant = F.json_object_keys("body"), F.json_object_keys(F.get_json_object("body", "$.applicant"))
+    ok = (F.size(F.array_except(keys, F.array(*map(F.lit, WEBHOOK_KEYS)))) == 0) & (F.size(F.array_except(of_applicant, F.array(*map(F.lit, APPLICANT_KEYS)))) == 0)
+    for k in [*WEBHOOK_KEYS[:-1], "applicant.candidate_ref"]:
+        ok = ok & (kind(f"$.{k}") == "STRING")
+    for k in APPLICANT_KEYS[1:]:
+        ok = ok & F.coalesce(kind(f"$.applicant.{k}"), F.lit("VOID")).isin("STRING", "VOID")
+    fields = {k: F.get_json_object("body", f"$.{k}") for k in WEBHOOK_KEYS[:-1]}
+    return calls.withColumns(fields | {"candidate_ref": F.get_json_object("body", "$.applicant.candidate_ref"), "ok": F.coalesce(ok, F.lit(False))})
+
+
+def decode_published(records: DataFrame, value: str = "value") -> DataFrame:
+    """``records`` with the published event ``e`` of each value, decoded strictly, and ``ok``: false for a missing or unknown field, another kind of value, or one that no enumeration has.
+
+    The decoded event has to say all that the text says: its own JSON is compared with that of the text, in which keys have one order.
+    """
+    records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    text_ = F.col(value).cast("string")
+    plain = lambda x: F.to_json(F.call_function("try_parse_json", x))
+    e = F.from_json(text_, S.PUBLISHED_EVENT)
+    x = records.withColumn("e", e)
+    need = ["specversion", "id", "source", "type", "time", "data.candidate.user_id_pseudo", "data.event_payload.job_id", "data.event_payload.session_id"]
+    ok = plain(text_) == plain(F.to_json("e"))
+    for k in need:
+        ok = ok & F.col(f"e.{k}").isNotNull()
+    ok = ok & (F.col("e.specversion") == "1.0") & F.col("e.type").isin(S.EVENT_TYPES)
+    for k, allowed in (("sourcechannel", S.CHANNELS), ("referrertype", S.REFERRERS), ("completionmethod", S.COMPLETION_METHODS), ("data.candidate.experience_status", S.EXPERIENCE), ("data.event_payload.completion_method", S.COMPLETION_METHODS)):
+        ok = ok & F.coalesce(F.col(f"e.{k}").isin(allowed), F.lit(True))
+    return x.withColumn("ok", F.coalesce(ok, F.lit(False)))
+
+
+def sent_rows(elements: DataFrame) -> DataFrame:
+    """Ledger rows of elements (batch_id, idx, raw): one for each event that was sent, whatever became of it; fields that are no texts are null."""
+    raw = F.col("raw")
+    field = lambda k: text.json_text(raw, k).alias(k)
+    return elements.select(
+        field("id"), field("source"), field("type"), text.tenant_of(text.json_text(raw, "source")).alias("tenant"),
+        F.get_json_object(raw, "$.data.candidate.user_id").alias("user_ref"), text.sequence_number(text.json_text(raw, "sequence")).alias("seq"),
+    )
 
 
 def parse_metrics(lines: DataFrame, *keep: str) -> DataFrame:

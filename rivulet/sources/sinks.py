@@ -25,8 +25,12 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def report(summary: DataFrame, groups: DataFrame, path: str, shown: int = 8) -> None:
-    """A one-row summary and the groups: the first ``shown`` by name beside the whole table."""
+def report(summary: DataFrame, groups: DataFrame, path: str, shown: int = 8, samples: DataFrame | None = None, failures: int = 5) -> None:
+    """A one-row summary, with its first ``failures`` apart, and the groups: the first ``shown`` by name beside the whole table; ``samples`` of keys if given."""
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     groups.write.mode("overwrite").parquet(f"{path}/groups")
     groups.orderBy("group").limit(shown).coalesce(1).write.mode("overwrite").json(f"{path}/first")
+    if "failures" in summary.columns:
+        summary.select("verdict", F.slice("failures", 1, failures).alias("failures"), F.greatest(F.size("failures") - failures, F.lit(0)).alias("more")).coalesce(1).write.mode("overwrite").json(f"{path}/failures")
+    if samples is not None:
+        samples.coalesce(1).write.mode("overwrite").json(f"{path}/samples")

@@ -111,8 +111,10 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def rate_view(events: DataFrame, width: str = "1 second", late: str = "10 seconds") -> DataFrame:
+    """(start, accepted, rejected, dlq) of each stretch of time, from events (ts, accepted, and dlq: written as a dead letter)."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"))
-    return w.agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected")).select("w.start", "accepted", "rejected")
+    dlq_ = F.count_if("dlq") if "dlq" in events.columns else F.count_if(F.lit(False))
+    return w.agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"), dlq_.alias("dlq")).select("w.start", "accepted", "rejected", "dlq")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

@@ -176,3 +176,60 @@ def test_quantiles_by_narrowed_ranges(spark, kind):
     for most, accuracy in ((100_000, 10_000), (20, 50), (3, 4)):
         got = {(x.g, x.q): x.value for x in metrics.exact_quantiles(df, "g", "v", qs, most, accuracy).collect()}
         assert got == want
+
+
+def test_webhooks_take_texts_only(spark):
+    call = {k: "x" for k in readers.WEBHOOK_KEYS[:-1]} | {"applicant": {"candidate_ref": "c"}}
+    bodies = [call, call | {"partner": 5}, call | {"applicant": {"candidate_ref": 7}}, call | {"applicant": {"candidate_ref": "c", "email_enc": None}}, call | {"applicant": {"candidate_ref": "c", "email_enc": 1}}, call | {"job_id": None}, call | {"applicant": ["candidate_ref"]}, call | {"applicant": None}, call | {"utm_source": {"a": 1}}]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(20, json.dumps(call)[:-1] + ', "partner": "y"}')], "i int, body string")
+    got = {r.i: (r.ok, r.partner) for r in readers.parse_webhooks(df).collect()}
+    assert {i for i, x in got.items() if x[0]} == {0, 3, 20}
+
+
+def test_published_events_are_decoded_strictly(spark):
+    value = json.loads(ask(spark, [("r", json.dumps([GOOD | {"data": {"candidate": {"user_id": "u", "email": "a@b", "years_of_experience": 3.5}, "event_payload": {"job_id": "j", "session_id": "s", "client_metadata": {"a": [1, None]}}}}]))]).published.first().value)
+    data = value["data"]
+    odd = [value | {"shadow": 1}, {k: v for k, v in value.items() if k != "time"}, value | {"keyversion": "1"}, value | {"type": "other"}, value | {"sourcechannel": "FAX"}, value | {"data": data | {"candidate": data["candidate"] | {"user_id": "plain"}}}, value | {"data": {"candidate": data["candidate"]}}]
+    rows = [(0, json.dumps(value)), *[(i + 1, json.dumps(o)) for i, o in enumerate(odd)], (90, "junk"), (91, None), (92, "[]")]
+    got = readers.decode_published(spark.createDataFrame(rows, "i int, value string"))
+    assert [r.i for r in got.where("ok").collect()] == [0] and got.where("ok").first().e.keyversion == 1
+    assert S.drift(S.PUBLISHED_EVENT, S.INGRESS_EVENT) == ["data"]
+
+
+def test_what_was_not_read_whole_is_not_verified(spark, tmp_path):
+    from rivulet.functions import text
+    from rivulet.operators import faults, reconcile
+    from rivulet.sources import sinks
+
+    led = spark.createDataFrame([("s1", "a", "t", 1, 0, None), ("s1", "b", "t", 2, 1, None), ("s1", "c", "t", 3, 2, None)], "source string, id string, type string, seq long, line long, _corrupt string")
+    top = spark.createDataFrame([("s1", "a", "t", "u", 1, 0, 0), ("s1", "z", "t", "u", 2, 0, 1)], "source string, id string, type string, user_ref string, seq long, partition int, offset long")
+    dead = spark.createDataFrame([], "source string, reason string, rejected_source string, rejected_id string, rejected_type string")
+    none = spark.createDataFrame([(0,)], "n long")
+    told = lambda led_, end: reconcile.summary(led_, top, dead, text.code_of(F.col("reason")), "line", readers.drained(top, spark.createDataFrame([(0, end)], "partition int, end long")), none, pseudonyms=False)
+    assert told(led, 2).first().verdict == "FAIL" and told(led, 3).first().verdict == "UNVERIFIED" and told(led.where("id > 'z'"), 2).first().verdict == "UNVERIFIED"
+    broken = led.unionByName(spark.createDataFrame([(None, None, None, None, 9, '{"id":')], led.schema))
+    x = told(broken, 2).first()
+    assert x.verdict == "UNVERIFIED" and x.ledger_rows == 3
+    found = reconcile.presence(led, top, dead)
+    assert [tuple(r) for r in reconcile.samples(found, 1).collect()] == [("missing", "s1", "b"), ("unexpected", "s1", "z")]
+    sinks.report(told(led, 2), reconcile.group_deltas(led, top, dead, "source"), str(tmp_path), samples=reconcile.samples(found), failures=1)
+    first = spark.read.json(str(tmp_path / "failures")).first()
+    assert len(first.failures) == 1 and first.more >= 1 and spark.read.json(str(tmp_path / "samples")).count() == 3
+    shard = lambda *t: spark.createDataFrame([(x, k) for k, x in enumerate(t)], "tenant string, seq long")
+    assert reconcile.merged_shards([shard("a", "a", "b"), shard("c")]).count() == 4
+    with pytest.raises(ValueError, match=r"b \(0 and 2\)"):
+        reconcile.merged_shards([shard("a", "b"), shard("c"), shard("b")])
+    with pytest.raises(ValueError, match="the plan is for 4 events, there are 3"):
+        faults.checked_total(led, 4)
+
+
+def test_rates_of_a_stream_by_the_second(spark, tmp_path):
+    from rivulet.streaming import jobs
+
+    rows = spark.range(200).select(F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 7)).alias("ts"), (F.col("id") % 5 > 0).alias("accepted"), (F.col("id") % 10 == 0).alias("dlq"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = jobs.rate_view(s).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
+    want = rows.groupBy("ts").agg(F.count_if("accepted"), F.count_if(~F.col("accepted")), F.count_if("dlq")).collect()
+    assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, want))
