@@ -98,6 +98,30 @@ def test_reordered_passages_are_found_and_clean_ones_left(spark):
     assert many == {(1, 1), (3, 2)}
 
 
+def test_tiling_of_the_tables(spark):
+    """The whole query against every pair of places of every document and item that share five tokens."""
+    import re
+
+    tokens = lambda t: [w.decode() for w in re.findall(rb"[0-9A-Za-z_\x80-\xff]+", (t or "").lower().encode())]
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    texts = {}
+    for r in common.table(spark, SF, "benchmark").orderBy("item_id").collect():
+        texts.setdefault(r.text, (r.item_id, tokens(r.text)))
+    want = []
+    for r in common.table(spark, SF, "documents").select("doc_id", "text").collect():
+        words, found = tokens(r.text), []
+        there = {n: grams(words, n) for n in {min(5, len(w)) for _, w in texts.values()}}
+        for item_id, w in texts.values():
+            n = min(5, len(w))
+            if w and grams(w, n) & there[n]:
+                found.append((tiled(w, words, n) / len(w), -item_id))
+        best = max(found, default=(0.0, None))
+        over = sum(c >= decontaminate.COVERAGE for c, _ in found)
+        want.append((r.doc_id, over > 0, None if best[1] is None else -best[1], round(best[0], 9), over))
+    got = queries.queries()["op1_greedy_string_tiling"](spark, SF).collect()
+    assert sorted((r.doc_id, r.contaminated, r.item_id, round(r.coverage, 9), r.n_items) for r in got) == sorted(want) and any(w[1] for w in want)
+
+
 def test_languages_are_told(spark):
     got = queries.queries()["op2_language_id"](spark, "/root/testdata/sf0.01").join(common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id")
     assert got.where("held_out and lang = lang_pred").count() >= 0.97 * got.where("held_out").count()
