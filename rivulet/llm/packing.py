@@ -13,6 +13,7 @@ length) gives the first rank of each.
 
 from __future__ import annotations
 
+import json
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,10 +27,18 @@ from . import common
 
 LIMIT = 2048
 END_ID = 0
-#: Units whose ids a worker remembers, and the longest ones that it does.
-REMEMBERED, LONG_UNIT = 200_000, 64
+#: Bytes of text whose units are told apart at a time.
+SLICE = 1 << 20
+#: Units whose ids a worker remembers (twice as many at most), the longest ones that it does, and units that are encoded in one text.
+REMEMBERED, LONG_UNIT, TOGETHER = 200_000, 64, 128
 _PLAIN = common._table(lambda b: b == 32 or 9 <= b <= 13)
 _PLAIN[65:91] = np.arange(65, 91)  # case is the tokenizer's business
+# fixed value: the pattern of pre-tokenizers that cut letters, digits and other characters apart
+CUT_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _DIGIT, _OTHER, _WHOLE = 1, 2, 3, 4
+#: What a byte is to such a pattern; words with contractions, special tokens, controls or longer characters stay whole.
+_KIND = np.array([_LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _WHOLE if b < 33 or b == 127 or chr(b) in "'<" else _OTHER for b in range(128)] + [_WHOLE] * 128, np.int8)
+_encoders: dict[int, Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -39,40 +48,93 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts; the distinct units between blanks are encoded once.
+    """Ids of texts; the distinct units of a slice are encoded once.
 
-    For tokenizers that drop white space and let no token cross it, as word BPE does.
+    For tokenizers that drop white space and let no token cross it, as word BPE does.  Units are the words between blanks, or their
+    runs of letters, single digits and other runs where the tokenizer lower-cases and cuts them apart itself.
     """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(model), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_str(model), {}, {}
+        told = json.loads(model)
+        parts = [(told.get(one) or {}).get(many, []) for one, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.fine = any(x["type"] == "Lowercase" for x in parts[0]) and any(x.get("pattern") == {"Regex": CUT_APART} for x in parts[1])
+        zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.zero = zero[0] if len(zero) == 1 else None
+
+    @staticmethod
+    def of(model: str) -> Encoder:
+        """One for each worker process, with what it remembers."""
+        name = hash(model)
+        if name not in _encoders:
+            _encoders.clear()
+            _encoders[name] = Encoder(model)
+        return _encoders[name]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
-        data, offs = common.flat(texts)
-        low, start, end, row = common.words(data, offs, _PLAIN)
-        ends = np.concatenate([[0], np.cumsum(end - start)])
-        units = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(low[low != 32]))]).dictionary_encode()
-        code, raw = np.asarray(units.indices), self._of(units.dictionary.to_pylist())
-        size = np.array([len(r) // 4 for r in raw], np.int64)
-        flat, first = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        low, start, end, row = common.words(*common.flat(texts), _PLAIN)
+        solid, first = low[low != 32], np.cumsum(end - start) - (end - start)
+        if self.fine and len(solid):
+            kind, last = _KIND[solid], np.append(first[1:], len(solid))
+            held = np.concatenate([[0], np.cumsum(kind == _WHOLE, dtype=np.int32)])
+            whole = np.repeat(held[last] > held[first], end - start)
+            edge = kind == _DIGIT
+            edge[1:] |= kind[1:] != kind[:-1]
+            edge &= ~whole
+            edge[first] = True
+            solid = np.where(whole, solid, common.SPACED[solid])
+            many = np.concatenate([[0], np.cumsum(edge, dtype=np.int32)])
+            row, first = np.repeat(row, many[last] - many[first]), np.flatnonzero(edge)
+        ends = np.append(first, len(solid)).astype(np.int64)
+        units = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(solid))]).dictionary_encode()
+        code, raw = units.indices.to_numpy(), self._of(units.dictionary.to_pylist())
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, begin = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
         each = size[code]
         at = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.arange(at[-1]) + np.repeat(first[code] - at[:-1], each)]
+        ids = flat[np.arange(at[-1]) + np.repeat(begin[code] - at[:-1], each)]
         return ids, at[np.searchsorted(row, np.arange(len(texts) + 1))]
 
     def _of(self, units: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = [u for u in units if u not in known]
-        made = self.tokenizer.encode_batch_fast([u.decode() for u in new], add_special_tokens=False) if new else []
-        fresh = {u: np.array(m.ids, "<u4").tobytes() for u, m in zip(new, made, strict=True)}
-        known.update((u, r) for u, r in fresh.items() if len(u) <= LONG_UNIT)
-        return [known[u] if u in known else fresh[u] for u in units]
+            self.known, self.older = {}, self.known
+        raw = list(map(self.known.get, units))
+        new = []
+        for i, r in enumerate(raw):
+            if r is None:
+                r = raw[i] = self.older.get(units[i])
+                if r is None:
+                    new.append(i)
+                else:
+                    self.known[units[i]] = r
+        if new:
+            fresh = self._encoded([units[i] for i in new])
+            for i in new:
+                u = units[i]
+                raw[i] = fresh[u]
+                if len(u) <= LONG_UNIT:
+                    self.known[u] = fresh[u]
+        return raw
+
+    def _encoded(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each unit; those without a 0 or a special token go many in one text, with a 0 between them."""
+        encode = lambda texts: [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [u for u in new if self.zero is not None and b"0" not in u and b"<" not in u and len(u) <= LONG_UNIT]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        out = {}
+        for group, ids in zip(groups, encode([b" 0 ".join(g).decode() for g in groups]), strict=True):
+            cuts = np.flatnonzero(ids == self.zero) * 4
+            if len(cuts) == len(group) - 1:
+                raw, lo = ids.tobytes(), 0
+                for u, hi in zip(group, [*cuts.tolist(), len(raw)], strict=True):
+                    out[u] = raw[lo:hi]
+                    lo = hi + 4
+        rest = [u for u in new if u not in out]
+        return out | {u: ids.tobytes() for u, ids in zip(rest, encode([u.decode() for u in rest]), strict=True)}
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -88,9 +150,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seen = Encoder(model.value), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        encoder, part, seen = Encoder.of(model.value), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
-            for x in common.slices(batch):
+            for x in common.slices(batch, SLICE):
                 yield cut(encoder, x, part, seen)
 
     def cut(encoder: Encoder, x: pa.RecordBatch, part: int, seen: np.ndarray) -> pa.RecordBatch:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,17 @@ def test_plan_equals_best_fit_decreasing():
         assert len({s for s, _, _ in slots}) == fitted([n for n, c in counts.items() for _ in range(c)], limit)
     big = packing.plan({n: 10**9 + n for n in range(1, 2049)}, 2048)
     assert len(big) < 4 * 2048 * 11
+
+
+def test_units_give_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        model = f.read()
+    encoder, plain_, r = packing.Encoder(model), Tokenizer.from_str(model), random.Random(1)
+    signs = [*"abzAZ019 '<>|_-.,\n\t\x0b\x1c\x1f\x7f\0sStTreRElLdDmM", *"éÉ́Σİß日 \x85٣½🙂​Å０", "'s", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    for fine in (True, False):
+        encoder.fine, encoder.known = fine, {}
+        ids, at = encoder.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in plain_.encode_batch(texts, add_special_tokens=False)]
