@@ -10,6 +10,11 @@ suffixes are sorted only where they can matter:
    Consecutive windows with one anchor form a block.
 2. *Counts.*  A block whose k-gram is found nowhere else holds no repeat.  Counts
    are combined before their exchange, so a common k-gram is one row from each task.
+   A k-gram with many different blocks (the edges of a common passage differ from text to text) would
+   keep one task busy.  Its blocks are cut by ranges of the offset ``o`` of a window before the anchor:
+   equal windows of a range share the bytes that all its windows have, which name the cut block
+   in place of the k-gram.  Where these names are still too common, blocks are cut into single windows, and
+   those of one name are equal.
 3. *Suffix runs.*  The other blocks' suffixes (from the anchor on) are sorted in every
    map task.  Blocks with the same bytes stand side by side there: all but the first are repeats as a
    whole, and only the first goes on.  Runs are front-coded (shared prefix length and the rest) and
@@ -26,6 +31,7 @@ k-grams meet by 64-bit hashes; every repeat is confirmed by its bytes, before th
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -40,18 +46,19 @@ LENGTH = 100
 GRAM = 28
 #: Bytes of blocks that a task sorts at once.
 RUN_BYTES = 12 << 20
-_BLOCK = "g long, doc_id long, lo int, off int, n int"
+_BLOCK = "g long, b long, doc_id long, lo int, off int, n int"
+#: A key with more different blocks is cut by ranges of this many offsets, at most so many keys at a time; the others stay whole.
+MANY, STEPS, KEYS = 20_000, (9, 1), 1_000_000
 
 
 # --------------------------------------------------------------------------
 # 1. anchors and blocks
 # --------------------------------------------------------------------------
-def _anchor_blocks(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
-    """Blocks of all rows: (row, first window, anchor, last window, k-gram hash), positions in ``data``."""
+def _anchor_blocks(data: np.ndarray, offs: np.ndarray, p: np.ndarray, length: int, gram: int):
+    """Blocks of all rows: (row, first window, anchor, last window, k-gram hash), positions in ``data`` of prefix hashes ``p``."""
     n, width = len(data), length - gram + 1
     if n < length:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
-    p = common.prefix_hash(data)
     start = np.arange(n - gram + 1, dtype=np.int32)
     g = common.span_hash(p, start, start + gram)
     # the first place of the least hash in each window, from windows of half the width
@@ -74,17 +81,60 @@ def _anchor_blocks(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     return row[lo], lo, anchor[lo], hi, g[anchor[lo]]
 
 
-def blocks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(g, doc_id, lo, off, n): k-gram hash, first window, anchor behind it, windows."""
+def _cut(row, lo, a, hi, g, p: np.ndarray, step: int, length: int, gram: int):
+    """Blocks cut by ranges of ``step`` offsets, each with a hash of the bytes that all windows of the range have."""
+    most, least = (a - lo) // step, (a - hi) // step
+    k = most - least + 1
+    i = np.repeat(np.arange(len(a)), k)
+    r = least[i] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+    begin, end = r * step, np.minimum(r * step + step - 1, length - gram)
+    key = common.span_hash(p, a[i] - begin, a[i] + length - end)
+    return row[i], np.maximum(lo[i], a[i] - end), a[i], np.minimum(hi[i], a[i] - begin), common.mix(key + (r * (length + 1) + step).astype(np.uint64))
+
+
+def blocks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cuts: tuple[tuple[int, np.ndarray], ...] = ()) -> DataFrame:
+    """(g, b, doc_id, lo, off, n): k-gram hash, hash of the block, first window, anchor behind it, windows.
+
+    For each (step, keys) of ``cuts`` only blocks of these keys, in ascending order, go on, cut by ranges of ``step`` offsets.
+    """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = common.flat(part.column(1))
-        row, lo, a, hi, g = _anchor_blocks(data, offs, length, gram)
-        return pa.record_batch({"g": g.view(np.int64), "doc_id": part.column(0).take(pa.array(row)), "lo": (lo - offs[row]).astype(np.int32), "off": (a - lo).astype(np.int32), "n": (hi - lo + 1).astype(np.int32)})
+        p = common.prefix_hash(data)
+        made = _anchor_blocks(data, offs, p, length, gram)
+        for step, keys in cuts:
+            g = made[-1].view(np.int64)
+            mine = keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g
+            made = _cut(*(v[mine] for v in made), p, step, length, gram)
+        row, lo, a, hi, g = made
+        b = common.mix(common.span_hash(p, lo, hi + length) + (a - lo).astype(np.uint64))
+        ids = part.column(0).take(pa.array(row))
+        return pa.record_batch({"g": g.view(np.int64), "b": b.view(np.int64), "doc_id": ids, "lo": (lo - offs[row]).astype(np.int32), "off": (a - lo).astype(np.int32), "n": (hi - lo + 1).astype(np.int32)})
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _BLOCK)
 
 
+def repeated_blocks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> list[DataFrame]:
+    """Staged (g, doc_id, lo, off, n): blocks whose key is found elsewhere too, cut while it has more than ``many`` different ones."""
+    out, cuts = [], []
+    for step in (*STEPS, 0):
+        made = common.stage(blocks(docs, length, gram, tuple(cuts)), "blocks")
+        counts = common.stage(made.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1"), "grams")
+        often, hot = counts.where(F.col("rows") > many), None
+        # single windows of one key are equal, and stand for one in each run
+        if step and not often.isEmpty():
+            kinds = common.matched(made.select("g", "b"), often, "g").groupBy("g", "b").agg(F.lit(1).alias("one")).groupBy("g").agg(F.count("*").alias("kinds"))
+            hot = common.stage(kinds.where(F.col("kinds") > many).orderBy(F.desc("kinds"), "g").limit(KEYS).select("g"), "hot")
+            keys = np.sort(np.array([r.g for r in hot.collect()], np.int64))  # at most KEYS
+            counts = counts.join(hot, "g", "left_anti")
+        out.append(common.stage(common.matched(made.drop("b"), counts, "g"), "found"))
+        common.unstage(made)
+        if hot is None or not len(keys):
+            break
+        cuts.append((step, keys))
+    return out
+
+
 # --------------------------------------------------------------------------
 # 3. front-coded runs and the tree of losers
 # --------------------------------------------------------------------------
@@ -361,22 +411,24 @@ def _merge(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, end): byte stretches, which may overlap, of repeats in ``docs`` (doc_id, text)."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+    """(doc_id, start, end): byte stretches, which may overlap, of repeats in ``docs`` (doc_id, text).
+
+    ``many`` bounds the different blocks of one key in a task; it changes no byte that is covered.
+    """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    made = common.stage(blocks(docs, length, gram), "blocks")
-    counts = common.stage(made.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1"), "grams")
-    found = common.stage(common.matched(made, counts, "g"), "found")
-    common.unstage(made)
+    staged = repeated_blocks(docs, length, gram, many)
+    found = functools.reduce(DataFrame.unionByName, staged)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // 100_000))
     runs = common.stage(_runs(found, docs, length, length - gram + 1, parts), "runs", codec="uncompressed")
-    common.unstage(found)
+    for x in staged:
+        common.unstage(x)
     merged = runs.where("bucket is not null").select("bucket", "run").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_merge(length), "doc_id long, start long, end long")
     return runs.where("bucket is null").select("doc_id", "start", "end").unionByName(merged)
 
 
-def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, text: str = "") -> DataFrame:
+def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, text: str = "", many: int = MANY) -> DataFrame:
     """Columns ``keep`` with n_bytes, n_removed, n_spans and kept (binary): ``docs`` without repeats.
 
     Matches never cross rows.  Null texts count as empty and texts under ``length``
@@ -386,7 +438,7 @@ def kept_bytes(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int
     row stays whole, and the union of their removals applies to each, cut to its length.  An
     empty table gives no rows; a kept column named like an added one gives way to it.
     """
-    spans = repeated_spans(docs, length, gram)
+    spans = repeated_spans(docs, length, gram, many)
     per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_x")).withColumnRenamed("doc_id", "_id")
     added = ["n_bytes", "n_removed", "n_spans", text or "kept"]
     keep = [c for c in keep if c not in added]

@@ -55,6 +55,30 @@ def test_suffix_dedup_of_odd_texts(spark):
     assert suffixes.kept_bytes(docs(spark, []), ["doc_id"]).count() == 0
 
 
+def test_suffix_dedup_with_common_kgrams_cut(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passages = [word(400), word(150), "x" * 300]
+    rows = [(k, word(r.randint(0, 90)) + r.choice(passages)[r.randint(0, 9) * (k % 2) :] + word(r.randint(0, 90))) for k in range(120)]
+    rows += [(200 + k, "".join(r.choice("ab") * r.randint(1, 40) for _ in range(r.randint(1, 60)))) for k in range(20)]
+    rows += [(300, None), (301, ""), (302, "a" * 99), (303, passages[0][:100])]
+    for many in (1, 8):
+        got = suffixes.kept_bytes(docs(spark, rows), ["doc_id"], many=many).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        assert sorted(map(tuple, got)) == cut(rows, 100)
+    whole, ranges, windows = suffixes.repeated_blocks(docs(spark, rows).where("text is not null"), many=8)
+    texts = dict(rows)
+
+    def kinds(found):
+        seen = {}
+        for b in found.collect():
+            seen.setdefault(b.g, set()).add((texts[b.doc_id].encode()[b.lo : b.lo + b.n + 99], b.off))
+        return max(map(len, seen.values()))
+
+    assert kinds(whole) <= 8 and kinds(ranges) <= 8 and kinds(windows) == 1
+
+
 def tiled(item, text, least):
     """Greedy tiling by looking at every pair of places."""
     a, b, total = [True] * len(item), [True] * len(text), 0
