@@ -78,7 +78,8 @@ def _anchor_blocks(data: np.ndarray, offs: np.ndarray, p: np.ndarray, length: in
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     hi = np.flatnonzero(last)
-    return row[lo], lo, anchor[lo], hi, g[anchor[lo]]
+    # the least hash of many is small: mixed again, equal ranges of it hold equal shares
+    return row[lo], lo, anchor[lo], hi, common.mix(g[anchor[lo]])
 
 
 def _cut(row, lo, a, hi, g, p: np.ndarray, step: int, length: int, gram: int):
