@@ -13,6 +13,7 @@ whole texts in slices, with a model of fixed width.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from dataclasses import dataclass
 
@@ -26,8 +27,9 @@ from . import common
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3)
-#: Bound of the training sample, in rows; with more than 24 languages, each still has places for this many.
-TRAIN_ROWS = 2400
+#: Bounds of the training sample: its rows, and the languages that are learned, the most frequent ones.  With more than
+#: 24 of these, each still has places for ``LEAST_ROWS``, so that it never takes more than 25,600 rows.
+TRAIN_ROWS, TRAIN_LANGUAGES = 2400, 256
 LEAST_ROWS = 100
 UNKNOWN = "und"
 _SCALE = 50.0
@@ -47,8 +49,9 @@ def _grams(texts: list[str | None]):
     cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.concatenate([[0], np.cumsum(size)])
     alpha = _letters()[np.minimum(cp, 0x10FFFF)] if len(cp) else np.zeros(0, bool)
-    keep = alpha.copy()
-    keep[1:] |= alpha[:-1]  # one blank after each run of letters
+    after = np.append(False, alpha[:-1])[: len(alpha)]
+    after[ends[:-1][size > 0]] = False
+    keep = alpha | after  # one blank after each run of letters, of the same text
     row = np.repeat(np.arange(len(low)), size)[keep]
     c = np.where(alpha, cp, 32)[keep].astype(np.uint64)
     offs = np.searchsorted(row, np.arange(len(low) + 1))
@@ -100,8 +103,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 class FTRL:
     """Per-coordinate FTRL-proximal for softmax regression; L1 zeroes weights, L2 shrinks the others."""
 
-    def __init__(self, classes: int, alpha: float = 0.5, beta: float = 0.1, l1: float = 0.02, l2: float = 0.05):
-        self.z, self.n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
+    def __init__(self, coordinates: int, classes: int, alpha: float = 0.5, beta: float = 0.1, l1: float = 0.02, l2: float = 0.05):
+        self.z, self.n = np.zeros((coordinates, classes)), np.zeros((coordinates, classes))
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at=slice(None)) -> np.ndarray:
@@ -157,33 +160,45 @@ def share_out(counts: list[int], rows: int) -> int:
 
 
 def training_sample(labelled: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
-    """(lang, text) of the rows with the smallest id hashes of each language, as many as ``share_out`` gives."""
-    spark, most = labelled.sparkSession, share_out(list(counts.values()), rows)
-    # ranks are cut before the exchange only up to this many
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(key)) < most:
-        spark.conf.set(key, most)
+    """(lang, text) of the rows with the smallest id hashes of each language of ``counts``, as many as ``share_out`` gives."""
+    most = share_out(list(counts.values()), rows)
     first = Window.partitionBy("lang").orderBy("_h")
-    x = labelled.where("lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    x = labelled.where(F.col("lang").isin(list(counts))).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
     # the bounds come from hashes alone, so few texts are sorted
     ends = x.select("lang", "_h").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).groupBy("lang").agg(F.max("_h").alias("_end"))
     x = x.join(F.broadcast(ends), "lang").where(F.col("_h") <= F.col("_end"))
     return x.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("lang", "text")
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 3) -> Model:
+@contextlib.contextmanager
+def _ranks_cut_early(spark: SparkSession, most: int):
+    """Ranks of up to ``most`` are cut before the exchange in the statements inside."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, max(int(old), most))
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 3, languages: int = TRAIN_LANGUAGES) -> Model:
     """Train on (doc_id, text, lang).
 
-    The sample is bounded by ``rows`` and dealt out evenly to the languages, so that a
+    The ``languages`` most frequent values of lang are learned (ties by name), so that junk values do not widen the
+    model; document frequencies count every row.
+    The sample is bounded by ``rows``, or ``LEAST_ROWS`` for each language if that is more, and dealt out evenly to the languages, so that a
     rare one is learned too; in each it is the labelled rows with the smallest id hash, so it is
     the same on every run.  It is trained on in one task, and weights come back; the bias and the
     temperature are corrected to the true shares of the languages.
+    Weights are kept for the buckets that occur in the sample, and those that the penalty leaves come back.
     Every fifth row of it is kept for the temperature.  Without any labelled row
     with letters the model knows no language.
     """
     df, total = document_frequencies(labelled)
     idf = np.log((1 + total) / (1 + df)) + 1
-    counts = {r.lang: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
+    top = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    counts = {r.lang: r["count"] for r in top.collect()}
     sample = training_sample(labelled, counts, rows)
 
     def train(pdf):
@@ -200,10 +215,12 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 3) -> Model:
                 at, c = np.unique(idx, return_counts=True)
                 if len(at):
                     data.append((np.append(at, BUCKETS), np.append(c / c.sum() * idf[at] * _SCALE, 1.0), langs.index(lang)))
+        places = np.unique(np.concatenate([[BUCKETS], *(at for at, *_ in data)]).astype(np.int64))
+        data = [(np.searchsorted(places, at), x, k) for at, x, k in data]
         order = np.random.default_rng(7).permutation(len(data))
         held = [data[i] for i in order[::5]]
         used = [data[i] for k, i in enumerate(order) if k % 5] or held
-        model = FTRL(max(1, len(langs)))
+        model = FTRL(len(places), max(1, len(langs)))
         for _ in range(epochs):
             for x in used:
                 model.step(*x)
@@ -213,11 +230,17 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 3) -> Model:
         ts = np.geomspace(0.05, 20, 121)
         loss = [-(np.log(np.maximum(_softmax(logits / t + np.log(weight))[np.arange(len(y)), y], 1e-12)) * weight[y]).mean() if len(y) else 0 for t in ts]
         t = float(ts[int(np.argmin(loss))])
-        table = (w[:BUCKETS] * idf[:, None] * _SCALE / t).T.astype(np.float32)
-        return pd.DataFrame({"lang": langs, "bias": w[BUCKETS, : len(langs)] / t + np.log(weight), "w": [table[k].tobytes() for k in range(len(langs))]})
-
-    got = common.in_one_task(sample, train, "lang string, bias double, w binary").toPandas().sort_values("lang")
-    return Model(list(got.lang), np.array([np.frombuffer(x, np.float32) for x in got.w]).reshape(len(got), BUCKETS), got.bias.to_numpy())
+        inner = places[:-1]
+        table = (w[:-1] * idf[inner, None] * _SCALE / t).T.astype(np.float32)
+        left = [np.flatnonzero(row) for row in table]
+        return pd.DataFrame({"lang": langs, "bias": w[-1, : len(langs)] / t + np.log(weight), "at": [inner[i].tobytes() for i in left], "w": [row[i].tobytes() for row, i in zip(table, left, strict=True)]})
+
+    with _ranks_cut_early(labelled.sparkSession, share_out(list(counts.values()), rows)):
+        got = common.in_one_task(sample, train, "lang string, bias double, at binary, w binary").toPandas().sort_values("lang")
+    table = np.zeros((len(got), BUCKETS), np.float32)
+    for row, at, w in zip(table, got["at"], got.w, strict=True):
+        row[np.frombuffer(at, np.int64)] = np.frombuffer(w, np.float32)
+    return Model(list(got.lang), table, got.bias.to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
