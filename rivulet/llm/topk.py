@@ -49,13 +49,15 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def _entries(q: np.ndarray, r: np.ndarray, exact: bool) -> np.ndarray:
-    """One list for some queries and all rows of a block, as longs; ``exact`` if doubles hold all sums."""
-    if exact:
-        return (q @ r.T).astype(np.int64)
-    # whole numbers of any size, clipped to the long range
-    whole = [np.array([int(x) for x in m.ravel()], object).reshape(m.shape) for m in (q, r)]
-    return np.clip(whole[0] @ whole[1].T, -_LONG - 1, _LONG).astype(np.int64).reshape(len(q), len(r))
+def _numbers(m: np.ndarray, kind: str) -> np.ndarray:
+    """Components as numbers whose products and sums are exact."""
+    return np.array([int(x) for x in m.ravel()], object).reshape(m.shape) if kind == "whole" else m.astype(kind)
+
+
+def _entries(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """One list for some queries and some rows, as longs; whole numbers of any size are clipped to their range."""
+    s = q @ r.T
+    return (np.clip(s, -_LONG - 1, _LONG) if s.dtype == object else s).astype(np.int64).reshape(len(q), len(r))
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +74,24 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, groups: int = GROUP
     smaller vec_id; with fewer candidates than ``k`` all come back.  Shorter vectors count as
     padded with zeros.  Rows that repeat an id with the same vector count once; of
     different vectors under one id the best score counts.  Empty inputs give no rows.
-    Scores beyond the long range are returned as its ends.
+    Scores that fit 53 bits are summed as doubles and those that fit 62 bits as longs, over ``groups`` lists in both cases.
+    Where they may be larger, a sum of clipped entries would be wrong: whole numbers of any size are summed over
+    one list of all dimensions, and scores beyond the long range are returned as its ends.
     """
-    own = lambda x: x.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v")).distinct()  # noqa: E731  two inputs may stem from one table
+    # two inputs may stem from one table; ``name`` tells vectors of one id apart
+    own = lambda x: x.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v")).distinct().withColumn("name", F.xxhash64("vec_id", "v"))
+    queries, rows = common.stage(own(queries), "queries"), common.stage(own(rows), "rows")
     size = lambda x: x.select(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0.0))).first()
     (n_q, dq, mq), (n_r, dr, mr) = size(queries), size(rows)
     dims, qb, rb = max(1, dq, dr), max(1, -(-n_q // query_block)), max(1, -(-n_r // row_block))
-    exact = mq * mr * dims < 2**53
-    m = min(groups, dims) if exact else 1
+    bound = mq * mr * dims
+    kind = "float64" if bound < 2**53 else "int64" if bound < 2**62 else "whole"
+    m = 1 if kind == "whole" else min(groups, dims)
     cuts = [dims * i // m for i in range(m + 1)]
 
     def cells(x: DataFrame, blocks: int, mine: str, copies: int, other: str) -> DataFrame:
-        """Every row once for each list and each block of the other side; ``name`` tells vectors of one id apart."""
-        x = own(x).withColumn("name", F.xxhash64("vec_id", "v")).withColumn(mine, F.pmod("name", F.lit(blocks)).cast("int"))
+        """Every row once for each list and each block of the other side."""
+        x = x.withColumn(mine, F.pmod("name", F.lit(blocks)).cast("int"))
         v = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v")))
         lists = F.array(*[F.struct(F.lit(i).alias("list"), F.slice(v, a + 1, b - a).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
         x = x.select("vec_id", "name", mine, F.explode(lists).alias("x")).select("vec_id", "name", mine, "x.list", "x.v")
@@ -92,42 +99,45 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, groups: int = GROUP
 
     q, r = cells(queries, qb, "qb", rb, "rb"), cells(rows, rb, "rb", qb, "qb")
     cell, one = ["list", "qb", "rb"], ["query_id", "name", "qb", "rb"]
-    kind = "query_id long, name long, qb int, rb int, list int, at array<int>, vec_ids array<long>, entries array<long>"
+    fields = "query_id long, name long, qb int, rb int, list int, at array<int>, vec_ids array<long>, entries array<long>"
 
     def ask(queries: DataFrame, choose) -> DataFrame:
-        """Entries of every cell; ``choose`` gives the places in the block of rows for some queries."""
+        """Entries of every cell; ``choose`` gives (places in the block of rows, entries there) for each of some queries."""
 
         def run(a: pa.Table, b: pa.Table) -> pa.Table:
             out = [[] for _ in range(8)]
             if len(a) and len(b):
                 ids, right = _rows(b)
-                left, names = _matrix(a.column("v").combine_chunks()), [a.column(c).to_pylist() for c in ("vec_id", "name", "qb", "rb", "list")]
+                left, right = (_numbers(x, kind) for x in (_matrix(a.column("v").combine_chunks()), right))
+                names = [a.column(c).to_pylist() for c in ("vec_id", "name", "qb", "rb", "list")]
                 for lo in range(0, len(a), AT_ONCE):
                     part = a.slice(lo, AT_ONCE)
-                    s = _entries(left[lo : lo + AT_ONCE], right, exact)
-                    mine = ids[None, :] == np.asarray(part.column("vec_id").combine_chunks())[:, None]
-                    for i, at in enumerate(choose(part, s, mine)):
+                    for i, (at, s) in enumerate(choose(part, left[lo : lo + AT_ONCE], right, ids)):
                         if len(at):
-                            for c, x in zip(out, [*(n[lo + i] for n in names), at.astype(np.int32), ids[at], s[i, at]], strict=True):
+                            for c, x in zip(out, [*(n[lo + i] for n in names), at.astype(np.int32), ids[at], s], strict=True):
                                 c.append(x)
             types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["query_id", "name", "qb", "rb", "list", "at", "vec_ids", "entries"])
 
-        return queries.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, kind)
-
-    def best(part: pa.Table, s: np.ndarray, mine: np.ndarray):
-        want = min(k + 1, s.shape[1])
-        for i, at in enumerate(np.argpartition(-s.astype(float), want - 1, axis=1)[:, :want]):
-            yield at[~mine[i, at]]
-
-    def asked(part: pa.Table, s: np.ndarray, mine: np.ndarray):
-        yield from (np.array(x, np.int64) for x in part.column("ask").to_pylist())
-
-    def sufficient(part: pa.Table, s: np.ndarray, mine: np.ndarray):
-        cut = part.column("cutoff").to_pylist()
-        for i, c in enumerate(cut):
-            share = -_LONG - 1 if c is None else -(-c // m)
-            yield np.flatnonzero((s[i] >= share) & ~mine[i])
+        return queries.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(run, fields)
+
+    def best(part: pa.Table, left: np.ndarray, right: np.ndarray, ids: np.ndarray):
+        s, want = _entries(left, right), min(k + 1, len(right))
+        for i, (me, at) in enumerate(zip(part.column("vec_id").to_pylist(), np.argpartition(-s.astype(float), want - 1, axis=1)[:, :want], strict=True)):
+            at = at[ids[at] != me]
+            yield at, s[i, at]
+
+    def asked(part: pa.Table, left: np.ndarray, right: np.ndarray, ids: np.ndarray):
+        # the named rows alone are multiplied
+        for i, x in enumerate(part.column("ask")):
+            at = np.asarray(x.values)
+            yield at, _entries(left[i : i + 1], right[at])[0]
+
+    def sufficient(part: pa.Table, left: np.ndarray, right: np.ndarray, ids: np.ndarray):
+        s = _entries(left, right)
+        for i, (me, c) in enumerate(zip(part.column("vec_id").to_pylist(), part.column("cutoff").to_pylist(), strict=True)):
+            at = np.flatnonzero((s[i] >= (-_LONG - 1 if c is None else -(-c // m))) & (ids != me))
+            yield at, s[i, at]
 
     # 1. leaders of each list, their sums, and the cutoff
     flat = lambda x: x.select(*one, "list", F.explode(F.arrays_zip("at", "vec_ids", "entries")).alias("x")).select(*one, "list", "x.*")
