@@ -155,6 +155,22 @@ def test_huge_and_clashing_vectors(spark):
     assert got == [(4, k + 1, 3 - k, 4 * 64 * (3 - k) * 64 + 64 * 64) for k in range(4)]
 
 
+def test_sums_between_doubles_and_the_long_range(spark):
+    """Products of 60 bits: doubles would round them, and two lists still add up."""
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(-(2**23), 2**23) * 64) for _ in range(5)]) for i in range(30)]
+    rows += [(100, rows[0][1]), (101, [rows[0][1][0] + 64.0, *rows[0][1][1:]])]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1)
+    got = topk.exact_top_k(v.where("vec_id % 10 = 0"), v, 6, row_block=12).collect()
+    want, big = [], 0
+    for q, x in rows:
+        if q % 10 == 0:
+            s = sorted((-sum(int(a) * int(b) for a, b in zip(x, y)), i) for i, y in rows if i != q)
+            want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s[:6])]
+            big = max(big, -s[0][0])
+    assert sorted(map(tuple, got)) == sorted(want) and big > 2**53
+
+
 def test_sequences_of_the_table_as_a_plain_tokeniser_packs_them(spark):
     import tiktoken
 
@@ -192,31 +208,33 @@ def test_shards_beside_columns_of_their_names(spark):
     assert keyed.count() == 42 and keyed.where("shard_bytes > 200").count() == 2
 
 
+def plain_buckets(t):
+    """Buckets of all n-grams of a text, one by one."""
+    chars, last, out = [], False, []
+    for c in (t or "").lower():
+        if c.isalpha():
+            chars.append(c)
+        elif last:
+            chars.append(" ")
+        last = c.isalpha()
+    for size in (1, 2, 3):
+        for i in range(len(chars) - size + 1):
+            h = ord(chars[i])
+            for c in chars[i + 1 : i + size]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            out.append(int(common.mix(np.array([(h + (size << 56)) % 2**64], np.uint64))[0] >> np.uint64(48)))
+    return out
+
+
 def test_scores_of_a_small_language_model(spark):
     model = langid.Model(["a", "b"], np.random.default_rng(5).normal(0, 3, (2, langid.BUCKETS)).astype(np.float32), np.array([0.2, -0.1]))
-    texts = ["Hello wörld 12 x", "", None, "日本語 text", "z" * 100_000, "ab " * 3, "--"]
+    texts = ["Hello wörld 12 x", "", None, "日本語 text", "z" * 100_000, "ab " * 3, "--", "ends in letters", "(starts otherwise", "x", "1 y"]
 
     def plain(t):
-        low = (t or "").lower()
-        chars, last = [], False
-        for c in low:
-            if c.isalpha():
-                chars.append(c)
-            elif last:
-                chars.append(" ")
-            last = c.isalpha()
-        if not any(c.isalpha() for c in chars):
+        at = plain_buckets(t)
+        if not at:
             return "und", 0.0
-        s, n = np.zeros(2), 0
-        for size in (1, 2, 3):
-            for i in range(len(chars) - size + 1):
-                h = ord(chars[i])
-                for c in chars[i + 1 : i + size]:
-                    h = (h * 0x100000001B3 + ord(c)) % 2**64
-                b = int(common.mix(np.array([(h + (size << 56)) % 2**64], np.uint64))[0] >> np.uint64(48))
-                s += model.table[:, b]
-                n += 1
-        p = np.exp(s / n + model.bias)
+        p = np.exp(sum(model.table[:, b].astype(float) for b in at) / len(at) + model.bias)
         p /= p.sum()
         return model.langs[int(p.argmax())], float(p.max())
 
@@ -227,6 +245,72 @@ def test_scores_of_a_small_language_model(spark):
         assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6
 
 
+def plain_fit(rows, epochs=3):
+    """Follow-the-regularised-leader over one weight at a time, and the temperature by trying the grid."""
+    from math import exp, log, sqrt
+
+    langs = sorted({lang for *_, lang in rows if lang})
+    texts = [plain_buckets(t) for _, t, _ in rows]
+    df = {}
+    for b in (b for bs in texts for b in set(bs)):
+        df[b] = df.get(b, 0) + 1
+    idf = lambda b: log((1 + len(rows)) / (1 + df[b])) + 1
+    data = []
+    for lang, bs in sorted(((lang, t or ""), plain_buckets(t)) for _, t, lang in rows if lang):
+        if bs:
+            data.append(({**{b: bs.count(b) / len(bs) * idf(b) * 50 for b in sorted(set(bs))}, "bias": 1.0}, langs.index(lang[0])))
+    order = np.random.default_rng(7).permutation(len(data))
+    held, used = [data[i] for i in order[::5]], [data[i] for k, i in enumerate(order) if k % 5]
+    z, n = {}, {}
+
+    def weight(b, k):
+        x = z.get((b, k), 0.0)
+        return 0.0 if abs(x) <= 0.02 else -(x - (0.02 if x > 0 else -0.02)) / ((0.1 + sqrt(n[b, k])) / 0.5 + 0.05)
+
+    def shares(s):
+        e = [exp(x - max(s)) for x in s]
+        return [x / sum(e) for x in e]
+
+    logits = lambda x: [sum(v * weight(b, k) for b, v in x.items()) for k in range(len(langs))]
+    for x, y in used * epochs:
+        p = shares(logits(x))
+        for k in range(len(langs)):
+            for b, v in x.items():
+                g, old, w = v * (p[k] - (k == y)), n.get((b, k), 0.0), weight(b, k)
+                n[b, k] = old + g * g
+                z[b, k] = z.get((b, k), 0.0) + g - (sqrt(n[b, k]) - sqrt(old)) / 0.5 * w
+    found = [(logits(x), y) for x, y in held]
+    # the sample holds every row, so all languages weigh the same
+    loss = lambda t: -sum(log(max(shares([v / t for v in s])[y], 1e-12)) for s, y in found)
+    t = min(np.geomspace(0.05, 20, 121), key=loss)
+    return langs, {(b, k): weight(b, k) * idf(b) * 50 / t for b, k in z if b != "bias"}, [weight("bias", k) / t - log(len(langs)) for k in range(len(langs))]
+
+
+def test_the_fit_of_a_small_language_model(spark):
+    r = random.Random(12)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(2, 5)))
+    kinds = {"a": "abcdexyz", "b": "cdefgxyz", "c": "efghiéz"}
+    rows = [(k, " ".join(word(kinds[lang]) for _ in range(r.randint(1, 6))), lang) for k in range(75) for lang in ["abc"[k % 3]]]
+    rows += [(100, None, "a"), (101, "", "b"), (102, "12 --", "c"), (103, rows[0][1], None), (104, rows[1][1], "b")]
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    langs, table, bias = plain_fit(rows)
+    want = np.zeros((3, langid.BUCKETS))
+    for (b, k), w in table.items():
+        want[k, b] = w
+    assert model.langs == langs and np.allclose(model.table, want, rtol=1e-4, atol=1e-6) and np.count_nonzero(want)
+    assert np.allclose(model.bias, bias, rtol=1e-6) and spark.conf.get(key) == before
+
+
+def test_junk_languages_do_not_widen_the_model(spark):
+    rows = [(k, "some words of one language", "a") for k in range(9)] + [(20 + k, "other letters qqq zzz", "b") for k in range(6)]
+    rows += [(100 + k, f"junk {k}", f"junk-{k:03d}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, languages=2).langs == ["a", "b"]
+    assert langid.fit(df, languages=3).langs == ["a", "b", "junk-000"]
+
+
 def test_scores_of_a_small_quality_model(spark):
     import zstandard
 
