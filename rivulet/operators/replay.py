@@ -2,7 +2,7 @@
 
 Plain letters go through the whole ingest again, as the requests that they came from; what is rejected for the same reason as before is
 done with, what is refused with its request, or rejected for another reason, is tried again up to a limit.
-Sealed letters are published as they are.
+Sealed letters are published as they are, also those that a round has sealed: what encryption alone makes too large is never encrypted again.
 """
 
 from __future__ import annotations
@@ -51,9 +51,10 @@ def _tried(left: DataFrame, claims: DataFrame, run: Callable[[DataFrame], Ingest
     try:
         place = whole.select("batch_id", F.posexplode("places").alias("idx", "index"))
         said = got.responses.select("batch_id", "status", "why", F.map_from_entries("rejected").alias("named"))
-        out = place.join(said, "batch_id", "left").select("batch_id", "index", "status", "why", F.try_element_at("named", F.col("idx")).alias("now"))
+        sealed = dlq.replay_split(got.letters)[1].select("batch_id", F.col("index").alias("idx"), F.lit(True).alias("sealed"))
+        out = place.join(said, "batch_id", "left").join(sealed, ["batch_id", "idx"], "left").select("batch_id", "index", "status", "why", F.try_element_at("named", F.col("idx")).alias("now"), "sealed")
         y = left.join(out, ["batch_id", "index"], "left")
-        accepted = (F.col("status") == 202) & F.col("now").isNull()
+        accepted = (F.col("status") == 202) & (F.col("now").isNull() | F.col("sealed").isNotNull())
         reason = F.when(F.col("status") == 202, F.col("now")).otherwise(F.coalesce("why", "reason"))
         # places of a request with fewer elements differ, what is wrong does not
         same = F.regexp_replace("now", r"\[\d+\]", "") == F.regexp_replace("reason", r"\[\d+\]", "")

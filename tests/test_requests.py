@@ -129,6 +129,25 @@ def test_replay_ends_for_every_letter(spark):
     assert replay.rounds(letters.where("false"), claims, run, 2, mend).count() == 0
 
 
+def test_replay_publishes_what_a_round_has_sealed(spark):
+    """A mended letter that only encryption makes too large is sealed from then on: it is not sealed again."""
+    long = GOOD | {"time": "soon", "data": DATA | {"candidate": DATA["candidate"] | {"name": "n" * 1500}}}
+    fine = GOOD | {"id": "fine", "time": "soon"}
+    more = {"max_bytes": 2000}
+    letters = ask(spark, [("a", json.dumps([fine, long, GOOD | {"id": ""}])), ("b", json.dumps([long | {"shadow": 1}]))], **more).letters
+    claims = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "batch_id string, at double").withColumns({"token_tenant": F.lit(TENANT), "credential_id": F.lit("cred"), "channel_hint": F.lit(None).cast("string")})
+    mend = lambda raw, why: F.when(why.startswith("BAD_TIME"), F.replace(raw, F.lit('"soon"'), F.lit('"2024-01-01T00:00:00Z"'))).when(why.startswith("UNKNOWN"), F.regexp_replace(raw, '"shadow":1,?', "")).otherwise(raw)
+
+    def run(requests):
+        return program.ingest(requests, spark.createDataFrame([(TENANT,)], "tenant string"), spark.createDataFrame([("cred", TENANT, "WEB_APP")], "credential_id string, tenant string, channel string"), crypto.key_dimension(spark, b"k" * 32, [TENANT]), spark.createDataFrame([], "tenant string, rate double, burst double"), (1000.0, 1000.0), **more)
+
+    got = {(r.batch_id, r["index"]): (r.stage, r.fate, r.retry_count, r.reason) for r in replay.rounds(letters, claims, run, 3, mend).collect()}
+    assert got == {
+        ("a", 0): ("validate", "published", 1, None), ("a", 1): ("validate", "published", 1, None), ("a", 2): ("validate", "rejected", 1, "BAD_ID at $.id"),
+        ("b", 0): ("validate", "published", 2, None),
+    }
+
+
 def keyed(spark, rows):
     return spark.createDataFrame(rows, "source string, id string")
 
