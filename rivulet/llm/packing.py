@@ -62,8 +62,17 @@ class Encoder:
         told = json.loads(model)
         parts = [(told.get(one) or {}).get(many, []) for one, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
         self.fine = any(x["type"] == "Lowercase" for x in parts[0]) and any(x.get("pattern") == {"Regex": CUT_APART} for x in parts[1])
+        vocab, bpe = self.tokenizer.get_vocab(), told["model"]
+        ids = np.arange(max(vocab.values(), default=0) + 1)
         zero = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.zero = zero[0] if len(zero) == 1 else None
+        self.zero = ids == zero[0] if len(zero) == 1 else None
+        # small letters are what normalizers and cuts leave alone, and each word's last token alone has the suffix
+        alone = all(x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or x.get("pattern") == {"Regex": r"\s+"} for x in parts[0])
+        alone &= all(x.get("pattern") == {"Regex": CUT_APART} or (x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"]) for x in parts[1])
+        self.letters, suffix = None, bpe.get("end_of_word_suffix")
+        if self.fine and alone and bpe["type"] == "BPE" and suffix:
+            self.letters = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            self.last = np.isin(ids, [i for token, i in vocab.items() if token.endswith(suffix)])
 
     @staticmethod
     def of(model: str) -> Encoder:
@@ -91,7 +100,7 @@ class Encoder:
             row, first = np.repeat(row, many[last] - many[first]), np.flatnonzero(edge)
         ends = np.append(first, len(solid)).astype(np.int64)
         units = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(solid))]).dictionary_encode()
-        code, raw = units.indices.to_numpy(), self._of(units.dictionary.to_pylist())
+        code, raw = units.indices.to_numpy(), self._of(units.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         flat, begin = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
         each = size[code]
@@ -121,20 +130,24 @@ class Encoder:
         return raw
 
     def _encoded(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each unit; those without a 0 or a special token go many in one text, with a 0 between them."""
-        encode = lambda texts: [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plain = [u for u in new if self.zero is not None and b"0" not in u and b"<" not in u and len(u) <= LONG_UNIT]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        """Ids of each unit; short ones go many in one text: small letters without normalizers and cuts, others without a 0 or a special token with a 0 after each."""
+        encode = lambda tokenizer, texts: [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        small = [u for u in new if self.letters is not None and len(u) <= LONG_UNIT and u.isalpha() and u.islower()]
+        taken = set(small)
+        plain = [u for u in new if self.zero is not None and len(u) <= LONG_UNIT and b"0" not in u and b"<" not in u and u not in taken]
         out = {}
-        for group, ids in zip(groups, encode([b" 0 ".join(g).decode() for g in groups]), strict=True):
-            cuts = np.flatnonzero(ids == self.zero) * 4
-            if len(cuts) == len(group) - 1:
-                raw, lo = ids.tobytes(), 0
-                for u, hi in zip(group, [*cuts.tolist(), len(raw)], strict=True):
-                    out[u] = raw[lo:hi]
-                    lo = hi + 4
+        # a mark is the last id of a unit, or the 0 after it
+        for tokenizer, units, end, marks, kept in ((self.letters, small, b" ", "last", 4), (self.tokenizer, plain, b" 0 ", "zero", 0)):
+            groups = [units[i : i + TOGETHER] for i in range(0, len(units), TOGETHER)]
+            for group, ids in zip(groups, encode(tokenizer, [end.join([*g, b""]).decode() for g in groups]) if groups else [], strict=True):
+                at = np.flatnonzero(getattr(self, marks)[ids]) * 4
+                if len(at) == len(group):
+                    raw, lo = ids.tobytes(), 0
+                    for u, hi in zip(group, at.tolist(), strict=True):
+                        out[u] = raw[lo : hi + kept]
+                        lo = hi + 4
         rest = [u for u in new if u not in out]
-        return out | {u: ids.tobytes() for u, ids in zip(rest, encode([u.decode() for u in rest]), strict=True)}
+        return out | {u: ids.tobytes() for u, ids in zip(rest, encode(self.tokenizer, [u.decode() for u in rest]), strict=True)}
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:

@@ -116,3 +116,22 @@ def test_units_give_the_ids_of_whole_texts():
         encoder.fine, encoder.known = fine, {}
         ids, at = encoder.ids(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in plain_.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_small_letters_skip_normalizers_and_cuts():
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    whole, asked, r = encoder.tokenizer, [], random.Random(2)
+
+    class Seen:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Seen()
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.choice([1, 2, 5, 9, 64, 65]))) for _ in range(5000)]
+    for texts, seen in ((words, {w for w in words if len(w) > packing.LONG_UNIT}), (["Words, WORDS 1x"], {", 0 1 0 "}), (["éa", "w</w>", "</w>"], {"éa 0 ", "w</w>", "</w>"})):
+        asked.clear()
+        ids, at = encoder.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+        assert set(asked) == seen
