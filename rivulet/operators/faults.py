@@ -53,12 +53,12 @@ def partners(rows: DataFrame, bad: str = "variant") -> DataFrame:
     """``rows`` (batch_id, idx, id, variant) with the id of a clean partner in the same batch.
 
     The nearest clean row before, else the nearest after; ``appended`` marks rows whose batch has none.
+    Both are found in one pass: a frame up to the end of the batch would be read anew for each row.
     """
-    clean = F.when(F.col(bad).isNull(), F.col("id"))
     w = Window.partitionBy("batch_id").orderBy("idx")
-    before = F.last(clean, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(clean, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return rows.withColumn("partner_id", F.coalesce(before, after)).withColumn("appended", F.col(bad).isNotNull() & F.col("partner_id").isNull())
+    rows = rows.withColumn("_clean", F.when(F.col(bad).isNull(), F.col("id")))
+    before, after = (F.expr(f"{f}(_clean) ignore nulls").over(w) for f in ("lag", "lead"))
+    return rows.withColumn("partner_id", F.coalesce(before, after)).withColumn("appended", F.col(bad).isNotNull() & F.col("partner_id").isNull()).drop("_clean")
 
 
 def corrupt(rows: DataFrame) -> DataFrame:

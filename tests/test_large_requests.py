@@ -1,8 +1,11 @@
 """Requests of a tenant's whole day that are larger than what one request may be."""
 
+import random
+
 import duckdb
 import pytest
 
+from rivulet.operators import faults
 from rivulet.plans import registry
 
 from . import oracle
@@ -26,3 +29,19 @@ def same(spark, d: str, name: str) -> list:
 @pytest.mark.parametrize("name", ["ingest_counters", "ingest_responses", "validate_batch_limits"])
 def test_a_body_over_the_contracts_bytes_is_told_by_its_events(spark, tmp_path, name):
     assert "TOO_MANY_EVENTS" in repr(same(spark, one_day(tmp_path, 15000), name))
+
+
+def test_partners_in_large_batches(spark):
+    r = random.Random(5)
+    rows = [(b, i, f"{b}-{i}", "x" if r.random() < 0.9 else None) for b, n in ((1, 3000), (2, 40), (3, 1)) for i in range(n)]
+    got = faults.partners(spark.createDataFrame(rows, "batch_id int, idx int, id string, variant string"))
+    # a frame that ends with the batch costs the square of its rows
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    def nearest(b, i):
+        clean = [k for a, k, _, v in rows if a == b and v is None]
+        before, after = [k for k in clean if k < i], [k for k in clean if k > i]
+        k = before[-1] if before else after[0] if after else None
+        return None if k is None else f"{b}-{k}"
+
+    assert {x.id: x.partner_id for x in got.where("idx % 10 = 0").collect()} == {i: nearest(b, k) for b, k, i, _ in rows if k % 10 == 0}
