@@ -89,15 +89,21 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, groups: int = GROUP
     m = 1 if kind == "whole" else min(groups, dims)
     cuts = [dims * i // m for i in range(m + 1)]
 
-    def cells(x: DataFrame, blocks: int, mine: str, copies: int, other: str) -> DataFrame:
+    v = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v")))
+    parts = F.array(*[F.struct(F.lit(i).alias("list"), F.slice(v, a + 1, b - a).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+
+    def by_list(x: DataFrame) -> DataFrame:
+        """Every row once for each list, with that list's part of ``v``."""
+        return x.withColumn("x", F.explode(parts)).drop("v").select("*", "x.*").drop("x")
+
+    def cells(x: DataFrame, other: str, copies: int) -> DataFrame:
         """Every row once for each list and each block of the other side."""
-        x = x.withColumn(mine, F.pmod("name", F.lit(blocks)).cast("int"))
-        v = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v")))
-        lists = F.array(*[F.struct(F.lit(i).alias("list"), F.slice(v, a + 1, b - a).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-        x = x.select("vec_id", "name", mine, F.explode(lists).alias("x")).select("vec_id", "name", mine, "x.list", "x.v")
-        return x.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        return by_list(x).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
-    q, r = cells(queries, qb, "qb", rb, "rb"), cells(rows, rb, "rb", qb, "qb")
+    queries, rows = (x.withColumn(b, F.pmod("name", F.lit(n)).cast("int")) for x, b, n in ((queries, "qb", qb), (rows, "rb", rb)))
+    r = cells(rows, "qb", qb)
+    # queries are joined before they are multiplied by blocks: Spark takes the size of their small file for that of their copies, and would broadcast these
+    with_query = lambda x: x.withColumnRenamed("query_id", "vec_id").join(queries.drop("qb").hint("merge"), ["vec_id", "name"])
     cell, one = ["list", "qb", "rb"], ["query_id", "name", "qb", "rb"]
     fields = "query_id long, name long, qb int, rb int, list int, at array<int>, vec_ids array<long>, entries array<long>"
 
@@ -142,23 +148,23 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, groups: int = GROUP
     # 1. leaders of each list, their sums, and the cutoff
     flat = lambda x: x.select(*one, "list", F.explode(F.arrays_zip("at", "vec_ids", "entries")).alias("x")).select(*one, "list", "x.*")
     place = F.row_number().over(Window.partitionBy("query_id", "name", "list").orderBy(F.desc("entries"), "vec_ids"))
-    lead = flat(ask(q, best)).withColumn("n", place).where(F.col("n") <= LEADERS * k).groupBy(*one).agg(F.collect_set("at").alias("ask"))
+    lead = flat(ask(cells(queries, "rb", rb), best)).withColumn("n", place).where(F.col("n") <= LEADERS * k).groupBy(*one).agg(F.collect_set("at").alias("ask"))
     lead = common.stage(lead, "leaders")
-    sums = flat(ask(q.join(lead.withColumnRenamed("query_id", "vec_id"), ["vec_id", "name", "qb", "rb"]), asked))
+    sums = flat(ask(by_list(with_query(lead)), asked))
     sums = sums.groupBy(*one, "at", "vec_ids").agg(F.sum("entries").alias("score")).groupBy("query_id", "vec_ids").agg(F.max("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     cut = common.stage(sums.withColumn("n", nth).where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")), "cutoffs")
 
     # 2. sufficient entries
-    held = common.stage(ask(q.join(cut, "vec_id", "left"), sufficient), "entries", codec="zstd")
+    held = common.stage(ask(cells(queries.join(cut.hint("merge"), "vec_id", "left"), "rb", rb), sufficient), "entries", codec="zstd")
 
     # 3. what the other lists collected, and the sums
     wanted = held.groupBy(*one).agg(F.collect_list(F.struct("list", "at")).alias("x"))
     there = F.array_distinct(F.flatten(F.transform("x", lambda y: y["at"])))
     here = lambda i: F.flatten(F.transform(F.filter("x", lambda y: y["list"] == F.lit(i)), lambda y: y["at"]))
     lists = F.array(*[F.struct(F.lit(i).alias("list"), F.array_except(there, here(i)).alias("ask")) for i in range(m)])
-    wanted = wanted.select(*one, F.explode(lists).alias("y")).select(F.col("query_id").alias("vec_id"), "name", "qb", "rb", "y.list", "y.ask").where(F.size("ask") > 0)
-    more = ask(q.join(wanted, ["vec_id", "name", "qb", "rb", "list"]), asked)
+    wanted = wanted.select(*one, F.explode(lists).alias("y")).select(*one, "y.list", "y.ask").where(F.size("ask") > 0)
+    more = ask(with_query(wanted).withColumn("v", F.element_at(parts, F.col("list") + 1)["v"]), asked)
     summed = held.unionByName(more).groupBy(*one).agg(F.collect_list(F.struct("at", "vec_ids", "entries")).alias("x")).join(cut.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
 
     def total(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -103,3 +103,14 @@ def test_a_long_thread(spark):
     turns = spark.range(300).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     got = conversations.format_paths(conversations.thread(turns)).withColumn("t", conversations.read_back(F.col("formatted"))).collect()
     assert len(got) == 1 and [x.text for x in got[0].t] == [str(i) for i in range(300)]
+
+
+def test_top_k_broadcasts_no_query_for_each_block(spark, monkeypatch):
+    r, plans, ask = random.Random(7), [], topk.common.stage
+    monkeypatch.setattr(topk.common, "stage", lambda df, *a, **b: plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()) or ask(df, *a, **b))
+    v = topk.integer_vectors(spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(120)], "vec_id long, embedding array<float>"))
+    got = topk.exact_top_k(v.where("vec_id % 5 = 0"), v, 3, query_block=8, row_block=16)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    # the cutoffs, one number for each query, may be broadcast; queries, multiplied by the blocks of rows, may not
+    assert len(plans) == 6 and sum(p.count("BroadcastExchange") for p in plans[:-1]) == 0 and plans[-1].count("BroadcastExchange") <= 1
+    assert got.count() == 24 * 3
